@@ -6,13 +6,14 @@ columns need.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightnet.functions.scalar import place, year_month
-
 SITES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-TRUCKS = ["NLAT", "CNWY", "CPU", "PAGE", "UPS", "SWFT", "ZZZZ"]
+TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -29,10 +30,40 @@ SCHEMAS = {
 }
 
 CUSTOMER_COLS = {"MSTName", "MSTCity", "MSTState"}
-ORDER_COLS = CUSTOMER_COLS | {"MST", "FrtTermsFix", "OrderMonth"}
+ORDER_COLS = CUSTOMER_COLS | {"MST", "FrtTermsFix", "OrderMonth", "o_orderdate"}
 PART_COLS = {"PartType", "PrintGroup"}
 
 
+HISTORY = {
+    "ShipDate": "to_date(l_shipdate)",
+    "ShipMonth": "year(l_shipdate) * 100 + month(l_shipdate)",
+    "OrderMonth": "date_format(o_orderdate, 'yyyyMM')",
+    "ShipSiteName": "home_site",
+    "MfgSiteName": "CASE WHEN l_partkey % 97 != 0 THEN maker END",
+    "MST": "CAST(o_custkey AS STRING)",
+    "MSTName": "c_name",
+    "FrtTermsFix": "CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3') THEN 'PPD' ELSE 'CPU' END",
+    "MasterBOL": "l_orderkey div 4",
+    "Truck": f"element_at(array({TRUCKS}), CAST((l_orderkey + l_linenumber) % 7 + 1 AS INT))",
+    "PartType": "p_type",
+    "PrintGroup": "p_brand",
+    "MUnits": "l_quantity",
+}
+
+
+def cached(view: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Build the plan of a view once per query."""
+
+    @wraps(view)
+    def once(self: Tables) -> DataFrame:
+        key = f"__{view.__name__}"
+        if key not in self.__dict__:
+            self.__dict__[key] = view(self)
+        return self.__dict__[key]
+
+    return once
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -41,232 +72,196 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        # Kept on the object, so that each table is listed once per query.
+        self.__dict__[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        return self.__dict__[name]
 
+    @cached
     def places(self) -> DataFrame:
-        """(nation, MSTCity, MSTState) of every nation."""
-        return self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-            F.col("n_nationkey").alias("nation"),
-            F.col("n_name").alias("MSTCity"),
-            F.left("r_name", F.lit(2)).alias("MSTState"),
-            F.col("r_name").alias("home_site"),
+        """(nation, MSTCity, MSTState, home_site) of every nation."""
+        return self.nation.join(self.region, F.expr("n_regionkey = r_regionkey")).selectExpr(
+            "n_nationkey AS nation", "n_name AS MSTCity", "left(r_name, 2) AS MSTState", "r_name AS home_site"
         )
 
     def history(self, *cols: str) -> DataFrame:
         need = set(cols)
         df = self.lineitem
         if need & ORDER_COLS:
-            df = df.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        if need & CUSTOMER_COLS:
-            named = self.customer.join(self.places(), F.col("c_nationkey") == F.col("nation")).drop("home_site")
-            df = df.join(named, F.col("o_custkey") == F.col("c_custkey"))
+            # Customers meet the orders, not the lines: the lines are shuffled by order key only.
+            header = self.orders
+            if need & CUSTOMER_COLS:
+                header = header.join(self.customer, F.expr("o_custkey = c_custkey"))
+                header = header.join(self.places(), F.expr("c_nationkey = nation")).drop("home_site")
+            # Both sides grow with the data: always a merge join, never a broadcast of one of them.
+            df = df.join(header.hint("merge"), F.expr("l_orderkey = o_orderkey"))
         if need & PART_COLS:
-            df = df.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            df = df.join(self.part, F.expr("l_partkey = p_partkey"))
         if "ShipSiteName" in need:
-            shippers = self.supplier.join(self.places(), F.col("s_nationkey") == F.col("nation")).select(
-                "s_suppkey", F.col("home_site").alias("ShipSiteName")
-            )
-            df = df.join(shippers, F.col("l_suppkey") == F.col("s_suppkey"))
+            # One join after the other, so that each table is judged by its own size.
+            homes = self.places().selectExpr("nation AS home", "home_site")
+            df = df.join(self.supplier, F.expr("l_suppkey = s_suppkey")).join(homes, F.expr("s_nationkey = home"))
         if "MfgSiteName" in need:
-            makers = self.region.select("r_regionkey", F.col("r_name").alias("maker"))
-            df = df.join(makers, F.col("l_partkey") % 5 == F.col("r_regionkey"))
-        truck = F.element_at(
-            F.array(*map(F.lit, TRUCKS)), ((F.col("l_orderkey") + F.col("l_linenumber")) % 7 + 1).cast("int")
-        )
-        exprs = {
-            "ShipDate": lambda: F.to_date("l_shipdate"),
-            "ShipMonth": lambda: year_month("l_shipdate"),
-            "OrderMonth": lambda: F.date_format("o_orderdate", "yyyyMM"),
-            "MfgSiteName": lambda: F.when(F.col("l_partkey") % 97 != 0, F.col("maker")),
-            "MST": lambda: F.col("o_custkey").cast("string"),
-            "MSTName": lambda: F.col("c_name"),
-            "FrtTermsFix": lambda: F.when(F.left("o_orderpriority", F.lit(1)).isin("1", "2", "3"), "PPD").otherwise("CPU"),
-            "MasterBOL": lambda: F.expr("l_orderkey div 4"),
-            "Truck": lambda: truck,
-            "PartType": lambda: F.col("p_type"),
-            "PrintGroup": lambda: F.col("p_brand"),
-            "MUnits": lambda: F.col("l_quantity"),
-        }
-        return df.select(*[exprs[c]().alias(c) if c in exprs else F.col(c) for c in cols])
+            makers = self.region.selectExpr("r_regionkey AS maker_key", "r_name AS maker")
+            df = df.join(makers, F.expr("l_partkey % 5 = maker_key"))
+        return df.selectExpr(*[f"{HISTORY.get(c, c)} AS {c}" for c in cols])
+
+    def _to_sites(self, df: DataFrame) -> DataFrame:
+        """Each row once per site, without a cross join: the site keys are known."""
+        sites = self.region.selectExpr("r_regionkey AS site_key", "r_name AS site")
+        return df.selectExpr("*", "explode(sequence(0, 4)) AS site_key").join(sites, "site_key")
 
+    @cached
     def distances(self) -> DataFrame:
         """(Orig, Dest, Miles) from every site to every place but one."""
-        sites = self.region.select(F.col("r_regionkey").alias("site_key"), F.col("r_name").alias("Orig"))
-        reach = self.places().withColumn("site_key", F.explode(F.sequence(F.lit(0), F.lit(4))))
-        return (
-            reach.where(F.col("nation") != 24)
-            .join(sites, "site_key")
-            .select(
-                "Orig",
-                place("MSTCity", "MSTState").alias("Dest"),
-                (100 + 37 * ((F.col("site_key") * 25 + F.col("nation")) % 29)).cast("double").alias("Miles"),
-            )
+        return self._to_sites(self.places().where("nation != 24")).selectExpr(
+            "site AS Orig",
+            "concat(MSTCity, ', ', MSTState) AS Dest",
+            "CAST(100 + 37 * ((site_key * 25 + nation) % 29) AS DOUBLE) AS Miles",
         )
 
     def raw_distances(self) -> DataFrame:
         """Distance sheet with one destination per customer, off-network ones and gaps included."""
-        state = (
-            F.when(F.col("c_custkey") % 31 == 0, "WA")
-            .when(F.col("nation") == 3, "EX")
-            .when(F.col("nation") == 7, "PR")
-            .when(F.col("nation") == 11, "HI")
-            .when(F.col("nation") == 15, "XX")
-            .otherwise(F.col("MSTState"))
-        )
-        city = F.when(F.col("c_custkey") % 62 == 0, "GNANGARA").otherwise(F.col("c_name"))
-        miles = (50 + (F.col("c_custkey") * 13 + F.col("site_key") * 211) % 2900).cast("double")
-        gap = (F.col("c_custkey") + F.col("site_key")) % 45 == 0
-        sites = self.region.select(F.col("r_regionkey").alias("site_key"), F.col("r_name").alias("or.City"))
-        spread = self.customer.join(self.places(), F.col("c_nationkey") == F.col("nation")).withColumn(
-            "site_key", F.explode(F.sequence(F.lit(0), F.lit(4)))
+        rows = self._to_sites(self.customer.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
+            "site AS `or.City`",
+            "left(site, 2) AS `or.State`",
+            "CASE WHEN c_custkey % 62 = 0 THEN 'GNANGARA' ELSE c_name END AS `de.City`",
+            """CASE WHEN c_custkey % 31 = 0 THEN 'WA' WHEN nation = 3 THEN 'EX' WHEN nation = 7 THEN 'PR'
+               WHEN nation = 11 THEN 'HI' WHEN nation = 15 THEN 'XX' ELSE MSTState END AS `de.State`""",
+            """CASE WHEN (c_custkey + site_key) % 45 != 0
+               THEN CAST(50 + (c_custkey * 13 + site_key * 211) % 2900 AS DOUBLE) END AS Miles""",
         )
-        return spread.join(sites, "site_key").select(
-            "`or.City`",
-            F.left(F.col("`or.City`"), F.lit(2)).alias("or.State"),
-            city.alias("de.City"),
-            state.alias("de.State"),
-            F.when(~gap, miles * 1.5).alias("Distance.Distance"),
-            F.when(~gap, miles).alias("Miles"),
+        return rows.selectExpr(
+            "`or.City`", "`or.State`", "`de.City`", "`de.State`", "Miles * 1.5D AS `Distance.Distance`", "Miles"
         )
 
     def geocodes(self) -> DataFrame:
         """One geocode per customer: several per destination."""
-        shift = (F.col("c_custkey") % 4) * 0.25
-        return self.customer.join(self.places(), F.col("c_nationkey") == F.col("nation")).select(
+        return self.customer.join(self.places(), F.expr("c_nationkey = nation")).selectExpr(
             "MSTCity",
             "MSTState",
-            F.when(F.col("c_custkey") % 17 != 0, F.lpad((F.col("c_custkey") % 50).cast("string"), 5, "0")).alias("MSTZip"),
-            (25 + F.col("nation") + shift).alias("lat"),
-            (-120 + 2 * F.col("nation") + shift).alias("lon"),
+            "CASE WHEN c_custkey % 17 != 0 THEN lpad(CAST(c_custkey % 50 AS STRING), 5, '0') END AS MSTZip",
+            "25 + nation + (c_custkey % 4) * 0.25D AS lat",
+            "-120 + 2 * nation + (c_custkey % 4) * 0.25D AS lon",
         )
 
     def facilities(self) -> DataFrame:
-        return self.region.select(
-            F.col("r_name").alias("Name"),
-            (30 + 2 * F.col("r_regionkey")).cast("double").alias("Latitude"),
-            (-110 + 5 * F.col("r_regionkey")).cast("double").alias("Longitude"),
+        return self.region.selectExpr(
+            "r_name AS Name",
+            "CAST(30 + 2 * r_regionkey AS DOUBLE) AS Latitude",
+            "CAST(-110 + 5 * r_regionkey AS DOUBLE) AS Longitude",
         )
 
+    @cached
     def inter_site_rates(self) -> DataFrame:
         """(Plant, ShipSite, CostPerMUnit, CostPerM): the sheet uses either cost name."""
-        plants = self.region.select(F.col("r_regionkey").alias("pk"), F.col("r_name").alias("Plant"))
-        sites = self.region.select(F.col("r_regionkey").alias("sk"), F.col("r_name").alias("ShipSite"))
-        spread = plants.withColumn("sk", F.explode(F.sequence(F.lit(0), F.lit(4)))).join(sites, "sk")
-        cost = F.abs(F.col("pk") - F.col("sk")) * 1.25
-        even = (F.col("pk") + F.col("sk")) % 2 == 0
-        return spread.select(
-            "Plant", "ShipSite", F.when(even, cost).alias("CostPerMUnit"), F.when(~even, cost).alias("CostPerM")
+        return self._to_sites(self.region.selectExpr("r_regionkey AS pk", "r_name AS Plant")).selectExpr(
+            "Plant",
+            "site AS ShipSite",
+            "CASE WHEN (pk + site_key) % 2 = 0 THEN abs(pk - site_key) * 1.25D END AS CostPerMUnit",
+            "CASE WHEN (pk + site_key) % 2 != 0 THEN abs(pk - site_key) * 1.25D END AS CostPerM",
         )
 
     def sites(self) -> DataFrame:
         """Site codes and names; the last code has no name."""
-        named = self.region.where(F.col("r_regionkey") != 4)
-        return named.select(F.left("r_name", F.lit(2)).alias("SiteCode"), F.col("r_name").alias("SiteName"))
+        return self.region.where("r_regionkey != 4").selectExpr("left(r_name, 2) AS SiteCode", "r_name AS SiteName")
 
     def forecast_sheet(self) -> DataFrame:
         """Two forecast sets: 2001 orders, and half the volume of 2000 orders."""
-        rows = self.history("MfgSiteName", "PrintGroup", "PartType", "OrderMonth", "MUnits")
-        year = F.left("OrderMonth", F.lit(4))
-        return rows.where(year.isin("2000", "2001") & F.col("MfgSiteName").isNotNull()).select(
-            F.concat(year, F.lit("12")).alias("ForecastSet"),
-            F.col("OrderMonth").alias("YearMonth"),
-            F.left("MfgSiteName", F.lit(2)).alias("MfgSite"),
+        rows = self.history("MfgSiteName", "PrintGroup", "PartType", "OrderMonth", "o_orderdate", "MUnits")
+        recent = "o_orderdate >= TIMESTAMP_NTZ'2000-01-01' AND o_orderdate < TIMESTAMP_NTZ'2002-01-01'"
+        return rows.where(f"{recent} AND MfgSiteName IS NOT NULL").selectExpr(
+            "left(OrderMonth, 4) || '12' AS ForecastSet",
+            "OrderMonth AS YearMonth",
+            "left(MfgSiteName, 2) AS MfgSite",
             "PrintGroup",
             "PartType",
-            F.when(year == "2001", F.col("MUnits")).otherwise(F.col("MUnits") / 2).alias("OLMUnits"),
+            "CASE WHEN left(OrderMonth, 4) = '2001' THEN MUnits ELSE MUnits / 2 END AS OLMUnits",
         )
 
     def roots(self) -> DataFrame:
         """Root part types, with more than one row per part type."""
-        tail = F.when(F.col("p_size") > 25, "-B").otherwise("-A")
-        return self.part.select(
-            F.col("p_type").alias("Part Type"), F.concat(F.left("p_type", F.lit(1)), tail).alias("Root Part Type")
+        return self.part.selectExpr(
+            "p_type AS `Part Type`",
+            "left(p_type, 1) || CASE WHEN p_size > 25 THEN '-B' ELSE '-A' END AS `Root Part Type`",
         )
 
     def capacity_sheet(self) -> DataFrame:
         """1.2 x history by plant, print group and part; a few empty and zero rows."""
         rows = self.history("l_partkey", "MfgSiteName", "PrintGroup", "PartType", "MUnits")
-        return rows.groupBy("MfgSiteName", "PrintGroup", "PartType").agg(
-            F.when(F.max(F.col("l_partkey")) % 13 != 0, F.sum("MUnits") * 6 / 5).otherwise(0.0).alias("OLMUnits")
-        ).withColumn("MfgSite", F.left("MfgSiteName", F.lit(2)))
+        sums = rows.groupBy("MfgSiteName", "PrintGroup", "PartType").agg(
+            F.expr("CASE WHEN max(l_partkey) % 13 != 0 THEN sum(MUnits) * 6 / 5 ELSE 0D END").alias("OLMUnits")
+        )
+        return sums.selectExpr("*", "left(MfgSiteName, 2) AS MfgSite")
 
     def erp(self) -> dict[str, DataFrame]:
         """The eight tables of the order system."""
-        key, cust, part = F.col("o_orderkey"), F.col("c_custkey"), F.col("p_partkey")
-
-        def domain(k):
-            return F.when(k % 50 == 7, "038").otherwise("037")
-
-        def site(k):
-            return F.concat(F.lit("S"), (k % 5).cast("string"))
-
-        prio = F.left("o_orderpriority", F.lit(1))
-        header = self.orders.select(
-            domain(key).alias("ih_domain"),
-            key.alias("ih_nbr"),
-            F.col("o_custkey").cast("string").alias("ih_ship"),
-            site(F.col("o_custkey")).alias("ih_site"),
-            F.to_date("o_orderdate").alias("ih_ship_date"),
-            F.col("o_orderpriority").alias("ih_shipvia"),
-            F.when(prio == "1", "Prepaid").when(prio == "2", "PREPAID").when(prio == "3", "prepaid").otherwise("Collect").alias("ih_fr_terms"),
-            F.concat(F.lpad(F.expr("o_orderkey div 4").cast("string"), 9, "0"), F.lit("-"), (key % 4).cast("string")).alias("ih_bol"),
-            F.when(F.col("o_orderstatus") == "O", "Y").otherwise("N").alias("xxih__custpu"),
-            F.concat(F.lit("L"), (key % 100).cast("string")).alias("xxih__load"),
-            F.element_at(F.array(*map(F.lit, ["cpu", *TRUCKS])), (key % 8 + 1).cast("int")).alias("xxih__truck"),
-            F.when(key % 3 != 0, (key % 500).cast("decimal(18,6)")).alias("xxih__base_chrg"),
-            F.when(key % 11 == 0, "MEM").otherwise("INV").alias("xxih__chr01"),
+        header = self.orders.selectExpr(
+            "CASE WHEN o_orderkey % 50 = 7 THEN '038' ELSE '037' END AS ih_domain",
+            "o_orderkey AS ih_nbr",
+            "CAST(o_custkey AS STRING) AS ih_ship",
+            "'S' || (o_custkey % 5) AS ih_site",
+            "to_date(o_orderdate) AS ih_ship_date",
+            "o_orderpriority AS ih_shipvia",
+            """CASE left(o_orderpriority, 1) WHEN '1' THEN 'Prepaid' WHEN '2' THEN 'PREPAID'
+               WHEN '3' THEN 'prepaid' ELSE 'Collect' END AS ih_fr_terms""",
+            "lpad(CAST(o_orderkey div 4 AS STRING), 9, '0') || '-' || (o_orderkey % 4) AS ih_bol",
+            "CASE WHEN o_orderstatus = 'O' THEN 'Y' ELSE 'N' END AS xxih__custpu",
+            "'L' || (o_orderkey % 100) AS xxih__load",
+            f"element_at(array('cpu', {TRUCKS}), CAST(o_orderkey % 8 + 1 AS INT)) AS xxih__truck",
+            "CASE WHEN o_orderkey % 3 != 0 THEN CAST(o_orderkey % 500 AS DECIMAL(18,6)) END AS xxih__base_chrg",
+            "CASE WHEN o_orderkey % 11 = 0 THEN 'MEM' ELSE 'INV' END AS xxih__chr01",
+        )
+        line = self.lineitem.selectExpr(
+            "CASE WHEN l_orderkey % 50 = 7 THEN '038' ELSE '037' END AS idh_domain",
+            "l_orderkey AS idh_nbr",
+            "l_partkey AS idh_part",
+            "CASE WHEN l_suppkey % 20 = 3 THEN '531' ELSE 'S' || (l_suppkey % 5) END AS idh_site",
+            "CASE WHEN l_linenumber != 7 THEN l_quantity END AS idh_qty_ship",
         )
-        line = self.lineitem.select(
-            domain(F.col("l_orderkey")).alias("idh_domain"),
-            F.col("l_orderkey").alias("idh_nbr"),
-            F.col("l_partkey").alias("idh_part"),
-            F.when(F.col("l_suppkey") % 20 == 3, "531").otherwise(site(F.col("l_suppkey"))).alias("idh_site"),
-            F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("idh_qty_ship"),
+        parts = self.part.selectExpr(
+            "'037' AS pt_domain",
+            "p_partkey AS pt_part",
+            "p_type AS pt_part_type",
+            "p_brand AS pt_group",
+            "CAST(p_size AS DOUBLE) AS pt_size",
+            "50D * (1 + p_partkey % 20) AS xxpt__case_pk",
         )
-        parts = self.part.select(
-            F.lit("037").alias("pt_domain"),
-            part.alias("pt_part"),
-            F.col("p_type").alias("pt_part_type"),
-            F.col("p_brand").alias("pt_group"),
-            F.col("p_size").cast("double").alias("pt_size"),
-            (50.0 * (1 + part % 20)).alias("xxpt__case_pk"),
+        address = self.customer.selectExpr("CAST(c_custkey AS STRING) AS ad_addr", "'037' AS ad_domain")
+        names = self.customer.selectExpr(
+            "CAST(c_custkey AS STRING) AS cm_addr",
+            "'037' AS cm_domain",
+            """CASE WHEN c_custkey % 53 = 0 THEN 'Samples ' || c_name
+               WHEN c_custkey % 101 != 0 THEN c_name END AS cm_name""",
         )
-        code = cust.cast("string")
-        address = self.customer.select(code.alias("ad_addr"), F.lit("037").alias("ad_domain"))
-        name = F.when(cust % 53 == 0, F.concat(F.lit("Samples "), F.col("c_name"))).when(cust % 101 != 0, F.col("c_name"))
-        names = self.customer.select(code.alias("cm_addr"), F.lit("037").alias("cm_domain"), name.alias("cm_name"))
-        pallets = self.part.select(
-            part.alias("Part"), site(part).alias("Site"), (part % 41).cast("double").alias("CasepPallet")
+        pallets = self.part.selectExpr(
+            "p_partkey AS Part", "'S' || (p_partkey % 5) AS Site", "CAST(p_partkey % 41 AS DOUBLE) AS CasepPallet"
         )
 
-        def dollars(divisor, missing):
-            return F.when(key % missing != 0, (key % divisor).cast("decimal(18,6)"))
+        def dollars(name: str, divisor: int, missing: int) -> str:
+            amount = f"CAST(o_orderkey % {divisor} AS DECIMAL(18,6))"
+            return f"CASE WHEN o_orderkey % {missing} != 0 THEN {amount} END AS {name}"
 
-        charges = self.orders.where(key % 3 == 0).select(
-            site(F.col("o_custkey")).alias("ShipSite"),
-            key.alias("SalesOrderNo"),
-            F.to_date("o_orderdate").alias("ShipDate"),
-            (key % 900).cast("double").alias("Miles"),
-            dollars(1000, 7).alias("Freight"),
-            dollars(700, 5).alias("EstimatedFreight"),
-            dollars(800, 2).alias("InvFrt"),
-            dollars(600, 13).alias("ActualFreight"),
-            (key % 2).cast("int").alias("PaidFlag"),
+        charges = self.orders.where("o_orderkey % 3 = 0").selectExpr(
+            "'S' || (o_custkey % 5) AS ShipSite",
+            "o_orderkey AS SalesOrderNo",
+            "to_date(o_orderdate) AS ShipDate",
+            "CAST(o_orderkey % 900 AS DOUBLE) AS Miles",
+            dollars("Freight", 1000, 7),
+            dollars("EstimatedFreight", 700, 5),
+            dollars("InvFrt", 800, 2),
+            dollars("ActualFreight", 600, 13),
+            "CAST(o_orderkey % 2 AS INT) AS PaidFlag",
         )
-        master = (cust - cust % 3).cast("string")
-        ship_to = (
-            self.customer.where(cust % 37 != 0)
-            .join(self.places(), F.col("c_nationkey") == F.col("nation"))
-            .select(
-                code.alias("ST"),
-                master.alias("MST"),
-                F.concat(F.lit("Master "), master).alias("MSTName"),
-                "MSTCity",
-                "MSTState",
-                F.lpad((cust % 50).cast("string"), 5, "0").alias("MSTZip"),
-                F.lit("US").alias("MSTCountry"),
-                F.when(cust % 2 == 0, "DC").otherwise("STORE").alias("MSTSetup"),
-            )
+        named = self.customer.where("c_custkey % 37 != 0").join(self.places(), F.expr("c_nationkey = nation"))
+        ship_to = named.selectExpr(
+            "CAST(c_custkey AS STRING) AS ST",
+            "CAST(c_custkey - c_custkey % 3 AS STRING) AS MST",
+            "'Master ' || (c_custkey - c_custkey % 3) AS MSTName",
+            "MSTCity",
+            "MSTState",
+            "lpad(CAST(c_custkey % 50 AS STRING), 5, '0') AS MSTZip",
+            "'US' AS MSTCountry",
+            "CASE WHEN c_custkey % 2 = 0 THEN 'DC' ELSE 'STORE' END AS MSTSetup",
         )
         return {
             "ih_hist_all": header,
