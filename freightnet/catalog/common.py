@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from freightnet.functions.scalar import lid_or_cup
 from freightnet.plans import demand as d
 from freightnet.plans.network import CUSTOMER, cheapest_inbound
-from freightnet.sources.adapter import Tables
+from freightnet.scale import cut
+from freightnet.sources.adapter import Tables, cached
 from freightnet.sources.readers import coalesce_cost
 
 
@@ -28,6 +29,17 @@ def demand(t: Tables) -> DataFrame:
     return d.demand(ship, t.distances(), [*CUSTOMER, "RPType"])
 
 
+@cached
+def kept_demand(t: Tables) -> DataFrame:
+    """The demand table written once, for queries that read it more than once."""
+    return cut(demand(t))
+
+
+@cached
+def kept_supply(t: Tables) -> DataFrame:
+    return cut(supply(t))
+
+
 def supply(t: Tables) -> DataFrame:
     """Capacity at 1.2 x history by plant and root product; two plants do not make every product."""
     site, product = F.col("MfgSite"), F.col("RPType")
@@ -39,7 +51,7 @@ def supply(t: Tables) -> DataFrame:
 
 def scarce(t: Tables) -> DataFrame:
     """The same with one plant cut to a quarter, so that capacity binds."""
-    return supply(t).withColumn(
+    return kept_supply(t).withColumn(
         "Capacity", F.when(F.col("MfgSite") == "ASIA", F.col("Capacity") / 4).otherwise(F.col("Capacity"))
     )
 
@@ -54,5 +66,7 @@ def rates(t: Tables) -> DataFrame:
     return coalesce_cost(t.inter_site_rates())
 
 
+@cached
 def inbound(t: Tables) -> DataFrame:
-    return cheapest_inbound(supply(t), rates(t))
+    """Cheapest plant per site and product; a small table that several steps read."""
+    return cut(cheapest_inbound(supply(t), rates(t)))

@@ -115,15 +115,15 @@ def single_source_plan_cost(t):
 
 
 def _plan(t):
-    wanted, inbound = c.demand(t), c.inbound(t)
+    wanted, inbound = c.kept_demand(t), c.inbound(t)
     return network.assigned_plan(wanted, network.single_source_assign(wanted, _units(t), SITES), inbound)
 
 
 WATER = "SELECT MfgSite, ShipSite, MSTName, Loc, FTerms, RPType, CAST(Flow AS DOUBLE) AS MUnits, CAST(Flow * UnitCost AS DOUBLE) AS Cost FROM waterfall"
 
 
-def _waterfall(t):
-    return waterfall.waterfall_plan(c.demand(t), c.scarce(t), waterfall.cheapest_routes(t.distances(), c.rates(t)))
+def _waterfall(t, wanted=None):
+    return waterfall.waterfall_plan(wanted or c.demand(t), c.scarce(t), waterfall.cheapest_routes(t.distances(), c.rates(t)))
 
 
 @query("waterfall_plan", "N6", with_views(WATER))
@@ -138,9 +138,7 @@ def waterfall_plan(t):
   (SELECT d.*, least(CAST(MUnits AS DECIMAL(18, 6)), d1 - Total) AS Short FROM d_int d JOIN (SELECT RPType, max(s1) AS Total FROM s_int GROUP BY 1) USING (RPType) WHERE d1 > Total)"""),
 )
 def waterfall_shortfall(t):
-    # Half of the scarce supply: some demand must stay unmet.
-    wanted = c.demand(t)
-    return waterfall.shortfall(wanted, _waterfall(t))
+    return waterfall.shortfall(c.kept_demand(t), _waterfall(t, c.kept_demand(t)))
 
 
 @query(
@@ -153,9 +151,9 @@ def waterfall_shortfall(t):
   FROM demand LEFT JOIN waterfall USING (MSTName, Loc, FTerms, RPType) GROUP BY MSTName, Loc, FTerms, RPType HAVING coalesce(sum(Flow), 0) < any_value(CAST(demand.MUnits AS DECIMAL(18, 6)))"""),
 )
 def waterfall_check(t):
-    plan = cut(_waterfall(t))
-    out, moved = waterfall.legs(plan)
-    rows = check.check_plan(out, moved, c.demand(t), c.scarce(t), c.caps(t), sites_per_customer=1)
+    wanted = c.kept_demand(t)
+    out, moved = waterfall.legs(cut(_waterfall(t, wanted)))
+    rows = check.check_plan(out, moved, wanted, c.scarce(t), c.caps(t), sites_per_customer=1)
     return rows.withColumn("Actual", F.round("Actual", 6))
 
 
@@ -172,10 +170,8 @@ def waterfall_check(t):
 )
 def single_source_check(t):
     out, moved = _plan(t)
-    out, moved = cut(out), cut(moved)
-    return check.check_plan(
-        out, moved, c.demand(t), c.supply(t), c.caps(t), sites_per_customer=1, max_open=2, closed=["ASIA", "EUROPE"], arc_limit=4000, max_served=3
-    )
+    rules = {"sites_per_customer": 1, "max_open": 2, "closed": ["ASIA", "EUROPE"], "arc_limit": 4000, "max_served": 3}
+    return check.check_plan(cut(out), cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), **rules)
 
 
 def _bound_sql(iterations: int, step: float) -> str:

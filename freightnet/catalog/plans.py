@@ -113,7 +113,7 @@ def _inter_site(t):
 @query("written_table", "K7 S1", with_views(BASE))
 def written_table(t):
     rows = _inter_site(t)
-    path = f"{scratch_dir(t.spark)}/freightnet-inter-site"
+    path = f"{scratch_dir(t.spark)}/inter-site"
     write_table(rows, path)
     return read_table(t.spark, path, rows.schema)
 
@@ -121,6 +121,6 @@ def written_table(t):
 @query("written_tsv", "K8", with_views(BASE))
 def written_tsv(t):
     rows = _inter_site(t)
-    path = f"{scratch_dir(t.spark)}/freightnet-inter-site-tsv"
+    path = f"{scratch_dir(t.spark)}/inter-site-tsv"
     write_tsv(rows, path)
     return t.spark.read.schema(rows.schema).option("sep", "\t").option("header", True).csv(path)

@@ -40,7 +40,7 @@ def _priced_inbound(options: DataFrame, plants: DataFrame, sites: DataFrame) ->
     return best.select("ShipSite", PRODUCT, "best.MfgSite", "best.Inbound")
 
 
-def _split_choice(wanted: DataFrame, units: DataFrame, sites: Sequence[str]) -> tuple[DataFrame, Decimal]:
+def _split_choice(wanted: DataFrame, units: DataFrame, sites: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Every place and product takes its cheapest site on its own."""
     picks = [
         F.when(F.col(f"u{i}").isNotNull(), F.struct(F.col(f"u{i}").alias("unit"), F.lit(s).alias("site")))
@@ -54,14 +54,19 @@ def _split_choice(wanted: DataFrame, units: DataFrame, sites: Sequence[str]) ->
             F.sum("MUnits").alias("MUnits"), F.sum((volume * F.col("best.unit")).cast(MONEY)).alias("Cost")
         )
     )
-    return used.drop("Cost"), used.agg(F.sum("Cost")).first()[0] or Decimal(0)
+    return used.drop("Cost"), used.select("Cost")
 
 
-def _whole_choice(wanted: DataFrame, units: DataFrame, sites: Sequence[str]) -> tuple[DataFrame, Decimal]:
+def _whole_choice(wanted: DataFrame, units: DataFrame, sites: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Every customer takes one site for all of its products."""
     assigned = cut(single_source_assign(wanted, units, sites).where(F.col("ShipSite").isNotNull()))
     used = total(wanted.join(assigned.drop("Cost"), CUSTOMER), ["ShipSite", PRODUCT], "MUnits")
-    return cut(used), assigned.agg(F.sum("Cost")).first()[0] or Decimal(0)
+    return cut(used), assigned.select("Cost")
+
+
+def _held(table: DataFrame, limit: str) -> DataFrame:
+    """What the prices would earn if every limit were used up, as negative cost."""
+    return table.select((-F.col("Price") * F.col(limit).cast(VOLUME)).cast(MONEY).alias("Cost"))
 
 
 def _step(table: DataFrame, used: DataFrame, keys: list[str], limit: str, step: float) -> DataFrame:
@@ -107,11 +112,9 @@ def price_bound(
     trace: list[tuple[int, float, float]] = []
     for k in range(1, iterations + 1):
         inbound = cut(_priced_inbound(options, plants, gates))
-        used, cost = choose(wanted, unit_costs(dist, inbound, sites, rate), sites)
-        held = plants.select((F.col("Price") * F.col("Capacity").cast(VOLUME)).cast(MONEY).alias("p")).unionAll(
-            gates.select((F.col("Price") * F.col("Cap").cast(VOLUME)).cast(MONEY))
-        )
-        bound = float(cost - (held.agg(F.sum("p")).first()[0] or Decimal(0)))
+        used, costs = choose(wanted, unit_costs(dist, inbound, sites, rate), sites)
+        terms = costs.unionAll(_held(plants, "Capacity")).unionAll(_held(gates, "Cap"))
+        bound = float(terms.agg(F.sum("Cost")).first()[0] or 0)
         best = max(bound, trace[-1][2]) if trace else bound
         stalled = len(trace) > 0 and gap > 0 and best - trace[-1][2] <= gap * abs(best)
         trace.append((k, bound, best))

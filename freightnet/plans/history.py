@@ -22,40 +22,47 @@ MASTER = ["MST", "MSTSetup", "MSTName", "MSTCity", "MSTState", "MSTZip", "MSTCou
 CHARGES = ["Miles", "Freight", "EstimatedFreight", "InvFrt", "ActualFreight", "PaidFlag"]
 
 
-def order_lines(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN) -> DataFrame:
-    """Invoiced order lines since the start of the year with part, pallet, freight and master ship-to.
+def order_headers(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN) -> DataFrame:
+    """Invoiced orders since the start of the year, with their freight record and master ship-to.
 
-    Filters sit on the header before the joins; the customer name and the site of the line must exist, so
-    those joins are inner, and the address match on domain is part of them.
+    The customer name must exist and not be a sample, so that join is inner.
     """
     header = erp["ih_hist_all"].where(
         (F.col("ih_domain") == domain)
         & (F.col("xxih__chr01") == INVOICED)
         & (F.col("ih_ship_date") >= year_start(as_of))
     )
-    detail = erp["idh_hist_all"].where(F.col("idh_site") != EXCLUDED_SITE)
     named = erp["cm_mstr_all"].where((F.col("cm_domain") == domain) & ~F.upper("cm_name").like(SAMPLE_NAME))
     address = erp["ad_mstr_all"].where(F.col("ad_domain") == domain)
     customers = address.join(named, F.col("ad_addr") == F.col("cm_addr")).select("ad_addr")
-
-    lines = (
-        header.join(customers, F.col("ih_ship") == F.col("ad_addr"))
-        .join(detail, (F.col("ih_domain") == F.col("idh_domain")) & (F.col("ih_nbr") == F.col("idh_nbr")))
-        .join(
-            erp["pt_mstr_all"],
-            (F.col("idh_domain") == F.col("pt_domain")) & (F.col("idh_part") == F.col("pt_part")),
-            "left",
-        )
-        .join(erp["Pallets"], (F.col("Part") == F.col("idh_part")) & (F.col("Site") == F.col("idh_site")), "left")
-    )
     paid = erp["Freight"].withColumnsRenamed({"ShipSite": "frt_site", "ShipDate": "frt_date"})
-    return lines.join(
-        paid,
+    charged = (
         (F.col("frt_site") == F.col("ih_site"))
         & (F.col("SalesOrderNo") == F.col("ih_nbr"))
-        & (F.col("frt_date") == F.col("ih_ship_date")),
-        "left",
-    ).join(erp["MasterShipTo"], F.col("ST") == F.col("ih_ship"), "left")
+        & (F.col("frt_date") == F.col("ih_ship_date"))
+    )
+    return (
+        header.join(customers, F.col("ih_ship") == F.col("ad_addr"))
+        .join(erp["MasterShipTo"], F.col("ST") == F.col("ih_ship"), "left")
+        .join(paid, charged, "left")
+    )
+
+
+def order_lines(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN) -> DataFrame:
+    """Order lines of those orders with part and pallet data.
+
+    Everything that hangs on the order is joined before the lines, at the smaller grain. Orders and lines
+    both grow with the data, so they meet in a merge join.
+    """
+    detail = erp["idh_hist_all"].where(F.col("idh_site") != EXCLUDED_SITE)
+    ordered = (F.col("ih_domain") == F.col("idh_domain")) & (F.col("ih_nbr") == F.col("idh_nbr"))
+    made = (F.col("idh_domain") == F.col("pt_domain")) & (F.col("idh_part") == F.col("pt_part"))
+    packed = (F.col("Part") == F.col("idh_part")) & (F.col("Site") == F.col("idh_site"))
+    return (
+        detail.join(order_headers(erp, as_of, domain).hint("merge"), ordered)
+        .join(erp["pt_mstr_all"], made, "left")
+        .join(erp["Pallets"], packed, "left")
+    )
 
 
 def grouped_history(lines: DataFrame) -> DataFrame:

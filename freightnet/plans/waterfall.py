@@ -97,7 +97,9 @@ def legs(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
 def shortfall(demand: DataFrame, plan: DataFrame) -> DataFrame:
     """Demand that the plan leaves unmet, per customer and product."""
     keys = [*CUSTOMER, PRODUCT]
-    wanted = total(demand, keys, "MUnits", "Wanted")
-    got = total(plan, keys, "MUnits", "Sent")
-    both = wanted.join(got, keys, "left").na.fill(0.0, ["Sent"])
-    return both.withColumn("Short", F.col("Wanted") - F.col("Sent")).where(F.col("Short") > 1e-9)
+    exact = F.col("MUnits").cast(VOLUME)
+    wanted = demand.groupBy(*keys).agg(F.sum(exact).alias("Wanted"))
+    got = plan.groupBy(*keys).agg(F.sum(exact).alias("Sent"))
+    both = wanted.join(got, keys, "left").withColumn("Sent", F.coalesce("Sent", F.lit(0).cast(VOLUME)))
+    short = both.withColumn("Short", F.col("Wanted") - F.col("Sent")).where(F.col("Short") > 0)
+    return short.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("Wanted", "Sent", "Short")])

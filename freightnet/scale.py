@@ -15,16 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names in spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="freightnet-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder of this application for intermediate tables, in the shared folder of spark.checkpoint.dir.
+
+    Nothing in it is needed once the application has ended. Only a local session without that setting
+    falls back to a folder of its own.
+    """
+    app = spark.sparkContext.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="freightnet-")
+        shared = _LOCAL_FOLDERS[app]
+    return f"{shared}/freightnet-{app}"
 
 
 def cut(df: DataFrame) -> DataFrame:
