@@ -14,15 +14,26 @@ from freightnet.sources.readers import coalesce_cost
 
 
 def clean(t: Tables, *cols: str) -> DataFrame:
-    """Cleaned history with the given columns besides those that cleaning needs."""
+    """Cleaned history with place and the given columns besides those that cleaning needs."""
     need = ["ShipSiteName", "MfgSiteName", "MSTCity", "MSTState", "MUnits"]
     return d.clean_history(t.history(*dict.fromkeys([*need, *cols])))
 
 
+def site_volume(t: Tables, *cols: str) -> DataFrame:
+    """Cleaned volume by plant, ship site and part columns, for sums that need no customer."""
+    return d.clean_history(t.volume("ShipSiteName", "MfgSiteName", *cols))
+
+
 def rooted(t: Tables, *cols: str) -> DataFrame:
     return d.root_product_key(clean(t, "PartType", *cols), t.roots())
 
 
+def plant_volume(t: Tables) -> DataFrame:
+    """Volume by plant and root product."""
+    made = t.volume("MfgSiteName", "PartType").na.drop(subset=["MfgSiteName"])
+    return d.root_product_key(made.withColumn("PTypeFix", lid_or_cup("PartType")), t.roots())
+
+
 def demand(t: Tables) -> DataFrame:
     """Volume by customer, place, terms and root product."""
     ship = rooted(t, "MSTName", "FrtTermsFix").withColumnRenamed("FrtTermsFix", "FTerms")
@@ -44,9 +55,7 @@ def supply(t: Tables) -> DataFrame:
     """Capacity at 1.2 x history by plant and root product; two plants do not make every product."""
     site, product = F.col("MfgSite"), F.col("RPType")
     lacks = ((site == "ASIA") & (product == "LARGE")) | ((site == "EUROPE") & (product == "S-A"))
-    made = t.history("MfgSiteName", "PartType", "MUnits").withColumn("PTypeFix", lid_or_cup("PartType"))
-    have = d.supply(d.root_product_key(made, t.roots()))
-    return have.where(~lacks).withColumn("Capacity", F.col("Capacity") * 6 / 5)
+    return d.supply(plant_volume(t)).where(~lacks).withColumn("Capacity", F.col("Capacity") * 6 / 5)
 
 
 def scarce(t: Tables) -> DataFrame:
@@ -58,8 +67,7 @@ def scarce(t: Tables) -> DataFrame:
 
 def caps(t: Tables) -> DataFrame:
     """Throughput cap per site at 1.2 x history."""
-    made = t.history("ShipSiteName", "MfgSiteName", "MUnits").where(F.col("MfgSiteName").isNotNull())
-    return made.groupBy(F.col("ShipSiteName").alias("ShipSite")).agg((F.sum("MUnits") * 6 / 5).alias("Cap"))
+    return site_volume(t).groupBy(F.col("ShipSiteName").alias("ShipSite")).agg((F.sum("MUnits") * 6 / 5).alias("Cap"))
 
 
 def rates(t: Tables) -> DataFrame:

@@ -55,12 +55,12 @@ def freight_by_rate(t):
   FROM (SELECT MfgSiteName, ShipSiteName, sum(MUnits) AS MUnits FROM clean GROUP BY ALL) LEFT JOIN rates ON Plant = MfgSiteName AND ShipSite = ShipSiteName"""),
 )
 def baseline_inter_site(t):
-    return cost.baseline_inter_site(c.clean(t), c.rates(t))
+    return cost.baseline_inter_site(c.site_volume(t), c.rates(t))
 
 
 @query("production_by_plant", "B14", with_views("SELECT MfgSiteName, sum(MUnits) AS MUnits FROM clean GROUP BY ALL"))
 def production_by_plant(t):
-    return cost.production_by_plant(c.clean(t))
+    return cost.production_by_plant(c.site_volume(t))
 
 
 @query(
@@ -103,7 +103,7 @@ def routes(t):
   JOIN (SELECT Plant, ShipSite, CASE WHEN Plant <> ShipSite AND ShipSite = 'ASIA' THEN 100 ELSE CostPerMUnit END AS c FROM rates) ON Plant = MfgSiteName AND ShipSite = ShipSiteName"""),
 )
 def inter_site_penalty(t):
-    return cost.baseline_inter_site(c.clean(t), cost.inter_site_cost(c.rates(t), 100.0, "ASIA"))
+    return cost.baseline_inter_site(c.site_volume(t), cost.inter_site_cost(c.rates(t), 100.0, "ASIA"))
 
 
 @query(
@@ -114,4 +114,4 @@ def inter_site_penalty(t):
   JOIN (SELECT Plant, ShipSite, CASE WHEN Plant <> ShipSite THEN 100 ELSE CostPerMUnit END AS c FROM rates) ON Plant = MfgSiteName AND ShipSite = ShipSiteName"""),
 )
 def inter_site_penalty_everywhere(t):
-    return cost.baseline_inter_site(c.clean(t), cost.inter_site_cost(c.rates(t), 100.0))
+    return cost.baseline_inter_site(c.site_volume(t), cost.inter_site_cost(c.rates(t), 100.0))

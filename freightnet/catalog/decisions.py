@@ -98,7 +98,7 @@ def open_site_scenarios_two_sites(t):
 )
 def balance_by_product(t):
     # One plant total per product, so that both engines add up in one way.
-    made = c.rooted(t).groupBy("RPType").agg((F.sum("MUnits") * 6 / 5).alias("Capacity"))
+    made = c.plant_volume(t).groupBy("RPType").agg((F.sum("MUnits") * 6 / 5).alias("Capacity"))
     return network.balance_check(made, c.demand(t))
 
 

@@ -41,7 +41,7 @@ def demand_by_city_geocoded(t):
 
 @query("supply_from_history", "B6 A1 F6 P4", with_views("SELECT MfgSiteName AS MfgSite, RPType, sum(MUnits) AS Capacity FROM rooted GROUP BY ALL"))
 def supply_from_history(t):
-    return d.supply(c.rooted(t))
+    return d.supply(c.plant_volume(t))
 
 
 @query(
@@ -60,7 +60,7 @@ def supply_from_capacity_sheet(t):
     with_views("SELECT PTypeFix, PartType, RootPartType, RPType, sum(MUnits) AS MUnits FROM rooted JOIN root_key USING (PartType) GROUP BY ALL").replace("PartType, RootPartType, RPType, sum", "PartType, root_key.RootPartType, RPType, sum"),
 )
 def root_products(t):
-    return op.total(c.rooted(t), ["PTypeFix", "PartType", "RootPartType", "RPType"], "MUnits")
+    return op.total(c.plant_volume(t), ["PTypeFix", "PartType", "RootPartType", "RPType"], "MUnits")
 
 
 @query(

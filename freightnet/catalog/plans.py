@@ -55,7 +55,7 @@ def plan_lane_summary(t):
     with_views("SELECT MfgSiteName AS MfgSite, ShipSiteName AS ShipSite, sum(MUnits) AS MUnits FROM clean WHERE MfgSiteName <> ShipSiteName GROUP BY ALL"),
 )
 def inter_site_lane_summary(t):
-    moved = c.clean(t).where(F.col("MfgSiteName") != F.col("ShipSiteName"))
+    moved = c.site_volume(t).where(F.col("MfgSiteName") != F.col("ShipSiteName"))
     return report.inter_site_lanes(moved.withColumnsRenamed({"MfgSiteName": "MfgSite", "ShipSiteName": "ShipSite"}))
 
 
@@ -97,7 +97,7 @@ def lane_lines(t):
   FROM (SELECT MfgSiteName AS MfgSite, ShipSiteName AS ShipSite, sum(MUnits) AS MUnits FROM clean GROUP BY ALL) LEFT JOIN fac a ON a.Name = MfgSite LEFT JOIN fac b ON b.Name = ShipSite"""),
 )
 def inter_site_lines(t):
-    rows = c.clean(t).withColumnsRenamed({"ShipSiteName": "ShipSite", "MfgSiteName": "MfgSite"})
+    rows = c.site_volume(t).withColumnsRenamed({"ShipSiteName": "ShipSite", "MfgSiteName": "MfgSite"})
     return report.inter_site_lines(report.inter_site_lanes(rows), t.facilities())
 
 
@@ -106,7 +106,7 @@ BASE = """SELECT MfgSiteName, ShipSiteName, MUnits, CostPerMUnit, MUnits * CostP
 
 
 def _inter_site(t):
-    rows = cost.baseline_inter_site(c.clean(t), c.rates(t))
+    rows = cost.baseline_inter_site(c.site_volume(t), c.rates(t))
     return rows.withColumn("Freight", F.col("Freight").cast("double"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from freightnet.catalog import query
-from freightnet.catalog.common import clean, rates
+from freightnet.catalog.common import clean, rates, site_volume
 from freightnet.catalog.views import with_views
 from freightnet.functions import scalar as s
 from freightnet.operators import quality as ql
@@ -75,7 +75,7 @@ def dest_centroids(t):
     with_views("""SELECT Name, Latitude, Longitude, sum(MUnits) AS MUnits FROM hist JOIN fac ON Name = ShipSiteName GROUP BY ALL"""),
 )
 def volume_by_facility(t):
-    sums = op.total(t.history("ShipSiteName", "MUnits"), ["ShipSiteName"], "MUnits")
+    sums = op.total(t.volume("ShipSiteName"), ["ShipSiteName"], "MUnits")
     return op.lookup(sums.withColumnRenamed("ShipSiteName", "Name"), t.facilities().select("Name", "Latitude", "Longitude"), {"Name": "Name"}, "inner").select("Name", "Latitude", "Longitude", "MUnits")
 
 
@@ -86,7 +86,7 @@ def volume_by_facility(t):
   JOIN rates ON Plant = MfgSiteName AND ShipSite = ShipSiteName"""),
 )
 def inter_site_rates_used(t):
-    pairs = clean(t).select(F.col("MfgSiteName").alias("Plant"), F.col("ShipSiteName").alias("ShipSite")).distinct()
+    pairs = site_volume(t).select(F.col("MfgSiteName").alias("Plant"), F.col("ShipSiteName").alias("ShipSite")).distinct()
     return pairs.join(rates(t), ["Plant", "ShipSite"])
 
 
@@ -159,7 +159,7 @@ def network_json_lanes(t):
     with_views("SELECT sum(MUnits) AS MUnits, printf('%,d', CAST(sum(MUnits) AS BIGINT)) AS Text FROM hist WHERE ShipSiteName <> 'MIDDLE EAST'"),
 )
 def third_party_excluded(t):
-    kept = op.own_sites(t.history("ShipSiteName", "MUnits"), third_party=["MIDDLE EAST"])
+    kept = op.own_sites(t.volume("ShipSiteName"), third_party=["MIDDLE EAST"])
     return kept.agg(F.sum("MUnits").alias("MUnits")).withColumn("Text", s.thousands("MUnits"))
 
 
@@ -213,7 +213,7 @@ def column_span(t):
     with_views("SELECT PTypeFix, PartType, sum(MUnits) AS MUnits FROM hist GROUP BY ALL"),
 )
 def lid_cup_volume(t):
-    rows = t.history("PartType", "MUnits").withColumn("PTypeFix", s.lid_or_cup("PartType"))
+    rows = t.volume("PartType").withColumn("PTypeFix", s.lid_or_cup("PartType"))
     return op.total(rows, ["PTypeFix", "PartType"], "MUnits")
 
 
@@ -223,7 +223,7 @@ def lid_cup_volume(t):
     with_views("SELECT replace(replace(PartType, 'SMALL', 'LARGE'), 'PROMO', 'LARGE-P') AS PartType, sum(MUnits) AS MUnits FROM hist GROUP BY 1"),
 )
 def part_substitution(t):
-    swapped = t.history("PartType", "MUnits").withColumn("PartType", s.substituted("PartType", {"SMALL": "LARGE", "PROMO": "LARGE-P"}))
+    swapped = t.volume("PartType").withColumn("PartType", s.substituted("PartType", {"SMALL": "LARGE", "PROMO": "LARGE-P"}))
     return op.total(swapped, ["PartType"], "MUnits")
 
 
@@ -369,7 +369,7 @@ def products_per_customer(t):
     with_views("SELECT PrintGroup, PartType, string_agg(DISTINCT MfgSiteName, ',' ORDER BY MfgSiteName) AS Origins FROM clean GROUP BY ALL"),
 )
 def origins_per_product(t):
-    rows = t.history("PrintGroup", "PartType", "MfgSiteName").na.drop()
+    rows = t.volume("PrintGroup", "PartType", "MfgSiteName").na.drop()
     return op.distinct_lists(rows, ["PrintGroup", "PartType"], "MfgSiteName", "Origins")
 
 
@@ -402,7 +402,7 @@ def demand_grid_zero_filled(t):
     ),
 )
 def months_transposed(t):
-    rows = t.history("ShipSiteName", "PartType", "MUnits")
+    rows = t.volume("ShipSiteName", "PartType")
     cells = [F.sum(F.when(F.col("PartType") == p, F.col("MUnits"))).alias(p) for p in PART_TYPES]
     by_site = rows.groupBy("ShipSiteName").agg(*cells)
     return op.transpose(by_site, "ShipSiteName", SITES, "PartType")
@@ -488,9 +488,9 @@ def noise_free_rows(t):
     with_views("""SELECT MfgSite, MSTName, Loc, FTerms, RPType, least(Capacity, MUnits) AS Most FROM demand JOIN supply USING (RPType)"""),
 )
 def link_limits(t):
-    from freightnet.catalog.common import demand, supply
+    from freightnet.catalog.common import demand, kept_supply
 
-    both = demand(t).join(supply(t), "RPType")
+    both = demand(t).join(kept_supply(t), "RPType")
     return both.select("MfgSite", "MSTName", "Loc", "FTerms", "RPType", s.link_limit("Capacity", "MUnits").alias("Most"))
 
 

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import lid_or_cup, number, place
 from freightnet.operators.tables import THIRD_PARTY_SITES, first_per_key, keep_known, lengthen, lookup, own_sites, total
+from freightnet.scale import cut
 
 
 def clean_history(ship: DataFrame, third_party: Sequence[str] = THIRD_PARTY_SITES) -> DataFrame:
-    """History of own sites with a known plant, with Loc and the lid/cup class."""
+    """History of own sites with a known plant; Loc and the lid/cup class where their columns are there."""
     kept = own_sites(ship.na.drop(subset=["MfgSiteName"]), "ShipSiteName", third_party)
-    out = kept.withColumn("Loc", place("MSTCity", "MSTState"))
-    return out.withColumn("PTypeFix", lid_or_cup("PartType")) if "PartType" in ship.columns else out
+    if "MSTCity" in ship.columns:
+        kept = kept.withColumn("Loc", place("MSTCity", "MSTState"))
+    return kept.withColumn("PTypeFix", lid_or_cup("PartType")) if "PartType" in ship.columns else kept
 
 
 def root_product_key(ship: DataFrame, roots: DataFrame) -> DataFrame:
-    """RPType: the part type for lids, its root part type for cups. Parts without a root are dropped."""
+    """RPType: the part type for lids, its root part type for cups. Parts without a root are dropped.
+
+    The list of roots, one row per part type, is written first: its true size then decides the join, and a
+    short list never makes the history move.
+    """
     named = roots.select(F.col("`Part Type`").alias("PartType"), F.col("`Root Part Type`").alias("RootPartType"))
-    one = first_per_key(named, "PartType", "RootPartType")
+    one = cut(first_per_key(named, "PartType", "RootPartType"))
     joined = lookup(ship, one, {"PartType": "PartType"}, "inner")
     return joined.withColumn(
         "RPType", F.when(F.col("PTypeFix") == "LID", F.col("PartType")).otherwise(F.col("RootPartType"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import RATE, flows, freight, lane_rate
 from freightnet.operators.tables import lookup, total
+from freightnet.scale import cut
 from freightnet.schemas import MONEY, VOLUME
 
 CUSTOMER = ["MSTName", "Loc", "FTerms"]
@@ -49,13 +50,14 @@ def cheapest_inbound(supply: DataFrame, rates: DataFrame) -> DataFrame:
 def unit_costs(dist: DataFrame, inbound: DataFrame, sites: Sequence[str], rate: Decimal = RATE) -> DataFrame:
     """One row per place and product, one unit cost per site (lane plus inbound), NULL where no way leads.
 
-    The size is places x products; it does not grow with customers.
+    The size is places x products; it does not grow with customers. Written, so that this true size decides
+    the join with the demand.
     """
     lanes = dist.select(F.col("Orig").alias("ShipSite"), "Dest", lane_rate("Miles", rate).alias("Lane"))
     both = lanes.join(inbound.select("ShipSite", PRODUCT, "Inbound"), "ShipSite")
     cost = (F.col("Lane") + F.col("Inbound")).cast("decimal(18,8)")
     cells = [F.min(F.when(F.col("ShipSite") == s, cost)).alias(f"u{i}") for i, s in enumerate(sites)]
-    return both.groupBy("Dest", PRODUCT).agg(*cells)
+    return cut(both.groupBy("Dest", PRODUCT).agg(*cells))
 
 
 def option_costs(demand: DataFrame, units: DataFrame, options: Sequence[Sequence[int]]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import RATE, lane_rate
@@ -17,13 +17,15 @@ ROWS_PER_CELL = 10_000
 
 
 def cheapest_routes(dist: DataFrame, rates: DataFrame, rate: Decimal = RATE) -> DataFrame:
-    """Cheapest site between each plant and place, ties to the first name."""
+    """Cheapest site between each plant and place, ties to the first name; a small written table."""
     lanes = dist.select(F.col("Orig").alias("ShipSite"), "Dest", lane_rate("Miles", rate).alias("Lane"))
     moves = rates.select(F.col("Plant").alias("MfgSite"), "ShipSite", F.col("CostPerMUnit").cast(MONEY).alias("Inbound"))
     both = lanes.join(moves, "ShipSite").withColumn("UnitCost", (F.col("Lane") + F.col("Inbound")).cast("decimal(18,8)"))
     best = both.where(F.col("UnitCost").isNotNull()).groupBy("MfgSite", "Dest")
-    return best.agg(F.min(F.struct("UnitCost", "ShipSite")).alias("best")).select(
-        "MfgSite", "Dest", "best.ShipSite", "best.UnitCost"
+    return cut(
+        best.agg(F.min(F.struct("UnitCost", "ShipSite")).alias("best")).select(
+            "MfgSite", "Dest", "best.ShipSite", "best.UnitCost"
+        )
     )
 
 
@@ -50,21 +52,21 @@ def overlaps(wanted: DataFrame, have: DataFrame, rows_per_cell: int = ROWS_PER_C
     touch and meet on (product, cell), so no product is joined in one piece and no pair outside a shared
     cell is formed. A pair that shares several cells is kept in the cell where it begins.
     """
-    size = wanted.groupBy(PRODUCT).agg(
-        (F.max("d1").cast("double") / F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell))).alias("Width")
+    cells = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell))
+    # One row per product, written so that its true size decides the joins.
+    ends = cut(
+        wanted.groupBy(PRODUCT).agg(F.max("d1").alias("End"), (F.max("d1").cast("double") / cells).alias("Width"))
     )
 
-    def cell(x):
+    def cell(x: Column) -> Column:
         return F.floor(x.cast("double") / F.col("Width"))
 
     def celled(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        with_width = df.join(size, PRODUCT)
-        return with_width.withColumn("Cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))
+        return df.withColumn("Cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))
 
-    last = wanted.groupBy(PRODUCT).agg(F.max("d1").alias("End"))
-    useful = have.join(last, PRODUCT).where(F.col("s0") < F.col("End")).withColumn("s1", F.least("s1", "End"))
-    left = celled(wanted, "d0", "d1")
-    right = celled(useful.drop("End"), "s0", "s1").drop("Width")
+    useful = have.join(ends, PRODUCT).where(F.col("s0") < F.col("End")).withColumn("s1", F.least("s1", "End"))
+    left = celled(wanted.join(ends.drop("End"), PRODUCT), "d0", "d1")
+    right = celled(useful, "s0", "s1").drop("Width", "End")
     start, end = F.greatest("d0", "s0"), F.least("d1", "s1")
     met = left.join(right, [PRODUCT, "Cell"]).where((start < end) & (cell(start) == F.col("Cell")))
     return met.withColumn("MUnits", (end - start).cast(VOLUME))

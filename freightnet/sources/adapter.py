@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 SITES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
 
+
+
+def site_name(key: str) -> str:
+    """Name of a site by key. The sites are a short fixed list, so no join is needed."""
+    names = ", ".join(f"'{s}'" for s in SITES)
+    return f"element_at(array({names}), CAST({key} AS INT) + 1)"
+
+
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -39,7 +47,7 @@ HISTORY = {
     "ShipMonth": "year(l_shipdate) * 100 + month(l_shipdate)",
     "OrderMonth": "date_format(o_orderdate, 'yyyyMM')",
     "ShipSiteName": "home_site",
-    "MfgSiteName": "CASE WHEN l_partkey % 97 != 0 THEN maker END",
+    "MfgSiteName": f"CASE WHEN l_partkey % 97 != 0 THEN {site_name('l_partkey % 5')} END",
     "MST": "CAST(o_custkey AS STRING)",
     "MSTName": "c_name",
     "FrtTermsFix": "CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3') THEN 'PPD' ELSE 'CPU' END",
@@ -64,6 +72,12 @@ def cached(view: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     return once
 
 
+def _to_sites(df: DataFrame) -> DataFrame:
+    """Each row once per site, without a cross join."""
+    spread = df.selectExpr("*", "explode(sequence(0, 4)) AS site_key")
+    return spread.selectExpr("*", f"{site_name('site_key')} AS site")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -79,13 +93,29 @@ class Tables:
     @cached
     def places(self) -> DataFrame:
         """(nation, MSTCity, MSTState, home_site) of every nation."""
-        return self.nation.join(self.region, F.expr("n_regionkey = r_regionkey")).selectExpr(
-            "n_nationkey AS nation", "n_name AS MSTCity", "left(r_name, 2) AS MSTState", "r_name AS home_site"
+        home = site_name("n_regionkey")
+        return self.nation.selectExpr(
+            "n_nationkey AS nation", "n_name AS MSTCity", f"left({home}, 2) AS MSTState", f"{home} AS home_site"
         )
 
     def history(self, *cols: str) -> DataFrame:
+        """Shipment rows with the wanted columns."""
+        return self._described(self.lineitem, cols)
+
+    def volume(self, *cols: str) -> DataFrame:
+        """Shipped MUnits for columns that hang on part, plant or ship site only.
+
+        The lines are added up by part and supplier key before those tables are joined, so that the joins
+        see a row per key instead of a row per line.
+        """
+        need = set(cols)
+        keys = ["l_partkey"] if need & (PART_COLS | {"MfgSiteName", "l_partkey"}) else []
+        keys += ["l_suppkey"] if "ShipSiteName" in need else []
+        sums = self.lineitem.groupBy(*keys).agg(F.sum("l_quantity").alias("l_quantity"))
+        return self._described(sums, (*cols, "MUnits"))
+
+    def _described(self, df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
         need = set(cols)
-        df = self.lineitem
         if need & ORDER_COLS:
             # Customers meet the orders, not the lines: the lines are shuffled by order key only.
             header = self.orders
@@ -100,20 +130,12 @@ class Tables:
             # One join after the other, so that each table is judged by its own size.
             homes = self.places().selectExpr("nation AS home", "home_site")
             df = df.join(self.supplier, F.expr("l_suppkey = s_suppkey")).join(homes, F.expr("s_nationkey = home"))
-        if "MfgSiteName" in need:
-            makers = self.region.selectExpr("r_regionkey AS maker_key", "r_name AS maker")
-            df = df.join(makers, F.expr("l_partkey % 5 = maker_key"))
         return df.selectExpr(*[f"{HISTORY.get(c, c)} AS {c}" for c in cols])
 
-    def _to_sites(self, df: DataFrame) -> DataFrame:
-        """Each row once per site, without a cross join: the site keys are known."""
-        sites = self.region.selectExpr("r_regionkey AS site_key", "r_name AS site")
-        return df.selectExpr("*", "explode(sequence(0, 4)) AS site_key").join(sites, "site_key")
-
     @cached
     def distances(self) -> DataFrame:
         """(Orig, Dest, Miles) from every site to every place but one."""
-        return self._to_sites(self.places().where("nation != 24")).selectExpr(
+        return _to_sites(self.places().where("nation != 24")).selectExpr(
             "site AS Orig",
             "concat(MSTCity, ', ', MSTState) AS Dest",
             "CAST(100 + 37 * ((site_key * 25 + nation) % 29) AS DOUBLE) AS Miles",
@@ -121,7 +143,7 @@ class Tables:
 
     def raw_distances(self) -> DataFrame:
         """Distance sheet with one destination per customer, off-network ones and gaps included."""
-        rows = self._to_sites(self.customer.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
+        rows = _to_sites(self.customer.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
             "site AS `or.City`",
             "left(site, 2) AS `or.State`",
             "CASE WHEN c_custkey % 62 = 0 THEN 'GNANGARA' ELSE c_name END AS `de.City`",
@@ -154,7 +176,7 @@ class Tables:
     @cached
     def inter_site_rates(self) -> DataFrame:
         """(Plant, ShipSite, CostPerMUnit, CostPerM): the sheet uses either cost name."""
-        return self._to_sites(self.region.selectExpr("r_regionkey AS pk", "r_name AS Plant")).selectExpr(
+        return _to_sites(self.region.selectExpr("r_regionkey AS pk", "r_name AS Plant")).selectExpr(
             "Plant",
             "site AS ShipSite",
             "CASE WHEN (pk + site_key) % 2 = 0 THEN abs(pk - site_key) * 1.25D END AS CostPerMUnit",
@@ -187,7 +209,7 @@ class Tables:
 
     def capacity_sheet(self) -> DataFrame:
         """1.2 x history by plant, print group and part; a few empty and zero rows."""
-        rows = self.history("l_partkey", "MfgSiteName", "PrintGroup", "PartType", "MUnits")
+        rows = self.volume("l_partkey", "MfgSiteName", "PrintGroup", "PartType")
         sums = rows.groupBy("MfgSiteName", "PrintGroup", "PartType").agg(
             F.expr("CASE WHEN max(l_partkey) % 13 != 0 THEN sum(MUnits) * 6 / 5 ELSE 0D END").alias("OLMUnits")
         )
