@@ -24,14 +24,19 @@ def site_volume(t: Tables, *cols: str) -> DataFrame:
     return d.clean_history(t.volume("ShipSiteName", "MfgSiteName", *cols))
 
 
+@cached
+def root_list(t: Tables) -> DataFrame:
+    return d.root_list(t.roots())
+
+
 def rooted(t: Tables, *cols: str) -> DataFrame:
-    return d.root_product_key(clean(t, "PartType", *cols), t.roots())
+    return d.root_product_key(clean(t, "PartType", *cols), root_list(t))
 
 
 def plant_volume(t: Tables) -> DataFrame:
     """Volume by plant and root product."""
     made = t.volume("MfgSiteName", "PartType").na.drop(subset=["MfgSiteName"])
-    return d.root_product_key(made.withColumn("PTypeFix", lid_or_cup("PartType")), t.roots())
+    return d.root_product_key(made.withColumn("PTypeFix", lid_or_cup("PartType")), root_list(t))
 
 
 def demand(t: Tables) -> DataFrame:

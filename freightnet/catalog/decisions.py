@@ -174,8 +174,22 @@ def single_source_check(t):
     return check.check_plan(cut(out), cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), **rules)
 
 
-def _bound_sql(iterations: int, step: float) -> str:
-    """The price steps written out one after the other."""
+def _split_sql(k: int) -> str:
+    return f"""c{k} AS (SELECT Loc, wanted.RPType, MUnits, ShipSite, MfgSite, CAST(Miles * 0.00615 AS DECIMAL(18, 8)) + Inbound AS Unit
+      FROM wanted JOIN dist ON Dest = Loc JOIN i{k} ON i{k}.ShipSite = Orig AND i{k}.RPType = wanted.RPType
+      QUALIFY row_number() OVER (PARTITION BY Loc, wanted.RPType ORDER BY Unit, ShipSite) = 1)"""
+
+
+def _whole_sql(k: int) -> str:
+    return f"""t{k} AS (SELECT MSTName, Loc, FTerms, demand.RPType, MUnits, ShipSite, MfgSite, CAST(Miles * 0.00615 AS DECIMAL(18, 8)) + Inbound AS Unit
+      FROM demand JOIN dist ON Dest = Loc JOIN i{k} ON i{k}.ShipSite = Orig AND i{k}.RPType = demand.RPType),
+    a{k} AS (SELECT * FROM (SELECT MSTName, Loc, FTerms, ShipSite, sum(CAST(MUnits AS DECIMAL(18, 0)) * Unit) AS Cost FROM t{k} GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY MSTName, Loc, FTerms ORDER BY Cost, ShipSite) = 1),
+    c{k} AS (SELECT t{k}.* FROM t{k} JOIN a{k} USING (MSTName, Loc, FTerms, ShipSite))"""
+
+
+def _bound_sql(iterations: int, step: float, whole: bool = False) -> str:
+    """The price steps written out one after the other; ``whole`` gives every customer one site."""
     parts = [
         "wanted AS (SELECT Loc, RPType, sum(MUnits) AS MUnits FROM demand GROUP BY ALL)",
         "p0 AS (SELECT MfgSite, RPType, Capacity, CAST(0 AS DECIMAL(18, 8)) AS Price FROM scarce)",
@@ -187,9 +201,7 @@ def _bound_sql(iterations: int, step: float) -> str:
             f"""i{k} AS (SELECT rates.ShipSite, RPType, MfgSite, CAST(CostPerMUnit AS DECIMAL(18, 8)) + p{o}.Price + coalesce(g{o}.Price, 0) AS Inbound
                 FROM p{o} JOIN rates ON Plant = MfgSite LEFT JOIN g{o} ON g{o}.ShipSite = rates.ShipSite
                 QUALIFY row_number() OVER (PARTITION BY rates.ShipSite, RPType ORDER BY Inbound, MfgSite) = 1)""",
-            f"""c{k} AS (SELECT Loc, wanted.RPType, MUnits, ShipSite, MfgSite, CAST(Miles * 0.00615 AS DECIMAL(18, 8)) + Inbound AS Unit
-                FROM wanted JOIN dist ON Dest = Loc JOIN i{k} ON i{k}.ShipSite = Orig AND i{k}.RPType = wanted.RPType
-                QUALIFY row_number() OVER (PARTITION BY Loc, wanted.RPType ORDER BY Unit, ShipSite) = 1)""",
+            _whole_sql(k) if whole else _split_sql(k),
             f"""b{k} AS (SELECT CAST((SELECT sum(CAST(MUnits AS DECIMAL(18, 0)) * Unit) FROM c{k}) AS DOUBLE)
                  - CAST((SELECT sum(CAST(Capacity AS DECIMAL(18, 2)) * Price) FROM p{o}) AS DOUBLE)
                  - CAST((SELECT sum(CAST(Cap AS DECIMAL(18, 2)) * Price) FROM g{o}) AS DOUBLE) AS Bound)""",
@@ -209,7 +221,7 @@ def price_bound(t):
     return found.as_table().select("Iteration", F.round("Bound", 3).alias("Bound"), F.round("Best", 3).alias("Best"))
 
 
-@query("price_bound_single_source", "N5")
+@query("price_bound_single_source", "N5", with_views(_bound_sql(2, 2.0, whole=True)))
 def price_bound_single_source(t):
     found = bound.price_bound(
         c.demand(t), c.scarce(t), t.distances(), c.rates(t), SITES, c.caps(t), iterations=2, step=2.0, single_source=True

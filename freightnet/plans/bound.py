@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from freightnet.functions.scalar import RATE
 from freightnet.operators.tables import keep_known, lookup, total
 from freightnet.plans.network import CUSTOMER, PRODUCT, inbound_options, single_source_assign, unit_costs
-from freightnet.scale import cut
+from freightnet.scale import cut, null_safe_join
 from freightnet.schemas import MONEY, VOLUME
 
 PRICE = "decimal(18,8)"
@@ -23,18 +23,37 @@ class Bound:
     """Bound per step, and the prices after the last one. Prices approximate the shadow prices."""
 
     trace: list[tuple[int, float, float]]
-    plant_prices: DataFrame
-    site_prices: DataFrame
+    limits: DataFrame
+
+    @property
+    def plant_prices(self) -> DataFrame:
+        return self.limits.where(F.col("MfgSite").isNotNull()).select("MfgSite", PRODUCT, "Price")
+
+    @property
+    def site_prices(self) -> DataFrame:
+        return self.limits.where(F.col("ShipSite").isNotNull()).select("ShipSite", "Price")
 
     def as_table(self) -> DataFrame:
-        spark = self.plant_prices.sparkSession
-        return spark.createDataFrame(self.trace, "Iteration INT, Bound DOUBLE, Best DOUBLE")
+        return self.limits.sparkSession.createDataFrame(self.trace, "Iteration INT, Bound DOUBLE, Best DOUBLE")
+
 
+def _limits(supply: DataFrame, caps: DataFrame | None) -> DataFrame:
+    """One row per limit, unpriced: supply of a plant and product, and throughput of a site."""
+    none = F.lit(None).cast("string")
+    free = F.lit(0).cast(PRICE).alias("Price")
+    have = total(supply.where(F.col("Capacity") > 0), ["MfgSite", PRODUCT], "Capacity")
+    rows = have.select("MfgSite", none.alias("ShipSite"), PRODUCT, F.col("Capacity").alias("Limit"), free)
+    if caps is not None:
+        gates = caps.select(none.alias("MfgSite"), "ShipSite", none.alias(PRODUCT), F.col("Cap").alias("Limit"), free)
+        rows = rows.unionByName(gates)
+    return cut(rows)
 
-def _priced_inbound(options: DataFrame, plants: DataFrame, sites: DataFrame) -> DataFrame:
+
+def _priced_inbound(options: DataFrame, limits: DataFrame) -> DataFrame:
     """Cheapest plant per site and product once supply and throughput carry their prices."""
-    priced = options.join(plants.select("MfgSite", PRODUCT, F.col("Price").alias("u")), ["MfgSite", PRODUCT])
-    priced = priced.join(sites.select("ShipSite", F.col("Price").alias("v")), "ShipSite", "left")
+    plants = limits.where(F.col("MfgSite").isNotNull()).select("MfgSite", PRODUCT, F.col("Price").alias("u"))
+    gates = limits.where(F.col("ShipSite").isNotNull()).select("ShipSite", F.col("Price").alias("v"))
+    priced = options.join(plants, ["MfgSite", PRODUCT]).join(gates, "ShipSite", "left")
     cost = (F.col("Inbound") + F.col("u") + F.coalesce("v", F.lit(0))).cast(PRICE)
     best = priced.groupBy("ShipSite", PRODUCT).agg(F.min(F.struct(cost.alias("Inbound"), "MfgSite")).alias("best"))
     return best.select("ShipSite", PRODUCT, "best.MfgSite", "best.Inbound")
@@ -64,18 +83,19 @@ def _whole_choice(wanted: DataFrame, units: DataFrame, sites: Sequence[str]) ->
     return cut(used), assigned.select("Cost")
 
 
-def _held(table: DataFrame, limit: str) -> DataFrame:
-    """What the prices would earn if every limit were used up, as negative cost."""
-    return table.select((-F.col("Price") * F.col(limit).cast(VOLUME)).cast(MONEY).alias("Cost"))
-
-
-def _step(table: DataFrame, used: DataFrame, keys: list[str], limit: str, step: float) -> DataFrame:
+def _step(limits: DataFrame, used: DataFrame, inbound: DataFrame, step: float) -> DataFrame:
     """Prices rise where use exceeds the limit and fall, never below zero, where it does not."""
-    joined = table.join(total(used, keys, "MUnits", "Used"), keys, "left").na.fill(0.0, ["Used"])
-    gap = F.try_divide(F.col("Used") - F.col(limit), F.greatest("Used", limit))
+    none = F.lit(None).cast("string")
+    sourced = used.join(inbound.select("ShipSite", PRODUCT, "MfgSite"), ["ShipSite", PRODUCT])
+    by_plant = sourced.select("MfgSite", none.alias("ShipSite"), PRODUCT, "MUnits")
+    by_gate = used.select(none.alias("MfgSite"), "ShipSite", none.alias(PRODUCT), "MUnits")
+    keys = ["MfgSite", "ShipSite", PRODUCT]
+    sums = total(by_plant.unionByName(by_gate), keys, "MUnits", "Used")
+    joined = null_safe_join(limits, sums, keys, "left").na.fill(0.0, ["Used"])
+    gap = F.try_divide(F.col("Used") - F.col("Limit"), F.greatest("Used", "Limit"))
     moved = F.col("Price").cast("double") + F.lit(step) * F.coalesce(gap, F.lit(0.0))
     # Rounded once and used in this rounded form on both sides, so the bound holds for these very prices.
-    return joined.withColumn("Price", F.greatest(F.round(moved, 6), F.lit(0.0)).cast(PRICE)).drop("Used")
+    return cut(joined.withColumn("Price", F.greatest(F.round(moved, 6), F.lit(0.0)).cast(PRICE)).drop("Used"))
 
 
 def price_bound(
@@ -99,28 +119,21 @@ def price_bound(
     Stops early when a step improves the best bound by a share of no more than ``gap``.
     """
     reachable = keep_known(demand, dist, {"Loc": "Dest"})
-    grain = [*CUSTOMER, PRODUCT] if single_source else ["Loc", PRODUCT]
-    wanted = cut(total(reachable, grain, "MUnits"))
+    wanted = cut(total(reachable, [*CUSTOMER, PRODUCT] if single_source else ["Loc", PRODUCT], "MUnits"))
     choose = _whole_choice if single_source else _split_choice
     options = cut(inbound_options(supply, rates))
-    zero = F.lit(0).cast(PRICE)
-    plants = cut(total(supply.where(F.col("Capacity") > 0), ["MfgSite", PRODUCT], "Capacity").withColumn("Price", zero))
-    if caps is None:
-        caps = options.sparkSession.createDataFrame([], "ShipSite STRING, Cap DOUBLE")
-    gates = cut(caps.select("ShipSite", "Cap").withColumn("Price", zero))
+    limits = _limits(supply, caps)
 
     trace: list[tuple[int, float, float]] = []
     for k in range(1, iterations + 1):
-        inbound = cut(_priced_inbound(options, plants, gates))
+        inbound = _priced_inbound(options, limits)
         used, costs = choose(wanted, unit_costs(dist, inbound, sites, rate), sites)
-        terms = costs.unionAll(_held(plants, "Capacity")).unionAll(_held(gates, "Cap"))
-        bound = float(terms.agg(F.sum("Cost")).first()[0] or 0)
+        held = limits.select((-F.col("Price") * F.col("Limit").cast(VOLUME)).cast(MONEY).alias("Cost"))
+        bound = float(costs.unionAll(held).agg(F.sum("Cost")).first()[0] or 0)
         best = max(bound, trace[-1][2]) if trace else bound
         stalled = len(trace) > 0 and gap > 0 and best - trace[-1][2] <= gap * abs(best)
         trace.append((k, bound, best))
         if stalled:
             break
-        sourced = used.join(inbound.select("ShipSite", PRODUCT, "MfgSite"), ["ShipSite", PRODUCT])
-        plants = cut(_step(plants, sourced, ["MfgSite", PRODUCT], "Capacity", step / k))
-        gates = cut(_step(gates, used, ["ShipSite"], "Cap", step / k))
-    return Bound(trace, plants, gates)
+        limits = _step(limits, used, inbound, step / k)
+    return Bound(trace, limits)

@@ -20,15 +20,18 @@ def clean_history(ship: DataFrame, third_party: Sequence[str] = THIRD_PARTY_SITE
     return kept.withColumn("PTypeFix", lid_or_cup("PartType")) if "PartType" in ship.columns else kept
 
 
-def root_product_key(ship: DataFrame, roots: DataFrame) -> DataFrame:
-    """RPType: the part type for lids, its root part type for cups. Parts without a root are dropped.
+def root_list(roots: DataFrame) -> DataFrame:
+    """(PartType, RootPartType), one row per part type, from the sheet of root part types.
 
-    The list of roots, one row per part type, is written first: its true size then decides the join, and a
-    short list never makes the history move.
+    Written, so that its true size decides later joins: a short list never makes the history move.
     """
     named = roots.select(F.col("`Part Type`").alias("PartType"), F.col("`Root Part Type`").alias("RootPartType"))
-    one = cut(first_per_key(named, "PartType", "RootPartType"))
-    joined = lookup(ship, one, {"PartType": "PartType"}, "inner")
+    return cut(first_per_key(named.distinct(), "PartType", "RootPartType"))
+
+
+def root_product_key(ship: DataFrame, roots: DataFrame) -> DataFrame:
+    """RPType: the part type for lids, its root part type for cups. Parts without a root are dropped."""
+    joined = lookup(ship, roots, {"PartType": "PartType"}, "inner")
     return joined.withColumn(
         "RPType", F.when(F.col("PTypeFix") == "LID", F.col("PartType")).otherwise(F.col("RootPartType"))
     )
