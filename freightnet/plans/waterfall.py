@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freightnet.functions.scalar import RATE, lane_rate
 from freightnet.operators.tables import lookup, total
 from freightnet.plans.network import CUSTOMER, PRODUCT
-from freightnet.scale import cut, running_total
+from freightnet.scale import cut, running_total, slice_rows
 from freightnet.schemas import MONEY, VOLUME
 
 ROWS_PER_CELL = 10_000
@@ -29,11 +29,20 @@ def cheapest_routes(dist: DataFrame, rates: DataFrame, rate: Decimal = RATE) ->
     )
 
 
-def demand_intervals(demand: DataFrame) -> DataFrame:
-    """Each customer's volume as an interval on the running total of its product, written once."""
+def demand_slices(demand: DataFrame) -> DataFrame:
+    """Exact volume per customer and product, sliced for the running total of each product."""
     wanted = total(demand, [*CUSTOMER, PRODUCT], "MUnits").where(F.col("MUnits") > 0)
-    exact = wanted.withColumn("MUnits", F.col("MUnits").cast(VOLUME))
-    return cut(running_total(exact, [PRODUCT], CUSTOMER, "MUnits", "d0", "d1"))
+    return slice_rows(wanted.withColumn("MUnits", F.col("MUnits").cast(VOLUME)), [PRODUCT], CUSTOMER)
+
+
+def product_ends(slices: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """Total demand of each product and the width of its cells, one row per product.
+
+    Written, so that its true size decides the joins with the intervals.
+    """
+    end = F.sum("MUnits").cast(VOLUME)
+    cells = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell))
+    return cut(slices.groupBy(PRODUCT).agg(end.alias("End"), (end.cast("double") / cells).alias("Width")))
 
 
 def supply_intervals(supply: DataFrame) -> DataFrame:
@@ -45,18 +54,13 @@ def supply_intervals(supply: DataFrame) -> DataFrame:
     return exact.withColumn("s1", s1).withColumn("s0", F.col("s1") - F.col("Capacity")).drop("Capacity")
 
 
-def overlaps(wanted: DataFrame, have: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
-    """Where demand and supply intervals of a product meet.
+def overlaps(wanted: DataFrame, have: DataFrame, ends: DataFrame) -> DataFrame:
+    """Where demand intervals [d0, d1) and supply intervals [s0, s1) of a product meet.
 
     The running total of each product is cut into cells of equal volume; both sides list the cells they
     touch and meet on (product, cell), so no product is joined in one piece and no pair outside a shared
     cell is formed. A pair that shares several cells is kept in the cell where it begins.
     """
-    cells = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell))
-    # One row per product, written so that its true size decides the joins.
-    ends = cut(
-        wanted.groupBy(PRODUCT).agg(F.max("d1").alias("End"), (F.max("d1").cast("double") / cells).alias("Width"))
-    )
 
     def cell(x: Column) -> Column:
         return F.floor(x.cast("double") / F.col("Width"))
@@ -78,7 +82,9 @@ def waterfall_plan(demand: DataFrame, supply: DataFrame, routes: DataFrame, rows
     Feasible for plant capacity, not optimal, and blind to site throughput and to one-site rules. Each flow
     takes the cheapest site between its plant and its customer.
     """
-    met = overlaps(demand_intervals(demand), supply_intervals(supply), rows_per_cell)
+    slices = demand_slices(demand)
+    wanted = running_total(slices, [PRODUCT], CUSTOMER, "MUnits", "d0", "d1").drop("MUnits")
+    met = overlaps(wanted, supply_intervals(supply), product_ends(slices, rows_per_cell))
     located = lookup(met, routes, {"MfgSite": "MfgSite", "Loc": "Dest"})
     return located.select(
         "MfgSite",

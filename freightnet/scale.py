@@ -58,8 +58,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def _sliced(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range-partition on (by, order) and freeze the slice number of every row."""
+def slice_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Range-partition on (by, order) and freeze the slice number of every row in a written table."""
     ranged = df.repartitionByRange(*[F.col(c) for c in (*by, *order)])
     return cut(ranged.withColumn("__slice", F.spark_partition_id()))
 
@@ -87,15 +87,16 @@ def _with_offsets(
 
 
 def running_total(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, start: str, end: str
+    sliced: DataFrame, by: Sequence[str], order: Sequence[str], value: str, start: str, end: str
 ) -> DataFrame:
     """Add the half-open interval [start, end) that ``value`` takes on the running total of its group.
 
-    (by, order) must be unique. ``value`` should be a decimal, so that both levels add up exactly.
+    Takes rows from ``slice_rows`` with the same keys. (by, order) must be unique. ``value`` should be a
+    decimal, so that both levels add up exactly.
     """
-    dtype = df.select(F.sum(value).alias("v")).schema["v"].dataType
+    dtype = sliced.select(F.sum(value).alias("v")).schema["v"].dataType
     amount = F.col(value).cast(dtype)
-    spread = _with_offsets(_sliced(df, by, order), by, order, amount, F.lit(0).cast(dtype))
+    spread = _with_offsets(sliced, by, order, amount, F.lit(0).cast(dtype))
     return (
         spread.withColumn(start, F.col("__before").cast(dtype))
         .withColumn(end, (F.col("__before") + amount).cast(dtype))
@@ -109,7 +110,7 @@ def rank_and_count(df: DataFrame, by: Sequence[str], value: str, rank: str, coun
     NULL is the lowest value and counts as one, as in DENSE_RANK ascending + descending - 1.
     """
     pairs = df.select(*by, value).distinct()
-    spread = _with_offsets(_sliced(pairs, by, [value]), by, [value], F.lit(1), F.lit(0))
+    spread = _with_offsets(slice_rows(pairs, by, [value]), by, [value], F.lit(1), F.lit(0))
     return spread.select(
         *by,
         value,

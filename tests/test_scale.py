@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freightnet import scale
 from freightnet.operators import tables as op
-from freightnet.plans.waterfall import overlaps
+from freightnet.plans.waterfall import overlaps, product_ends
 
 
 @pytest.fixture
@@ -21,17 +21,17 @@ def hot(spark):
 
 
 def test_running_total_equals_plain_window(spark, hot):
-    got = scale.running_total(hot, ["g"], ["k"], "v", "a", "b").select("g", "k", F.col("a").cast("double"), F.col("b").cast("double"))
+    got = scale.running_total(scale.slice_rows(hot, ["g"], ["k"]), ["g"], ["k"], "v", "a", "b").select("g", "k", F.col("a").cast("double"), F.col("b").cast("double"))
     w = Window.partitionBy("g").orderBy("k")
     b = F.sum("v").over(w)
     want = hot.select("g", "k", (b - F.col("v")).cast("double").alias("a"), b.cast("double").alias("b"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_hot_group_is_spread_over_slices(spark, hot, monkeypatch):
+def test_hot_group_is_spread_over_slices(spark, hot):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sliced = scale._sliced(hot, ["g"], ["k"])
+        sliced = scale.slice_rows(hot, ["g"], ["k"])
         largest = sliced.where("g = 'hot'").groupBy("__slice").count().agg(F.max("count")).first()[0]
         assert largest < 1500
     finally:
@@ -71,11 +71,9 @@ def test_overlaps_equal_brute_force(spark, rows_per_cell):
         return [(p, n, Decimal(f"{a:.6f}"), Decimal(f"{b:.6f}")) for p, n, a, b in rows]
 
     demand, supply = exact(demand), exact(supply)
-    got = overlaps(
-        spark.createDataFrame(demand, types.format("cust", "d0", "d1")),
-        spark.createDataFrame(supply, types.format("MfgSite", "s0", "s1")),
-        rows_per_cell,
-    )
+    wanted = spark.createDataFrame(demand, types.format("cust", "d0", "d1"))
+    ends = product_ends(wanted.withColumn("MUnits", F.col("d1") - F.col("d0")), rows_per_cell)
+    got = overlaps(wanted, spark.createDataFrame(supply, types.format("MfgSite", "s0", "s1")), ends)
     want = [
         (c, m, min(d1, s1) - max(d0, s0)) for _, c, d0, d1 in demand for _, m, s0, s1 in supply if max(d0, s0) < min(d1, s1)
     ]
