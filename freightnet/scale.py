@@ -67,11 +67,16 @@ def slice_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
 def _with_offsets(
     sliced: DataFrame, by: Sequence[str], order: Sequence[str], amount: Column, zero: Column
 ) -> DataFrame:
-    """Add ``__before`` (sum of ``amount`` ahead of the row) and ``__total`` (sum of the group)."""
-    keys = [*by, "__slice"]
-    totals = sliced.groupBy(*keys).agg(F.sum(amount).alias("__slice_total"))
+    """Add ``__before`` (sum of ``amount`` ahead of the row) and ``__total`` (sum of the group).
+
+    The group is one struct key, in which NULL equals NULL, and the join uses the very keys of the window:
+    the rows move once for both.
+    """
+    keys = ["__group", "__slice"]
+    rows = sliced.withColumn("__group", F.struct(*by))
+    totals = rows.groupBy(*keys).agg(F.sum(amount).alias("__slice_total"))
     # One row per slice of a group: bounded by the number of partitions, never by the number of rows.
-    group = Window.partitionBy(*by)
+    group = Window.partitionBy("__group")
     ahead = group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
@@ -79,10 +84,11 @@ def _with_offsets(
         F.sum("__slice_total").over(group).alias("__total"),
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sliced.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), zero))
-    joined = null_safe_join(ranked, offsets, keys)
-    return joined.withColumn("__before", F.col("__offset") + F.col("__inside")).drop(
-        "__slice", "__offset", "__inside"
+    ranked = rows.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), zero))
+    return (
+        ranked.join(offsets, keys)
+        .withColumn("__before", F.col("__offset") + F.col("__inside"))
+        .drop(*keys, "__offset", "__inside")
     )
 
 
