@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from freightnet.catalog import query
-from freightnet.catalog.common import clean, rates, site_volume
+from freightnet.catalog.common import clean, demand, kept_supply, rates, site_volume
 from freightnet.catalog.views import with_views
 from freightnet.functions import scalar as s
 from freightnet.operators import quality as ql
 from freightnet.operators import tables as op
 from freightnet.plans import geo
+from freightnet.plans.demand import unpivot_demand_sheet
 from freightnet.sources import readers
 from freightnet.sources.adapter import SITES
 
@@ -126,8 +127,6 @@ def ragged_text_table(t):
     with_views("""SELECT RPType AS product, count(*) AS owners, CAST(sum(CAST(MUnits AS DECIMAL(24, 6))) AS DOUBLE) AS demand FROM demand GROUP BY ALL"""),
 )
 def network_json_capacity(t):
-    from freightnet.catalog.common import demand
-
     key = F.concat_ws("/", "MSTName", "Loc", "FTerms")
     leaf = F.struct(F.col("RPType").alias("k"), F.struct(F.col("MUnits").alias("demand")).alias("v"))
     # One document per customer; its products are at most the product list.
@@ -430,8 +429,6 @@ FROM (SELECT *, (p_partkey * (i + 3)) % 19 - 4 AS v FROM part CROSS JOIN range(7
 WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND v > 0 GROUP BY ALL""",
 )
 def demand_sheet_unpivoted(t):
-    from freightnet.plans.demand import unpivot_demand_sheet
-
     sheet, cols = demand_sheet(t)
     return unpivot_demand_sheet(sheet, cols)
 
@@ -488,8 +485,6 @@ def noise_free_rows(t):
     with_views("""SELECT MfgSite, MSTName, Loc, FTerms, RPType, least(Capacity, MUnits) AS Most FROM demand JOIN supply USING (RPType)"""),
 )
 def link_limits(t):
-    from freightnet.catalog.common import demand, kept_supply
-
     both = demand(t).join(kept_supply(t), "RPType")
     return both.select("MfgSite", "MSTName", "Loc", "FTerms", "RPType", s.link_limit("Capacity", "MUnits").alias("Most"))
 

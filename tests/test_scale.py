@@ -103,12 +103,6 @@ def test_a_cluster_must_name_the_shared_folder():
     assert scale.scratch_dir(Session()) == scale.scratch_dir(Session())
 
 
-def test_broadcast_only_when_counted_small(spark):
-    small = spark.range(10)
-    assert "broadcast" in scale.broadcast_checked(small, 10)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in scale.broadcast_checked(small, 9)._jdf.queryExecution().logical().toString().lower()
-
-
 def test_share_adds_up_to_one_for_a_hot_group(spark, hot):
     rows = op.share(hot.withColumn("v", F.col("v").cast("double")), ["g"], "v")
     for total in rows.groupBy("g").agg(F.sum("Pct").alias("s")).collect():
