@@ -16,8 +16,8 @@ from freightnet.scale import scratch_dir
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove documents with a verbatim match of a benchmark window."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.col("n_hit") == 0)
+    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ The benchmark is the stated query set. It travels in blocks of at most ``block_w
 over the texts in the same stage, so that no broadcast grows with the benchmark.
 
 Defined cases: a NULL or empty text has no words and no match; a NULL item id is named ``""``; items without words never
-occur; items that repeat an id count once; repeated rows give repeated results; columns beyond those named are ignored.
+occur; items that repeat an id count once; repeated rows give repeated results; all other columns travel inside one struct, so
+that none can clash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.texts import WORD_BY_LETTER, Slice, as_arrow, slices, text_of
+from freightnet.llm.texts import WORD_BY_LETTER, Slice, as_arrow, slices, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -147,13 +148,15 @@ def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
-    id_col: str = "doc_id",
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (sorted ids), matches (longest verbatim matches)."""
-    kind = documents.schema[id_col].dataType.simpleString()
-    found = text_of(documents, id_col).withColumn("matches", F.lit(None).cast(MATCH))
-    schema = f"{id_col} {kind}, text string, n_words bigint, matches {MATCH}"
+    """One row per document: row (its columns but the text), text, n_words, n_hit, items (sorted ids), matches (the
+    longest verbatim matches: item, word in the item, word in the document, words)."""
+    small_batches(documents.sparkSession)
+    row = F.struct(*[F.col(c) for c in documents.columns if c != "text"]).alias("row")
+    found = documents.select(row, F.col("text").cast("string").alias("text"))
+    schema = f"row {found.schema['row'].dataType.simpleString()}, text string, n_words bigint, matches {MATCH}"
+    found = found.withColumn("matches", F.lit(None).cast(MATCH))
     for block in benchmark_blocks(benchmark, block_words):
         # One broadcast a block, bounded by block_words.
         tests = documents.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
@@ -170,10 +173,10 @@ def find_contamination(
                     matches[part.rows[row]].append(
                         {"item_id": name, "item_at": int(m[1]), "at": int(m[2]), "words": int(m[3])}
                     )
-            columns = [batch.column(id_col), batch.column("text"), pa.array(n_words), pa.array(matches, _MATCH)]
-            return pa.RecordBatch.from_arrays(columns, names=[id_col, "text", "n_words", "matches"])
+            columns = [batch.column("row"), batch.column("text"), pa.array(n_words), pa.array(matches, _MATCH)]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_words", "matches"])
 
-        found = as_arrow(found.select(id_col, "text", "matches"), search, schema)
+        found = as_arrow(found.select("row", "text", "matches"), search, schema)
     spans = F.transform("matches", lambda m: F.struct(m["at"].alias("at"), (m["at"] + m["words"]).alias("to")))
     # Spans in order: each adds what reaches beyond all earlier ones.
     zero = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("end"))
@@ -187,4 +190,4 @@ def find_contamination(
         lambda s: s["hit"],
     )
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    return found.select(id_col, "n_words", hit.alias("n_hit"), items.alias("items"), "matches")
+    return found.select("row", "text", "n_words", hit.alias("n_hit"), items.alias("items"), "matches")

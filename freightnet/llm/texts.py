@@ -125,9 +125,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def text_of(df: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and the text as a string, NULL as empty, read from the one column alone."""
+    """The kept columns and the text as a string, for functions over Arrow batches."""
     small_batches(df.sparkSession)
-    return df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return df.select(*keep, F.col("text").cast("string").alias("text"))
 
 
 def as_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
