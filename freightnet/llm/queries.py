@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freightnet.llm.chat import format_chat, read_back, text_part, under_loss
 from freightnet.llm.decontaminate import find_contamination
+from freightnet.llm.jaccard import link_documents
 from freightnet.llm.mixing import mix_sources
 from freightnet.llm.rules import judge
 from freightnet.llm.secrets import KINDS, scan
@@ -91,6 +92,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}
