@@ -9,15 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightnet.llm.decontaminate import find_contamination
+from freightnet.llm.jaccard import one_of_each
 from freightnet.llm.mixing import mix_sources
 from freightnet.llm.secrets import redact, scan
+from freightnet.llm.toxicity import score_toxicity
 from freightnet.scale import scratch_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove documents that the network finds toxic; the labels table is read for training only."""
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("score") < 0.5)
+    return _columns(scored, docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return one_of_each(docs, size=5, share=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove documents with a verbatim match of a benchmark window."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.col("n_hit") == 0)
-    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return _columns(found, docs)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +43,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
+def _columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents' own columns, in order."""
+    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("drop_toxic", drop_toxic),
+    ("drop_copies", drop_copies),
     ("decontaminate", decontaminate),
     ("scan_secrets", scan_secrets),
     ("mix", mix),

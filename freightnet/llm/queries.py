@@ -13,6 +13,7 @@ from freightnet.llm.jaccard import link_documents
 from freightnet.llm.mixing import mix_sources
 from freightnet.llm.rules import judge
 from freightnet.llm.secrets import KINDS, scan
+from freightnet.llm.toxicity import score_toxicity
 from freightnet.llm.urls import Rule, judge_urls
 
 URL_RULES = [
@@ -57,6 +58,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("row.doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -99,6 +106,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op8_decontaminate": op8_decontaminate,
