@@ -11,10 +11,11 @@ from freightnet.llm.chat import format_chat, read_back, text_part, under_loss
 from freightnet.llm.decontaminate import find_contamination
 from freightnet.llm.jaccard import link_documents
 from freightnet.llm.mixing import mix_sources
+from freightnet.llm.quality import grade_documents
 from freightnet.llm.repeats import remove_repeats
 from freightnet.llm.rules import judge
 from freightnet.llm.secrets import KINDS, scan
-from freightnet.llm.toxicity import score_toxicity
+from freightnet.llm.toxicity import held_out, score_toxicity
 from freightnet.llm.urls import Rule, judge_urls
 
 URL_RULES = [
@@ -36,6 +37,22 @@ def hex_digest(text) -> F.Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
+def op1_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 poor, 1 good but toxic, 2 good. A fifth of the rated ids is held out of training."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = labels.where("quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
+    found = grade_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ratings, 3)
+    return found.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        "expected_grade",
+        F.get("at_least", F.lit(0)).alias("p_at_least_1"),
+        F.get("at_least", F.lit(1)).alias("p_at_least_2"),
+        (F.get("at_least", F.lit(0)) >= 0.5).alias("kept"),
+    )
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
@@ -110,6 +127,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_grades": op1_quality_grades,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
