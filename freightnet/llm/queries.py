@@ -11,6 +11,7 @@ from freightnet.llm.chat import format_chat, read_back, text_part, under_loss
 from freightnet.llm.decontaminate import find_contamination
 from freightnet.llm.jaccard import link_documents
 from freightnet.llm.mixing import mix_sources
+from freightnet.llm.oracles import ORACLES  # noqa: F401
 from freightnet.llm.quality import grade_documents
 from freightnet.llm.repeats import remove_repeats
 from freightnet.llm.rules import judge
@@ -138,5 +139,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
 }
-
-ORACLES: dict[str, str] = {}
