@@ -7,7 +7,7 @@ from freightnet.catalog import query
 from freightnet.catalog.views import with_views
 from freightnet.plans import bound, check, network, scenario, waterfall
 from freightnet.scale import cut
-from freightnet.sources.adapter import SITES
+from freightnet.catalog.shaping import SITES
 
 
 @query(
@@ -30,7 +30,7 @@ def cheapest_inbound(t):
 
 
 def _units(t):
-    return network.unit_costs(t.distances(), c.inbound(t), SITES)
+    return network.unit_costs(t.distances(), c.inbound(t), t.site_names)
 
 
 @query(
@@ -39,7 +39,7 @@ def _units(t):
     with_views("SELECT MSTName, Loc, FTerms, ShipSite, CAST(Cost AS DOUBLE) AS Cost FROM assigned"),
 )
 def single_source_assign(t):
-    return network.single_source_assign(c.demand(t), _units(t), SITES)
+    return network.single_source_assign(c.demand(t), _units(t), t.site_names)
 
 
 def _scenario_sql(masks: list[int]) -> str:
@@ -56,7 +56,7 @@ def _scenario_sql(masks: list[int]) -> str:
 
 @query("open_site_scenarios", "N4", with_views(_scenario_sql(scenario.site_sets(5, 1, 5))))
 def open_site_scenarios(t):
-    return scenario.open_site_scenarios(c.demand(t), _units(t), SITES)
+    return scenario.open_site_scenarios(c.demand(t), _units(t), t.site_names)
 
 
 @query(
@@ -65,7 +65,7 @@ def open_site_scenarios(t):
     with_views(_scenario_sql(scenario.site_sets(5, 2, 3, [0])) + " QUALIFY Rank <= 3"),
 )
 def best_three_of_open_sites(t):
-    return scenario.open_site_scenarios(c.demand(t), _units(t), SITES, 2, 3, closed=["AFRICA"], top=3)
+    return scenario.open_site_scenarios(c.demand(t), _units(t), t.site_names, 2, 3, closed=["AFRICA"], top=3)
 
 
 def _pair_sql(masks: list[int]) -> str:
@@ -86,7 +86,7 @@ def _pair_sql(masks: list[int]) -> str:
 
 @query("open_site_scenarios_two_sites", "N4", with_views(_pair_sql(scenario.site_sets(5, 1, 3))))
 def open_site_scenarios_two_sites(t):
-    return scenario.open_site_scenarios(c.demand(t), _units(t), SITES, 1, 3, sites_per_customer=2)
+    return scenario.open_site_scenarios(c.demand(t), _units(t), t.site_names, 1, 3, sites_per_customer=2)
 
 
 @query(
@@ -116,7 +116,7 @@ def single_source_plan_cost(t):
 
 def _plan(t):
     wanted, inbound = c.kept_demand(t), c.inbound(t)
-    return network.assigned_plan(wanted, network.single_source_assign(wanted, _units(t), SITES), inbound)
+    return network.assigned_plan(wanted, network.single_source_assign(wanted, _units(t), t.site_names), inbound)
 
 
 WATER = "SELECT MfgSite, ShipSite, MSTName, Loc, FTerms, RPType, CAST(Flow AS DOUBLE) AS MUnits, CAST(Flow * UnitCost AS DOUBLE) AS Cost FROM waterfall"
@@ -217,13 +217,13 @@ def _bound_sql(iterations: int, step: float, whole: bool = False) -> str:
 
 @query("price_bound", "N5", with_views(_bound_sql(3, 2.0)))
 def price_bound(t):
-    found = bound.price_bound(c.demand(t), c.scarce(t), t.distances(), c.rates(t), SITES, c.caps(t), iterations=3, step=2.0)
+    found = bound.price_bound(c.demand(t), c.scarce(t), t.distances(), c.rates(t), t.site_names, c.caps(t), iterations=3, step=2.0)
     return found.as_table().select("Iteration", F.round("Bound", 3).alias("Bound"), F.round("Best", 3).alias("Best"))
 
 
 @query("price_bound_single_source", "N5", with_views(_bound_sql(2, 2.0, whole=True)))
 def price_bound_single_source(t):
     found = bound.price_bound(
-        c.demand(t), c.scarce(t), t.distances(), c.rates(t), SITES, c.caps(t), iterations=2, step=2.0, single_source=True
+        c.demand(t), c.scarce(t), t.distances(), c.rates(t), t.site_names, c.caps(t), iterations=2, step=2.0, single_source=True
     )
     return found.as_table().select("Iteration", F.round("Bound", 3).alias("Bound"), F.round("Best", 3).alias("Best"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from freightnet.catalog import query
 from freightnet.catalog import common as c
-from freightnet.catalog.shaping import demand_sheet
+from freightnet.catalog.shaping import KEY_LENGTH, demand_sheet
 from freightnet.catalog.views import with_views
 from freightnet.functions.scalar import place
 from freightnet.operators import tables as op
@@ -34,7 +34,9 @@ def demand_prepaid_by_city(t):
     "B5 J13 F1 F5",
     with_views("""SELECT h.MSTCity, h.MSTState, FrtTermsFix, MUnits, h.MSTCity || ', ' || h.MSTState AS Dest, MSTZip, lat, lon
   FROM (SELECT MSTCity, MSTState, FrtTermsFix, sum(MUnits) AS MUnits FROM hist GROUP BY ALL) h
-  JOIN geo ON geo.MSTCity = h.MSTCity AND geo.MSTState = h.MSTState WHERE MSTZip IS NOT NULL"""),
+  JOIN (SELECT * FROM geo WHERE MSTZip IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY MSTCity, MSTState ORDER BY MSTZip, lat, lon) = 1) geo
+    ON geo.MSTCity = h.MSTCity AND geo.MSTState = h.MSTState"""),
 )
 def demand_by_city_geocoded(t):
     return d.demand_by_city(t.history("MSTCity", "MSTState", "FrtTermsFix", "MUnits"), t.geocodes())
@@ -67,22 +69,15 @@ def root_products(t):
 @query(
     "sheet_demand_located",
     "B9 J1 P6 A1",
-    """SELECT 'Master ' || (ms - ms % 3) AS MSTName, n_name || ', ' || substr(r_name, 1, 2) AS Loc, p_type AS ITEM, 'PPD' AS FTerms, CAST(sum(v) AS DOUBLE) AS MUnits
+    """SELECT 'Master ' || (c_custkey - c_custkey % 3) AS MSTName, n_name || ', ' || substr(r_name, 1, 2) AS Loc, p_type AS ITEM, 'PPD' AS FTerms, CAST(sum(v) AS DOUBLE) AS MUnits
 FROM (SELECT *, (p_partkey * (i + 3)) % 19 - 4 AS v, i // 3 AS ms FROM part CROSS JOIN range(78) r(i))
-JOIN customer ON c_custkey = ms JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+LEFT JOIN (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE c_custkey % 13 <> 5) ON c_custkey = ms
 WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND v > 0 GROUP BY ALL""",
 )
 def sheet_demand_located(t):
     sheet, cols = demand_sheet(t)
-    key = F.col("c_custkey")
-    master = t.customer.join(t.places(), F.col("c_nationkey") == F.col("nation")).select(
-        F.concat(F.lit("9803"), F.lpad(key.cast("string"), 4, "0")).alias("MST"),
-        F.concat(F.lit("Master "), (key - key % 3).cast("string")).alias("MSTName"),
-        "MSTCity",
-        "MSTState",
-        key.alias("key"),
-    )
-    return d.locate_demand(d.unpivot_demand_sheet(sheet, cols), master.where(F.col("key") < 10_000))
+    return d.locate_demand(d.unpivot_demand_sheet(sheet, cols, KEY_LENGTH), t.masters(KEY_LENGTH))
 
 
 @query("forecast_by_plant", "B4 J10 A8 F8", with_views("SELECT * FROM fcst"))
@@ -128,8 +123,7 @@ def allocate_forecast(t):
     "forecast_without_history",
     "Q5 J5",
     with_views("""SELECT PrintGroup, PartType, sum(OLMUnits) AS OLMUnits FROM fcst
-  WHERE (PrintGroup, PartType) NOT IN (SELECT (PrintGroup, PartType) FROM clean WHERE PrintGroup <> 'Brand#3') GROUP BY ALL"""),
+  WHERE (PrintGroup, PartType) NOT IN (SELECT (PrintGroup, PartType) FROM clean) GROUP BY ALL"""),
 )
 def forecast_without_history(t):
-    known = fc.split_share(_history(t).where(F.col("PrintGroup") != "Brand#3"))
-    return fc.lost_forecast(known, _forecast(t))
+    return fc.lost_forecast(fc.split_share(_history(t)), _forecast(t))

@@ -119,8 +119,8 @@ def plant_stops_null_counts(t):
 @query(
     "freight_by_bill",
     "A9",
-    """SELECT 'S' || (o_custkey % 5) AS xxtrf__site, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS xxtrf__ship_date,
-       o_orderkey // 2 AS xxtrf__bol, o_orderkey // 4 AS xxtrf__mstr_bol,
+    """SELECT 'S' || (o_custkey % 5) AS xxtrf__site, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS xxtrf__ship_date,
+       o_custkey // 50 AS xxtrf__bol, o_custkey // 100 AS xxtrf__mstr_bol,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS xxtrf__chrg
 FROM orders GROUP BY ALL""",
 )
@@ -128,9 +128,10 @@ def freight_by_bill(t):
     return h.freight_by_bill(
         t.orders.select(
             F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string")).alias("xxtrf__site"),
-            F.to_date("o_orderdate").alias("xxtrf__ship_date"),
-            F.expr("o_orderkey div 2").alias("xxtrf__bol"),
-            F.expr("o_orderkey div 4").alias("xxtrf__mstr_bol"),
+            # Bills are written once a month for some fifty customers, so that several orders share one.
+            F.to_date(F.date_trunc("month", "o_orderdate")).alias("xxtrf__ship_date"),
+            F.expr("o_custkey div 50").alias("xxtrf__bol"),
+            F.expr("o_custkey div 100").alias("xxtrf__mstr_bol"),
             F.col("o_totalprice").cast("decimal(18,2)").alias("xxtrf__chrg"),
         )
     )

@@ -7,7 +7,7 @@ from freightnet.catalog import query
 from freightnet.catalog.decisions import _plan
 from freightnet.catalog.views import with_views
 from freightnet.plans import cost, geo, report
-from freightnet.scale import scratch_dir
+from freightnet.scale import fresh_path
 from freightnet.sources.readers import read_table
 from freightnet.sources.writers import write_table, write_tsv
 
@@ -71,11 +71,11 @@ def demand_bubbles(t):
 @query(
     "demand_bubbles_prepaid",
     "K5 F3",
-    with_views("SELECT Loc, MUnits, lat, lon, floor(MUnits / 100000) * 100000 AS SizeBin FROM (SELECT Loc, sum(MUnits) AS MUnits FROM clean WHERE FrtTermsFix = 'PPD' GROUP BY Loc) LEFT JOIN cent ON Dest = Loc"),
+    with_views("SELECT Loc, MUnits, lat, lon, floor(MUnits / 2000) * 2000 AS SizeBin FROM (SELECT Loc, sum(MUnits) AS MUnits FROM clean WHERE FrtTermsFix = 'PPD' GROUP BY Loc) LEFT JOIN cent ON Dest = Loc"),
 )
 def demand_bubbles_prepaid(t):
     rows = c.clean(t, "FrtTermsFix").where(F.col("FrtTermsFix") == "PPD")
-    return report.bubbles(rows, geo.dest_centroids(t.geocodes()))
+    return report.bubbles(rows, geo.dest_centroids(t.geocodes()), step=2000)
 
 
 @query(
@@ -113,7 +113,7 @@ def _inter_site(t):
 @query("written_table", "K7 S1", with_views(BASE))
 def written_table(t):
     rows = _inter_site(t)
-    path = f"{scratch_dir(t.spark)}/inter-site"
+    path = fresh_path(t.spark, "inter-site")
     write_table(rows, path)
     return read_table(t.spark, path, rows.schema)
 
@@ -121,6 +121,6 @@ def written_table(t):
 @query("written_tsv", "K8", with_views(BASE))
 def written_tsv(t):
     rows = _inter_site(t)
-    path = f"{scratch_dir(t.spark)}/inter-site-tsv"
+    path = fresh_path(t.spark, "inter-site-tsv")
     write_tsv(rows, path)
     return t.spark.read.schema(rows.schema).option("sep", "\t").option("header", True).csv(path)

@@ -10,10 +10,11 @@ from freightnet.operators import quality as ql
 from freightnet.operators import tables as op
 from freightnet.plans import geo
 from freightnet.plans.demand import unpivot_demand_sheet
+from freightnet.plans.waterfall import cheapest_routes
 from freightnet.sources import readers
-from freightnet.sources.adapter import SITES
 
-PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+# The columns that the SQL versions name.
+SITES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 @query(
@@ -52,7 +53,7 @@ def clean_distances(t):
   max(Miles) FILTER (Orig = 'MIDDLE EAST') AS "MIDDLE EAST" FROM clean_dist GROUP BY Dest"""),
 )
 def distances_wide(t):
-    return geo.distances_wide(geo.clean_distances(t.raw_distances()), SITES)
+    return geo.distances_wide(geo.clean_distances(t.raw_distances()), t.site_names)
 
 
 @query(
@@ -61,8 +62,8 @@ def distances_wide(t):
     with_views("SELECT Dest, Orig, max(Miles) AS Miles FROM clean_dist GROUP BY ALL HAVING max(Miles) IS NOT NULL"),
 )
 def distance_pairs(t):
-    wide = geo.distances_wide(geo.clean_distances(t.raw_distances()), SITES)
-    return op.lengthen(wide, ["Dest"], wide.columns[1:6], "Orig", "Miles").where(F.col("Miles").isNotNull())
+    wide = geo.distances_wide(geo.clean_distances(t.raw_distances()), t.site_names)
+    return op.lengthen(wide, ["Dest"], wide.columns[1:], "Orig", "Miles").where(F.col("Miles").isNotNull())
 
 
 @query("dest_centroids", "B3 S3 A3", with_views("SELECT Dest, lat, lon FROM cent"))
@@ -97,13 +98,14 @@ def inter_site_rates_used(t):
     with_views("SELECT * FROM fcst"),
 )
 def forecast_from_sql_view(t):
-    t.forecast_sheet().createOrReplaceTempView("FinanceForecast")
-    t.sites().createOrReplaceTempView("Sites")
+    # The frames are arguments of the statement: no view name is left behind in the session.
     return t.spark.sql(
         """SELECT ForecastSet, MfgSite, SiteName AS MfgSiteName, PrintGroup, PartType, SUM(OLMUnits) AS OLMUnits
-           FROM FinanceForecast LEFT JOIN Sites ON SiteCode = MfgSite
+           FROM {forecast} LEFT JOIN {sites} ON SiteCode = MfgSite
            WHERE ForecastSet = '200112' AND YearMonth BETWEEN '200102' AND '200107'
-           GROUP BY ForecastSet, MfgSite, SiteName, PrintGroup, PartType"""
+           GROUP BY ForecastSet, MfgSite, SiteName, PrintGroup, PartType""",
+        forecast=t.forecast_sheet(),
+        sites=t.sites(),
     )
 
 
@@ -140,15 +142,12 @@ def network_json_capacity(t):
 @query(
     "network_json_lanes",
     "S11",
-    with_views("SELECT or_city AS orig, c AS dest, Miles AS miles FROM (SELECT or_city, de_city AS c, Miles FROM raw_dist WHERE Miles IS NOT NULL AND de_city <> 'GNANGARA')"),
+    with_views("SELECT or_city AS orig, c AS dest, Miles AS miles FROM (SELECT or_city, de_city AS c, Miles FROM raw_dist WHERE Miles IS NOT NULL)"),
 )
 def network_json_lanes(t):
-    raw = t.raw_distances().where((F.col("`de.City`") != "GNANGARA") & F.col("Miles").isNotNull())
-    entry = F.struct(F.concat_ws(" => ", "`or.City`", "`de.City`").alias("k"), F.col("Miles").alias("v"))
-    # One document per destination with its few sites.
-    docs = raw.groupBy("`de.City`").agg(F.collect_list(entry).alias("e")).select(
-        F.to_json(F.struct(F.map_from_entries("e").alias("distances"))).alias("doc")
-    )
+    # One document per known distance: a destination may be that of any number of customers.
+    entry = F.create_map(F.concat_ws(" => ", "`or.City`", "`de.City`"), "Miles")
+    docs = t.raw_distances().where("Miles IS NOT NULL").select(F.to_json(F.struct(entry.alias("distances"))).alias("doc"))
     return readers.flatten_lanes(docs, "doc")
 
 
@@ -388,7 +387,7 @@ def smallest_customers(t):
   CROSS JOIN (SELECT DISTINCT p_type AS PartType FROM part) p LEFT JOIN hist h ON h.MSTName = c.MSTName AND h.PartType = p.PartType GROUP BY ALL"""),
 )
 def demand_grid_zero_filled(t):
-    return op.densify(t.history("MSTName", "PartType", "MUnits"), ["MSTName"], "PartType", PART_TYPES, "MUnits")
+    return op.densify(t.history("MSTName", "PartType", "MUnits"), ["MSTName"], "PartType", op.values_of(t.part, "p_type"), "MUnits")
 
 
 @query(
@@ -402,12 +401,14 @@ def demand_grid_zero_filled(t):
 )
 def months_transposed(t):
     rows = t.volume("ShipSiteName", "PartType")
-    cells = [F.sum(F.when(F.col("PartType") == p, F.col("MUnits"))).alias(p) for p in PART_TYPES]
+    cells = [F.sum(F.when(F.col("PartType") == p, F.col("MUnits"))).alias(p) for p in op.values_of(t.part, "p_type")]
     by_site = rows.groupBy("ShipSiteName").agg(*cells)
-    return op.transpose(by_site, "ShipSiteName", SITES, "PartType")
+    return op.transpose(by_site, "ShipSiteName", t.site_names, "PartType")
 
 
-SHEET_PREFIX = [f"9803{i:04d}" for i in range(26)]
+# Wide enough for every customer key.
+KEY_LENGTH = 16
+SHEET_PREFIX = [f"9803{i:012d}" for i in range(26)]
 
 
 def demand_sheet(t):
@@ -424,13 +425,13 @@ def demand_sheet(t):
 @query(
     "demand_sheet_unpivoted",
     "B9 S8 R2 C2 F5 F6 F7 C10 A1",
-    """SELECT p_brand AS Print, p_type AS ITEM, '9803' || lpad(CAST(i // 3 AS VARCHAR), 4, '0') AS MST, CAST(sum(v) AS DOUBLE) AS MUnits
+    """SELECT p_brand AS Print, p_type AS ITEM, '9803' || lpad(CAST(i // 3 AS VARCHAR), 12, '0') AS MST, CAST(sum(v) AS DOUBLE) AS MUnits
 FROM (SELECT *, (p_partkey * (i + 3)) % 19 - 4 AS v FROM part CROSS JOIN range(78) r(i))
 WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND v > 0 GROUP BY ALL""",
 )
 def demand_sheet_unpivoted(t):
     sheet, cols = demand_sheet(t)
-    return unpivot_demand_sheet(sheet, cols)
+    return unpivot_demand_sheet(sheet, cols, KEY_LENGTH)
 
 
 @query(
@@ -482,10 +483,14 @@ def noise_free_rows(t):
 @query(
     "link_limits",
     "C14",
-    with_views("""SELECT MfgSite, MSTName, Loc, FTerms, RPType, least(Capacity, MUnits) AS Most FROM demand JOIN supply USING (RPType)"""),
+    with_views("""SELECT MfgSite, ShipSite, Dest, RPType, least(Capacity, MUnits) AS Most
+  FROM (SELECT Loc, RPType, sum(MUnits) AS MUnits FROM demand GROUP BY ALL) JOIN best_route ON Dest = Loc JOIN supply USING (MfgSite, RPType)"""),
 )
 def link_limits(t):
-    both = demand(t).join(kept_supply(t), "RPType")
-    return both.select("MfgSite", "MSTName", "Loc", "FTerms", "RPType", s.link_limit("Capacity", "MUnits").alias("Most"))
+    """The most each route can carry: what its plant has and its place wants."""
+    wanted = op.total(demand(t), ["Loc", "RPType"], "MUnits").withColumnRenamed("Loc", "Dest")
+    routes = cheapest_routes(t.distances(), rates(t)).select("MfgSite", "ShipSite", "Dest")
+    both = wanted.join(routes, "Dest").join(kept_supply(t), ["MfgSite", "RPType"])
+    return both.select("MfgSite", "ShipSite", "Dest", "RPType", s.link_limit("Capacity", "MUnits").alias("Most"))
 
 

@@ -62,7 +62,8 @@ VIEWS = {
         FROM region p CROSS JOIN region s""",
     "fsheet": """
         SELECT substr(OrderMonth, 1, 4) || '12' AS ForecastSet, OrderMonth AS YearMonth,
-               substr(MfgSiteName, 1, 2) AS MfgSite, PrintGroup, PartType,
+               substr(MfgSiteName, 1, 2) AS MfgSite,
+               CASE WHEN l_partkey % 41 = 0 THEN 'New ' || PrintGroup ELSE PrintGroup END AS PrintGroup, PartType,
                CASE WHEN substr(OrderMonth, 1, 4) = '2001' THEN MUnits ELSE MUnits / 2 END AS OLMUnits
         FROM clean WHERE substr(OrderMonth, 1, 4) IN ('2000', '2001')""",
     "fcst": """

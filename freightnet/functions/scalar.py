@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from freightnet.schemas import MONEY, VOLUME
+from freightnet.schemas import LANE, MONEY, VOLUME
 
 # Freight in dollars per M per 1000 miles, as used in successive studies.
 RATE = Decimal("6.15")
@@ -77,8 +77,8 @@ def number(text: str | Column) -> Column:
 
 
 def lane_rate(miles: str, rate: Decimal = RATE) -> Column:
-    """Dollars per M over a lane of ``miles``."""
-    return (F.col(miles).cast("decimal(12,2)") * F.lit(Decimal(rate) / 1000).cast("decimal(12,8)")).cast(MONEY)
+    """Dollars per M over a lane of ``miles``, unrounded for any distance in millionths of a mile."""
+    return (F.col(miles).cast("decimal(14,6)") * F.lit(Decimal(rate) / 1000).cast("decimal(12,8)")).cast(LANE)
 
 
 def freight(munits: str, miles: str, frt_terms: str | None = None, rate: Decimal = RATE) -> Column:

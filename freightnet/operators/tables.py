@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightnet.scale import null_safe_join
+from freightnet.schemas import VOLUME
+
 # Destinations outside the road network, and one foreign city coded as a US state.
 OFF_NETWORK_STATES = ("EX", "PR", "HI", "XX")
 MISCODED_PLACE = ("GNANGARA", "WA")
@@ -43,8 +46,25 @@ def scale_supply(df: DataFrame, source: str = "MMUnits", target: str = "MUnits",
     return df.withColumn(target, F.col(source) * 1000 + F.lit(pad))
 
 
+def exact_sum(df: DataFrame, measure: str) -> Column:
+    """Sum of a column; floating numbers are added as decimals, so that the order of tasks changes nothing."""
+    floating = df.schema[measure].dataType.typeName() in ("double", "float")
+    return F.sum(F.col(measure).cast(VOLUME)).cast("double") if floating else F.sum(measure)
+
+
 def total(df: DataFrame, keys: Sequence[str], measure: str, out: str | None = None) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(measure).alias(out or measure))
+    return df.groupBy(*keys).agg(exact_sum(df, measure).alias(out or measure))
+
+
+def values_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The distinct values of a short column in order, for operators that turn values into columns.
+
+    More than ``most`` values are refused: such a column does not belong in the columns of a table.
+    """
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return [r[0] for r in rows]
 
 
 def keep_known(df: DataFrame, known: DataFrame, on: Mapping[str, str]) -> DataFrame:
@@ -111,18 +131,18 @@ def distinct_lists(df: DataFrame, key: Sequence[str], item: str, out: str) -> Da
 
 
 def share(df: DataFrame, by: Sequence[str], measure: str, out: str = "Pct") -> DataFrame:
-    """Share of each row in the total of its group; NULL where the total is 0.
+    """Share of each row in the total of its group; NULL where the total is 0. NULL keys are a group of their own.
 
     The totals are a partial-then-final aggregate joined back, so a hot group is never sorted in one task.
     """
-    totals = df.groupBy(*by).agg(F.sum(measure).alias("__total"))
-    joined = lookup(df, totals, {k: k for k in by}, "inner")
+    totals = total(df, by, measure, "__total")
+    joined = null_safe_join(df, totals, by)
     return joined.withColumn(out, F.try_divide(F.col(measure), F.col("__total"))).drop("__total")
 
 
 def with_group_total(df: DataFrame, by: Sequence[str], measure: str, out: str) -> DataFrame:
-    """Every row with the total of its group."""
-    return lookup(df, df.groupBy(*by).agg(F.sum(measure).alias(out)), {k: k for k in by}, "inner")
+    """Every row with the total of its group. NULL keys are a group of their own."""
+    return null_safe_join(df, total(df, by, measure, out), by)
 
 
 def smallest(df: DataFrame, measure: str, n: int, *ties: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from freightnet.operators.tables import total
 from freightnet.plans.network import CUSTOMER, PRODUCT
 
-TOLERANCE = 1e-6
+#: Least difference that counts, and the share of the limit that does not.
+TOLERANCE, RELATIVE = 1e-6, 1e-9
 
 
 def _rows(df: DataFrame, rule: str, keys: Sequence[str], actual: str | Column, limit: str | Column) -> DataFrame:
@@ -24,17 +25,20 @@ def _rows(df: DataFrame, rule: str, keys: Sequence[str], actual: str | Column, l
     )
 
 
+def _slack(limit: Column) -> Column:
+    return F.greatest(F.lit(TOLERANCE), F.abs(limit) * RELATIVE)
+
+
 def _over(df: DataFrame, rule: str, keys: Sequence[str], actual: str, limit: str | Column) -> DataFrame:
     bound = F.col(limit) if isinstance(limit, str) else limit
-    return _rows(df.where(F.col(actual) > bound + TOLERANCE), rule, keys, actual, bound)
+    return _rows(df.where(F.col(actual) > bound + _slack(bound)), rule, keys, actual, bound)
 
 
 def _unequal(left: DataFrame, right: DataFrame, rule: str, keys: Sequence[str]) -> DataFrame:
     """Totals per key that differ between two sides; a key missing on one side counts 0 there."""
-    a = left.groupBy(*keys).agg(F.sum("MUnits").alias("Actual"))
-    b = right.groupBy(*keys).agg(F.sum("MUnits").alias("Limit"))
+    a, b = total(left, keys, "MUnits", "Actual"), total(right, keys, "MUnits", "Limit")
     both = a.join(b, list(keys), "full").na.fill(0.0, ["Actual", "Limit"])
-    return _rows(both.where(F.abs(F.col("Actual") - F.col("Limit")) > TOLERANCE), rule, keys, "Actual", "Limit")
+    return _rows(both.where(F.abs(F.col("Actual") - F.col("Limit")) > _slack(F.col("Limit"))), rule, keys, "Actual", "Limit")
 
 
 def supply_rule(inbound: DataFrame, supply: DataFrame) -> DataFrame:

@@ -43,11 +43,13 @@ def demand(ship: DataFrame, dist: DataFrame, keys: Sequence[str], measure: str =
 
 
 def demand_by_city(ship: DataFrame, geocodes: DataFrame) -> DataFrame:
-    """Volume by city and terms with every geocode of the city; cities without a zip are dropped."""
-    sums = ship.groupBy("MSTCity", "MSTState", "FrtTermsFix").agg(F.sum("MUnits").alias("MUnits"))
+    """Volume by city and terms with one geocode of the city, that of its first zip, so that no volume is repeated;
+    cities without a zip are dropped."""
+    sums = total(ship, ["MSTCity", "MSTState", "FrtTermsFix"], "MUnits")
+    coded = geocodes.na.drop(subset=["MSTZip"]).select("MSTCity", "MSTState", F.struct("MSTZip", "lat", "lon").alias("g"))
+    coded = coded.groupBy("MSTCity", "MSTState").agg(F.min("g").alias("g")).select("MSTCity", "MSTState", "g.*")
     kept = sums.where(~F.col("MSTState").isin("EX", "PR", "HI") & (F.col("MSTCity") != "GNANGARA"))
-    joined = kept.withColumn("Dest", place("MSTCity", "MSTState")).join(geocodes, ["MSTCity", "MSTState"], "left")
-    return joined.na.drop(subset=["MSTZip"])
+    return kept.withColumn("Dest", place("MSTCity", "MSTState")).join(coded, ["MSTCity", "MSTState"])
 
 
 def supply(history: DataFrame, product: str = "RPType") -> DataFrame:
@@ -57,11 +59,15 @@ def supply(history: DataFrame, product: str = "RPType") -> DataFrame:
 
 
 def supply_from_capacity(capacity: DataFrame, keys: Sequence[str] = ("MfgSite", "PrintGroup", "PartType")) -> DataFrame:
-    """Capacity sheet by plant name and part; rows with any missing cell or zero capacity dropped."""
-    amount = [c for c in ("OLMUnits", "Capacity") if c in capacity.columns][0]
-    whole = capacity.na.drop().drop("MfgSite").withColumnsRenamed({amount: "Capacity", "MfgSiteName": "MfgSite"})
-    kept = whole.withColumn("Capacity", F.col("Capacity").cast("double")).where(F.col("Capacity") != 0)
-    return total(kept, keys, "Capacity")
+    """Capacity sheet by plant name and part; rows with a missing key or no capacity dropped.
+
+    The sheet names its amount OLMUnits or Capacity; where it has both columns, the one that is filled counts.
+    """
+    amounts = [F.col(c).cast("double") for c in ("OLMUnits", "Capacity") if c in capacity.columns]
+    amount = amounts[0] if len(amounts) == 1 else F.coalesce(*amounts)
+    whole = capacity.withColumn("__amount", amount).drop("MfgSite", "OLMUnits", "Capacity")
+    kept = whole.withColumnsRenamed({"__amount": "Capacity", "MfgSiteName": "MfgSite"})
+    return total(kept.na.drop(subset=[*keys, "Capacity"]).where(F.col("Capacity") != 0), keys, "Capacity")
 
 
 def unpivot_demand_sheet(sheet: DataFrame, customers: Sequence[str], key_length: int = 8) -> DataFrame:

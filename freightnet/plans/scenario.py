@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from freightnet.plans.network import option_costs
 
-MAX_SITES = 12
+#: Sites whose sets are enumerated unless the caller allows more: each one doubles the sets.
+MOST_SITES = 12
 
 
-def site_sets(n: int, min_open: int, max_open: int, closed: Sequence[int] = ()) -> list[int]:
-    """Bit masks of the allowed sets of open sites."""
-    if n > MAX_SITES:
-        raise ValueError(f"{n} sites give {2**n - 1} sets; at most {MAX_SITES} sites are enumerated")
+def site_sets(n: int, min_open: int, max_open: int, closed: Sequence[int] = (), most_sites: int = MOST_SITES) -> list[int]:
+    """Bit masks of the allowed sets of open sites; more than ``most_sites`` sites are refused."""
+    if n > most_sites:
+        raise ValueError(f"{n} sites give {2**n - 1} sets; at most {most_sites} sites are enumerated")
     shut = sum(1 << i for i in closed)
     return [m for m in range(1, 1 << n) if not m & shut and min_open <= m.bit_count() <= max_open]
 
@@ -30,6 +31,7 @@ def open_site_scenarios(
     closed: Sequence[str] = (),
     sites_per_customer: int = 1,
     top: int | None = None,
+    most_sites: int = MOST_SITES,
 ) -> DataFrame:
     """Total cost of each set of open sites, best first.
 
@@ -38,7 +40,7 @@ def open_site_scenarios(
     as "at most k". Sets that leave a customer without a site rank last and report how many.
     """
     n = len(sites)
-    masks = site_sets(n, min_open, max_open or n, [list(sites).index(s) for s in closed])
+    masks = site_sets(n, min_open, max_open or n, [list(sites).index(s) for s in closed], most_sites)
     options = [c for k in range(1, sites_per_customer + 1) for c in combinations(range(n), k)]
     costs = option_costs(demand, units, options)
 

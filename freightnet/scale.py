@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: By application: the folder of a local session without a shared one, and that of the scope in use.
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCOPES: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,6 +28,8 @@ def scratch_dir(spark: SparkSession) -> str:
     falls back to a folder of its own.
     """
     app = spark.sparkContext.applicationId
+    if app in _SCOPES:
+        return _SCOPES[app]
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -35,13 +40,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared}/freightnet-{app}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets, so that what is written there keeps its readers."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within this scope intermediate tables go to a folder of their own, which is removed at its end.
+
+    Take what is needed out of it (write or collect the result) before the scope ends.
+    """
+    before = _SCOPES.get(app := spark.sparkContext.applicationId)
+    _SCOPES[app] = f"{scratch_dir(spark)}/scope-{uuid.uuid4().hex}"
+    try:
+        yield _SCOPES[app]
+    finally:
+        folder = _SCOPES.pop(app)
+        if before:
+            _SCOPES[app] = before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Ends the lineage like a checkpoint, survives lost executors, and, being Parquet, still gives later
     readers column pruning, filter pushdown and true sizes for the choice of join.
     """
-    path = f"{scratch_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,8 @@ from pyspark.sql import types as T
 # Exact types: totals do not depend on the order in which tasks add up.
 VOLUME = T.DecimalType(24, 6)
 MONEY = T.DecimalType(28, 6)
+# Dollars per M of a lane: rounded to MONEY only once it is multiplied by a volume.
+LANE = T.DecimalType(18, 10)
 
 # DDL text, which readers take as it is.
 

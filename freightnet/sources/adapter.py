@@ -12,16 +12,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SITES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
-
-
-
-def site_name(key: str) -> str:
-    """Name of a site by key. The sites are a short fixed list, so no join is needed."""
-    names = ", ".join(f"'{s}'" for s in SITES)
-    return f"element_at(array({names}), CAST({key} AS INT) + 1)"
-
+#: Regions that may be sites: their names become columns of lane tables.
+MOST_SITES = 50
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -47,7 +40,6 @@ HISTORY = {
     "ShipMonth": "year(l_shipdate) * 100 + month(l_shipdate)",
     "OrderMonth": "date_format(o_orderdate, 'yyyyMM')",
     "ShipSiteName": "home_site",
-    "MfgSiteName": f"CASE WHEN l_partkey % 97 != 0 THEN {site_name('l_partkey % 5')} END",
     "MST": "CAST(o_custkey AS STRING)",
     "MSTName": "c_name",
     "FrtTermsFix": "CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3') THEN 'PPD' ELSE 'CPU' END",
@@ -72,12 +64,6 @@ def cached(view: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     return once
 
 
-def _to_sites(df: DataFrame) -> DataFrame:
-    """Each row once per site, without a cross join."""
-    spread = df.selectExpr("*", "explode(sequence(0, 4)) AS site_key")
-    return spread.selectExpr("*", f"{site_name('site_key')} AS site")
-
-
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -90,10 +76,35 @@ class Tables:
         self.__dict__[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
         return self.__dict__[name]
 
+    @property
+    def site_list(self) -> list[tuple[int, str]]:
+        """Key and name of every site in order of the key, read from the regions once per query."""
+        if "_sites" not in self.__dict__:
+            rows = self.region.orderBy("r_regionkey").limit(MOST_SITES + 1).collect()
+            if len(rows) > MOST_SITES:
+                raise ValueError(f"more than {MOST_SITES} sites")
+            self.__dict__["_sites"] = [(r["r_regionkey"], r["r_name"]) for r in rows]
+        return self.__dict__["_sites"]
+
+    @property
+    def site_names(self) -> list[str]:
+        return [name for _, name in self.site_list]
+
+    def site_name(self, key: str) -> str:
+        """Name of a site by key. The sites are a short list, so no join is needed."""
+        cases = " ".join(f"WHEN {k} THEN '{name}'" for k, name in self.site_list)
+        return f"CASE {key} {cases} END"
+
+    def _to_sites(self, df: DataFrame) -> DataFrame:
+        """Each row once per site, without a cross join."""
+        keys = ", ".join(str(k) for k, _ in self.site_list)
+        spread = df.selectExpr("*", f"explode(array({keys})) AS site_key")
+        return spread.selectExpr("*", f"{self.site_name('site_key')} AS site")
+
     @cached
     def places(self) -> DataFrame:
         """(nation, MSTCity, MSTState, home_site) of every nation."""
-        home = site_name("n_regionkey")
+        home = self.site_name("n_regionkey")
         return self.nation.selectExpr(
             "n_nationkey AS nation", "n_name AS MSTCity", f"left({home}, 2) AS MSTState", f"{home} AS home_site"
         )
@@ -130,12 +141,14 @@ class Tables:
             # One join after the other, so that each table is judged by its own size.
             homes = self.places().selectExpr("nation AS home", "home_site")
             df = df.join(self.supplier, F.expr("l_suppkey = s_suppkey")).join(homes, F.expr("s_nationkey = home"))
-        return df.selectExpr(*[f"{HISTORY.get(c, c)} AS {c}" for c in cols])
+        plant = f"CASE WHEN l_partkey % 97 != 0 THEN {self.site_name('l_partkey % 5')} END" if "MfgSiteName" in need else ""
+        terms = {**HISTORY, "MfgSiteName": plant}
+        return df.selectExpr(*[f"{terms.get(c, c)} AS {c}" for c in cols])
 
     @cached
     def distances(self) -> DataFrame:
         """(Orig, Dest, Miles) from every site to every place but one."""
-        return _to_sites(self.places().where("nation != 24")).selectExpr(
+        return self._to_sites(self.places().where("nation != 24")).selectExpr(
             "site AS Orig",
             "concat(MSTCity, ', ', MSTState) AS Dest",
             "CAST(100 + 37 * ((site_key * 25 + nation) % 29) AS DOUBLE) AS Miles",
@@ -143,7 +156,7 @@ class Tables:
 
     def raw_distances(self) -> DataFrame:
         """Distance sheet with one destination per customer, off-network ones and gaps included."""
-        rows = _to_sites(self.customer.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
+        rows = self._to_sites(self.customer.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
             "site AS `or.City`",
             "left(site, 2) AS `or.State`",
             "CASE WHEN c_custkey % 62 = 0 THEN 'GNANGARA' ELSE c_name END AS `de.City`",
@@ -176,26 +189,37 @@ class Tables:
     @cached
     def inter_site_rates(self) -> DataFrame:
         """(Plant, ShipSite, CostPerMUnit, CostPerM): the sheet uses either cost name."""
-        return _to_sites(self.region.selectExpr("r_regionkey AS pk", "r_name AS Plant")).selectExpr(
+        return self._to_sites(self.region.selectExpr("r_regionkey AS pk", "r_name AS Plant")).selectExpr(
             "Plant",
             "site AS ShipSite",
             "CASE WHEN (pk + site_key) % 2 = 0 THEN abs(pk - site_key) * 1.25D END AS CostPerMUnit",
             "CASE WHEN (pk + site_key) % 2 != 0 THEN abs(pk - site_key) * 1.25D END AS CostPerM",
         )
 
+    def masters(self, key_length: int) -> DataFrame:
+        """Ship-to master by key; some customers of the demand sheet are not in it."""
+        rows = self.customer.where("c_custkey % 13 != 5").join(self.places(), F.expr("c_nationkey = nation"))
+        return rows.selectExpr(
+            f"'9803' || lpad(CAST(c_custkey AS STRING), {key_length - 4}, '0') AS MST",
+            "'Master ' || (c_custkey - c_custkey % 3) AS MSTName",
+            "MSTCity",
+            "MSTState",
+        )
+
     def sites(self) -> DataFrame:
         """Site codes and names; the last code has no name."""
         return self.region.where("r_regionkey != 4").selectExpr("left(r_name, 2) AS SiteCode", "r_name AS SiteName")
 
     def forecast_sheet(self) -> DataFrame:
         """Two forecast sets: 2001 orders, and half the volume of 2000 orders."""
-        rows = self.history("MfgSiteName", "PrintGroup", "PartType", "OrderMonth", "o_orderdate", "MUnits")
+        rows = self.history("l_partkey", "MfgSiteName", "PrintGroup", "PartType", "OrderMonth", "o_orderdate", "MUnits")
         recent = "o_orderdate >= TIMESTAMP_NTZ'2000-01-01' AND o_orderdate < TIMESTAMP_NTZ'2002-01-01'"
         return rows.where(f"{recent} AND MfgSiteName IS NOT NULL").selectExpr(
             "left(OrderMonth, 4) || '12' AS ForecastSet",
             "OrderMonth AS YearMonth",
             "left(MfgSiteName, 2) AS MfgSite",
-            "PrintGroup",
+            # Some parts are forecast under a print group that was never shipped.
+            "CASE WHEN l_partkey % 41 = 0 THEN 'New ' || PrintGroup ELSE PrintGroup END AS PrintGroup",
             "PartType",
             "CASE WHEN left(OrderMonth, 4) = '2001' THEN MUnits ELSE MUnits / 2 END AS OLMUnits",
         )
