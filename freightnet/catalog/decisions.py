@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from freightnet.catalog import common as c
 from freightnet.catalog import query
+from freightnet.catalog.shaping import SITES
 from freightnet.catalog.views import with_views
 from freightnet.plans import bound, check, network, scenario, waterfall
 from freightnet.scale import cut
-from freightnet.catalog.shaping import SITES
 
 
 @query(
@@ -227,3 +227,65 @@ def price_bound_single_source(t):
         c.demand(t), c.scarce(t), t.distances(), c.rates(t), t.site_names, c.caps(t), iterations=2, step=2.0, single_source=True
     )
     return found.as_table().select("Iteration", F.round("Bound", 3).alias("Bound"), F.round("Best", 3).alias("Best"))
+
+
+def _best_sql(masks: list[int]) -> str:
+    bits = " ".join(f"WHEN '{s}' THEN {1 << i}" for i, s in enumerate(SITES))
+    return f"""WITH masks AS (SELECT unnest([{', '.join(map(str, masks))}]) AS Mask),
+ picked AS (SELECT Mask, MSTName, Loc, FTerms, min(Cost) AS Cost FROM masks CROSS JOIN cust_site
+            WHERE Mask & (CASE ShipSite {bits} END) <> 0 GROUP BY ALL),
+ best AS (SELECT Mask FROM picked GROUP BY Mask ORDER BY sum(Cost), bit_count(Mask), Mask LIMIT 1),
+ chosen AS (SELECT cust_site.* FROM cust_site, best WHERE Mask & (CASE ShipSite {bits} END) <> 0
+            QUALIFY row_number() OVER (PARTITION BY MSTName, Loc, FTerms ORDER BY Cost, ShipSite) = 1),
+ flows AS (SELECT ShipSite, demand.* FROM demand JOIN chosen USING (MSTName, Loc, FTerms))"""
+
+
+def _best_open(t, most: int):
+    """Flows of the cheapest set of at most ``most`` sites; the set is the one row that reaches the driver."""
+    wanted, units = c.kept_demand(t), cut(_units(t))
+    best = scenario.open_site_scenarios(wanted, units, t.site_names, 1, most, top=1).first()
+    return scenario.open_plan(wanted, units, c.inbound(t), t.site_names, best["OpenSites"].split("+"))
+
+
+@query("best_open_plan", "N4", with_views(_best_sql(scenario.site_sets(5, 1, 2)) + " SELECT * FROM flows"))
+def best_open_plan(t):
+    return _best_open(t, 2)[0]
+
+
+@query(
+    "best_open_plan_check",
+    "N4 N7",
+    with_views(
+        _best_sql(scenario.site_sets(5, 1, 2))
+        + """, taken AS (SELECT MfgSite, RPType, sum(MUnits) AS MUnits FROM flows JOIN inbound USING (ShipSite, RPType) GROUP BY ALL)
+ SELECT 'supply' AS Rule, MfgSite || '|' || RPType AS "Key", MUnits AS Actual, Capacity AS "Limit" FROM taken JOIN supply USING (MfgSite, RPType) WHERE MUnits > Capacity
+ UNION ALL SELECT 'throughput', ShipSite, sum(MUnits), any_value(Cap) FROM flows JOIN caps USING (ShipSite) GROUP BY ShipSite HAVING sum(MUnits) > any_value(Cap)"""
+    ),
+)
+def best_open_plan_check(t):
+    """Rules that the plan of the best pair of sites breaks once capacity counts: none would make it the optimum."""
+    out, moved = _best_open(t, 2)
+    return check.check_plan(cut(out), cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), 1, 2)
+
+
+@query(
+    "spoiled_plan_check",
+    "N7",
+    with_views("""WITH bad AS (SELECT ShipSite, MSTName, Loc, FTerms, RPType,
+    CASE WHEN MSTName LIKE '%7' THEN MUnits * 2 WHEN MSTName LIKE '%3' THEN -MUnits ELSE MUnits END AS MUnits FROM outbound)
+  SELECT 'demand' AS Rule, concat_ws('|', MSTName, Loc, FTerms, RPType) AS "Key", bad.MUnits AS Actual, demand.MUnits AS "Limit"
+  FROM bad JOIN demand USING (MSTName, Loc, FTerms, RPType) WHERE bad.MUnits <> demand.MUnits
+  UNION ALL SELECT 'link', concat_ws('|', ShipSite, MSTName, Loc, FTerms, RPType), bad.MUnits, demand.MUnits
+  FROM bad JOIN demand USING (MSTName, Loc, FTerms, RPType) WHERE bad.MUnits > demand.MUnits
+  UNION ALL SELECT 'negative_outbound', concat_ws('|', ShipSite, MSTName, Loc, FTerms, RPType), MUnits, 0 FROM bad WHERE MUnits < 0
+  UNION ALL SELECT 'site_balance', ShipSite || '|' || RPType, a, b FROM
+    (SELECT ShipSite, RPType, sum(MUnits) AS a FROM moved GROUP BY ALL) JOIN (SELECT ShipSite, RPType, sum(MUnits) AS b FROM bad GROUP BY ALL) USING (ShipSite, RPType) WHERE a <> b"""),
+)
+def spoiled_plan_check(t):
+    """A plan with some flows doubled and some reversed breaks the rules of links, signs, demand and site balance."""
+    out, moved = _plan(t)
+    name = F.col("MSTName")
+    spoiled = F.when(name.endswith("7"), F.col("MUnits") * 2).when(name.endswith("3"), -F.col("MUnits")).otherwise(F.col("MUnits"))
+    bad = cut(out.withColumn("MUnits", spoiled))
+    rows = check.check_plan(bad, cut(moved), c.kept_demand(t), c.kept_supply(t))
+    return rows.where(F.col("Rule") != "supply")

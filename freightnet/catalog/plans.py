@@ -6,8 +6,10 @@ from freightnet.catalog import common as c
 from freightnet.catalog import query
 from freightnet.catalog.decisions import _plan
 from freightnet.catalog.views import with_views
-from freightnet.plans import cost, geo, report
-from freightnet.scale import fresh_path
+from freightnet.functions.scalar import lid_or_cup
+from freightnet.operators import tables as op
+from freightnet.plans import cost, demand, forecast, geo, network, report
+from freightnet.scale import cut, fresh_path
 from freightnet.sources.readers import read_table
 from freightnet.sources.writers import write_table, write_tsv
 
@@ -59,6 +61,79 @@ def inter_site_lane_summary(t):
     return report.inter_site_lanes(moved.withColumnsRenamed({"MfgSiteName": "MfgSite", "ShipSiteName": "ShipSite"}))
 
 
+MOVES = """(SELECT MfgSite, moved.ShipSite, RPType AS PType, MUnits, MUnits * CostPerMUnit AS Freight
+  FROM moved JOIN rates ON Plant = MfgSite AND rates.ShipSite = moved.ShipSite WHERE MfgSite <> moved.ShipSite)"""
+
+
+def _moves(t):
+    return report.inter_site_rows(_plan(t)[1], c.rates(t))
+
+
+@query(
+    "plan_by_plant",
+    "K3",
+    with_views(f"SELECT MfgSite, sum(MUnits) AS SumMUnits, CAST(sum(CAST(Freight AS DECIMAL(24, 6))) AS DOUBLE) AS Freight FROM {MOVES} GROUP BY ALL"),
+)
+def plan_by_plant(t):
+    return report.site_summary(_moves(t), "MfgSite")
+
+
+@query("plan_inter_site_lanes", "K4", with_views(f"SELECT MfgSite, ShipSite, sum(MUnits) AS MUnits FROM {MOVES} GROUP BY ALL"))
+def plan_inter_site_lanes(t):
+    return report.inter_site_lanes(_moves(t))
+
+
+@query(
+    "plan_lane_lines",
+    "K6 J14 W4",
+    with_views(f"""SELECT ShipSite, Dest, MUnits, sum(MUnits) OVER (PARTITION BY Dest) AS DestMUnits, Latitude AS OrigLat, Longitude AS OrigLon, lat AS DestLat, lon AS DestLon
+  FROM (SELECT ShipSite, Dest, sum(MUnits) AS MUnits FROM {OUT} GROUP BY ALL) LEFT JOIN fac ON Name = ShipSite LEFT JOIN cent USING (Dest)"""),
+)
+def plan_lane_lines(t):
+    lanes = op.total(_outbound(t), ["ShipSite", "Dest"], "MUnits")
+    return report.lane_lines(cut(lanes), t.facilities(), geo.dest_centroids(t.geocodes()))
+
+
+@query(
+    "plan_inter_site_lines",
+    "K6 J14 W4",
+    with_views(f"""SELECT MfgSite, ShipSite, MUnits, sum(MUnits) OVER (PARTITION BY ShipSite) AS SiteMUnits, a.Latitude AS OrigLat, a.Longitude AS OrigLon, b.Latitude AS DestLat, b.Longitude AS DestLon
+  FROM (SELECT MfgSite, ShipSite, sum(MUnits) AS MUnits FROM {MOVES} GROUP BY ALL) LEFT JOIN fac a ON a.Name = MfgSite LEFT JOIN fac b ON b.Name = ShipSite"""),
+)
+def plan_inter_site_lines(t):
+    return report.inter_site_lines(cut(report.inter_site_lanes(_moves(t))), t.facilities())
+
+
+FORECAST_PLAN = """WITH placed AS (SELECT MSTName, Loc, 'PPD' AS FTerms, PrintGroup, PartType, MUnits FROM clean),
+ base AS (SELECT MSTName, Loc, FTerms, PrintGroup, PartType, sum(MUnits) AS MUnits FROM placed GROUP BY ALL),
+ shares AS (SELECT MSTName, Loc, FTerms, PrintGroup, PartType, MUnits / nullif(sum(MUnits) OVER (PARTITION BY PrintGroup, PartType), 0) AS Pct FROM base),
+ parts AS (SELECT PrintGroup, PartType, sum(OLMUnits) AS u FROM fcst GROUP BY ALL),
+ wanted AS (SELECT MSTName, Loc, FTerms, CASE WHEN substr(PartType, 1, 1) = 'L' THEN PartType ELSE RootPartType END AS RPType,
+                   sum(CAST(Pct * u AS DECIMAL(24, 6))) AS MUnits
+            FROM shares JOIN parts USING (PrintGroup, PartType) JOIN root_key USING (PartType)
+            WHERE Loc IN (SELECT Dest FROM dist) GROUP BY ALL),
+ costs AS (SELECT MSTName, Loc, FTerms, ShipSite, sum(CAST(MUnits * Unit AS DECIMAL(28, 6))) AS Cost
+           FROM wanted JOIN units ON Loc = Dest AND wanted.RPType = units.RPType GROUP BY ALL),
+ chosen AS (SELECT * FROM costs QUALIFY row_number() OVER (PARTITION BY MSTName, Loc, FTerms ORDER BY Cost, ShipSite) = 1),
+ flows AS (SELECT ShipSite, wanted.* FROM wanted JOIN chosen USING (MSTName, Loc, FTerms))
+ SELECT ShipSite, round(CAST(sum(MUnits) AS DOUBLE), 3) AS SumMUnits, round(CAST(sum(CAST(MUnits * CAST(Miles * 0.00615 AS DECIMAL(18, 10)) AS DECIMAL(28, 6))) AS DOUBLE), 2) AS Freight
+ FROM flows JOIN dist ON Orig = ShipSite AND dist.Dest = Loc GROUP BY ShipSite"""
+
+
+@query("forecast_plan_by_site", "B7 B8 N3 K1 K3", with_views(FORECAST_PLAN))
+def forecast_plan_by_site(t):
+    """From the forecast to a plan: past shares spread it over customers, root products and lanes decide the site."""
+    shares = forecast.split_share(c.clean(t, "MSTName", "FrtTermsFix", "PrintGroup", "PartType"))
+    expected = forecast.forecast(t.forecast_sheet(), t.sites(), "200112", "200102", "200107")
+    spread = forecast.allocate_forecast(shares, expected).withColumn("PTypeFix", lid_or_cup("PartType"))
+    rooted = demand.root_product_key(spread, c.root_list(t))
+    wanted = cut(demand.demand(rooted, t.distances(), [*network.CUSTOMER, "RPType"]))
+    units = network.unit_costs(t.distances(), c.inbound(t), t.site_names)
+    out, _ = network.assigned_plan(wanted, network.single_source_assign(wanted, units, t.site_names), c.inbound(t))
+    rows = report.site_summary(report.outbound_rows(out, t.distances()), "ShipSite")
+    return rows.select("ShipSite", F.round("SumMUnits", 3).alias("SumMUnits"), F.round(F.col("Freight").cast("double"), 2).alias("Freight"))
+
+
 @query(
     "demand_bubbles",
     "K5 J13 C15",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import RATE, flows, freight, size_bin
-from freightnet.operators.tables import lookup, total, with_group_total
+from freightnet.operators.tables import exact_sum, lookup, total, with_group_total
 from freightnet.schemas import MONEY, VOLUME
 
 
@@ -37,7 +37,7 @@ def inter_site_rows(inbound: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def site_summary(rows: DataFrame, site: str) -> DataFrame:
-    return rows.groupBy(site).agg(F.sum("MUnits").alias("SumMUnits"), F.sum("Freight").alias("Freight"))
+    return rows.groupBy(site).agg(exact_sum(rows, "MUnits").alias("SumMUnits"), exact_sum(rows, "Freight").alias("Freight"))
 
 
 def lane_summary(rows: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightnet.plans.network import option_costs
+from freightnet.operators.tables import lookup, total
+from freightnet.plans.network import CUSTOMER, PRODUCT, option_costs
 
 #: Sites whose sets are enumerated unless the caller allows more: each one doubles the sets.
 MOST_SITES = 12
@@ -66,3 +67,40 @@ def open_site_scenarios(
     order = Window.orderBy("Unserved", F.col("Cost").asc_nulls_last(), "NOpen", "Mask")
     ranked = named.withColumn("Rank", F.row_number().over(order))
     return ranked if top is None else ranked.orderBy("Rank").limit(top)
+
+
+def open_plan(
+    demand: DataFrame,
+    units: DataFrame,
+    inbound: DataFrame,
+    sites: Sequence[str],
+    chosen: Sequence[str],
+    sites_per_customer: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Outbound and inter-site flows when only the ``chosen`` sites are open.
+
+    Each customer gets its cheapest site, or set of up to ``sites_per_customer`` sites of which each product
+    takes the cheaper one; ties go to the first site and the smaller set. The flows cost what
+    ``open_site_scenarios`` says, and are the optimum if they pass ``check_plan`` with the real capacities.
+    """
+    at = [list(sites).index(s) for s in sorted(chosen)]
+    options = [c for k in range(1, sites_per_customer + 1) for c in combinations(at, k)]
+    costs = option_costs(demand, units, options)
+    ranked = [
+        F.when(F.col(f"o{i}").isNotNull(), F.struct(F.col(f"o{i}").alias("Cost"), F.lit(i).alias("Option")))
+        for i in range(len(options))
+    ]
+    best = F.least(*ranked) if len(ranked) > 1 else ranked[0]
+    served = costs.select(*CUSTOMER, best.alias("best")).where(F.col("best").isNotNull()).select(*CUSTOMER, "best.Option")
+    priced = lookup(demand.join(served, CUSTOMER), units, {"Loc": "Dest", PRODUCT: PRODUCT})
+    site = F.lit(None).cast("string")
+    for i, option in enumerate(options):
+        cheapest = [F.struct(F.col(f"u{s}").alias("u"), F.lit(sites[s]).alias("s")) for s in option]
+        one = F.least(*cheapest) if len(cheapest) > 1 else cheapest[0]
+        if len(cheapest) > 1:  # a site without a way for the product is no choice
+            one = F.least(*[F.when(F.col(f"u{s}").isNotNull(), c) for s, c in zip(option, cheapest)])
+        site = F.when(F.col("Option") == i, one["s"]).otherwise(site)
+    outbound = priced.select(site.alias("ShipSite"), *CUSTOMER, PRODUCT, "MUnits")
+    needs = total(outbound, ["ShipSite", PRODUCT], "MUnits")
+    moved = needs.join(inbound, ["ShipSite", PRODUCT]).select("MfgSite", "ShipSite", PRODUCT, "MUnits")
+    return outbound, moved
