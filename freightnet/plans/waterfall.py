@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import RATE, lane_rate
@@ -13,8 +13,6 @@ from freightnet.plans.network import CUSTOMER, PRODUCT
 from freightnet.scale import cut, running_total, slice_rows
 from freightnet.schemas import MONEY, VOLUME
 
-ROWS_PER_CELL = 10_000
-
 
 def cheapest_routes(dist: DataFrame, rates: DataFrame, rate: Decimal = RATE) -> DataFrame:
     """Cheapest site between each plant and place, ties to the first name; a small written table."""
@@ -29,20 +27,10 @@ def cheapest_routes(dist: DataFrame, rates: DataFrame, rate: Decimal = RATE) ->
     )
 
 
-def demand_slices(demand: DataFrame) -> DataFrame:
+def demand_slices(demand: DataFrame, slices: int | None = None) -> DataFrame:
     """Exact volume per customer and product, sliced for the running total of each product."""
     wanted = total(demand, [*CUSTOMER, PRODUCT], "MUnits").where(F.col("MUnits") > 0)
-    return slice_rows(wanted.withColumn("MUnits", F.col("MUnits").cast(VOLUME)), [PRODUCT], CUSTOMER)
-
-
-def product_ends(slices: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
-    """Total demand of each product and the width of its cells, one row per product.
-
-    Written, so that its true size decides the joins with the intervals.
-    """
-    end = F.sum("MUnits").cast(VOLUME)
-    cells = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell))
-    return cut(slices.groupBy(PRODUCT).agg(end.alias("End"), (end.cast("double") / cells).alias("Width")))
+    return slice_rows(wanted.withColumn("MUnits", F.col("MUnits").cast(VOLUME)), [PRODUCT], CUSTOMER, slices)
 
 
 def supply_intervals(supply: DataFrame) -> DataFrame:
@@ -54,37 +42,30 @@ def supply_intervals(supply: DataFrame) -> DataFrame:
     return exact.withColumn("s1", s1).withColumn("s0", F.col("s1") - F.col("Capacity")).drop("Capacity")
 
 
-def overlaps(wanted: DataFrame, have: DataFrame, ends: DataFrame) -> DataFrame:
+def overlaps(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """Where demand intervals [d0, d1) and supply intervals [s0, s1) of a product meet.
 
-    The running total of each product is cut into cells of equal volume; both sides list the cells they
-    touch and meet on (product, cell), so no product is joined in one piece and no pair outside a shared
-    cell is formed. A pair that shares several cells is kept in the cell where it begins.
+    Demand comes in slices of near-equal rows, however its volume is spread. The few supply intervals are matched to
+    the range of each slice, and the rows meet them on (product, slice): each row lies in one slice, so no pair is
+    formed twice and no product is joined in one piece.
     """
-
-    def cell(x: Column) -> Column:
-        return F.floor(x.cast("double") / F.col("Width"))
-
-    def celled(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        return df.withColumn("Cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))
-
-    useful = have.join(ends, PRODUCT).where(F.col("s0") < F.col("End")).withColumn("s1", F.least("s1", "End"))
-    left = celled(wanted.join(ends.drop("End"), PRODUCT), "d0", "d1")
-    right = celled(useful, "s0", "s1").drop("Width", "End")
+    ranges = wanted.groupBy(PRODUCT, "__slice").agg(F.min("d0").alias("__lo"), F.max("d1").alias("__hi"))
+    near = ranges.join(have, PRODUCT).where((F.col("s0") < F.col("__hi")) & (F.col("__lo") < F.col("s1")))
+    # One row per slice and border of a supply interval. Written, so that its true size decides the join.
+    near = cut(near.drop("__lo", "__hi"))
     start, end = F.greatest("d0", "s0"), F.least("d1", "s1")
-    met = left.join(right, [PRODUCT, "Cell"]).where((start < end) & (cell(start) == F.col("Cell")))
+    met = wanted.join(near, [PRODUCT, "__slice"]).where(start < end).drop("__slice")
     return met.withColumn("MUnits", (end - start).cast(VOLUME))
 
 
-def waterfall_plan(demand: DataFrame, supply: DataFrame, routes: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def waterfall_plan(demand: DataFrame, supply: DataFrame, routes: DataFrame, slices: int | None = None) -> DataFrame:
     """Plants in name order fill customers in name order, product by product.
 
     Feasible for plant capacity, not optimal, and blind to site throughput and to one-site rules. Each flow
     takes the cheapest site between its plant and its customer.
     """
-    slices = demand_slices(demand)
-    wanted = running_total(slices, [PRODUCT], CUSTOMER, "MUnits", "d0", "d1").drop("MUnits")
-    met = overlaps(wanted, supply_intervals(supply), product_ends(slices, rows_per_cell))
+    wanted = running_total(demand_slices(demand, slices), [PRODUCT], CUSTOMER, "MUnits", "d0", "d1", keep_slice=True)
+    met = overlaps(wanted.drop("MUnits"), supply_intervals(supply))
     located = lookup(met, routes, {"MfgSite": "MfgSite", "Loc": "Dest"})
     return located.select(
         "MfgSite",

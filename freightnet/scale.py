@@ -81,9 +81,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def slice_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range-partition on (by, order) and freeze the slice number of every row in a written table."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*by, *order)])
+def slice_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Range-partition on (by, order) and freeze the slice number of every row in a written table.
+
+    ``slices`` is the number of slices of near-equal rows, by default ``spark.sql.shuffle.partitions``: choose it so
+    that a slice fits a task.
+    """
+    keys = [F.col(c) for c in (*by, *order)]
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
     return cut(ranged.withColumn("__slice", F.spark_partition_id()))
 
 
@@ -96,7 +101,7 @@ def _with_offsets(
     the rows move once for both.
     """
     keys = ["__group", "__slice"]
-    rows = sliced.withColumn("__group", F.struct(*by))
+    rows = sliced.withColumn("__group", F.struct(*by)).withColumn("__kept", F.col("__slice"))
     totals = rows.groupBy(*keys).agg(F.sum(amount).alias("__slice_total"))
     # One row per slice of a group: bounded by the number of partitions, never by the number of rows.
     group = Window.partitionBy("__group")
@@ -112,11 +117,12 @@ def _with_offsets(
         ranked.join(offsets, keys)
         .withColumn("__before", F.col("__offset") + F.col("__inside"))
         .drop(*keys, "__offset", "__inside")
+        .withColumnRenamed("__kept", "__slice")
     )
 
 
 def running_total(
-    sliced: DataFrame, by: Sequence[str], order: Sequence[str], value: str, start: str, end: str
+    sliced: DataFrame, by: Sequence[str], order: Sequence[str], value: str, start: str, end: str, keep_slice: bool = False
 ) -> DataFrame:
     """Add the half-open interval [start, end) that ``value`` takes on the running total of its group.
 
@@ -129,7 +135,7 @@ def running_total(
     return (
         spread.withColumn(start, F.col("__before").cast(dtype))
         .withColumn(end, (F.col("__before") + amount).cast(dtype))
-        .drop("__before", "__total")
+        .drop("__before", "__total", *([] if keep_slice else ["__slice"]))
     )
 
 

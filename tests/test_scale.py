@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freightnet import scale
 from freightnet.operators import tables as op
-from freightnet.plans.waterfall import overlaps, product_ends
+from freightnet.plans.waterfall import overlaps, waterfall_plan
 
 
 @pytest.fixture
@@ -53,8 +53,8 @@ def test_rank_and_count_equals_dense_rank(spark, hot):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("rows_per_cell", [1, 7, 10_000])
-def test_overlaps_equal_brute_force(spark, rows_per_cell):
+@pytest.mark.parametrize("rows_per_slice", [1, 7, 10_000])
+def test_overlaps_equal_brute_force(spark, rows_per_slice):
     demand, supply, at = [], [], 0.0
     for i in range(60):
         size = (i * 37) % 23 + 0.5
@@ -72,14 +72,28 @@ def test_overlaps_equal_brute_force(spark, rows_per_cell):
 
     demand, supply = exact(demand), exact(supply)
     wanted = spark.createDataFrame(demand, types.format("cust", "d0", "d1"))
-    ends = product_ends(wanted.withColumn("MUnits", F.col("d1") - F.col("d0")), rows_per_cell)
-    got = overlaps(wanted, spark.createDataFrame(supply, types.format("MfgSite", "s0", "s1")), ends)
+    number = F.floor(F.substring("cust", 2, 9).cast("int") / rows_per_slice)
+    got = overlaps(wanted.withColumn("__slice", number), spark.createDataFrame(supply, types.format("MfgSite", "s0", "s1")))
     want = [
         (c, m, min(d1, s1) - max(d0, s0)) for _, c, d0, d1 in demand for _, m, s0, s1 in supply if max(d0, s0) < min(d1, s1)
     ]
     assert sorted(tuple(r) for r in got.select("cust", "MfgSite", "MUnits").collect()) == sorted(want)
 
 
+def test_a_giant_customer_leaves_slices_even(spark):
+    """One customer with nearly all volume: the rows still meet in slices of near-equal rows."""
+    rows = [(f"c{k:05d}", "X, YZ", "PPD", "P", 1e9 if k == 77 else 1.0) for k in range(4000)]
+    demand = spark.createDataFrame(rows, "MSTName string, Loc string, FTerms string, RPType string, MUnits double")
+    supply = spark.createDataFrame([("A", "P", 5e8), ("B", "P", 6e8)], "MfgSite string, RPType string, Capacity double")
+    routes = spark.createDataFrame(
+        [("A", "S", "X, YZ", 1.0), ("B", "S", "X, YZ", 2.0)], "MfgSite string, ShipSite string, Dest string, UnitCost double"
+    ).withColumn("UnitCost", F.col("UnitCost").cast("decimal(18,8)"))
+    plan = waterfall_plan(demand, supply, routes, slices=8)
+    assert plan.agg(F.sum("MUnits")).first()[0] == 1e9 + 3999 and plan.count() == 4001
+    sizes = scale.slice_rows(demand, ["RPType"], ["MSTName"], slices=8).groupBy("__slice").count().collect()
+    assert max(r["count"] for r in sizes) < 4 * 4000 / 8
+
+
 def test_cut_writes_to_the_shared_folder(spark):
     folder = scale.scratch_dir(spark)
     df = scale.cut(spark.range(10).withColumn("x", F.col("id") * 2))
