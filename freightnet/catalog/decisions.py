@@ -110,13 +110,13 @@ def balance_by_product(t):
   UNION ALL SELECT 'inter_site', sum(MUnits), sum(MUnits * CostPerMUnit) FROM moved JOIN rates ON Plant = MfgSite AND rates.ShipSite = moved.ShipSite"""),
 )
 def single_source_plan_cost(t):
-    out, moved = _plan(t)
+    out, moved = _plan(t, keep=True)
     return network.plan_cost(out, moved, t.distances(), c.rates(t))
 
 
-def _plan(t):
+def _plan(t, keep=False):
     wanted, inbound = c.kept_demand(t), c.inbound(t)
-    return network.assigned_plan(wanted, network.single_source_assign(wanted, _units(t), t.site_names), inbound)
+    return network.assigned_plan(wanted, network.single_source_assign(wanted, _units(t), t.site_names), inbound, keep)
 
 
 WATER = "SELECT MfgSite, ShipSite, MSTName, Loc, FTerms, RPType, CAST(Flow AS DOUBLE) AS MUnits, CAST(Flow * UnitCost AS DOUBLE) AS Cost FROM waterfall"
@@ -169,9 +169,9 @@ def waterfall_check(t):
   UNION ALL SELECT 'max_served', ShipSite, CAST(count(DISTINCT Loc) AS DOUBLE), 3 FROM outbound GROUP BY ShipSite HAVING count(DISTINCT Loc) > 3"""),
 )
 def single_source_check(t):
-    out, moved = _plan(t)
+    out, moved = _plan(t, keep=True)
     rules = {"sites_per_customer": 1, "max_open": 2, "closed": ["ASIA", "EUROPE"], "arc_limit": 4000, "max_served": 3}
-    return check.check_plan(cut(out), cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), **rules)
+    return check.check_plan(out, cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), **rules)
 
 
 def _split_sql(k: int) -> str:

@@ -87,10 +87,14 @@ def single_source_assign(demand: DataFrame, units: DataFrame, sites: Sequence[st
     return costs.select(*CUSTOMER, best.alias("best")).select(*CUSTOMER, "best.ShipSite", "best.Cost")
 
 
-def assigned_plan(demand: DataFrame, assigned: DataFrame, inbound: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Outbound and inter-site flows of a single-source assignment."""
+def assigned_plan(demand: DataFrame, assigned: DataFrame, inbound: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Outbound and inter-site flows of a single-source assignment.
+
+    ``keep`` writes the outbound flows once, for callers that read both legs or one of them several times.
+    """
     sites = assigned.where(F.col("ShipSite").isNotNull()).select(*CUSTOMER, "ShipSite")
     outbound = demand.join(sites, CUSTOMER).select("ShipSite", *CUSTOMER, PRODUCT, "MUnits")
+    outbound = cut(outbound) if keep else outbound
     needs = total(outbound, ["ShipSite", PRODUCT], "MUnits")
     moved = needs.join(inbound, ["ShipSite", PRODUCT]).select("MfgSite", "ShipSite", PRODUCT, "MUnits")
     return outbound, moved

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 from freightnet.operators.tables import lookup, total
 from freightnet.plans.network import CUSTOMER, PRODUCT, option_costs
+from freightnet.scale import cut
 
 #: Sites whose sets are enumerated unless the caller allows more: each one doubles the sets.
 MOST_SITES = 12
+#: Sets that one pass over the customers adds up.
+SETS_PER_PASS = 64
 
 
 def site_sets(n: int, min_open: int, max_open: int, closed: Sequence[int] = (), most_sites: int = MOST_SITES) -> list[int]:
@@ -23,6 +27,18 @@ def site_sets(n: int, min_open: int, max_open: int, closed: Sequence[int] = (),
     return [m for m in range(1, 1 << n) if not m & shut and min_open <= m.bit_count() <= max_open]
 
 
+def _set_sums(costs: DataFrame, options: Sequence[Sequence[int]], masks: Sequence[int]) -> DataFrame:
+    """(Mask, Cost, Unserved): the cost of each set and the number of customers that it cannot serve."""
+    bits = [sum(1 << s for s in option) for option in options]
+    aggs = []
+    for m in masks:
+        usable = [F.col(f"o{i}") for i, b in enumerate(bits) if m & b == b]
+        best = F.least(*usable) if len(usable) > 1 else usable[0]
+        aggs += [F.sum(best).alias(f"c{m}"), F.count(F.when(best.isNull(), 1)).alias(f"n{m}")]
+    rows = [F.struct(F.lit(m).alias("Mask"), F.col(f"c{m}").alias("Cost"), F.col(f"n{m}").alias("Unserved")) for m in masks]
+    return costs.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def open_site_scenarios(
     demand: DataFrame,
     units: DataFrame,
@@ -45,16 +61,11 @@ def open_site_scenarios(
     options = [c for k in range(1, sites_per_customer + 1) for c in combinations(range(n), k)]
     costs = option_costs(demand, units, options)
 
-    # One row per customer fans out to one per set, and folds back to one per set before the shuffle.
-    fanned = costs.withColumn("Mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    usable = []
-    for i, option in enumerate(options):
-        bits = sum(1 << s for s in option)
-        usable.append(F.when(F.col("Mask").bitwiseAND(F.lit(bits)) == bits, F.col(f"o{i}")))
-    best = F.least(*usable) if len(usable) > 1 else usable[0]
-    sums = fanned.select("Mask", best.alias("Cost")).groupBy("Mask").agg(
-        F.sum("Cost").alias("Cost"), F.sum(F.when(F.col("Cost").isNull(), 1).otherwise(0)).alias("Unserved")
-    )
+    # Sets are columns of one aggregate, so a customer stays one row; beyond a block of sets the costs, written once,
+    # are read again for each block.
+    blocks = [masks[k : k + SETS_PER_PASS] for k in range(0, len(masks), SETS_PER_PASS)]
+    costs = cut(costs) if len(blocks) > 1 else costs
+    sums = reduce(DataFrame.unionByName, [_set_sums(costs, options, block) for block in blocks])
     names = [F.when(F.col("Mask").bitwiseAND(F.lit(1 << i)) != 0, s) for i, s in enumerate(sites)]
     named = sums.select(
         "Mask",

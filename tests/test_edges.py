@@ -106,3 +106,34 @@ def test_no_volume_is_repeated_by_geocodes(spark):
 def test_bills_join_several_orders(spark):
     bills = entry.queries()["freight_by_bill"](spark, SMALL)
     assert bills.count() < Tables(spark, SMALL).orders.count()
+
+
+@pytest.mark.parametrize("per_customer", [1, 2])
+def test_plan_of_a_site_set_costs_what_the_scenario_says(spark, per_customer):
+    from freightnet.plans import network
+
+    demand_ = spark.createDataFrame(
+        [(f"c{k}", f"P{k % 3}", "PPD", f"r{j}", float(1 + k * j)) for k in range(12) for j in range(3)],
+        "MSTName string, Loc string, FTerms string, RPType string, MUnits double",
+    )
+    dist = spark.createDataFrame(
+        [(s, f"P{p}", float(100 + 77 * ((i * 5 + p * 3) % 7))) for i, s in enumerate("ABC") for p in range(3) if (s, p) != ("B", 2)],
+        "Orig string, Dest string, Miles double",
+    )
+    inbound = spark.createDataFrame(
+        [(s, f"r{j}", "M", Decimal((i + j) % 3)) for i, s in enumerate("ABC") for j in range(3)],
+        "ShipSite string, RPType string, MfgSite string, Inbound decimal(28,6)",
+    )
+    sites = ["A", "B", "C"]
+    units = network.unit_costs(dist, inbound, sites)
+    for row in scenario.open_site_scenarios(demand_, units, sites, sites_per_customer=per_customer).collect():
+        if row["Unserved"]:
+            continue
+        chosen = row["OpenSites"].split("+")
+        out, moved = scenario.open_plan(demand_, units, inbound, sites, chosen, per_customer)
+        priced = out.join(dist, (F.col("ShipSite") == F.col("Orig")) & (F.col("Loc") == F.col("Dest")))
+        lanes = priced.agg(F.sum(freight("MUnits", "Miles"))).first()[0]
+        inward = moved.join(inbound, ["ShipSite", "RPType", "MfgSite"]).agg(F.sum(F.col("MUnits") * F.col("Inbound"))).first()[0]
+        assert float(lanes) + float(inward) == pytest.approx(float(row["Cost"]), abs=1e-3)
+        assert set(r[0] for r in out.select("ShipSite").distinct().collect()) <= set(chosen)
+        assert out.groupBy("MSTName").agg(F.countDistinct("ShipSite").alias("n")).where(F.col("n") > per_customer).count() == 0
