@@ -2,7 +2,8 @@
 
 Texts become sets of hashed word shingles. Shingles are hashed into groups; how many fall into each group is a point, and
 the overlap of two sets is at most the sum of the smaller coordinates, so pairs whose bound is too small are never
-compared. Surviving pairs are verified on the sets themselves.
+compared. A one-byte digest of the content of each of as many finer groups as the set has shingles, or half as many,
+tightens the bound at the leaves: each group that differs holds a shingle that only one of the sets has. Surviving pairs are verified on the sets themselves.
 
 Bringing pairs together. Two sets that link differ in at most D = (a + b)(1 - s)/(1 + s) shingles. Cut into D + 3 groups
 they agree in the whole content of three groups at least, so a digest of each group's content is a key under which every
@@ -24,19 +25,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightnet.llm.graph import components
+from freightnet.llm.steps import step
 from freightnet.llm.texts import WORD_BY_SPACE, Slice, as_arrow, mix, slices, text_of
-from freightnet.scale import cut
 
 SHINGLE = 3
 SHARE = 90
-DIMENSIONS = 64
+DIMENSIONS, LEAST_DIGEST = 64, 64
+#: Sets whose texts are looked up by a broadcast of their keys; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 LEAF = 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,6 +100,20 @@ def point(found: np.ndarray) -> np.ndarray:
     return np.bincount((found >> np.uint64(48)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
 
 
+def digest(found: np.ndarray) -> np.ndarray:
+    """A byte from the content of each of some groups; their number is a power of two between half the size and all."""
+    groups = max(LEAST_DIGEST, 1 << max(len(found) - 1, 1).bit_length() - 1)
+    out = np.zeros(groups, np.uint8)
+    np.bitwise_xor.at(out, (found >> np.uint64(32)).astype(np.int64) % groups, (found & np.uint64(255)).astype(np.uint8))
+    return out
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Groups that differ; the longer digest is folded to the length of the shorter one."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.count_nonzero(x != np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)))
+
+
 def set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -107,46 +125,62 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def features(documents: DataFrame, id_col: str, size: int, share: int) -> DataFrame:
-    """One row per document: id, version (hash of the text), n, set, keys, point."""
+    """One row per document: id, version (hash of the text), n, set, keys, point, digest."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, sets = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         found_keys: list = [None] * batch.num_rows
         points: list = [None] * batch.num_rows
+        digests: list = [None] * batch.num_rows
         for part in slices(batch.column("text")):
             for row, found in shingles(part, size):
                 n[row], sets[row] = len(found), set_id(found)
                 found_keys[row], points[row] = keys(found, share).view(np.int64), point(found)
+                digests[row] = digest(found).tobytes()
         columns = [batch.column(id_col), batch.column("version"), pa.array(n), pa.array(sets, mask=n == 0)]
         columns += [_lists(found_keys, pa.int64()), _lists(points, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, names=[id_col, "version", "n", "set", "keys", "point"])
+        names = [id_col, "version", "n", "set", "keys", "point", "digest"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], names=names)
 
     rows = text_of(documents, id_col).withColumn("version", F.xxhash64("text")).select(id_col, "version", "text")
-    schema = f"{id_col} {kind}, version bigint, n bigint, set bigint, keys array<bigint>, point array<int>"
+    schema = f"{id_col} {kind}, version bigint, n bigint, set bigint, keys array<bigint>, point array<int>, digest binary"
     return as_arrow(rows, of, schema)
 
 
-def _enough(overlap: Column, a: str, b: str, share: int) -> Column:
-    return 100 * overlap >= share * (F.col(a) + F.col(b) - overlap)
+def _may_link(a: Places, b: Places, share: int) -> np.ndarray:
+    """Rows at which the bounds allow a link, compared place by place."""
+    most = np.minimum(a.points, b.points).sum(axis=1)
+    both = a.sizes + b.sizes
+    keep = 100 * most >= share * (both - most)
+    for k in np.flatnonzero(keep):
+        keep[k] = (100 + share) * _differ(a.digests[k], b.digests[k]) <= (100 - share) * both[k]
+    return keep
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) whose summed coordinate minima allow enough overlap."""
+    """Pairs (a, b) whose bounds allow a link."""
     for c in ("a", "b"):
-        pairs = pairs.join(points.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")), c)
-    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return pairs.where(_enough(most, "n_a", "n_b", share)).select("a", "b")
+        own = points.select(F.col("set").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "point", "digest")])
+        pairs = pairs.join(own, c)
 
+    def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = pa.array(_may_link(Places.of(batch, "_a"), Places.of(batch, "_b"), share))
+        return pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col: str, size: int, share: int) -> DataFrame:
-    """Pairs (a, b) that link. Only texts of sets that occur in a pair are cut into shingles again."""
-    pairs = cut(pairs)
+    return as_arrow(pairs, bound, "a bigint, b bigint")
+
+
+def _sets(documents: DataFrame, where: DataFrame, pairs: DataFrame, id_col: str, size: int) -> DataFrame:
+    """(set, found): the shingles of the sets in ``pairs``, cut again from one text of each."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    chosen = where.join(wanted, "set").select(F.col(id_col).alias("__id"), F.col("version").alias("__version"))
+    where = where.join(wanted, "set").select(F.col(id_col).alias("__id"), F.col("version").alias("__version"))
+    where = step(where)
+    # Two numbers a row: while they are few, the texts stay where they are.
+    where = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
     rows = text_of(documents, id_col).withColumn("version", F.xxhash64("text"))
     rows = rows.join(
-        chosen, (F.col("version") == F.col("__version")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
+        where, (F.col("version") == F.col("__version")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
     ).select("text")
 
     def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +188,13 @@ def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col:
         blobs = pa.array([f.tobytes() for f in found], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([set_id(f) for f in found], pa.int64()), blobs], names=["set", "found"])
 
-    sets = cut(as_arrow(rows, cut_up, "set bigint, found binary").dropDuplicates(["set"]))
+    return step(as_arrow(rows, cut_up, "set bigint, found binary").dropDuplicates(["set"]))
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col: str, size: int, share: int) -> DataFrame:
+    """Pairs (a, b) that link. Only texts of sets that occur in a pair are cut into shingles again."""
+    pairs = step(pairs)
+    sets = _sets(documents, where, pairs, id_col, size)
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("set").alias(c), F.col("found").alias(f"found_{c}")), c)
 
@@ -164,20 +204,39 @@ def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col:
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep[k] = 100 * both >= share * (len(x) + len(y) - both)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
-        )
+        kept = pa.array(keep)
+        return pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
+
+    return step(as_arrow(pairs.select("a", "b", "found_a", "found_b"), verify, "a bigint, b bigint"))
+
+
+@dataclass
+class Places:
+    """Points, digests and sizes of some sets."""
+
+    points: np.ndarray
+    digests: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, end: str = "") -> Places:
+        points = batch.column("point" + end).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+        digests = np.array([*batch.column("digest" + end).to_pylist(), None], object)[:-1]
+        return cls(points, digests, batch.column("n" + end).to_numpy(zero_copy_only=False))
 
-    return cut(as_arrow(pairs.select("a", "b", "found_a", "found_b"), verify, "a bigint, b bigint"))
+    def take(self, at) -> Places:
+        return Places(self.points[at], self.digests[at], self.sizes[at])
 
 
 class Tree:
     """R-tree packed from points sorted by size; a node knows the largest coordinates and the size range below it."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, places: Places) -> None:
+        points, sizes = places.points, places.sizes
         spread = points.std(axis=0).argsort()[::-1][:2] if len(points) else []
         self.order = np.lexsort((*[points[:, k] for k in spread], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.places = places.take(self.order)
+        self.points, self.sizes = self.places.points, self.places.sizes
         bounds = np.append(np.arange(0, len(points), LEAF), len(points))
         top, low, high = self.points, self.sizes, self.sizes
         self.levels = []
@@ -210,21 +269,22 @@ class Tree:
             if level:
                 todo += [(level - 1, int(a), int(b)) for a, b in zip(p, q)]
             elif len(p):
-                yield self.order[p], self.order[q]
+                near = _may_link(self.places.take(p), self.places.take(q), share)
+                yield self.order[p[near]], self.order[q[near]]
 
 
 def _searched(rows: DataFrame, share: int) -> DataFrame:
-    """(key, set, component, n, point) to the pairs of different components under a key whose bound allows a link."""
+    """(key, set, component, n, point, digest) to the pairs of different components under a key whose bound allows a link."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def run(key, sets, comps, sizes, points) -> pa.RecordBatch | None:
+        def run(key, sets, comps, sizes, points, digests) -> pa.RecordBatch | None:
             left, right = [], []
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             for x, y in zip(cuts[:-1], cuts[1:]):
                 s, c = sets[x:y], comps[x:y]
-                for p, q in Tree(points[x:y], sizes[x:y]).pairs(share):
+                for p, q in Tree(Places(points[x:y], digests[x:y], sizes[x:y])).pairs(share):
                     new = c[p] != c[q]
                     left.append(np.minimum(s[p], s[q])[new])
                     right.append(np.maximum(s[p], s[q])[new])
@@ -236,8 +296,9 @@ def _searched(rows: DataFrame, share: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set", "component", "n")]
-            now.append(batch.column("point").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS))
+            places = Places.of(batch)
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set", "component")]
+            now += [places.sizes, places.points, places.digests]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
             # The last key may go on in the next batch.
@@ -248,7 +309,8 @@ def _searched(rows: DataFrame, share: int) -> DataFrame:
         if rest is not None and (out := run(*rest)) is not None:
             yield out
 
-    dealt = rows.repartition("key").sortWithinPartitions("key").select("key", "set", "component", "n", "point")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    dealt = dealt.select("key", "set", "component", "n", "point", "digest")
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
@@ -257,20 +319,23 @@ def link_documents(
 ) -> DataFrame:
     """One row per document: id, version (hash of its text), n_shingles, component_id (least id that links reach, its
     own included), stays (true for one document of each component)."""
-    found = cut(features(documents, id_col, size, share))
-    points = found.where("n > 0").select("set", "n", "point").dropDuplicates(["set"])
+    found = step(features(documents, id_col, size, share))
+    points = found.where("n > 0").select("set", "n", "point", "digest").dropDuplicates(["set"])
     where = found.where("n > 0").groupBy("set").agg(F.min(F.struct(id_col, "version")).alias("w"))
     where = where.select("set", "w.*")
 
     keyed = found.select("set", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last")
-    together = cut(keyed.join(shared.select("key", "hub"), "key").distinct())
+    together = step(keyed.join(shared.select("key", "hub"), "key").distinct())
+    met = together.select("set").distinct()
+    points = step(points.join(met, "set"))
+    where = step(where.join(met, "set"))
     stars = together.where("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
     links = _verified(_bounded(stars, points, share), documents, where, id_col, size, share)
 
     grouped = components(links)
     known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
-    known = known.withColumn("component", F.coalesce("component", "set"))
+    known = step(known.withColumn("component", F.coalesce("component", "set")))
     open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     rows = known.join(open_keys.select("key"), "key").join(points, "set")
     more = _verified(_searched(rows, share), documents, where, id_col, size, share)

@@ -181,7 +181,7 @@ def test_tree_loses_no_pair():
         sets.append(np.unique(own))
     places = jaccard.Places(
         np.array([jaccard.point(s) for s in sets]),
-        np.array([jaccard.digest(s) for s in sets]),
+        np.array([jaccard.digest(s).tobytes() for s in sets], object),
         np.array([len(s) for s in sets]),
     )
     found = set()
