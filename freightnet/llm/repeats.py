@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freightnet.llm.steps import step
 from freightnet.llm.suffixes import permuted_common_prefixes, suffix_array
 from freightnet.llm.texts import Slice, as_arrow, mix, slices, small_batches
 from freightnet.scale import cut
@@ -107,7 +108,7 @@ def _whole_groups(df: DataFrame, key: str, function, schema: str) -> DataFrame:
 
 
 def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
-    """(tid, places): the anchors of each text that another text has too; several rows per text."""
+    """(tid, places): the anchors of each text that another text has too."""
     packed = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("tids", pa.binary()), ("places", pa.binary())])
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -127,7 +128,7 @@ def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
                 )
         return _batch(rows, packed) if rows else None
 
-    found = pa.schema([("tid", pa.int64()), ("places", pa.binary())])
+    found = pa.schema([("bucket", pa.int32()), ("tids", pa.binary()), ("places", pa.binary())])
 
     def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([_unblob(b.column("hashes"), "<u4") for b in held])
@@ -139,15 +140,30 @@ def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
         last = np.append(first[1:], len(hashes)) - 1
         shared = np.repeat(tids[first] != tids[last], last - first + 1)
         tids, places = tids[shared], places[shared]
-        by = np.lexsort((places, tids))
+        # Back to their texts, packed again: each bucket of texts gets one row from each part.
+        bucket = (mix(tids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=parts)))
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = by[cuts[k] : cuts[k + 1]]
+            yield _batch([(int(k), _blob(tids[own], "<i8"), _blob(places[own], "<i4"))], found)
+
+    each = pa.schema([("tid", pa.int64()), ("places", pa.binary())])
+
+    def gather(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tids = np.concatenate([_unblob(b.column("tids"), "<i8") for b in held])
+        places = np.concatenate([_unblob(b.column("places"), "<i4") for b in held])
+        by = np.argsort(tids, kind="stable")
         tids, places = tids[by], places[by]
-        cuts = np.append(np.flatnonzero(np.append(True, tids[1:] != tids[:-1])) if len(tids) else [], len(tids)).astype(int)
-        rows = [(int(tids[a]), _blob(places[a:b], "<i4")) for a, b in zip(cuts[:-1], cuts[1:])]
+        cuts = np.append(np.flatnonzero(np.append(True, tids[1:] != tids[:-1])), len(tids))
+        # Copies of a text name the same places.
+        rows = [(int(tids[a]), _blob(np.unique(places[a:b]), "<i4")) for a, b in zip(cuts[:-1], cuts[1:])]
         for k in range(0, len(rows), 5000):
-            yield _batch(rows[k : k + 5000], found)
+            yield _batch(rows[k : k + 5000], each)
 
-    schema = "part int, hashes binary, tids binary, places binary"
-    return _whole_groups(as_arrow(texts, pack, schema), "part", meet, "tid bigint, places binary")
+    packed_rows = as_arrow(texts, pack, "part int, hashes binary, tids binary, places binary")
+    met = _whole_groups(packed_rows, "part", meet, "bucket int, tids binary, places binary")
+    return _whole_groups(met, "bucket", gather, "tid bigint, places binary")
 
 
 _PIECES = pa.schema(
@@ -163,7 +179,7 @@ def _pieces(texts: DataFrame, shards: int, length: int) -> DataFrame:
         tids, firsts, rows = batch.column("tid").to_numpy(), batch.column("first").to_numpy(), []
         places = batch.column("places").to_pylist()
         for piece in slices(batch.column("text")):
-            wanted = [np.unique(np.frombuffer(b"".join(places[r]), "<i4").astype(np.int64)) for r in piece.rows]
+            wanted = [np.frombuffer(places[r], "<i4").astype(np.int64) for r in piece.rows]
             text = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
             at = np.concatenate(wanted) + piece.starts[text]
             start = np.maximum(at - (length - GRAM), piece.starts[text])
@@ -302,13 +318,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, id_col: str = "do
     firsts = rows.groupBy("tid").agg(F.min("__id").alias("first"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
 
-    shared = cut(_shared_anchors(texts, max(1, -(-total // PART_BYTES)), length))
-    wanted = shared.groupBy("tid").agg(F.collect_list("places").alias("places")).join(firsts, "tid")
+    shared = step(_shared_anchors(texts, max(1, -(-total // PART_BYTES)), length))
+    wanted = shared.join(firsts, "tid")
     bytes_ = (shared.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4 * (2 * length - GRAM)
     shards = max(1, -(-bytes_ // SHARD_BYTES))
-    candidates = texts.join(wanted, "tid").dropDuplicates(["tid"]).select("tid", "first", "text", "places")
-    candidates = cut(candidates)
-    spans = cut(_spans(_pieces(candidates, shards, length), length))
+    candidates = step(texts.join(wanted, "tid").dropDuplicates(["tid"]).select("tid", "first", "text", "places"))
+    spans = step(_spans(_pieces(candidates, shards, length), length))
     spans = spans.groupBy("tid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     changed = _removed(candidates.select("tid", "text").join(spans, "tid").select("tid", "text", "starts", "ends"))
 
