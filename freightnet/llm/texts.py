@@ -58,7 +58,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, SLICE_BYTES + 1)
+            n = max(n, 1 << 20)
             steps = np.full(n, _BASE, np.uint64)
             back = np.full(n, _INVERSE, np.uint64)
             steps[0] = back[0] = 1
@@ -117,6 +117,10 @@ def slices(column: pa.ChunkedArray | pa.Array, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+#: Bytes of a slice of training texts on the driver.
+TRAINING_SLICE = 1 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the rows of an Arrow batch for this session: whole texts are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.texts import WORD_BY_LETTER, Slice, as_arrow, slices, small_batches
+from freightnet.llm.texts import TRAINING_SLICE, WORD_BY_LETTER, Slice, as_arrow, slices, small_batches
 
 WORDS, STRIDE = 128, 64
 BUCKETS, INPUTS, STATES = 1 << 15, 12, 8
@@ -41,6 +41,7 @@ _FOLD += 3
 class Vocabulary:
     """Distinct words of some texts: hashed word, hashed n-grams with the word they belong to, and each word's place."""
 
+    key: np.ndarray
     word: np.ndarray
     gram: np.ndarray
     owner: np.ndarray
@@ -70,7 +71,27 @@ def vocabulary(part: Slice) -> Vocabulary:
         grams.append((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49))
         owners.append(owner[here])
     word = (hashes >> np.uint64(49)).astype(np.int64)
-    return Vocabulary(word, np.concatenate(grams).astype(np.int64), np.concatenate(owners), ids.ravel(), bounds)
+    return Vocabulary(hashes, word, np.concatenate(grams).astype(np.int32), np.concatenate(owners), ids.ravel(), bounds)
+
+
+def _merged(parts: list[Vocabulary]) -> Vocabulary:
+    """The vocabulary of several slices behind each other; each word keeps the n-grams of the slice that has it first."""
+    key, first, place = np.unique(np.concatenate([v.key for v in parts]), return_index=True, return_inverse=True)
+    place = place.ravel()
+    at, ids, bounds, grams, owners = 0, [], [np.zeros(1, np.int64)], [], []
+    for v in parts:
+        own = place[at : at + len(v.key)]
+        new = first[own] == np.arange(at, at + len(v.key))
+        keep = new[v.owner]
+        grams.append(v.gram[keep].astype(np.int32))
+        owners.append(own[v.owner[keep]].astype(np.int32))
+        ids.append(own[v.ids].astype(np.int32))
+        bounds.append(v.bounds[1:] + bounds[-1][-1])
+        at += len(v.key)
+    owner = np.concatenate(owners)
+    by = np.argsort(owner, kind="stable")
+    word = (key >> np.uint64(49)).astype(np.int64)
+    return Vocabulary(key, word, np.concatenate(grams)[by], owner[by], np.concatenate(ids), np.concatenate(bounds))
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,16 +212,15 @@ def _matrix(v: Vocabulary, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
 
 def _evidence(v: Vocabulary, ids: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Log odds that a text with a hashed feature is toxic, less for rare ones, 0 below three texts."""
-    text = np.repeat(np.arange(len(toxic)), np.diff(v.bounds))
-    pairs = np.unique(np.stack([text, v.ids]), axis=1)  # distinct words of each text
-    order = np.argsort(owner, kind="stable")
-    begin = np.searchsorted(owner[order], np.arange(len(v.word) + 1))
-    size = np.diff(begin)[pairs[1]]
-    place = np.repeat(begin[pairs[1]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    seen = np.unique(np.repeat(pairs[0], size) * BUCKETS + ids[order][place])
-    feature, doc = seen % BUCKETS, seen // BUCKETS
-    bad = np.bincount(feature, toxic[doc], BUCKETS)
-    every = np.bincount(feature, minlength=BUCKETS)
+    begin = np.searchsorted(owner, np.arange(len(v.word) + 1))  # owners are in order
+    bad, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for a, b, label in zip(v.bounds[:-1], v.bounds[1:], toxic):
+        words = np.unique(v.ids[a:b])
+        size = begin[words + 1] - begin[words]
+        place = np.repeat(begin[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        seen = np.unique(ids[place])
+        every[seen] += 1
+        bad[seen] += label
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((every - bad + 0.5) / ((~toxic).sum() + 1))
     return np.where(every >= 3, np.clip(odds, -1, 4) * every / (every + 5), 0)
 
@@ -211,8 +231,7 @@ def train(texts: Sequence[str], labels: Sequence[int], rounds: int = ROUNDS, see
     if not len(toxic) or toxic.all() or not toxic.any():
         return Network({}, constant=float(toxic.mean()) if len(toxic) else 0.5)
     rng = np.random.default_rng(seed)
-    part = next(slices(pa.array(texts, pa.large_string()), 1 << 40))
-    v = vocabulary(part)
+    v = _merged([vocabulary(part) for part in slices(pa.array(texts, pa.large_string()), TRAINING_SLICE)])
     text, at, size = windows(v.bounds)
     w = {}
     for name, ids, owner in (("word", v.word, np.arange(len(v.word))), ("gram", v.gram, v.owner)):
@@ -268,7 +287,7 @@ def _step(net, v, at, size, y, weight, moments, step) -> None:
     ids = ids.reshape(live.shape)
     begin, end = np.searchsorted(used, v.owner), np.searchsorted(used, v.owner, "right")
     mine = begin < end
-    own = Vocabulary(v.word[used], v.gram[mine], begin[mine], ids, v.bounds)
+    own = Vocabulary(v.key[used], v.word[used], v.gram[mine], begin[mine], ids, v.bounds)
     _, g, dx = net.gradient(net.inputs(own), ids, live, y, weight)
     for name, rows, grad in (("word", own.word, dx), ("gram", own.gram, dx[own.owner])):
         g[name] = np.stack([np.bincount(rows, grad[:, k], BUCKETS) for k in range(INPUTS)], axis=1).astype(np.float32)
