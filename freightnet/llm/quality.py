@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.texts import WORD_BY_SPACE, Slice, as_arrow, byte_set, slices, small_batches
+from freightnet.llm.texts import TRAINING_SLICE, WORD_BY_SPACE, Slice, as_arrow, byte_set, slices, small_batches
 
 WORD_BITS, SHAPES = 14, 2 * 8 * 8 * 16
 WIDTH = (1 << WORD_BITS) + SHAPES
@@ -79,7 +79,8 @@ def train(texts: Sequence[str], grades: Sequence[int], n_grades: int) -> Cumulat
     if len(np.unique(y)) < 2:
         only = int(y[0]) if len(y) else n_grades - 1
         return CumulativeLink(np.zeros(WIDTH), np.where(np.arange(1, n_grades) <= only, -50.0, 50.0))
-    at, feature, value = features(next(slices(pa.array(texts, pa.large_string()), 1 << 40)))
+    found = [(part.rows, *features(part)) for part in slices(pa.array(texts, pa.large_string()), TRAINING_SLICE)]
+    at, feature, value = (np.concatenate(x) for x in zip(*[(rows[a], f, x) for rows, a, f, x in found]))
     count = np.bincount(y, minlength=n_grades)
     weight = (np.maximum(count, 1) ** -0.5)[y]
     weight /= weight.sum()
