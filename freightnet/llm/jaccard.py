@@ -39,8 +39,10 @@ from freightnet.llm.texts import WORD_BY_SPACE, Slice, as_arrow, mix, slices, te
 SHINGLE = 3
 SHARE = 90
 DIMENSIONS, LEAST_DIGEST = 64, 64
-#: Sets whose texts are looked up by a broadcast of their keys; more are joined by a shuffle.
+#: Rows of two numbers that are broadcast to meet the texts; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The keys meet in so many rounds, each a share of them, so that only that share is on the way at a time.
+KEY_ROUNDS = 4
 LEAF = 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -171,13 +173,17 @@ def _bounded(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
     return as_arrow(pairs, bound, "a bigint, b bigint")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table of ids and versions, broadcast while its rows are few: the texts then stay where they are."""
+    rows = step(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _sets(documents: DataFrame, where: DataFrame, pairs: DataFrame, id_col: str, size: int) -> DataFrame:
     """(set, found): the shingles of the sets in ``pairs``, cut again from one text of each."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     where = where.join(wanted, "set").select(F.col(id_col).alias("__id"), F.col("version").alias("__version"))
-    where = step(where)
-    # Two numbers a row: while they are few, the texts stay where they are.
-    where = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
+    where = _small(where)
     rows = text_of(documents, id_col).withColumn("version", F.xxhash64("text"))
     rows = rows.join(
         where, (F.col("version") == F.col("__version")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
@@ -325,8 +331,12 @@ def link_documents(
     where = where.select("set", "w.*")
 
     keyed = found.select("set", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last")
-    together = step(keyed.join(shared.select("key", "hub"), "key").distinct())
+    together = None
+    for k in range(KEY_ROUNDS):
+        part = keyed.where(F.pmod("key", F.lit(KEY_ROUNDS)) == k)
+        shared = part.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last")
+        part = step(part.join(shared.select("key", "hub"), "key").distinct())
+        together = part if together is None else together.unionByName(part)
     met = together.select("set").distinct()
     points = step(points.join(met, "set"))
     where = step(where.join(met, "set"))
@@ -356,11 +366,12 @@ def link_documents(
 
 def one_of_each(documents: DataFrame, size: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id") -> DataFrame:
     """The documents with one of each component: rows that repeat id and text count as one, empty texts all stay."""
-    stays = link_documents(documents, size, share, id_col).where("stays")
-    stays = stays.select(F.col(id_col).alias("__id"), F.col("version").alias("__version"), "n_shingles").distinct()
-    rows = documents.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    found = step(link_documents(documents, size, share, id_col))
+    key = [F.col(id_col).alias("__id"), F.col("version").alias("__version")]
+    go = found.where("not stays").select(*key).distinct()
+    again = found.where("stays and n_shingles > 0").groupBy(*key).count().where("count > 1").select("__id", "__version")
+    own = documents.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
     same = F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__own") == F.col("__version"))
-    kept = rows.join(stays, same)
-    # Repeated rows lie together after the join; of those with words one is taken.
-    full = kept.where("n_shingles > 0").dropDuplicates([id_col, "__own"])
-    return full.unionByName(kept.where("n_shingles = 0")).select(*documents.columns)
+    rest = own.join(_small(go.unionByName(again)), same, "left_anti")
+    repeated = own.join(_small(again), same, "left_semi").dropDuplicates([id_col, "__own"])
+    return rest.unionByName(repeated).select(*documents.columns)

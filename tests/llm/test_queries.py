@@ -166,3 +166,48 @@ def test_scores_on_odd_tables(spark, odd, name):
     for r in got:
         by[texts[r["doc_id"]] or ""].add(r[column])
     assert all(len(v) == 1 for v in by.values())  # equal texts, equal scores
+
+
+def test_pipeline_against_brute_force(spark, odd):
+    """Every stage on its own input, as the stages before it leave it."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    kept = p.drop_toxic(spark, docs, odd)
+    assert kept.columns == docs.columns
+    assert {r[0] for r in kept.select("doc_id").collect()} <= {r[0] for r in odd_documents()}
+
+    one = Counter((r["doc_id"], r["text"]) for r in p.drop_copies(spark, docs, odd).collect())
+    sets = {}
+    for d, t in documents(False):
+        w = brute.SPACE_WORD.findall((t or "").translate(brute.LOWER))
+        sets[(d, t)] = frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+    groups = {k: k for k in sets}
+
+    def root(k):
+        while groups[k] != k:
+            k = groups[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                groups[root(a)] = root(b)
+    taken = Counter(root(k) for k in one if sets[k])
+    assert set(taken) == {root(k) for k in sets if sets[k]} and set(taken.values()) == {1}
+    assert all(n == 1 for k, n in one.items() if sets[k])
+    assert {k for k in sets if not sets[k]} <= set(one)
+
+    clean = {d for d, *_, bad in brute.contamination(documents(False), BENCHMARK) if not bad}
+    assert {r["doc_id"] for r in p.decontaminate(spark, docs, odd).select("doc_id").collect()} == clean
+
+    redacted = p.scan_secrets(spark, docs, odd)
+    assert redacted.columns == docs.columns and redacted.count() == docs.count()
+    texts = {r["doc_id"]: r["text"] for r in redacted.collect()}
+    for d, t in documents(False):
+        spans = [s.split(":") for s in brute.secrets(d, t)[1].split(",") if s]
+        assert bool(spans) <= ("<SECRET>" in (texts[d] or ""))
+        assert spans or texts[d] == t or "<SECRET>" in texts[d]
+    assert [name for name, _ in p.STAGES] == ["drop_toxic", "drop_copies", "decontaminate", "scan_secrets", "mix"]
+    assert p.run(spark, odd).count() > 0
