@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,8 @@ def step(df: DataFrame) -> DataFrame:
     """
     out = cut(df)
     del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the Python handles, the second of what they stood for
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return out
