@@ -235,39 +235,47 @@ class Places:
 
 
 class Tree:
-    """R-tree packed from points sorted by size; a node knows the largest coordinates and the size range below it."""
+    """R-tree packed from points sorted by group and size; a node knows the largest coordinates, the size range and the
+    range of groups below it. Without groups every point is its own."""
 
-    def __init__(self, places: Places) -> None:
+    def __init__(self, places: Places, groups: np.ndarray | None = None) -> None:
         points, sizes = places.points, places.sizes
+        groups = np.arange(len(points)) if groups is None else groups
         spread = points.std(axis=0).argsort()[::-1][:2] if len(points) else []
-        self.order = np.lexsort((*[points[:, k] for k in spread], sizes))
+        by_size = [*[points[:, k] for k in spread], sizes]
+        alone = len(np.unique(groups)) == len(groups)
+        self.order = np.lexsort(by_size if alone else (*by_size, groups))
+        self.groups = groups[self.order]
         self.places = places.take(self.order)
         self.points, self.sizes = self.places.points, self.places.sizes
         bounds = np.append(np.arange(0, len(points), LEAF), len(points))
-        top, low, high = self.points, self.sizes, self.sizes
+        top, low, high, least, most = self.points, self.sizes, self.sizes, self.groups, self.groups
         self.levels = []
         while True:
             top = np.maximum.reduceat(top, bounds[:-1], axis=0)
             low, high = np.minimum.reduceat(low, bounds[:-1]), np.maximum.reduceat(high, bounds[:-1])
-            self.levels.append((bounds, top, low, high))
+            least, most = np.minimum.reduceat(least, bounds[:-1]), np.maximum.reduceat(most, bounds[:-1])
+            self.levels.append((bounds, top, low, high, least, most))
             if len(top) == 1:
                 break
             bounds = np.append(np.arange(0, len(top), LEAF), len(top))
 
     def pairs(self, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (one before the other) whose bound allows a link."""
+        """Index pairs (one before the other) of different groups whose bound allows a link."""
         todo = [(len(self.levels) - 1, 0, 0)]
         while todo:
             level, i, j = todo.pop()
             bounds = self.levels[level][0]
             x, y = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
             if level:
-                _, top, low, high = self.levels[level - 1]
+                _, top, low, high, least, last = self.levels[level - 1]
             else:
-                top, low, high = self.points, self.sizes, self.sizes
+                top, low, high, least, last = self.points, self.sizes, self.sizes, self.groups, self.groups
             most = np.minimum(top[x][:, None, :], top[y][None, :, :]).sum(axis=2)
             fits = 100 * most >= share * (low[x][:, None] + low[y][None, :] - most)
             fits &= (100 * high[x][:, None] >= share * low[y][None, :]) & (100 * high[y][None, :] >= share * low[x][:, None])
+            # Nodes of one and the same group hold no pair of different groups.
+            fits &= (least[x][:, None] != last[y][None, :]) | (last[x][:, None] != least[y][None, :])
             if i == j:
                 fits &= np.tri(*fits.shape, k=0 if level else -1, dtype=bool)
             p, q = np.nonzero(fits)
@@ -290,10 +298,9 @@ def _searched(rows: DataFrame, share: int) -> DataFrame:
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             for x, y in zip(cuts[:-1], cuts[1:]):
                 s, c = sets[x:y], comps[x:y]
-                for p, q in Tree(Places(points[x:y], digests[x:y], sizes[x:y])).pairs(share):
-                    new = c[p] != c[q]
-                    left.append(np.minimum(s[p], s[q])[new])
-                    right.append(np.maximum(s[p], s[q])[new])
+                for p, q in Tree(Places(points[x:y], digests[x:y], sizes[x:y]), c).pairs(share):
+                    left.append(np.minimum(s[p], s[q]))
+                    right.append(np.maximum(s[p], s[q]))
             if not left:
                 return None
             pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
