@@ -101,6 +101,29 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 28
 
 
+def test_rare_tokens_of_one_class_are_found(spark):
+    """Planted tokens of digits, of letters of one case and in base32, each 1 in 1000 words of its class of lengths; digits
+    from 32 on are found as hex. Numbers that people write are left."""
+    rng = random.Random(6)
+    parts = "schiff fahrt land haus nation ation inter ment able over under stand work zeit gesell schaft ville port".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(12))[: rng.randrange(20, 44)]
+    written = ["2024013123595920240131", "1234567890" * 3, "0" * 24 + "4711", "192837465" * 3, "qwxzk" * 8, "AAAABBBB" * 5]
+    words = [word() for _ in range(18_000 - len(written))] + written
+    rng.shuffle(words)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", secrets.ALPHABETS["base32"]]
+    docs = [(k, " ".join(words[k * 10 : k * 10 + 10])) for k in range(1800)]
+    planted = {}
+    for k in range(17):
+        letters, size = ("0123456789", 31) if k % 2 else (alphabets[k // 2 % 3], 56)
+        text = docs[k * 100][1]
+        planted[k * 100, len(text) + 1, len(text) + 1 + size] = size
+        docs[k * 100] = (k * 100, f"{text} {''.join(rng.choice(letters) for _ in range(size))}")
+    found = secrets.scan(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
+    got = {(r["doc_id"], s["start"], s["end"]) for r in found.collect() for s in r["secret_random"]}
+    hits = Counter(planted[x] for x in got)
+    assert got <= set(planted) and hits[56] == 9 and hits[31] >= 4
+
+
 def test_redaction_joins_overlapping_spans(spark):
     text = 'é token = "' + "0123456789abcdef" * 3 + '" end ' + "ab" * 20
     docs = [(1, text, 0, "x"), (2, None, 0, "x"), (3, "clean", 0, "x"), (1, text, 0, "x")]
