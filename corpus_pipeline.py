@@ -12,14 +12,17 @@ from freightnet.llm.decontaminate import find_contamination
 from freightnet.llm.jaccard import one_of_each
 from freightnet.llm.mixing import mix_sources
 from freightnet.llm.secrets import redact, scan
-from freightnet.llm.toxicity import score_toxicity
+from freightnet.llm.toxicity import apply_network, fit_network
 from freightnet.scale import scratch_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove documents that the network finds toxic; the labels table is read for training only."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("score") < 0.5)
-    return _columns(scored, docs)
+    """Remove documents that the network finds toxic; the labels table is read for training only. Without both a toxic and
+    a clean labelled document there is nothing to tell them by, and all stay."""
+    net = fit_network(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if net.constant is not None:
+        return docs
+    return _columns(apply_network(docs, net).where(F.col("score") < 0.5), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ each window in both directions, attention pools their states, and one logit judg
 the calibrated logit of its worst window, so one bad passage in a very long text counts and its length does not.
 
 Only whole texts carry labels. Training picks the window that speaks most for the label in each toxic text, and the
-window that speaks most against it in each clean one, again in every round. It sees a bounded sample of labelled texts;
-scoring sees every window of every text, where the texts are: no shuffle.
+window that speaks most against it in each clean one, again in every round. It sees a bounded sample of labelled texts,
+long ones only where there are too few others, and then as a whole; scoring sees every window of every text, where the
+texts are: no shuffle.
 
 Defined cases: NULL and empty texts have no window and the score of one that says nothing; label rows without a label or
 a text are ignored, rows that disagree count as toxic; without any toxic or any clean labelled text all scores are the
@@ -21,16 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightnet.llm.steps import step
 from freightnet.llm.texts import TRAINING_SLICE, WORD_BY_LETTER, Slice, as_arrow, slices, small_batches
 
 WORDS, STRIDE = 128, 64
 BUCKETS, INPUTS, STATES = 1 << 15, 12, 8
 GRAMS = (3, 5)
-#: The training sample: most toxic and clean texts, and most characters of a text that is trained on.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2500, 20_000
+#: The training sample: most toxic and clean texts. Texts of more than MOST_CHARS characters fill up what is missing, whole
+#: ones in order while all of a label have LONG_CHARS at most; the first of them is cut there.
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS, LONG_CHARS = 1000, 2500, 20_000, 6_000_000
 ROUNDS, BATCH, RATE = 6, 256, 0.02
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
@@ -210,18 +213,26 @@ def _matrix(v: Vocabulary, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     return v.ids[np.where(live, at + steps, at)], live
 
 
-def _evidence(v: Vocabulary, ids: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log odds that a text with a hashed feature is toxic, less for rare ones, 0 below three texts."""
+def _evidence(v: Vocabulary, ids: np.ndarray, owner: np.ndarray, toxic: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Log odds that a text with a hashed feature is toxic, less for rare ones, 0 below three texts.
+
+    Long texts hold more features whatever their label, so they are compared with each other only."""
     begin = np.searchsorted(owner, np.arange(len(v.word) + 1))  # owners are in order
-    bad, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for a, b, label in zip(v.bounds[:-1], v.bounds[1:], toxic):
-        words = np.unique(v.ids[a:b])
-        size = begin[words + 1] - begin[words]
-        place = np.repeat(begin[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        seen = np.unique(ids[place])
-        every[seen] += 1
-        bad[seen] += label
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((every - bad + 0.5) / ((~toxic).sum() + 1))
+    kinds = [k for k in (~long, long) if len(np.unique(toxic[k])) == 2] or [np.ones(len(toxic), bool)]
+    every, level = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for kind in kinds:
+        bad, seen_in = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for k in np.flatnonzero(kind):
+            words = np.unique(v.ids[v.bounds[k] : v.bounds[k + 1]])
+            size = begin[words + 1] - begin[words]
+            place = np.repeat(begin[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            seen = np.unique(ids[place])
+            seen_in[seen] += 1
+            bad[seen] += toxic[k]
+        odds = np.log((bad + 0.5) / (toxic[kind].sum() + 1)) - np.log((seen_in - bad + 0.5) / ((~toxic[kind]).sum() + 1))
+        every += seen_in
+        level += odds * seen_in
+    odds = level / np.maximum(every, 1)
     return np.where(every >= 3, np.clip(odds, -1, 4) * every / (every + 5), 0)
 
 
@@ -233,9 +244,10 @@ def train(texts: Sequence[str], labels: Sequence[int], rounds: int = ROUNDS, see
     rng = np.random.default_rng(seed)
     v = _merged([vocabulary(part) for part in slices(pa.array(texts, pa.large_string()), TRAINING_SLICE)])
     text, at, size = windows(v.bounds)
+    long = np.array([len(t or "") > MOST_CHARS for t in texts])
     w = {}
     for name, ids, owner in (("word", v.word, np.arange(len(v.word))), ("gram", v.gram, v.owner)):
-        known = _evidence(v, ids, owner, toxic)
+        known = _evidence(v, ids, owner, toxic, long)
         w[name] = np.where((known != 0)[:, None], rng.normal(0, 0.05, (BUCKETS, INPUTS)), 0).astype(np.float32)
         w[name][:, 0] = 0.3 * known
     for s in ("f", "b"):
@@ -250,7 +262,7 @@ def train(texts: Sequence[str], labels: Sequence[int], rounds: int = ROUNDS, see
     sums = np.append(0, np.cumsum(np.maximum(net.inputs(v)[:, 0], 0)[v.ids]))
     level = sums[at + size] - sums[at]
     moments = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in w.items()}
-    step = 0
+    steps = 0
     for _ in range(rounds):
         worst = _worst(text, level, len(toxic))
         bad, good = worst[toxic & (worst >= 0)], worst[~toxic & (worst >= 0)]
@@ -263,8 +275,8 @@ def train(texts: Sequence[str], labels: Sequence[int], rounds: int = ROUNDS, see
         order = rng.permutation(len(pick))
         for k in range(0, len(order), BATCH):
             b = order[k : k + BATCH]
-            step += 1
-            _step(net, v, at[pick[b]], size[pick[b]], y[b], weight[b], moments, step)
+            steps += 1
+            _step(net, v, at[pick[b]], size[pick[b]], y[b], weight[b], moments, steps)
         level = net.logits(v, at, size)
     worst = _worst(text, level, len(toxic))
     value = np.where(worst >= 0, level[worst], w["bias"][0]).astype(np.float64)
@@ -316,25 +328,38 @@ def held_out(id_col: str) -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """At most MOST_TOXIC + MOST_CLEAN labelled texts of at most MOST_CHARS characters, by the hash of their id."""
+    """At most MOST_TOXIC + MOST_CLEAN labelled texts by the hash of their id, those of at most MOST_CHARS characters first."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    # The ids of labelled documents that exist, with their lengths; texts stay where they are.
+    sizes = documents.where(F.col("text").isNotNull()).groupBy(id_col).agg(F.max(F.length("text")).alias("size"))
+    known = step(usable.join(sizes, id_col))
     picks = []
     for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        own = usable.where(F.col("toxic") == label)
-        picks.append(own.orderBy(F.xxhash64(id_col), id_col).limit(most))
+        order = (F.col("size") > MOST_CHARS, F.xxhash64(id_col), F.col(id_col))
+        picks.append(known.where(F.col("toxic") == label).orderBy(*order).limit(most))
+    chosen = picks[0].unionByName(picks[1])
+    # At most MOST_TOXIC + MOST_CLEAN rows: the running total of the long ones.
+    own = F.when(F.col("size") > MOST_CHARS, F.col("size")).otherwise(0)
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = chosen.withColumn("total", F.sum(own).over(order))
+    fits = (F.col("size") <= MOST_CHARS) | (F.col("total") <= LONG_CHARS) | (F.col("total") == F.col("size"))
     # The sample's ids, bounded by the two limits.
-    chosen = F.broadcast(picks[0].unionByName(picks[1]).withColumnRenamed(id_col, "__id"))
-    rows = documents.join(chosen, F.col(id_col) == F.col("__id")).where(F.length("text") <= MOST_CHARS)
-    rows = rows.select(F.xxhash64("__id").alias("h"), "text", "toxic").collect()
+    chosen = F.broadcast(chosen.where(fits).select(F.col(id_col).alias("__id"), "toxic"))
+    rows = documents.where(F.col("text").isNotNull()).join(chosen, F.col(id_col) == F.col("__id"))
+    rows = rows.select(F.xxhash64("__id").alias("h"), F.substring("text", 1, LONG_CHARS).alias("text"), "toxic").collect()
     return sorted([(r["h"], r["text"], int(r["toxic"])) for r in rows])
 
 
+def fit_network(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Network:
+    """The network trained on a sample; labels of held-out ids are not read. ``constant`` is set without both labels."""
+    sample = training_sample(documents, labels, id_col)
+    return train([t for _, t, _ in sample], [y for _, _, y in sample])
+
+
 def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: row (its columns but the text), text, held_out, score; labels of held-out ids are not read."""
-    sample = training_sample(documents, labels, id_col)
-    net = train([t for _, t, _ in sample], [y for _, _, y in sample])
-    return apply_network(documents, net, id_col)
+    return apply_network(documents, fit_network(documents, labels, id_col), id_col)
 
 
 def apply_network(documents: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:

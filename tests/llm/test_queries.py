@@ -211,3 +211,41 @@ def test_pipeline_against_brute_force(spark, odd):
         assert spans or texts[d] == t or "<SECRET>" in texts[d]
     assert [name for name, _ in p.STAGES] == ["drop_toxic", "drop_copies", "decontaminate", "scan_secrets", "mix"]
     assert p.run(spark, odd).count() > 0
+
+
+def _toxicity_stage(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_toxicity_of_long_texts(spark, tmp_path):
+    """All texts are longer than the bound for short ones; insults stand in one place of each toxic one."""
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    words = [a + b + c for a in "ptk" for b in "aeiou" for c in ("la", "mi", "n")]
+    docs, toxic = [], set()
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(rng.randrange(5200, 6500))]
+        if k % 3 == 0:
+            toxic.add(k)
+            at = rng.randrange(len(text))
+            text[at:at] = [rng.choice(["zorgon", "blarg", "vexul"]) for _ in range(12)]
+        docs.append((k, " ".join(text)))
+    assert min(len(t) for _, t in docs) > 20_000
+    stage = _toxicity_stage(spark, str(tmp_path), docs, [(k, int(k in toxic)) for k in range(60)])
+    assert {r["doc_id"] for r in p.drop_toxic(spark, stage, str(tmp_path)).collect()} == set(range(60)) - toxic
+    got = {r["doc_id"]: r["predicted"] for r in q.op4_toxicity(spark, str(tmp_path)).collect()}
+    assert {k for k, x in got.items() if x} == toxic
+
+
+@pytest.mark.parametrize("labels", [[(900, 1), (901, 0)], [(1, 1), (2, 1), (3, 1), (4, 1)], [(1, 0), (2, 0), (3, 0), (4, 0)]])
+def test_nothing_is_dropped_without_both_labels(spark, tmp_path, labels):
+    import corpus_pipeline as p
+
+    docs = [(k, f"a clean text of number {k}") for k in range(8)]
+    stage = _toxicity_stage(spark, str(tmp_path), docs, labels)
+    assert sorted(tuple(r) for r in p.drop_toxic(spark, stage, str(tmp_path)).collect()) == docs
