@@ -23,7 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.texts import TRAINING_SLICE, WORD_BY_SPACE, Slice, as_arrow, byte_set, slices, small_batches
+from freightnet.llm.texts import (
+    TRAINING_SLICE,
+    WORD_BY_SPACE,
+    Slice,
+    as_arrow,
+    byte_set,
+    chosen_texts,
+    one_text,
+    slices,
+    small_batches,
+)
 
 WORD_BITS, SHAPES = 14, 2 * 8 * 8 * 16
 WIDTH = (1 << WORD_BITS) + SHAPES
@@ -108,7 +118,8 @@ def train(texts: Sequence[str], grades: Sequence[int], n_grades: int) -> Cumulat
 
 
 def training_sample(documents: DataFrame, ratings: DataFrame, n_grades: int, id_col: str) -> list[tuple[str, int]]:
-    """At most MOST_RATED texts of each grade of at most MOST_CHARS characters, by the hash of their id."""
+    """At most MOST_RATED texts of each grade of at most MOST_CHARS characters, by the hash of their id; an id has one text
+    in it, that of the least hash, however many rows repeat the id."""
     usable = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col)
     usable = usable.agg(F.min("grade").alias("grade"))
     picks = None
@@ -116,8 +127,8 @@ def training_sample(documents: DataFrame, ratings: DataFrame, n_grades: int, id_
         one = usable.where(F.col("grade") == grade).orderBy(F.xxhash64(id_col), id_col).limit(MOST_RATED)
         picks = one if picks is None else picks.unionByName(one)
     # The sample's ids, bounded by the limits.
-    chosen = F.broadcast(picks.withColumnRenamed(id_col, "__id"))
-    rows = documents.join(chosen, F.col(id_col) == F.col("__id")).where(F.length("text") <= MOST_CHARS)
+    own = documents.join(F.broadcast(picks.select(id_col)), id_col, "left_semi").where(F.length("text") <= MOST_CHARS)
+    rows = chosen_texts(own, picks.join(one_text(own, id_col), id_col), id_col)
     found = rows.select(F.xxhash64("__id").alias("h"), "text", "grade").collect()
     return [(t, g) for _, t, g in sorted((r["h"], r["text"], int(r["grade"])) for r in found)]
 

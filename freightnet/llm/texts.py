@@ -145,3 +145,18 @@ def as_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def one_text(documents: DataFrame, id_col: str) -> DataFrame:
+    """(id, version, size): hash and length of one text of each id, that of the least hash."""
+    own = F.struct(F.xxhash64("text").alias("version"), F.length("text").alias("size"))
+    found = documents.where(F.col("text").isNotNull()).groupBy(id_col).agg(F.min(own).alias("own"))
+    return found.select(id_col, "own.*")
+
+
+def chosen_texts(documents: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
+    """(__id, text, ...): the text of each of a few ids with ``version``, one row however many documents repeat it."""
+    few = F.broadcast(chosen.withColumnsRenamed({id_col: "__id", "version": "__version"}))
+    own = (F.col(id_col) == F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
+    rows = documents.select(id_col, "text").join(few, own).drop(id_col, "__version")
+    return rows.groupBy(*[c for c in rows.columns if c != "text"]).agg(F.min("text").alias("text"))

@@ -26,7 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightnet.llm.steps import step
-from freightnet.llm.texts import TRAINING_SLICE, WORD_BY_LETTER, Slice, as_arrow, slices, small_batches
+from freightnet.llm.texts import (
+    TRAINING_SLICE,
+    WORD_BY_LETTER,
+    Slice,
+    as_arrow,
+    chosen_texts,
+    one_text,
+    slices,
+    small_batches,
+)
 
 WORDS, STRIDE = 128, 64
 BUCKETS, INPUTS, STATES = 1 << 15, 12, 8
@@ -328,12 +337,13 @@ def held_out(id_col: str) -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """At most MOST_TOXIC + MOST_CLEAN labelled texts by the hash of their id, those of at most MOST_CHARS characters first."""
+    """At most MOST_TOXIC + MOST_CLEAN labelled texts by the hash of their id, those of at most MOST_CHARS characters first.
+
+    An id has one text in it, that of the least hash, however many rows repeat the id."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    # The ids of labelled documents that exist, with their lengths; texts stay where they are.
-    sizes = documents.where(F.col("text").isNotNull()).groupBy(id_col).agg(F.max(F.length("text")).alias("size"))
-    known = step(usable.join(sizes, id_col))
+    # The ids of labelled documents that exist, with hash and length of their text; texts stay where they are.
+    known = step(usable.join(one_text(documents, id_col), id_col))
     picks = []
     for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         order = (F.col("size") > MOST_CHARS, F.xxhash64(id_col), F.col(id_col))
@@ -344,9 +354,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     order = Window.partitionBy("toxic").orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, 0)
     chosen = chosen.withColumn("total", F.sum(own).over(order))
     fits = (F.col("size") <= MOST_CHARS) | (F.col("total") <= LONG_CHARS) | (F.col("total") == F.col("size"))
-    # The sample's ids, bounded by the two limits.
-    chosen = F.broadcast(chosen.where(fits).select(F.col(id_col).alias("__id"), "toxic"))
-    rows = documents.where(F.col("text").isNotNull()).join(chosen, F.col(id_col) == F.col("__id"))
+    rows = chosen_texts(documents, chosen.where(fits), id_col)
     rows = rows.select(F.xxhash64("__id").alias("h"), F.substring("text", 1, LONG_CHARS).alias("text"), "toxic").collect()
     return sorted([(r["h"], r["text"], int(r["toxic"])) for r in rows])
 
