@@ -268,10 +268,7 @@ def best_open_plan_check(t):
     return check.check_plan(cut(out), cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), 1, 2)
 
 
-@query(
-    "spoiled_plan_check",
-    "N7",
-    with_views("""WITH bad AS (SELECT ShipSite, MSTName, Loc, FTerms, RPType,
+_SPOILED = """WITH bad AS (SELECT ShipSite, MSTName, Loc, FTerms, RPType,
     CASE WHEN MSTName LIKE '%7' THEN MUnits * 2 WHEN MSTName LIKE '%3' THEN -MUnits ELSE MUnits END AS MUnits FROM outbound)
   SELECT 'demand' AS Rule, concat_ws('|', MSTName, Loc, FTerms, RPType) AS "Key", bad.MUnits AS Actual, demand.MUnits AS "Limit"
   FROM bad JOIN demand USING (MSTName, Loc, FTerms, RPType) WHERE bad.MUnits <> demand.MUnits
@@ -279,13 +276,33 @@ def best_open_plan_check(t):
   FROM bad JOIN demand USING (MSTName, Loc, FTerms, RPType) WHERE bad.MUnits > demand.MUnits
   UNION ALL SELECT 'negative_outbound', concat_ws('|', ShipSite, MSTName, Loc, FTerms, RPType), MUnits, 0 FROM bad WHERE MUnits < 0
   UNION ALL SELECT 'site_balance', ShipSite || '|' || RPType, a, b FROM
-    (SELECT ShipSite, RPType, sum(MUnits) AS a FROM moved GROUP BY ALL) JOIN (SELECT ShipSite, RPType, sum(MUnits) AS b FROM bad GROUP BY ALL) USING (ShipSite, RPType) WHERE a <> b"""),
-)
-def spoiled_plan_check(t):
-    """A plan with some flows doubled and some reversed breaks the rules of links, signs, demand and site balance."""
+    (SELECT ShipSite, RPType, sum(MUnits) AS a FROM moved GROUP BY ALL) JOIN (SELECT ShipSite, RPType, sum(MUnits) AS b FROM bad GROUP BY ALL) USING (ShipSite, RPType) WHERE a <> b"""
+
+
+def _spoiled(t):
     out, moved = _plan(t)
     name = F.col("MSTName")
     spoiled = F.when(name.endswith("7"), F.col("MUnits") * 2).when(name.endswith("3"), -F.col("MUnits")).otherwise(F.col("MUnits"))
     bad = cut(out.withColumn("MUnits", spoiled))
-    rows = check.check_plan(bad, cut(moved), c.kept_demand(t), c.kept_supply(t))
-    return rows.where(F.col("Rule") != "supply")
+    return check.check_plan(bad, cut(moved), c.kept_demand(t), c.kept_supply(t))
+
+
+@query("spoiled_plan_check", "N7", with_views(_SPOILED))
+def spoiled_plan_check(t):
+    """A plan with some flows doubled and some reversed breaks the rules of links, signs, demand and site balance."""
+    return _spoiled(t).where(F.col("Rule") != "supply")
+
+
+@query(
+    "spoiled_plan_every_rule",
+    "N7",
+    with_views(
+        _SPOILED
+        + """ UNION ALL SELECT 'supply', MfgSite || '|' || RPType, Used, coalesce(Have, 0) FROM
+    (SELECT MfgSite, RPType, sum(MUnits) AS Used FROM moved GROUP BY ALL)
+    LEFT JOIN (SELECT MfgSite, RPType, sum(Capacity) AS Have FROM supply GROUP BY ALL) USING (MfgSite, RPType) WHERE Used > coalesce(Have, 0)"""
+    ),
+)
+def spoiled_plan_every_rule(t):
+    """The same plan with its violations of supply, which it has whether spoiled or not: all that the check reports."""
+    return _spoiled(t)

@@ -26,3 +26,8 @@ def test_flagship_has_rows(spark):
 
 def test_sql_only_for_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_spoiled_plan_shows_every_rule(spark):
+    rules = {r["Rule"] for r in entry.queries()["spoiled_plan_every_rule"](spark, FOLDER).select("Rule").distinct().collect()}
+    assert rules == {"supply", "demand", "link", "negative_outbound", "site_balance"}
