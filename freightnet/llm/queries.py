@@ -11,13 +11,18 @@ from freightnet.llm.chat import format_chat, read_back, text_part, under_loss
 from freightnet.llm.decontaminate import find_contamination
 from freightnet.llm.jaccard import link_documents
 from freightnet.llm.mixing import mix_sources
-from freightnet.llm.oracles import ORACLES  # noqa: F401
+from freightnet.llm.oracles import ORACLES as EARLIER
+from freightnet.llm.oracles_more import ORACLES as LATER
 from freightnet.llm.quality import grade_documents
+from freightnet.llm.repair import damage, repair_conversations
 from freightnet.llm.repeats import remove_repeats
 from freightnet.llm.rules import judge
 from freightnet.llm.secrets import KINDS, scan
 from freightnet.llm.toxicity import held_out, score_toxicity
 from freightnet.llm.urls import Rule, judge_urls
+from freightnet.scale import null_safe_join
+
+ORACLES = {**EARLIER, **LATER}
 
 URL_RULES = [
     Rule("com", "/", "allow"),
@@ -127,6 +132,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations and repairs them; those that lost all rows have nothing to repair."""
+    given = table(spark, sf_dir, "conversations")
+    found, _ = repair_conversations(damage(given))
+    out = null_safe_join(given.select("conv_id").distinct(), found, ["conv_id"], "left")
+    return out.select(
+        "conv_id",
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", hex_digest(F.lit(""))).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_grades": op1_quality_grades,
     "op2_url_filter": op2_url_filter,
@@ -138,4 +156,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
 }
