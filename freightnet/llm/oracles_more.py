@@ -112,4 +112,38 @@ LEFT JOIN cheapest h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-ORACLES = {"op11_conversation_repair": REPAIR}
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+checked AS (
+  SELECT run, n, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL), crc),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(n)::BIGINT AS n
+  FROM checked GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+holes AS (
+  SELECT word, n, substr(word, 1, i) || '?' || substr(word, i + 2) AS hole,
+         substr(word, 1, i) || substr(word, i + 2) AS less FROM places),
+longer AS (SELECT DISTINCT h.word AS long, h.n AS long_n, w.word AS short, w.n AS short_n FROM holes h JOIN words w ON w.word = h.less),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word != b.word
+  UNION ALL SELECT long, short, short_n FROM longer
+  UNION ALL SELECT short, long, long_n FROM longer),
+best AS (
+  SELECT word, count(*) AS n_near, min(ROW(-near_n, near)) AS best FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, form AS root, 1 AS steps FROM forms WHERE form IS NOT NULL
+  UNION ALL
+  SELECT c.word, f.form, steps + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN roots r ON r.word = f.word
+"""
+
+ORACLES = {"op11_conversation_repair": REPAIR, "op12_spelling_variants": SPELLING}

@@ -18,6 +18,7 @@ from freightnet.llm.repair import damage, repair_conversations
 from freightnet.llm.repeats import remove_repeats
 from freightnet.llm.rules import judge
 from freightnet.llm.secrets import KINDS, scan
+from freightnet.llm.spelling import spelling_variants
 from freightnet.llm.toxicity import held_out, score_toxicity
 from freightnet.llm.urls import Rule, judge_urls
 from freightnet.scale import null_safe_join
@@ -145,6 +146,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_grades": op1_quality_grades,
     "op2_url_filter": op2_url_filter,
@@ -157,4 +163,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
