@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from freightnet.llm.chat import format_chat, read_back, text_part, under_loss
 from freightnet.llm.decontaminate import find_contamination
 from freightnet.llm.jaccard import link_documents
+from freightnet.llm.language import score_documents
 from freightnet.llm.mixing import mix_sources
 from freightnet.llm.oracles import ORACLES as EARLIER
 from freightnet.llm.oracles_more import ORACLES as LATER
@@ -151,6 +152,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the ids, by checksum, is held out of training."""
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), number % 10 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_grades": op1_quality_grades,
     "op2_url_filter": op2_url_filter,
@@ -164,4 +171,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_scores": op13_language_scores,
 }
