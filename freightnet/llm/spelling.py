@@ -116,6 +116,15 @@ class KdTree:
         return np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])
 
 
+def signatures(points: np.ndarray) -> np.ndarray:
+    """Two words of bits for each point: which letters it has, and which of a to z twice. One step along a coordinate
+    changes one bit at most."""
+    bits = np.zeros((len(points), 128), bool)
+    bits[:, :_ANY] = points > 0
+    bits[:, _ANY : _ANY + 26] = points[:, :26] > 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """Rows of letters that differ by one replaced letter (equal widths) or one more letter in ``long``."""
     n = short.shape[1]
@@ -141,6 +150,7 @@ class Leaf:
         self.words = [words[k] for k in order]
         self.counts = np.array(counts, np.int64)[order]
         self.points, self.letters = points_of(self.words), _letters(self.words)
+        self.signs = signatures(self.points)
         self.tree = KdTree(self.points, LOCAL_LEAF)
         self.sizes = np.array([len(m) for m in self.tree.members])
         self.starts = np.append(0, np.cumsum(self.sizes))
@@ -150,6 +160,7 @@ class Leaf:
         """(query, own word) pairs that are one edit apart; the queries have one length."""
         points, letters = points_of(words), _letters(words)
         equal = letters.shape[1] == self.letters.shape[1]
+        signs, most = signatures(points), 2 if equal else 1
         query, leaf = self.tree.search(points, lower=equal)
         pairs = self.sizes[leaf]
         out = []
@@ -160,8 +171,9 @@ class Leaf:
             q = np.repeat(query[at:to], pairs[at:to])
             inside = np.arange(bounds[at], bounds[to]) - np.repeat(bounds[at:to], pairs[at:to])
             w = self.flat[np.repeat(self.starts[leaf[at:to]], pairs[at:to]) + inside]
-            apart = np.abs(points[q] - self.points[w]).sum(axis=1)
-            fits = apart == 1 if not equal else apart <= 2
+            bits = np.bitwise_count(signs[q, 0] ^ self.signs[w, 0]) + np.bitwise_count(signs[q, 1] ^ self.signs[w, 1])
+            q, w = q[bits <= most], w[bits <= most]
+            fits = np.abs(points[q] - self.points[w]).sum(axis=1) <= most
             q, w = q[fits], w[fits]
             fits = _one_edit(letters[q], self.letters[w])
             out.append((q[fits], w[fits]))
