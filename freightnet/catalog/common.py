@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import lid_or_cup
+from freightnet.operators.tables import total
 from freightnet.plans import demand as d
 from freightnet.plans.network import CUSTOMER, cheapest_inbound
 from freightnet.scale import cut
@@ -72,7 +73,8 @@ def scarce(t: Tables) -> DataFrame:
 
 def caps(t: Tables) -> DataFrame:
     """Throughput cap per site at 1.2 x history."""
-    return site_volume(t).groupBy(F.col("ShipSiteName").alias("ShipSite")).agg((F.sum("MUnits") * 6 / 5).alias("Cap"))
+    sums = total(site_volume(t), ["ShipSiteName"], "MUnits")
+    return sums.select(F.col("ShipSiteName").alias("ShipSite"), (F.col("MUnits") * 6 / 5).alias("Cap"))
 
 
 def rates(t: Tables) -> DataFrame:
