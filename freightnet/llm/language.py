@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.steps import step
+from freightnet.llm.steps import forget, step
 from freightnet.llm.texts import WORD_BY_SPACE, mix, slices, text_of
 
 
@@ -228,15 +228,27 @@ def _asked(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 
 def _pair_counts(asks: DataFrame) -> DataFrame:
-    """(u, w, c, bucket) of every pair that is trained on."""
+    """Messages by bucket: both words and the count of every pair that is trained on."""
 
     def count(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
         (u, w), _, totals, _, _ = _asked(held)
-        seen = totals > 0
-        arrays = [pa.array(x[seen]) for x in (u, w, totals, np.full(len(totals), bucket))]
+        order = np.lexsort((w, u))
+        order = order[totals[order] > 0]
+        steps = np.diff(u[order], prepend=0)  # small, as the words ascend
+        yield _messages([(bucket, 0, 0, pack(steps), pack(w[order]), pack(totals[order]), b"")])
+
+    return _gathered(asks, count)
+
+
+def _pair_rows(counts: DataFrame) -> DataFrame:
+    """(u, w, c, bucket) of every pair that is trained on."""
+
+    def rows(bucket, kind, part, u, w, c, d) -> Iterator[pa.RecordBatch]:
+        u, w, c = np.cumsum(unpack(u, np.int64)), unpack(w, np.int64), unpack(c, np.int64)
+        arrays = [pa.array(x) for x in (u, w, c, np.full(len(u), bucket))]
         yield pa.RecordBatch.from_arrays(arrays, names=["u", "w", "c", "bucket"])
 
-    return _gathered(asks, count, "u bigint, w bigint, c bigint, bucket bigint")
+    return _each(counts, rows, "u bigint, w bigint, c bigint, bucket bigint")
 
 
 def _random(keys: np.ndarray, k: int) -> np.ndarray:
@@ -252,10 +264,10 @@ def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, strength: float, discou
     c, rest, p, keys = c[order], rest[order].astype(np.float64), p[order], keys[order]
     ways, weights = np.ones((PATHS, len(c)), np.int64), np.zeros((PATHS, len(c)))
     most = int(c[0]) if len(c) else 0
-    draw = sweep << 20
     for path in range(PATHS):
         tables, weight = ways[path], weights[path]
-        seated = 1
+        # A number of its own for each step of each path, whatever else is in the batch.
+        seated, draw = 1, (sweep << 24) + (path << 20)
         while seated < most:
             n = int(np.searchsorted(-c, -seated, "left"))  # dishes with more customers than are seated
             block = 1 if seated < ONE_BY_ONE else seated // 16
@@ -271,7 +283,7 @@ def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, strength: float, discou
             weight[:n] += size * np.log(new + old)
             seated += block
     chance = np.exp(weights - weights.max(axis=0)) if len(c) else weights
-    chosen = (np.cumsum(chance, axis=0) < _random(keys, draw + 1) * chance.sum(axis=0)).sum(axis=0)
+    chosen = (np.cumsum(chance, axis=0) < _random(keys, (sweep << 24) + (PATHS << 20)) * chance.sum(axis=0)).sum(axis=0)
     out = np.empty(len(c), np.int64)
     out[order] = np.minimum(ways[np.minimum(chosen, PATHS - 1), np.arange(len(c))], c)
     return out
@@ -347,22 +359,30 @@ class Model:
         others, self.seen, self.unseen = state.count(), [], []
         for sweep in range(BURN_IN + SAMPLES):
             counts = sweep >= BURN_IN
-            state = step(_parent_sweep(state, self.parent_discount, others, self.base, sweep))
-            sums = state.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+            superseded = [self.pairs, state, tables] if sweep else [self.pairs]
+            drawn = step(_parent_sweep(state, self.parent_discount, others, self.base, sweep))
+            sums = drawn.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
             others = sums["t"]
             left = (PARENT_STRENGTH + self.parent_discount * others) * self.base
             weight = 1 / (PARENT_STRENGTH + sums["r"])
-            p = state.select("w", ((F.col("r") - self.parent_discount * F.col("t") + left) * weight).alias("p"))
+            p = drawn.select("w", ((F.col("r") - self.parent_discount * F.col("t") + left) * weight).alias("p"))
             rows = self.pairs.join(tables, "u").join(p, "w")
             self.pairs = step(_sweep(rows, self.discount, sweep, counts))
             own = self.pairs.groupBy("u").agg(F.sum("t").alias("t"))
-            tables = step(self.contexts.join(own, "u", "left").select("u", (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables")))
+            fresh = self.contexts.join(own, "u", "left").select("u", (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables"))
+            if counts and sweep > BURN_IN:
+                superseded.remove(tables)  # an earlier sample
+            tables = step(fresh)
+            more = parent.join(self.pairs.groupBy("w").agg(F.sum("t").alias("more")), "w", "left")
+            more = more.select("w", (F.col("single") + F.coalesce("more", F.lit(0))).alias("r"))
+            state = step(more.join(drawn.select("w", "t"), "w").select("w", "r", F.least("t", "r").alias("t")))
             if counts:
                 self.seen.append((tables, p))
                 self.unseen.append(left * weight)
-            own = self.pairs.groupBy("w").agg(F.sum("t").alias("more"))
-            more = parent.join(own, "w", "left").select("w", (F.col("single") + F.coalesce("more", F.lit(0))).alias("r"))
-            state = step(more.join(state.select("w", "t"), "w").select("w", "r", F.least("t", "r").alias("t")))
+            else:
+                superseded.append(drawn)
+            for old in superseded:
+                forget(old)
 
     def by_word(self) -> DataFrame:
         """(id, total, tables of each sample, p of each sample): a word as context, 0 if it is none, and as word."""
@@ -413,7 +433,7 @@ def _word_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
             if h[0] == 1:
                 numbers = np.frombuffer(h[2], np.int64)
                 at = np.searchsorted(ids, numbers)
-                rows.append((h[1], 1, bucket, pack(table[np.where(ids[at] == numbers, at, len(ids) - 1)]), b"", b"", b""))
+                rows.append((h[1], 1, bucket, pack(table[np.where(ids[at] == numbers, at, len(ids) - 1)].astype(np.float32)), b"", b"", b""))
         if rows:
             yield _messages(rows)
 
@@ -469,7 +489,11 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     n_words, n_tokens = found["words"], found["tokens"]
 
     known = step(_numbered(sliced, answers, buckets))
-    model = Model(step(_pair_counts(_pair_asks(known, pair_buckets))), n_words)
+    forget(sliced)
+    forget(answers)
+    counts = step(_pair_counts(_pair_asks(known, pair_buckets)))
+    model = Model(_pair_rows(counts), n_words)
+    forget(counts)
     told = step(_word_answers(known, model, buckets)).unionByName(step(_pair_answers(known, model, pair_buckets)))
     first = model.by_word().where(F.col("id") == _START).first()
     at_start = [first["total"], *[first[f"tables{k}"] for k in range(SAMPLES)]] if first else [0.0] * (1 + SAMPLES)
@@ -484,7 +508,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
         table = np.zeros((len(numbers) + 1, _width()))
         table[-1, : 1 + SAMPLES] = at_start
         for bucket, at in _split(numbers % buckets):
-            table[at] = unpack(by_kind[1][bucket][2], np.float64).reshape(-1, _width())
+            table[at] = unpack(by_kind[1][bucket][2], np.float32).reshape(-1, _width())
         pairs = _Pairs(tokens, numbers, sizes)
         left = np.zeros(len(pairs.u))
         for bucket, at in pairs.buckets(pair_buckets):

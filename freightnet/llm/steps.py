@@ -23,3 +23,11 @@ def step(df: DataFrame) -> DataFrame:
         out.sparkSession.sparkContext._jvm.System.gc()
         time.sleep(0.2)
     return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a table that ``step`` or ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
