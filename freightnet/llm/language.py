@@ -43,7 +43,11 @@ PATHS, ONE_BY_ONE = 3, 64
 #: Added to each count of the base score.
 ADDED = 0.1
 #: Slices for each bucket of words, buckets of pairs for each slice.
-SLICES_A_BUCKET, BUCKETS_A_SLICE = 2, 2
+SLICES_A_BUCKET, BUCKETS_A_SLICE = 4, 1
+#: Bytes of text in a slice: a task holds some hundred bytes for each.
+SLICE_BYTES = 2 << 20
+#: Rows of a table that are worked on together.
+TOGETHER = 200_000
 _START = -1
 _END_HASH = np.uint64(1)
 _MESSAGE = "key bigint, kind int, part bigint, a binary, b binary, c binary, d binary"
@@ -102,7 +106,7 @@ def _sliced(documents: DataFrame, held_out: Column, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), SLICE_BYTES):
                 first, last, bounds = part.words(WORD_BY_SPACE)
                 texts = len(part.rows)
                 sizes = np.diff(bounds) + 1
@@ -264,12 +268,12 @@ def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, strength: float, discou
     c, rest, p, keys = c[order], rest[order].astype(np.float64), p[order], keys[order]
     ways, weights = np.ones((PATHS, len(c)), np.int64), np.zeros((PATHS, len(c)))
     most = int(c[0]) if len(c) else 0
-    for path in range(PATHS):
+    for path in range(PATHS):  # two customers have one seating to choose by weight: the first path will do
         tables, weight = ways[path], weights[path]
         # A number of its own for each step of each path, whatever else is in the batch.
         seated, draw = 1, (sweep << 24) + (path << 20)
         while seated < most:
-            n = int(np.searchsorted(-c, -seated, "left"))  # dishes with more customers than are seated
+            n = int(np.searchsorted(-c, -max(seated, 2 if path else 1), "left"))  # dishes with more than are seated
             block = 1 if seated < ONE_BY_ONE else seated // 16
             size = np.minimum(c[:n] - seated, block)
             new = (strength + discount * (rest[:n] + tables[:n])) * p[:n]
@@ -283,6 +287,7 @@ def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, strength: float, discou
             weight[:n] += size * np.log(new + old)
             seated += block
     chance = np.exp(weights - weights.max(axis=0)) if len(c) else weights
+    chance[1:, c <= 2] = 0
     chosen = (np.cumsum(chance, axis=0) < _random(keys, (sweep << 24) + (PATHS << 20)) * chance.sum(axis=0)).sum(axis=0)
     out = np.empty(len(c), np.int64)
     out[order] = np.minimum(ways[np.minimum(chosen, PATHS - 1), np.arange(len(c))], c)
@@ -303,29 +308,43 @@ def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that are worth a numpy call: ``TOGETHER`` rows each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
 def _parent_sweep(parent: DataFrame, discount: float, others: int, base: float, sweep: int) -> DataFrame:
-    """(w, r) customers of the parent, with tables ``t`` given the ``others`` there were."""
+    """Words at the parent with their ``r`` customers seated anew, given the ``others`` there were."""
+    kept = [c for c in parent.columns if c != "t"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             w, r, t = _columns(batch, "w", "r", "t")
             rest = np.maximum(others - t, 0)
             keys = mix(w.astype(np.int64).view(np.uint64) * _MIXED)
             t = seat(r, rest, np.full(len(r), base), PARENT_STRENGTH, discount, keys, 2 * sweep + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("r"), pa.array(t)], names=["w", "r", "t"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(t)], names=[*kept, "t"])
 
-    return parent.select("w", "r", "t").mapInArrow(work, "w bigint, r bigint, t bigint")
+    rows = parent.select(*kept, "t")
+    return rows.mapInArrow(work, rows.schema)
 
 
 def _sweep(rows: DataFrame, discount: float, sweep: int, counts: bool) -> DataFrame:
     """(u, w, c, bucket, t, kept, tables of u, p of w) with tables drawn anew, added to ``kept`` if the sweep counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             u, w, c, t, kept, tables, p = _columns(batch, "u", "w", "c", "t", "kept", "tables", "p")
             t = seat(c, tables - t, p, STRENGTH, discount, pair_hash(u, w), 2 * sweep)
             arrays = [*[batch.column(x) for x in ("u", "w", "c", "bucket")], pa.array(t), pa.array(kept + t * counts)]
@@ -346,52 +365,51 @@ class Model:
         self.base = 1 / (words + 1)
         n = pairs.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
         self.discount = _discount(n["n1"], n["n2"])
-        single = F.count(F.when(F.col("c") == 1, 1))
+        single = F.count(F.when(F.col("c") == 1, 1)).alias("single")
         many = F.count(F.when(F.col("c") > 1, 1))
-        self.contexts = step(pairs.groupBy("u").agg(F.sum("c").alias("total"), single.alias("single"), many.alias("t0")))
-        parent = step(pairs.groupBy("w").agg(single.alias("single"), many.alias("t0")))
-        self.pairs = step(pairs.where("c > 1").withColumn("t", F.lit(1).cast("bigint")).withColumn("kept", F.lit(0).cast("bigint")))
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
         # At first each pair has one table, and so has each word at the parent.
-        tables = self.contexts.select("u", (F.col("single") + F.col("t0")).alias("tables"))
-        state = parent.select("w", (F.col("single") + F.col("t0")).alias("r"), F.lit(1).cast("bigint").alias("t"))
-        n = state.agg(*[F.count(F.when(F.col("r") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
+        self.contexts = step(pairs.groupBy("u").agg(F.sum("c").alias("total"), single, (many + single).alias("tables")))
+        parent = step(pairs.groupBy("w").agg(single, (many + single).alias("r")).withColumn("t", one))
+        self.pairs = step(pairs.where("c > 1").withColumn("t", one).withColumn("kept", none))
+        n = parent.agg(*[F.count(F.when(F.col("r") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
         self.parent_discount = _discount(n["n1"], n["n2"])
-        others, self.seen, self.unseen = state.count(), [], []
+        others, self.unseen = parent.count(), []
         for sweep in range(BURN_IN + SAMPLES):
             counts = sweep >= BURN_IN
-            superseded = [self.pairs, state, tables] if sweep else [self.pairs]
-            drawn = step(_parent_sweep(state, self.parent_discount, others, self.base, sweep))
+            superseded = [self.pairs, self.contexts, parent]
+            drawn = step(_parent_sweep(parent, self.parent_discount, others, self.base, sweep))
             sums = drawn.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
             others = sums["t"]
             left = (PARENT_STRENGTH + self.parent_discount * others) * self.base
             weight = 1 / (PARENT_STRENGTH + sums["r"])
-            p = drawn.select("w", ((F.col("r") - self.parent_discount * F.col("t") + left) * weight).alias("p"))
-            rows = self.pairs.join(tables, "u").join(p, "w")
+            p = ((F.col("r") - self.parent_discount * F.col("t") + left) * weight).alias("p")
+            rows = self.pairs.join(self.contexts.select("u", "tables"), "u").join(drawn.select("w", p), "w")
             self.pairs = step(_sweep(rows, self.discount, sweep, counts))
+            # Samples that count stay as columns of their own: tables0, p0 and so on.
             own = self.pairs.groupBy("u").agg(F.sum("t").alias("t"))
-            fresh = self.contexts.join(own, "u", "left").select("u", (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables"))
-            if counts and sweep > BURN_IN:
-                superseded.remove(tables)  # an earlier sample
-            tables = step(fresh)
-            more = parent.join(self.pairs.groupBy("w").agg(F.sum("t").alias("more")), "w", "left")
-            more = more.select("w", (F.col("single") + F.coalesce("more", F.lit(0))).alias("r"))
-            state = step(more.join(drawn.select("w", "t"), "w").select("w", "r", F.least("t", "r").alias("t")))
+            tables = (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables")
+            fresh = self.contexts.drop("tables").join(own, "u", "left").select("*", tables).drop("t")
+            seats = drawn.withColumn("p", p) if counts else drawn
             if counts:
-                self.seen.append((tables, p))
+                fresh = fresh.withColumn(f"tables{len(self.unseen)}", F.col("tables"))
+                seats = seats.withColumnRenamed("p", f"p{len(self.unseen)}")
                 self.unseen.append(left * weight)
-            else:
-                superseded.append(drawn)
-            for old in superseded:
+            self.contexts = step(fresh)
+            more = self.pairs.groupBy("w").agg(F.sum("t").alias("more"))
+            r = (F.col("single") + F.coalesce("more", F.lit(0))).alias("r")
+            after = seats.drop("r").join(more, "w", "left").select("*", r).drop("more")
+            parent = step(after.withColumn("t", F.least("t", "r")))
+            for old in [*superseded, drawn]:
                 forget(old)
+        self.parent = parent
 
     def by_word(self) -> DataFrame:
         """(id, total, tables of each sample, p of each sample): a word as context, 0 if it is none, and as word."""
-        out = self.contexts.select(F.col("u").alias("id"), "total")
-        for k, (tables, p) in enumerate(self.seen):
-            out = out.join(tables.select(F.col("u").alias("id"), F.col("tables").alias(f"tables{k}")), "id", "full")
-            out = out.join(p.select(F.col("w").alias("id"), F.col("p").alias(f"p{k}")), "id", "full")
-        every = [c for c in out.columns if c != "id"]
-        return out.select("id", *[F.coalesce(c, F.lit(self.unseen[int(c[1:])] if c[0] == "p" else 0)).cast("double").alias(c) for c in every])
+        seats = self.parent.select(F.col("w").alias("id"), *[f"p{k}" for k in range(SAMPLES)])
+        both = self.contexts.withColumnRenamed("u", "id").join(seats, "id", "full")
+        zero = [F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("total", *[f"tables{k}" for k in range(SAMPLES)])]
+        return both.select("id", *zero, *[F.coalesce(f"p{k}", F.lit(p)).alias(f"p{k}") for k, p in enumerate(self.unseen)])
 
 
 def _width() -> int:
@@ -402,7 +420,7 @@ def _packed(rows: DataFrame, bucket: Column, kind: str, columns: list[str]) -> D
     """Rows as messages to their buckets: the first column as it is, the others as one table of floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             key, *values = _columns(batch, "bucket", *columns)
             table = np.stack([v.astype(np.float64) for v in values[1:]], axis=1)
             rows = [(b, 0, 0, values[0][at].tobytes(), table[at].tobytes(), b"", b"") for b, at in _split(key)]
@@ -462,7 +480,7 @@ def _pair_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
         yield _messages(rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             u, w, kept = _columns(batch, "u", "w", "kept")
             arrays = [batch.column("bucket"), pa.array(pair_hash(u, w).view(np.int64)), pa.array(kept / SAMPLES)]
             yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "pair", "mean"])
