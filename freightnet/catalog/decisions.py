@@ -188,12 +188,12 @@ def _whole_sql(k: int) -> str:
     c{k} AS (SELECT t{k}.* FROM t{k} JOIN a{k} USING (MSTName, Loc, FTerms, ShipSite))"""
 
 
-def _bound_sql(iterations: int, step: float, whole: bool = False) -> str:
+def _bound_sql(iterations: int, step: float, whole: bool = False, have: str = "scarce", gates: str = "caps") -> str:
     """The price steps written out one after the other; ``whole`` gives every customer one site."""
     parts = [
         "wanted AS (SELECT Loc, RPType, sum(MUnits) AS MUnits FROM demand GROUP BY ALL)",
-        "p0 AS (SELECT MfgSite, RPType, Capacity, CAST(0 AS DECIMAL(18, 8)) AS Price FROM scarce)",
-        "g0 AS (SELECT ShipSite, Cap, CAST(0 AS DECIMAL(18, 8)) AS Price FROM caps)",
+        f"p0 AS (SELECT MfgSite, RPType, Capacity, CAST(0 AS DECIMAL(18, 8)) AS Price FROM {have})",
+        f"g0 AS (SELECT ShipSite, Cap, CAST(0 AS DECIMAL(18, 8)) AS Price FROM {gates})",
     ]
     for k in range(1, iterations + 1):
         o = k - 1
@@ -229,6 +229,27 @@ def price_bound_single_source(t):
     return found.as_table().select("Iteration", F.round("Bound", 3).alias("Bound"), F.round("Best", 3).alias("Best"))
 
 
+@query(
+    "plan_between_bounds",
+    "N5 N6 N7",
+    with_views(
+        _bound_sql(6, 2.0, have="(SELECT * REPLACE (Capacity * 3 / 2 AS Capacity) FROM supply)", gates="(SELECT ShipSite, Cap * 5 / 6 AS Cap FROM caps)")
+        .replace("SELECT CAST(k AS INTEGER) AS Iteration, round(Bound, 3) AS Bound,", "SELECT")
+        .replace("round(max(Bound) OVER (ORDER BY k), 3) AS Best FROM", "round(max(Bound), 3) AS Bound, true AS AboveBound, true AS WithinAQuarter FROM")
+    ),
+)
+def plan_between_bounds(t):
+    """The bound, and what holds of the plan recovered from its steps: it is allowed in every respect (else this fails),
+    costs no less than the bound, and at most a quarter more. SQL gives the bound; the rest must be true."""
+    wanted, gates = c.kept_demand(t), cut(_tight(t))
+    have = cut(c.supply(t).withColumn("Capacity", F.col("Capacity") * 3 / 2))
+    found = bound.price_bound(wanted, have, t.distances(), c.rates(t), t.site_names, gates, iterations=6, step=2.0, keep=True)
+    plan = cut(bound.recover_plan(found, wanted, have, bidding.ways(t.distances(), c.rates(t)), gates))
+    over = bound.gap(plan, found, wanted, have, gates)
+    rows = [(round(found.best, 3), over >= 0, over <= 0.25)]
+    return t.spark.createDataFrame(rows, "Bound double, AboveBound boolean, WithinAQuarter boolean")
+
+
 def _best_sql(masks: list[int]) -> str:
     bits = " ".join(f"WHEN '{s}' THEN {1 << i}" for i, s in enumerate(SITES))
     return f"""WITH masks AS (SELECT unnest([{', '.join(map(str, masks))}]) AS Mask),
@@ -247,6 +268,21 @@ def _best_open(t, most: int):
     return scenario.open_plan(wanted, units, c.inbound(t), t.site_names, best["OpenSites"].split("+"))
 
 
+@query(
+    "open_site_search",
+    "N4",
+    with_views(
+        _scenario_sql(scenario.site_sets(5, 1, 3)).replace("SELECT CAST(Mask AS INTEGER) AS Mask, ", "SELECT ").replace(
+            ", CAST(0 AS BIGINT) AS Unserved,", ", CAST(0 AS BIGINT) AS Unserved, (SELECT CAST(sum(least_cost) AS DOUBLE) FROM (SELECT min(Cost) AS least_cost FROM cust_site GROUP BY MSTName, Loc, FTerms)) AS Bound,"
+        ).replace("CAST(row_number() OVER (ORDER BY Cost, bit_count(Mask), Mask) AS INTEGER) AS Rank FROM sums", "FROM sums ORDER BY Cost, bit_count(Mask), Mask LIMIT 1").replace("AS Bound,\n        FROM", "AS Bound FROM")
+    ),
+)
+def open_site_search(t):
+    """The best set of at most three sites, found by exchanges; enumeration in SQL."""
+    steps = scenario.search_open_sites(c.kept_demand(t), _units(t), t.site_names, max_open=3)
+    return steps.orderBy(F.desc("Step")).limit(1).select("OpenSites", "NOpen", "Cost", "Unserved", "Bound")
+
+
 @query("best_open_plan", "N4", with_views(_best_sql(scenario.site_sets(5, 1, 2)) + " SELECT * FROM flows"))
 def best_open_plan(t):
     return _best_open(t, 2)[0]

@@ -380,30 +380,43 @@ def smallest_customers(t):
     return op.smallest(op.total(t.history("MSTName", "PartType", "MUnits"), ["MSTName", "PartType"], "MUnits"), "MUnits", 10, "MSTName", "PartType")
 
 
+# Part types as the sheets have them: some parts have none.
+SOME_PARTS = "CASE WHEN l_partkey % 53 <> 0 THEN PartType END"
+
+
+def _some_parts(rows):
+    return rows.withColumn("PartType", F.when(F.col("l_partkey") % 53 != 0, F.col("PartType")))
+
+
 @query(
     "demand_grid_zero_filled",
     "R5",
-    with_views("""SELECT c.MSTName, p.PartType, coalesce(sum(MUnits), 0) AS MUnits FROM (SELECT DISTINCT MSTName FROM hist) c
-  CROSS JOIN (SELECT DISTINCT p_type AS PartType FROM part) p LEFT JOIN hist h ON h.MSTName = c.MSTName AND h.PartType = p.PartType GROUP BY ALL"""),
+    with_views(f"""WITH h AS (SELECT MSTName, {SOME_PARTS} AS PartType, MUnits FROM hist)
+  SELECT c.MSTName, p.PartType, coalesce(sum(MUnits), 0) AS MUnits FROM (SELECT DISTINCT MSTName FROM h) c
+  CROSS JOIN (SELECT DISTINCT PartType FROM h) p LEFT JOIN h ON h.MSTName = c.MSTName AND h.PartType IS NOT DISTINCT FROM p.PartType GROUP BY ALL"""),
 )
 def demand_grid_zero_filled(t):
-    return op.densify(t.history("MSTName", "PartType", "MUnits"), ["MSTName"], "PartType", op.values_of(t.part, "p_type"), "MUnits")
+    rows = _some_parts(t.history("MSTName", "PartType", "l_partkey", "MUnits")).drop("l_partkey")
+    return op.densify(rows, ["MSTName"], "PartType", op.values_of(rows, "PartType"), "MUnits")
 
 
 @query(
     "months_transposed",
     "R3",
     with_views(
-        "SELECT PartType, "
-        + ", ".join(f"max(m) FILTER (ShipSiteName = '{x}') AS \"{x}\"" for x in SITES)
-        + " FROM (SELECT ShipSiteName, PartType, sum(MUnits) AS m FROM hist GROUP BY ALL) GROUP BY PartType"
+        f"""WITH h AS (SELECT CASE WHEN l_partkey % 7 <> 0 THEN ShipSiteName END AS ShipSiteName, {SOME_PARTS} AS PartType, MUnits FROM hist)
+        SELECT coalesce(PartType, '(none)') AS PartType, sum(MUnits) FILTER (ShipSiteName IS NULL) AS "(none)", """
+        + ", ".join(f"sum(MUnits) FILTER (ShipSiteName = '{x}') AS \"{x}\"" for x in SITES)
+        + " FROM h GROUP BY ALL"
     ),
 )
 def months_transposed(t):
-    rows = t.volume("ShipSiteName", "PartType")
-    cells = [F.sum(F.when(F.col("PartType") == p, F.col("MUnits"))).alias(p) for p in op.values_of(t.part, "p_type")]
-    by_site = rows.groupBy("ShipSiteName").agg(*cells)
-    return op.transpose(by_site, "ShipSiteName", t.site_names, "PartType")
+    """A sheet of part types by site turned round; volume without a part type or without a site keeps its place."""
+    rows = _some_parts(t.volume("ShipSiteName", "PartType", "l_partkey"))
+    rows = rows.withColumn("ShipSiteName", F.when(F.col("l_partkey") % 7 != 0, F.col("ShipSiteName")))
+    sums = op.total(rows, ["ShipSiteName", "PartType"], "MUnits")
+    by_site = op.widen(sums, ["ShipSiteName"], "PartType", op.values_of(sums, "PartType"), "MUnits")
+    return op.transpose(by_site, "ShipSiteName", [None, *t.site_names], "PartType")
 
 
 # Wide enough for every customer key.

@@ -56,12 +56,12 @@ def total(df: DataFrame, keys: Sequence[str], measure: str, out: str | None = No
     return df.groupBy(*keys).agg(exact_sum(df, measure).alias(out or measure))
 
 
-def values_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """The distinct values of a short column in order, for operators that turn values into columns.
+def values_of(df: DataFrame, column: str, most: int = 1000) -> list[str | None]:
+    """The distinct values of a short column in order, NULL first, for operators that turn values into columns.
 
     More than ``most`` values are refused: such a column does not belong in the columns of a table.
     """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()
+    rows = df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{column} has more than {most} values")
     return [r[0] for r in rows]
@@ -97,9 +97,16 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     return picked.select(*[key if c == key else F.col(f"__first.`{c}`").alias(c) for c in df.columns])
 
 
-def widen(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], measure: str) -> DataFrame:
-    """Long to wide over a known list of columns; (keys, column) holds one value each. One shuffle."""
-    cells = [F.max(F.when(F.col(column) == v, F.col(measure))).alias(v) for v in values]
+#: Name of the column that holds what has NULL in the place of a column name.
+NO_NAME = "(none)"
+
+
+def widen(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[str | None], measure: str) -> DataFrame:
+    """Long to wide over a known list of columns; (keys, column) holds one value each. One shuffle.
+
+    None in ``values`` stands for NULL and becomes the column ``NO_NAME``.
+    """
+    cells = [F.max(F.when(F.col(column).eqNullSafe(F.lit(v)), F.col(measure))).alias(NO_NAME if v is None else v) for v in values]
     return df.groupBy(*keys).agg(*cells)
 
 
@@ -114,13 +121,19 @@ def transpose(df: DataFrame, header: str, headers: Sequence[str], name: str) ->
     return widen(lengthen(df, [header], rest, name, "__v"), [name], header, headers, "__v")
 
 
-def densify(df: DataFrame, keys: Sequence[str], axis: str, values: Sequence[str], measure: str) -> DataFrame:
-    """Every key with every value of ``axis``, absent measures as 0.
+def densify(df: DataFrame, keys: Sequence[str], axis: str, values: Sequence[str | None], measure: str) -> DataFrame:
+    """Every key with every value of ``axis``, absent measures as 0; None stands for NULL, which is a value like others.
 
     One aggregation with map-side partial sums, then a narrow unpivot: no cross join, one shuffle.
     """
-    cells = [F.sum(F.when(F.col(axis) == v, F.col(measure)).otherwise(0)).alias(v) for v in values]
-    return df.groupBy(*keys).agg(*cells).unpivot(list(keys), list(values), axis, measure)
+    names = [f"__{i}" for i in range(len(values))]
+    cells = [
+        F.sum(F.when(F.col(axis).eqNullSafe(F.lit(v)), F.col(measure)).otherwise(0)).alias(n) for n, v in zip(names, values)
+    ]
+    long = df.groupBy(*keys).agg(*cells).unpivot(list(keys), names, "__name", measure)
+    listed = F.array(*[F.lit(v).cast(df.schema[axis].dataType) for v in values])
+    value = F.element_at(listed, F.substring("__name", 3, 10).cast("int") + 1)
+    return long.select(*keys, value.alias(axis), measure)
 
 
 def distinct_lists(df: DataFrame, key: Sequence[str], item: str, out: str) -> DataFrame:

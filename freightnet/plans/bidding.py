@@ -35,15 +35,17 @@ def ways(dist: DataFrame, rates: DataFrame, rate: Decimal = RATE) -> DataFrame:
 def _offers(paths: DataFrame, stock: DataFrame, room: DataFrame) -> DataFrame:
     """Cheapest open way per place and product, and what the next best plant would cost more."""
     free = paths.join(room, "ShipSite", "left").where(F.col("Room").isNull() | (F.col("Room") > 0))
-    best = free.groupBy("MfgSite", "Dest").agg(F.min(F.struct("UnitCost", "ShipSite")).alias("way"))
+    gate = (F.col("UnitCost") + F.coalesce("Gate", F.lit(0))).cast(UNIT).alias("Rank")
+    best = free.groupBy("MfgSite", "Dest").agg(F.min(F.struct(gate, "ShipSite", "UnitCost")).alias("way"))
     stocked = best.join(stock.where(F.col("Stock") > 0), "MfgSite")
     # A list holds one entry per plant.
-    listed = F.sort_array(F.collect_list(F.struct("way.UnitCost", "MfgSite", "way.ShipSite")))
+    rank = (F.col("way.Rank") + F.col("Price")).cast(UNIT).alias("Rank")
+    listed = F.sort_array(F.collect_list(F.struct(rank, "MfgSite", "way.ShipSite", "way.UnitCost")))
     ranked = stocked.groupBy("Dest", PRODUCT).agg(listed.alias("ways"))
     first, second = F.get("ways", F.lit(0)), F.get("ways", F.lit(1))
     return ranked.select(
         "Dest", PRODUCT, first["MfgSite"].alias("MfgSite"), first["ShipSite"].alias("ShipSite"),
-        first["UnitCost"].alias("UnitCost"), (second["UnitCost"] - first["UnitCost"]).cast(UNIT).alias("Regret"),
+        first["UnitCost"].alias("UnitCost"), (second["Rank"] - first["Rank"]).cast(UNIT).alias("Regret"),
     )
 
 
@@ -65,16 +67,28 @@ def bid_plan(
     paths: DataFrame,
     caps: DataFrame | None = None,
     slices: int | None = None,
+    plant_prices: DataFrame | None = None,
+    site_prices: DataFrame | None = None,
 ) -> DataFrame:
     """Flows (MfgSite, ShipSite, customer, product, MUnits, Cost, Round); ``caps`` is (ShipSite, Cap).
 
-    Feasible for supply and throughput, not optimal; a customer may be served by several sites. Demand without an open
+    Prices of scarce limits, (MfgSite, product, Price) and (ShipSite, Price), add to what a way counts in the choice, not
+    to its cost: with those of ``price_bound`` the bids leave scarce ways to those who need them most. Feasible for supply and throughput, not optimal; a customer may be served by several sites. Demand without an open
     way, or beyond all limits, is left to ``waterfall.shortfall``.
     """
     session = demand.sparkSession
     rest = total(demand, [*CUSTOMER, PRODUCT], "MUnits").where(F.col("MUnits") > 0)
     rest = rest.withColumn("MUnits", F.col("MUnits").cast(VOLUME))
     stock = total(supply, ["MfgSite", PRODUCT], "Capacity", "Stock").withColumn("Stock", F.col("Stock").cast(VOLUME))
+    price = F.lit(0).cast(UNIT)
+    if plant_prices is not None:
+        stock = stock.join(plant_prices, ["MfgSite", PRODUCT], "left")
+        price = F.coalesce("Price", price)
+    stock = stock.withColumn("Price", price)
+    if site_prices is not None:
+        paths = cut(paths.join(site_prices.withColumnRenamed("Price", "Gate"), "ShipSite", "left"))
+    else:
+        paths = paths.withColumn("Gate", F.lit(0).cast(UNIT))
     none = session.createDataFrame([], "ShipSite string, Cap double")
     # A cap is rounded down, so that no sum of flows exceeds it.
     down = F.floor(F.col("Cap") * 1_000_000) / F.lit(1_000_000).cast("decimal(7,0)")
@@ -87,7 +101,7 @@ def bid_plan(
         bids = lookup(rest, offers, {"Loc": "Dest", PRODUCT: PRODUCT}, "inner")
         # Those without another plant come first, then the largest regret.
         bids = bids.withColumn("Urgency", F.coalesce(-F.col("Regret"), F.lit(-1e9).cast(UNIT))).withColumn("Wanted", F.col("MUnits"))
-        taken = _accepted(bids.drop("Regret"), ["MfgSite", PRODUCT], stock, "Stock", order, slices)
+        taken = _accepted(bids.drop("Regret"), ["MfgSite", PRODUCT], stock.drop("Price"), "Stock", order, slices)
         if caps is not None:
             taken = _accepted(taken, ["ShipSite"], room, "Room", order, slices)
         taken = cut(taken.select("MfgSite", "ShipSite", *CUSTOMER, PRODUCT, "UnitCost", "Wanted", "MUnits"))
@@ -97,9 +111,9 @@ def bid_plan(
         if rest.isEmpty():
             break
         used = taken.groupBy("MfgSite", PRODUCT).agg(F.sum("MUnits").alias("Used"))
-        stock = cut(_less(stock, used, ["MfgSite", PRODUCT], "Stock"))
+        stock = cut(less(stock, used, ["MfgSite", PRODUCT], "Stock"))
         if caps is not None:
-            room = cut(_less(room, taken.groupBy("ShipSite").agg(F.sum("MUnits").alias("Used")), ["ShipSite"], "Room"))
+            room = cut(less(room, taken.groupBy("ShipSite").agg(F.sum("MUnits").alias("Used")), ["ShipSite"], "Room"))
     flows = reduce(DataFrame.unionByName, rounds)
     cost = (F.col("MUnits") * F.col("UnitCost")).cast(MONEY)
     return flows.select(
@@ -107,6 +121,7 @@ def bid_plan(
     )
 
 
-def _less(limits: DataFrame, used: DataFrame, keys: list[str], limit: str) -> DataFrame:
+def less(limits: DataFrame, used: DataFrame, keys: list[str], limit: str) -> DataFrame:
+    """Limits less what is used of them."""
     left = F.col(limit) - F.coalesce("Used", F.lit(0).cast(VOLUME))
-    return limits.join(used, keys, "left").select(*keys, left.cast(VOLUME).alias(limit))
+    return limits.join(used, keys, "left").withColumn(limit, left.cast(VOLUME)).drop("Used")

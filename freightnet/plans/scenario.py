@@ -22,7 +22,7 @@ SETS_PER_PASS = 64
 def site_sets(n: int, min_open: int, max_open: int, closed: Sequence[int] = (), most_sites: int = MOST_SITES) -> list[int]:
     """Bit masks of the allowed sets of open sites; more than ``most_sites`` sites are refused."""
     if n > most_sites:
-        raise ValueError(f"{n} sites give {2**n - 1} sets; at most {most_sites} sites are enumerated")
+        raise ValueError(f"{n} sites give {2**n - 1} sets; at most {most_sites} are enumerated: use search_open_sites")
     shut = sum(1 << i for i in closed)
     return [m for m in range(1, 1 << n) if not m & shut and min_open <= m.bit_count() <= max_open]
 
@@ -115,3 +115,73 @@ def open_plan(
     needs = total(outbound, ["ShipSite", PRODUCT], "MUnits")
     moved = needs.join(inbound, ["ShipSite", PRODUCT]).select("MfgSite", "ShipSite", PRODUCT, "MUnits")
     return outbound, moved
+
+
+def _moves(chosen: frozenset[int], allowed: Sequence[int], max_open: int) -> list[tuple[int | None, int | None]]:
+    """(site to close, site to open) of every neighbour of a set."""
+    free = [a for a in allowed if a not in chosen]
+    adds = [(None, a) for a in free] if len(chosen) < max_open else []
+    return adds + [(d, None) for d in sorted(chosen)] + [(d, a) for d in sorted(chosen) for a in free]
+
+
+def search_open_sites(
+    demand: DataFrame,
+    units: DataFrame,
+    sites: Sequence[str],
+    max_open: int,
+    closed: Sequence[str] = (),
+    start: Sequence[str] = (),
+    most_steps: int = 1000,
+) -> DataFrame:
+    """Steps (Step, Opened, Closed, OpenSites, NOpen, Cost, Unserved, Bound) to a good set of at most ``max_open`` sites.
+
+    For more sites than can be enumerated: from ``start``, the best of all sets that differ by one site opened, closed or
+    exchanged, until none is better. All neighbours of a set are columns of one aggregate over the customers, who know
+    their cheapest and next cheapest open site; so a step is one pass for every ``SETS_PER_PASS`` of them, and only their
+    sums reach the driver. The end is a local optimum. ``Bound`` is the cost with all allowed sites open: no set costs less.
+    """
+    n = len(sites)
+    allowed = [i for i in range(n) if sites[i] not in closed]
+    costs = cut(option_costs(demand, units, [(i,) for i in range(n)]))
+    every = [F.col(f"o{i}") for i in allowed]
+    bound = costs.agg(F.sum(F.least(*every) if len(every) > 1 else every[0]).cast("double")).first()[0]
+
+    def measured(chosen: frozenset[int], moves: Sequence[tuple[int | None, int | None]]) -> list[tuple]:
+        found = []
+        for k in range(0, len(moves), SETS_PER_PASS):
+            block = moves[k : k + SETS_PER_PASS]
+            entries = [F.when(F.col(f"o{i}").isNotNull(), F.struct(F.col(f"o{i}").alias("cost"), F.lit(i).alias("at"))) for i in sorted(chosen)]
+            if entries:
+                ranked = costs.withColumn("__r", F.slice(F.sort_array(F.array_compact(F.array(*entries))), 1, 2))
+                one, two = F.get("__r", F.lit(0)), F.get("__r", F.lit(1))
+                ranked = ranked.withColumns({"__at": one["at"], "__1": one["cost"], "__2": two["cost"]})
+            else:
+                none = F.lit(None).cast(costs.schema["o0"].dataType)
+                ranked = costs.withColumns({"__at": F.lit(None).cast("int"), "__1": none, "__2": none})
+            aggs = []
+            for j, (d, a) in enumerate(block):
+                cost = F.col("__1") if d is None else F.when(F.col("__at") == d, F.col("__2")).otherwise(F.col("__1"))
+                cost = cost if a is None else F.least(cost, F.col(f"o{a}"))
+                aggs += [F.count(F.when(cost.isNull(), 1)).alias(f"n{j}"), F.sum(cost).alias(f"c{j}")]
+            row = ranked.agg(*aggs).first()
+            found += [(row[f"n{j}"], row[f"c{j}"] or 0, move) for j, move in enumerate(block)]
+        return found
+
+    chosen = frozenset(list(sites).index(s) for s in start)
+    best = measured(chosen, [(None, None)])[0][:2]
+    trace: list[tuple] = []
+    pending: tuple[int | None, int | None] = (None, None)
+    name = lambda i: None if i is None else sites[i]
+    while True:
+        opened = "+".join(sites[i] for i in sorted(chosen))
+        trace.append((len(trace), name(pending[1]), name(pending[0]), opened, len(chosen), float(best[1]), best[0], bound))
+        moves = _moves(chosen, allowed, max_open)
+        if not moves or len(trace) > most_steps:
+            break
+        unserved, cost, pending = min(measured(chosen, moves), key=lambda x: (x[0], x[1]))
+        if (unserved, cost) >= best:
+            break
+        best = (unserved, cost)
+        chosen = (chosen - {pending[0]}) | ({pending[1]} if pending[1] is not None else set())
+    schema = "Step INT, Opened STRING, Closed STRING, OpenSites STRING, NOpen INT, Cost DOUBLE, Unserved BIGINT, Bound DOUBLE"
+    return demand.sparkSession.createDataFrame(trace, schema)

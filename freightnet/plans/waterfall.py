@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
@@ -42,19 +43,19 @@ def supply_intervals(supply: DataFrame) -> DataFrame:
     return exact.withColumn("s1", s1).withColumn("s0", F.col("s1") - F.col("Capacity")).drop("Capacity")
 
 
-def overlaps(wanted: DataFrame, have: DataFrame) -> DataFrame:
-    """Where demand intervals [d0, d1) and supply intervals [s0, s1) of a product meet.
+def overlaps(wanted: DataFrame, have: DataFrame, keys: Sequence[str] = (PRODUCT,)) -> DataFrame:
+    """Where demand intervals [d0, d1) and supply intervals [s0, s1) of a product (or other ``keys``) meet.
 
     Demand comes in slices of near-equal rows, however its volume is spread. The few supply intervals are matched to
     the range of each slice, and the rows meet them on (product, slice): each row lies in one slice, so no pair is
     formed twice and no product is joined in one piece.
     """
-    ranges = wanted.groupBy(PRODUCT, "__slice").agg(F.min("d0").alias("__lo"), F.max("d1").alias("__hi"))
-    near = ranges.join(have, PRODUCT).where((F.col("s0") < F.col("__hi")) & (F.col("__lo") < F.col("s1")))
+    ranges = wanted.groupBy(*keys, "__slice").agg(F.min("d0").alias("__lo"), F.max("d1").alias("__hi"))
+    near = ranges.join(have, list(keys)).where((F.col("s0") < F.col("__hi")) & (F.col("__lo") < F.col("s1")))
     # One row per slice and border of a supply interval. Written, so that its true size decides the join.
     near = cut(near.drop("__lo", "__hi"))
     start, end = F.greatest("d0", "s0"), F.least("d1", "s1")
-    met = wanted.join(near, [PRODUCT, "__slice"]).where(start < end).drop("__slice")
+    met = wanted.join(near, [*keys, "__slice"]).where(start < end).drop("__slice")
     return met.withColumn("MUnits", (end - start).cast(VOLUME))
 
 

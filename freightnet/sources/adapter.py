@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
-#: Regions that may be sites: their names become columns of lane tables.
+#: Regions that may be sites, unless the caller allows more: their names become columns of lane tables.
 MOST_SITES = 50
 
 SCHEMAS = {
@@ -65,9 +65,10 @@ def cached(view: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, most_sites: int = MOST_SITES):
         self.spark = spark
         self.folder = folder
+        self.most_sites = most_sites
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
@@ -80,9 +81,9 @@ class Tables:
     def site_list(self) -> list[tuple[int, str]]:
         """Key and name of every site in order of the key, read from the regions once per query."""
         if "_sites" not in self.__dict__:
-            rows = self.region.orderBy("r_regionkey").limit(MOST_SITES + 1).collect()
-            if len(rows) > MOST_SITES:
-                raise ValueError(f"more than {MOST_SITES} sites")
+            rows = self.region.orderBy("r_regionkey").limit(self.most_sites + 1).collect()
+            if len(rows) > self.most_sites:
+                raise ValueError(f"more than {self.most_sites} sites")
             self.__dict__["_sites"] = [(r["r_regionkey"], r["r_name"]) for r in rows]
         return self.__dict__["_sites"]
 

@@ -57,7 +57,7 @@ def test_capacity_sheet_with_its_own_schema(spark, tmp_path, column):
 
 def test_short_lists_only(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "v string")
-    assert op.values_of(df, "v") == ["a", "b"]
+    assert op.values_of(df, "v") == [None, "a", "b"]
     with pytest.raises(ValueError):
         op.values_of(df, "v", most=1)
     with pytest.raises(ValueError):
