@@ -42,10 +42,10 @@ STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 PATHS, ONE_BY_ONE = 3, 64
 #: Added to each count of the base score.
 ADDED = 0.1
-#: Slices for each bucket of words, buckets of pairs for each slice.
-SLICES_A_BUCKET, BUCKETS_A_SLICE = 4, 1
+#: Slices for each bucket of words and of pairs.
+SLICES_A_BUCKET, SLICES_A_PAIR_BUCKET = 8, 2
 #: Bytes of text in a slice: a task holds some hundred bytes for each.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of a table that are worked on together.
 TOGETHER = 200_000
 _START = -1
@@ -239,22 +239,61 @@ def _pair_counts(asks: DataFrame) -> DataFrame:
         order = np.lexsort((w, u))
         order = order[totals[order] > 0]
         steps = np.diff(u[order], prepend=0)  # small, as the words ascend
-        yield _messages([(bucket, 0, 0, pack(steps), pack(w[order]), pack(totals[order]), b"")])
+        rare = [np.count_nonzero(totals == k) for k in (1, 2)]
+        yield _messages([(bucket, 0, 0, pack(steps), pack(w[order]), pack(totals[order]), pack(np.array(rare)))])
 
     return _gathered(asks, count)
 
 
 def _pair_rows(counts: DataFrame) -> DataFrame:
-    """(u, w, c, bucket) of every pair that is trained on."""
+    """(u, w, c, bucket) of the pairs that were seen more than once."""
 
     def rows(bucket, kind, part, u, w, c, d) -> Iterator[pa.RecordBatch]:
-        u, w, c = np.cumsum(unpack(u, np.int64)), unpack(w, np.int64), unpack(c, np.int64)
-        arrays = [pa.array(x) for x in (u, w, c, np.full(len(u), bucket))]
+        c = unpack(c, np.int64)
+        at = np.flatnonzero(c > 1)
+        u, w = np.cumsum(unpack(u, np.int64))[at], unpack(w, np.int64)[at]
+        arrays = [pa.array(x) for x in (u, w, c[at], np.full(len(at), bucket))]
         yield pa.RecordBatch.from_arrays(arrays, names=["u", "w", "c", "bucket"])
 
     return _each(counts, rows, "u bigint, w bigint, c bigint, bucket bigint")
 
 
+def _rare(counts: DataFrame) -> tuple[int, int]:
+    """How many pairs were seen once and twice."""
+
+    def rows(bucket, kind, part, u, w, c, d) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in unpack(d, np.int64)], names=["n1", "n2"])
+
+    n = _each(counts, rows, "n1 bigint, n2 bigint").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    return n["n1"] or 0, n["n2"] or 0
+
+
+def _by_side(counts: DataFrame, side: int, name: str) -> DataFrame:
+    """Sums over the pairs of each first (0) or second (1) word: total, single (seen once), many (more often). Each task
+    adds up its buckets, ``TOGETHER`` pairs and more at a time, before rows move."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        c = np.concatenate([h[1] for h in held])
+        sums = [np.bincount(at, weights=x, minlength=len(ids)).astype(np.int64) for x in (c, c == 1, c > 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *sums)], names=[name, "total", "single", "many"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = unpack(batch.column("ab"[side])[k].as_py(), np.int64)
+                held.append((words if side else np.cumsum(words), unpack(batch.column("c")[k].as_py(), np.int64)))
+                if sum(len(h[1]) for h in held) >= 5 * TOGETHER:
+                    yield flush(held)
+                    held = []
+        if held:
+            yield flush(held)
+
+    rows = counts.select("ab"[side], "c").mapInArrow(run, f"{name} bigint, total bigint, single bigint, many bigint")
+    return rows.groupBy(name).agg(*[F.sum(c).alias(c) for c in ("total", "single", "many")])
+
+
 def _random(keys: np.ndarray, k: int) -> np.ndarray:
     """A number from 0 to 1 for each key, another for each k."""
     salt = np.array([(k + 1) * 0xD1B54A32D192ED03 % 2**64], np.uint64)
@@ -361,17 +400,15 @@ def _discount(once: int, twice: int) -> float:
 class Model:
     """Counts and samples of a trained model."""
 
-    def __init__(self, pairs: DataFrame, words: int) -> None:
+    def __init__(self, counts: DataFrame, words: int) -> None:
         self.base = 1 / (words + 1)
-        n = pairs.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
-        self.discount = _discount(n["n1"], n["n2"])
-        single = F.count(F.when(F.col("c") == 1, 1)).alias("single")
-        many = F.count(F.when(F.col("c") > 1, 1))
+        self.discount = _discount(*_rare(counts))
         one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
         # At first each pair has one table, and so has each word at the parent.
-        self.contexts = step(pairs.groupBy("u").agg(F.sum("c").alias("total"), single, (many + single).alias("tables")))
-        parent = step(pairs.groupBy("w").agg(single, (many + single).alias("r")).withColumn("t", one))
-        self.pairs = step(pairs.where("c > 1").withColumn("t", one).withColumn("kept", none))
+        tables = F.col("single") + F.col("many")
+        self.contexts = step(_by_side(counts, 0, "u").select("u", "total", "single", tables.alias("tables")))
+        parent = step(_by_side(counts, 1, "w").select("w", "single", tables.alias("r"), one.alias("t")))
+        self.pairs = step(_pair_rows(counts).withColumn("t", one).withColumn("kept", none))
         n = parent.agg(*[F.count(F.when(F.col("r") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
         self.parent_discount = _discount(n["n1"], n["n2"])
         others, self.unseen = parent.count(), []
@@ -494,7 +531,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     """One row per document: its id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams), score."""
     sliced = step(_sliced(documents, held_out, id_col))
     n_slices = sliced.count()
-    buckets, pair_buckets = max(1, n_slices // SLICES_A_BUCKET), max(1, n_slices * BUCKETS_A_SLICE)
+    buckets, pair_buckets = max(1, n_slices // SLICES_A_BUCKET), max(1, n_slices // SLICES_A_PAIR_BUCKET)
     answers = step(_word_counts(_word_asks(sliced, buckets), buckets))
 
     def sums(key, kind, part, numbers, counts, c, d) -> Iterator[pa.RecordBatch]:
@@ -510,7 +547,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     forget(sliced)
     forget(answers)
     counts = step(_pair_counts(_pair_asks(known, pair_buckets)))
-    model = Model(_pair_rows(counts), n_words)
+    model = Model(counts, n_words)
     forget(counts)
     told = step(_word_answers(known, model, buckets)).unionByName(step(_pair_answers(known, model, pair_buckets)))
     first = model.by_word().where(F.col("id") == _START).first()
