@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from freightnet.catalog import query
 from freightnet.catalog.views import with_views
-from freightnet.functions.scalar import terms, transport_mode, year_month, year_start
+from freightnet.functions.scalar import terms, year_month, year_start
+from freightnet.operators import tables as op
 from freightnet.plans import history as h
-from freightnet.scale import rank_and_count
+from freightnet.scale import fresh_path, rank_and_count
+from freightnet.sources import readers, writers
 
 AS_OF = "1995-06-30"
 
@@ -158,7 +160,22 @@ def site_month_volume(t):
  GROUP BY ModeFix"""),
 )
 def mode_mix(t):
-    return t.history("Truck", "MUnits").groupBy(transport_mode("Truck").alias("ModeFix")).agg(F.sum("MUnits").alias("MUnits"))
+    rows = h.with_mode(op.total(t.history("Truck", "MUnits"), ["Truck"], "MUnits"), "Truck", h.carriers(t.spark))
+    return op.total(rows, ["ModeFix"], "MUnits")
+
+
+@query(
+    "mode_mix_own_list",
+    "C6",
+    with_views("""SELECT CASE Truck WHEN 'ZZZZ' THEN 'DRAY' WHEN 'UPS' THEN 'PARCEL' WHEN 'SWFT' THEN 'TL' ELSE 'UNKNOWN' END AS ModeFix,
+  sum(MUnits) AS MUnits FROM hist GROUP BY 1"""),
+)
+def mode_mix_own_list(t):
+    """Another list of carriers: new codes, and codes that two modes share."""
+    rows = [("zzzz", "DRAY", 1), ("UPS", "AIR", 5), (" UPS", "PARCEL", 2), ("SWFT", "TL", 3), ("SWFT", "UNTIL", 3)]
+    known = t.spark.createDataFrame(rows, "scac STRING, mode STRING, priority INT")
+    sums = op.total(t.history("Truck", "MUnits"), ["Truck"], "MUnits")
+    return op.total(h.with_mode(sums, "Truck", known), ["ModeFix"], "MUnits")
 
 
 @query(
@@ -175,3 +192,40 @@ def order_terms(t):
     return kept.groupBy(year_month("o_orderdate").alias("ShipMonth"), terms("raw").alias("FrtTermsFix")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+@query(
+    "landed_month",
+    "S1 K7",
+    with_views("""SELECT ShipMonth, ShipSiteName, FrtTermsFix, count(*) AS n, sum(MUnits) AS MUnits FROM hist
+ WHERE ShipMonth BETWEEN 199807 AND 199809 GROUP BY ALL"""),
+)
+def landed_month(t):
+    """History landed by month; a quarter is read from the folders of its months alone."""
+    path = fresh_path(t.spark, "history-by-month")
+    rows = t.history("ShipMonth", "ShipSiteName", "FrtTermsFix", "MUnits")
+    writers.land_by(rows, path, ["ShipMonth"])
+    read = readers.read_table(t.spark, path, rows.schema).where(F.col("ShipMonth").between(199807, 199809))
+    sums = op.total(read, ["ShipMonth", "ShipSiteName", "FrtTermsFix"], "MUnits")
+    counts = read.groupBy("ShipMonth", "ShipSiteName", "FrtTermsFix").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(sums, ["ShipMonth", "ShipSiteName", "FrtTermsFix"])
+
+
+def landed_orders(t, buckets: int = 16):
+    """Lines and orders as tables that are bucketed and sorted by order: they join without a shuffle of either."""
+    lines = t.lineitem.selectExpr("l_orderkey AS nbr", "l_quantity AS MUnits")
+    orders = t.orders.selectExpr("o_orderkey AS nbr", "o_custkey AS cust", "o_orderpriority AS via")
+    return writers.land_bucketed(lines, "lines", "nbr", buckets), writers.land_bucketed(orders, "orders", "nbr", buckets)
+
+
+@query(
+    "landed_orders_joined",
+    "K7 J9",
+    "SELECT o_orderpriority AS via, count(*) AS n, count(DISTINCT o_custkey) AS customers, sum(l_quantity) AS MUnits FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+)
+def landed_orders_joined(t):
+    lines, orders = landed_orders(t)
+    both = lines.join(orders, "nbr")
+    return both.groupBy("via").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("cust").alias("customers"), op.exact_sum(both, "MUnits").alias("MUnits")
+    )

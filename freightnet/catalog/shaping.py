@@ -9,7 +9,7 @@ from freightnet.functions import scalar as s
 from freightnet.operators import quality as ql
 from freightnet.operators import tables as op
 from freightnet.plans import geo
-from freightnet.plans.demand import unpivot_demand_sheet
+from freightnet.plans.demand import sheet_cells, sheet_drops, unpivot_demand_sheet
 from freightnet.plans.waterfall import cheapest_routes
 from freightnet.sources import readers
 
@@ -151,6 +151,83 @@ def network_json_lanes(t):
     return readers.flatten_lanes(docs, "doc")
 
 
+@query(
+    "network_document_leaves",
+    "S11",
+    with_views("""SELECT 'demand' AS section, Loc || '/' || FTerms AS owner, RPType AS item, count(*) AS n, CAST(sum(CAST(MUnits AS DECIMAL(24, 6))) AS DOUBLE) AS amount FROM demand GROUP BY ALL
+  UNION ALL SELECT 'capacity', MfgSite, RPType, 1, CAST(CAST(Capacity AS DECIMAL(24, 6)) AS DOUBLE) FROM supply
+  UNION ALL SELECT 'distances', '', Orig || ' => ' || Dest, 1, Miles FROM dist"""),
+)
+def network_document_leaves(t):
+    """Documents with sections of different depth, several lanes and owners each, read without a schema."""
+    entry = lambda k, v: F.struct(F.col(k).alias("k"), v.alias("v"))
+    wanted = demand(t).withColumn("Place", F.concat_ws("/", "Loc", "FTerms"))
+    leaf = F.map_from_entries(F.collect_list(entry("RPType", F.struct(F.col("MUnits").alias("demand")))))
+    needs = wanted.groupBy("MSTName", "Place").agg(leaf.alias("products"))
+    needs = needs.groupBy(F.col("MSTName").alias("owner")).agg(F.map_from_entries(F.collect_list(entry("Place", F.struct("products")))).alias("m"))
+    have = kept_supply(t).groupBy(F.col("MfgSite").alias("owner")).agg(F.map_from_entries(F.collect_list(entry("RPType", F.col("Capacity")))).alias("m"))
+    lanes = t.distances().withColumn("lane", F.concat_ws(" => ", "Orig", "Dest"))
+    lanes = lanes.groupBy(F.col("Orig").alias("owner")).agg(F.map_from_entries(F.collect_list(entry("lane", F.col("Miles")))).alias("m"))
+    docs = [
+        needs.select(F.to_json(F.struct(F.struct(F.col("m").alias("places")).alias("demand"))).alias("doc")),
+        have.select(F.to_json(F.struct(F.create_map("owner", "m").alias("capacity"))).alias("doc")),
+        lanes.select(F.to_json(F.struct(F.col("m").alias("distances"))).alias("doc")),
+    ]
+    rows = readers.document_leaves(docs[0].unionByName(docs[1]).unionByName(docs[2]), "doc")
+    section, amount = F.get("path", F.lit(0)), F.col("value").try_cast("double")
+    deep = section == "demand"
+    owner = F.when(deep, F.get("path", F.lit(2))).when(section == "capacity", F.get("path", F.lit(1))).otherwise("")
+    item = F.when(deep, F.get("path", F.lit(4))).when(section == "capacity", F.get("path", F.lit(2))).otherwise(F.get("path", F.lit(1)))
+    named = rows.select(section.alias("section"), owner.alias("owner"), item.alias("item"), amount.cast("decimal(24,6)").alias("amount"))
+    return named.groupBy("section", "owner", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
+@query(
+    "lanes_checked",
+    "J7 Q4",
+    with_views("SELECT ShipSiteName, Loc, sum(MUnits) AS MUnits, any_value(Miles) AS Miles FROM clean JOIN dist ON Orig = ShipSiteName AND Dest = Loc GROUP BY ALL"),
+)
+def lanes_checked(t):
+    """Flows to known places with the one distance of their lane; a lane with none or several would fail the job."""
+    flows = op.total(op.keep_known(clean(t), t.distances(), {"Loc": "Dest"}), ["ShipSiteName", "Loc"], "MUnits")
+    return op.lookup_one(flows, t.distances(), {"ShipSiteName": "Orig", "Loc": "Dest"})
+
+
+@query(
+    "dropped_rows",
+    "F1 F6 F7 C10 B9",
+    with_views("""WITH d AS (SELECT CASE WHEN substr(de_city, length(de_city)) <> '4' THEN de_state END AS s, de_city AS c FROM raw_dist),
+  cells AS (SELECT p_partkey, i, (p_partkey * (i + 3)) % 19 - 4 AS v FROM part CROSS JOIN range(78) r(i)),
+  typed AS (SELECT CASE WHEN p_partkey % 31 = 0 AND p_partkey % 29 <> 0 THEN 'null_key' WHEN p_partkey % 29 = 0 THEN 'header' WHEN v = 0 THEN 'empty'
+                        WHEN v = 7 THEN 'unreadable' WHEN v < 0 THEN 'not_positive' END AS reason FROM cells)
+  SELECT 'distances' AS step, reason, count(*) AS n FROM
+    (SELECT CASE WHEN s IS NULL THEN 'null_key' WHEN s IN ('EX', 'PR', 'HI', 'XX') THEN 'off_network_state' WHEN c = 'GNANGARA' AND s = 'WA' THEN 'miscoded_place' END AS reason FROM d)
+  WHERE reason IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'demand_sheet', reason, count(*) FROM typed WHERE reason IS NOT NULL GROUP BY ALL"""),
+)
+def dropped_rows(t):
+    """How many rows the cleaning steps leave out, by reason: some places without a state, some cells that are no numbers."""
+    state = F.col("`de.State`")
+    raw = t.raw_distances().withColumn("de.State", F.when(~F.col("`de.City`").endswith("4"), state))
+    sheet, cols = demand_sheet(t)
+    sheet = sheet.select("ITEM", "Print", *[F.when(F.col(c) == "7", "n/a").otherwise(F.col(c)).alias(c) for c in cols])
+    lost = op.drop_counts(raw, geo.distance_drops()).withColumn("step", F.lit("distances"))
+    cells = op.drop_counts(sheet_cells(sheet, cols), sheet_drops()).withColumn("step", F.lit("demand_sheet"))
+    return lost.unionByName(cells).where(F.col("n") > 0).select("step", "reason", "n")
+
+
+@query(
+    "history_medians",
+    "A11 Q2",
+    with_views("""SELECT 'ShipMonth' AS "column", median(ShipMonth) AS median FROM hist UNION ALL SELECT 'MUnits', median(MUnits) FROM hist
+  UNION ALL SELECT 'Price', median(l_extendedprice) FROM lineitem"""),
+)
+def history_medians(t):
+    """The middle values that a profile of the history shows, exact without a sort."""
+    price = op.exact_medians(t.lineitem.selectExpr("l_extendedprice AS Price"), most=1000)
+    return op.exact_medians(t.history("ShipMonth", "MUnits"), most=1000).unionByName(price)
+
+
 @query(
     "third_party_excluded",
     "F4 A2 C16",

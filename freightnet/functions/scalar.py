@@ -14,7 +14,7 @@ from freightnet.schemas import LANE, MONEY, VOLUME
 RATE = Decimal("6.15")
 EARLIER_RATES = (Decimal("5.565"), Decimal("5.64"), Decimal("5.77"))
 
-# Carrier codes by transport mode; the first list that holds a code wins.
+# Carrier codes by transport mode; the first list that holds a code wins (see plans/history.py).
 CARRIERS = {
     "IM": "NLAT QPMT SCDS SNCK SNLU RBIN ANVI HUBG GRSF COYY BTIU HJBI HBGI",
     "LTL": """CNWY CTII CWCE CWWE DHRN FXFE HMES PITD RDWY RETL SAIA UPFG UPGF YFSW XPO
@@ -52,15 +52,6 @@ def terms(raw: str) -> Column:
     return F.when(F.upper(F.trim(F.col(raw))) == "PREPAID", "PPD").otherwise("CPU")
 
 
-def transport_mode(truck: str) -> Column:
-    code = F.upper(F.trim(F.col(truck)))
-    modes = [(mode, codes.split()) for mode, codes in CARRIERS.items()]
-    out = F.when(code.isin(modes[0][1]), modes[0][0])
-    for mode, codes in modes[1:]:
-        out = out.when(code.isin(codes), mode)
-    return out.otherwise("UNKNOWN")
-
-
 def year_month(date: str) -> Column:
     return (F.year(date) * 100 + F.month(date)).cast("int")
 

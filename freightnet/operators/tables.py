@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from freightnet.scale import null_safe_join
@@ -189,3 +189,101 @@ def profile(df: DataFrame, *cols: str) -> DataFrame:
         for i, c in enumerate(cols)
     ]
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
+
+
+def exact_medians(df: DataFrame, *cols: str, most: int = 10_000, accuracy: int = 10_000) -> DataFrame:
+    """(column, median) of numeric columns: the mean of the two middle values, exact, without sorting the table.
+
+    A mergeable sketch brackets the middle ranks of all columns in one pass; the next pass counts exactly what lies below
+    and inside each bracket, and narrows it again if more than ``most`` values are inside. Each pass leaves a few
+    ``accuracy``-ths of the rows, so two or three do at any size. Only the values of the last bracket reach the driver.
+    """
+    numeric = [f.name for f in df.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "decimal", "short")]
+    cols = cols or tuple(numeric)
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    size = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    #: Places of the middle values that are still sought, and the values of those that were found.
+    sought = {c: {(n - 1) // 2, n // 2} for c, n in size.items() if n}
+    found: dict[str, dict[int, float]] = {c: {} for c in cols}
+    #: The sought values lie above the first and below the second; rows below and inside.
+    bracket: dict[str, tuple[float | None, float | None, int, int]] = {c: (None, None, 0, n) for c, n in size.items()}
+
+    def inside(c: str) -> Column:
+        low, high, _, _ = bracket[c]
+        above = F.lit(True) if low is None else x[c] > low
+        return above if high is None else above & (x[c] < high)
+
+    while wide := [c for c in sought if sought[c] and bracket[c][3] > most]:
+        aggs = []
+        for i, c in enumerate(wide):
+            _, _, below, n = bracket[c]
+            shares = [max(0.0, (min(sought[c]) - below) / n - 2 / accuracy), min(1.0, (max(sought[c]) + 1 - below) / n + 2 / accuracy)]
+            aggs.append(F.percentile_approx(F.when(inside(c), x[c]), shares, accuracy).alias(f"q{i}"))
+        ends = df.agg(*aggs).first()
+        counts = []
+        for i, c in enumerate(wide):
+            low, high = ends[f"q{i}"]
+            parts = {"b": x[c] < low, "l": x[c] == low, "m": (x[c] > low) & (x[c] < high)}
+            counts += [F.count(F.when(rule, 1)).alias(f"{k}{i}") for k, rule in parts.items()]
+        row = df.agg(*counts).first()
+        for i, c in enumerate(wide):
+            (low, high), (below, at_low, middle) = ends[f"q{i}"], (row[f"{k}{i}"] for k in "blm")
+            for rank in list(sought[c]):
+                if below <= rank < below + at_low:
+                    found[c][rank] = low
+                elif below + at_low + middle <= rank:
+                    found[c][rank] = high
+            sought[c] -= set(found[c])
+            bracket[c] = (low, high, below + at_low, middle)
+    cells = []
+    for c in cols:
+        ranks = sorted({(size[c] - 1) // 2, size[c] // 2}) if size[c] else []
+        listed = F.sort_array(F.collect_list(F.when(inside(c), x[c])))
+        values = [F.lit(found[c][r]) if r in found[c] else F.get(listed, F.lit(r - bracket[c][2])) for r in ranks]
+        middle = (values[0] + values[-1]) / 2 if values else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(c).alias("column"), middle.alias("median")))
+    return df.agg(F.array(*cells).alias("__m")).select(F.inline("__m"))
+
+
+def first_reason(rules: Mapping[str, Column]) -> Column:
+    """Name of the first rule that holds, NULL where none does."""
+    out = F.lit(None).cast("string")
+    for name, rule in reversed(list(rules.items())):
+        out = F.when(F.coalesce(rule, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def drop_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """(reason, n): rows by the first rule that drops them; rules that drop nothing are listed with 0."""
+    counts = [F.count(F.when(F.col("__reason") == name, 1)).alias(name) for name in rules]
+    rows = [F.struct(F.lit(name).alias("reason"), F.col(f"`{name}`").alias("n")) for name in rules]
+    return df.select(first_reason(rules).alias("__reason")).agg(*counts).select(F.inline(F.array(*rows)))
+
+
+def observed_drops(df: DataFrame, rules: Mapping[str, Column], observation: Observation) -> DataFrame:
+    """``df`` without the rows that a rule drops; the counts by reason ride on the job that reads it, at no extra pass.
+
+    They are in ``observation.get`` once an action has run.
+    """
+    marked = df.withColumn("__reason", first_reason(rules))
+    counts = [F.count(F.when(F.col("__reason") == name, 1)).alias(name) for name in rules]
+    return marked.observe(observation, *counts).where(F.col("__reason").isNull()).drop("__reason")
+
+
+def lookup_one(df: DataFrame, dim: DataFrame, on: Mapping[str, str]) -> DataFrame:
+    """Join a dimension that must hold each needed key exactly once: the job fails and names the key otherwise.
+
+    The number of rows of a key travels with the dimension, which is aggregated by its own key for it. The join takes the
+    place of the plain one and moves no more of ``df``. Duplicate keys that no row needs are no fault.
+    """
+    keys = list(on.values())
+    rest = [c for c in dim.columns if c not in keys]
+    one = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hits"), *[F.first(c).alias(c) for c in rest])
+    joined = lookup(df, one, on)
+    shown = F.concat_ws(", ", *[F.concat(F.lit(f"{k} = "), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in on])
+    hits = F.coalesce("__hits", F.lit(0))
+    said = F.concat(F.lit("found "), hits.cast("string"), F.lit(" rows instead of one for "), shown)
+    # A filter that either passes or fails: unlike a value, it stays whichever columns are read.
+    passes = F.when(hits == 1, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    return joined.where(passes).drop("__hits")

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import lid_or_cup, number, place
-from freightnet.operators.tables import THIRD_PARTY_SITES, first_per_key, keep_known, lengthen, lookup, own_sites, total
+from freightnet.operators.tables import (
+    THIRD_PARTY_SITES,
+    first_per_key,
+    first_reason,
+    keep_known,
+    lengthen,
+    lookup,
+    own_sites,
+    total,
+)
 from freightnet.scale import cut
 
 
@@ -76,11 +85,25 @@ def unpivot_demand_sheet(sheet: DataFrame, customers: Sequence[str], key_length:
     Repeated header lines, empty items, cells that are not numbers and volumes of zero or less are dropped.
     Columns that share a key prefix are added up.
     """
-    rows = lengthen(sheet, ["ITEM", "Print"], customers, "MST", "cell")
-    typed = rows.where(F.col("ITEM").isNotNull() & (F.col("ITEM") != "ITEM")).select(
-        "Print", "ITEM", F.left("MST", F.lit(key_length)).alias("MST"), number("cell").alias("MUnits")
-    )
-    return total(typed.where(F.col("MUnits") > 0), ["Print", "ITEM", "MST"], "MUnits")
+    rows = sheet_cells(sheet, customers).where(first_reason(sheet_drops()).isNull())
+    typed = rows.select("Print", "ITEM", F.left("MST", F.lit(key_length)).alias("MST"), number("cell").alias("MUnits"))
+    return total(typed, ["Print", "ITEM", "MST"], "MUnits")
+
+
+def sheet_cells(sheet: DataFrame, customers: Sequence[str]) -> DataFrame:
+    """(ITEM, Print, MST, cell) of every cell of a demand sheet."""
+    return lengthen(sheet, ["ITEM", "Print"], customers, "MST", "cell")
+
+
+def sheet_drops() -> dict[str, Column]:
+    """Why ``unpivot_demand_sheet`` leaves a cell out, first reason first."""
+    return {
+        "null_key": F.col("ITEM").isNull(),
+        "header": F.col("ITEM") == "ITEM",
+        "empty": F.col("cell").isNull() | (F.trim("cell") == ""),
+        "unreadable": number("cell").isNull(),
+        "not_positive": number("cell") <= 0,
+    }
 
 
 def locate_demand(sheet_demand: DataFrame, master: DataFrame) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightnet.functions.scalar import terms, transport_mode, year_month, year_start
+from freightnet.functions.scalar import CARRIERS, terms, year_month, year_start
 from freightnet.scale import cut, null_safe_join, rank_and_count
 from freightnet.schemas import VOLUME
 
 # Fixed values of the extract.
 DOMAIN = "037"
 INVOICED = "INV"
-EXCLUDED_SITE = "531"
+EXCLUDED_SITES = ("531",)
 SAMPLE_NAME = "%SAMPL%"
 BILL_LENGTH = 9
 
@@ -48,18 +48,20 @@ def order_headers(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN
     )
 
 
-def order_lines(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN) -> DataFrame:
-    """Order lines of those orders with part and pallet data.
+def order_lines(
+    erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN, excluded: Sequence[str] = EXCLUDED_SITES
+) -> DataFrame:
+    """Order lines of those orders with part and pallet data, without the excluded sites.
 
-    Everything that hangs on the order is joined before the lines, at the smaller grain. Orders and lines
-    both grow with the data, so they meet in a merge join.
+    Everything that hangs on the order is joined before the lines, at the smaller grain. Tables that are bucketed by order
+    (``writers.land_bucketed``) meet without a shuffle.
     """
-    detail = erp["idh_hist_all"].where(F.col("idh_site") != EXCLUDED_SITE)
+    detail = erp["idh_hist_all"].where(~F.col("idh_site").isin(*excluded))
     ordered = (F.col("ih_domain") == F.col("idh_domain")) & (F.col("ih_nbr") == F.col("idh_nbr"))
     made = (F.col("idh_domain") == F.col("pt_domain")) & (F.col("idh_part") == F.col("pt_part"))
     packed = (F.col("Part") == F.col("idh_part")) & (F.col("Site") == F.col("idh_site"))
     return (
-        detail.join(order_headers(erp, as_of, domain).hint("merge"), ordered)
+        detail.join(order_headers(erp, as_of, domain), ordered)
         .join(erp["pt_mstr_all"], made, "left")
         .join(erp["Pallets"], packed, "left")
     )
@@ -89,15 +91,40 @@ def add_stops(df: DataFrame, bill: str = "MasterBOL", stop: str = "MST") -> Data
     return null_safe_join(df, ranks, [bill, stop])
 
 
-def ship_history(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN) -> DataFrame:
+def carriers(spark: SparkSession) -> DataFrame:
+    """(scac, mode, priority) of the known carriers; a code may be listed under several modes."""
+    rows = [(code, mode, k) for k, (mode, codes) in enumerate(CARRIERS.items()) for code in codes.split()]
+    return spark.createDataFrame(rows, "scac STRING, mode STRING, priority INT")
+
+
+def with_mode(df: DataFrame, truck: str, known: DataFrame, out: str = "ModeFix") -> DataFrame:
+    """Transport mode of a carrier code: of the modes that list it the one of least priority, UNKNOWN without any.
+
+    ``known`` is a table like ``carriers``: new codes and modes are rows, not code. It is as long as the list of carriers,
+    so Spark broadcasts it by its size.
+    """
+    code = F.upper(F.trim("scac"))
+    first = known.groupBy(code.alias("__scac")).agg(F.min_by("mode", F.struct("priority", "mode")).alias("__mode"))
+    joined = df.join(first, F.upper(F.trim(F.col(truck))) == F.col("__scac"), "left")
+    return joined.withColumn(out, F.coalesce("__mode", F.lit("UNKNOWN"))).drop("__scac", "__mode")
+
+
+def ship_history(
+    erp: Mapping[str, DataFrame],
+    as_of: str,
+    domain: str = DOMAIN,
+    excluded: Sequence[str] = EXCLUDED_SITES,
+    known: DataFrame | None = None,
+) -> DataFrame:
     """The shipment history table.
 
     The grouped rows feed both the ranking and the result, so they are written once: joining the whole
     star twice would cost more than one write.
     """
-    grouped = cut(grouped_history(order_lines(erp, as_of, domain)))
+    grouped = cut(grouped_history(order_lines(erp, as_of, domain, excluded)))
+    known = carriers(grouped.sparkSession) if known is None else known
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("xxih__base_chrg", *CHARGES)]
-    return add_stops(grouped).select(
+    return with_mode(add_stops(grouped), "xxih__truck", known).select(
         year_month("ih_ship_date").alias("ShipMonth"),
         F.to_date("ih_ship_date").alias("ShipDate"),
         F.col("idh_site").alias("ShipSite"),
@@ -111,7 +138,7 @@ def ship_history(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN)
         "BOLMasterShipToCount",
         F.col("xxih__load").alias("Load"),
         F.col("xxih__truck").alias("Truck"),
-        transport_mode("xxih__truck").alias("ModeFix"),
+        "ModeFix",
         F.col("pt_part_type").alias("PartType"),
         F.col("pt_group").alias("PrintGroup"),
         "Cases",

@@ -134,8 +134,7 @@ class Tables:
             if need & CUSTOMER_COLS:
                 header = header.join(self.customer, F.expr("o_custkey = c_custkey"))
                 header = header.join(self.places(), F.expr("c_nationkey = nation")).drop("home_site")
-            # Both sides grow with the data: always a merge join, never a broadcast of one of them.
-            df = df.join(header.hint("merge"), F.expr("l_orderkey = o_orderkey"))
+            df = df.join(header, F.expr("l_orderkey = o_orderkey"))
         if need & PART_COLS:
             df = df.join(self.part, F.expr("l_partkey = p_partkey"))
         if "ShipSiteName" in need:

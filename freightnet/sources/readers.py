@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +75,25 @@ def flatten_lanes(docs: DataFrame, doc: str, field: str = "distances") -> DataFr
     return parsed.select(F.explode("m").alias("lane", "miles")).select(
         ends[0].alias("orig"), ends[1].alias("dest"), "miles"
     )
+
+
+def document_leaves(docs: DataFrame, doc: str, depth: int = 6) -> DataFrame:
+    """(path, value) of every leaf of JSON documents of any shape: the keys that lead to it, and its text.
+
+    Sections may differ in depth and owners need not be known. Each level is one step over the rows of the level above, so
+    nothing is gathered; what is deeper than ``depth`` fails. A document that is no JSON fails too.
+    """
+    level = docs.select(F.array().cast("array<string>").alias("path"), F.parse_json(doc).alias("v"))
+    leaves = []
+    for _ in range(depth):
+        nested = F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY")
+        leaves.append(level.where(~nested).select("path", F.col("v").cast("string").alias("value")))
+        inner = docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key"), F.col("pos"), F.col("value").alias("inner"))
+        step = level.where(nested).lateralJoin(inner)
+        key = F.coalesce("key", F.col("pos").cast("string"))
+        level = step.select(F.concat("path", F.array(key)).alias("path"), F.col("inner").alias("v"))
+    too_deep = F.raise_error(F.concat(F.lit("deeper than expected: "), F.array_join("path", "/")))
+    nested = F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY")
+    last = F.when(nested, too_deep.cast("string")).otherwise(F.col("v").cast("string"))
+    leaves.append(level.select("path", last.alias("value")))
+    return reduce(DataFrame.unionByName, leaves)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freightnet.functions import scalar as s
 from freightnet.operators import tables as op
-from freightnet.plans import bound, check, history, network, scenario, waterfall
+from freightnet.plans import bidding, bound, check, history, network, scenario, waterfall
 from freightnet.sources import readers
 
 DEMAND = "MSTName STRING, Loc STRING, FTerms STRING, RPType STRING, MUnits DOUBLE"
@@ -103,6 +103,31 @@ def test_mills_bound_below_and_waterfall_above_196200(mills):
     assert found.trace[-1][2] > found.trace[0][1]
 
 
+def test_mills_gap_encloses_196200(mills):
+    """A plan recovered from the price steps lies above the optimum, the bound below it; both are close."""
+    need, have, dist, rates = mills
+    ways = bidding.ways(dist, rates, Decimal(1))
+    found = bound.price_bound(need, have, dist, rates, list(MILLS), iterations=20, step=12.0, rate=Decimal(1), keep=True)
+    plan = bound.recover_plan(found, need, have, ways).cache()
+    over = bound.gap(plan, found, need, have)
+    cost = float(plan.agg(F.sum("Cost")).first()[0])
+    assert found.best <= 196200 <= cost and over == pytest.approx(cost / found.best - 1)
+    assert over < 0.15
+    bids = bidding.bid_plan(need, have, ways)
+    assert float(bids.agg(F.sum("Cost")).first()[0]) >= 196200
+    with pytest.raises(ValueError, match="demand"):
+        bound.gap(plan.where(F.col("Loc") != "FRA"), found, need, have)
+
+
+def test_unreached_demand_is_shown_and_refused(mills, spark):
+    need, have, dist, rates = mills
+    more = need.unionByName(spark.createDataFrame([("X", "NOWHERE", "PPD", "steel", 5.0)], DEMAND))
+    found = bound.price_bound(more, have, dist, rates, list(MILLS), iterations=1, rate=Decimal(1))
+    assert [tuple(r) for r in found.unserved.collect()] == [("NOWHERE", "steel", 5.0)]
+    with pytest.raises(ValueError, match="no way leads"):
+        bound.gap(need.limit(0), found, more, have)
+
+
 def test_nearest_site_is_no_dearer_than_the_optimum(mills):
     need, _, dist, _ = mills
     best = network.cheapest_site(need, dist, Decimal(1))
@@ -283,7 +308,7 @@ def test_one_stop_and_two_stop_bills(spark):
 
 def test_carrier_modes_ignore_case_and_blanks(spark):
     codes = {"NLAT": "IM", "exla": "LTL", " cpu ": "CPU", "CUST": "CPU", "PAGE": "OCEAN", "FEDX": "AIR", "usit": "TL", "PAPT": "TL", "??": "UNKNOWN", None: "UNKNOWN"}
-    df = spark.createDataFrame([(c,) for c in codes], "t STRING").withColumn("m", s.transport_mode("t"))
+    df = history.with_mode(spark.createDataFrame([(c,) for c in codes], "t STRING"), "t", history.carriers(spark), "m")
     assert {r["t"]: r["m"] for r in df.collect()} == codes
 
 
