@@ -43,9 +43,9 @@ PATHS, ONE_BY_ONE = 3, 64
 #: Added to each count of the base score.
 ADDED = 0.1
 #: Slices for each bucket of words and of pairs.
-SLICES_A_BUCKET, SLICES_A_PAIR_BUCKET = 8, 2
-#: Bytes of text in a slice: a task holds some hundred bytes for each.
-SLICE_BYTES = 1 << 20
+SLICES_A_BUCKET, SLICES_A_PAIR_BUCKET = 8, 1
+#: Bytes of text that are cut into words at once, and tokens of a slice: a task holds some hundred bytes for each.
+SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 20
 #: Rows of a table that are worked on together.
 TOGETHER = 200_000
 _START = -1
@@ -103,8 +103,17 @@ def _gathered(rows: DataFrame, work: Callable[[int, list], Iterator[pa.RecordBat
 def _sliced(documents: DataFrame, held_out: Column, id_col: str) -> DataFrame:
     """Messages by slice: tokens as places in its words, the words' hashes, tokens per text, (id, held_out) as a table."""
 
+    def message(number: int, held: list[tuple[np.ndarray, np.ndarray, pa.Table]]) -> pa.RecordBatch:
+        words, tokens = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sizes, own = np.concatenate([h[1] for h in held]), pa.concat_tables([h[2] for h in held]).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as out:
+            out.write_table(own)
+        blobs = pack(tokens.astype(np.int32)), pack(words), pack(sizes.astype(np.int64)), sink.getvalue().to_pybytes()
+        return _messages([(number, 0, 0, *blobs)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, held = TaskContext.get().partitionId() << 32, []
         for batch in batches:
             for part in slices(batch.column("text"), SLICE_BYTES):
                 first, last, bounds = part.words(WORD_BY_SPACE)
@@ -114,14 +123,14 @@ def _sliced(documents: DataFrame, held_out: Column, id_col: str) -> DataFrame:
                 inside = np.ones(len(hashes), bool)
                 inside[np.cumsum(sizes) - 1] = False
                 hashes[inside] = part.hashes(first, last)
-                words, tokens = np.unique(hashes, return_inverse=True)
-                own = pa.Table.from_arrays([batch.column(c).take(pa.array(part.rows)) for c in (id_col, "held_out")], ["id", "held"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema) as out:
-                    out.write_table(own)
-                blobs = pack(tokens.astype(np.int32)), pack(words), pack(sizes.astype(np.int64)), sink.getvalue().to_pybytes()
-                yield _messages([(number, 0, 0, *blobs)])
-                number += 1
+                rows = pa.array(part.rows)
+                own = pa.Table.from_arrays([batch.column(c).take(rows) for c in (id_col, "held_out")], ["id", "held"])
+                held.append((hashes, sizes, own))
+                if sum(len(h[0]) for h in held) >= SLICE_TOKENS:
+                    yield message(number, held)
+                    number, held = number + 1, []
+        if held:
+            yield message(number, held)
 
     flag = F.coalesce(held_out, F.lit(False)).alias("held_out")
     return text_of(documents.withColumn("held_out", flag), id_col, "held_out").mapInArrow(run, _MESSAGE)
@@ -221,30 +230,34 @@ def _pair_asks(known: DataFrame, buckets: int) -> DataFrame:
     return _each(known, ask)
 
 
-def _asked(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Of the asks of a bucket: words of each distinct pair, total count, place of each ask, asks per slice."""
-    u, w = (np.concatenate([unpack(h[k], np.int64) for h in held]) for k in (2, 3))
-    counts = [unpack(h[4], np.int64) for h in held]
-    hashes, first, at = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-    totals = np.zeros(len(hashes), np.int64)
-    np.add.at(totals, at, np.concatenate(counts))
-    return np.stack([u[first], w[first]]), hashes, totals, at, [len(c) for c in counts]
-
-
 def _pair_counts(asks: DataFrame) -> DataFrame:
-    """Messages by bucket: both words and the count of every pair that is trained on."""
+    """Messages by bucket: both words and the count of every pair, and which of them each slice asked for."""
 
     def count(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-        (u, w), _, totals, _, _ = _asked(held)
+        u, w = (np.concatenate([unpack(h[k], np.int64) for h in held]) for k in (2, 3))
+        counts = [unpack(h[4], np.int64) for h in held]
+        _, first, at = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
+        totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(first)).astype(np.int64)
+        u, w = u[first], w[first]
         order = np.lexsort((w, u))
-        order = order[totals[order] > 0]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        asked = pack(np.array([[h[1] for h in held], [len(c) for c in counts]], np.int64))
         steps = np.diff(u[order], prepend=0)  # small, as the words ascend
-        rare = [np.count_nonzero(totals == k) for k in (1, 2)]
-        yield _messages([(bucket, 0, 0, pack(steps), pack(w[order]), pack(totals[order]), pack(np.array(rare)))])
+        where = len(asked).to_bytes(8, "little") + asked + pack(place[at])
+        yield _messages([(bucket, 1, 0, pack(steps), pack(w[order]), pack(totals[order]), where)])
 
     return _gathered(asks, count)
 
 
+def _asked(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Each slice and the places of its pairs in the bucket."""
+    n = int.from_bytes(blob[:8], "little")
+    (numbers, sizes), at = unpack(blob[8 : 8 + n], np.int64).reshape(2, -1), unpack(blob[8 + n :], np.int32)
+    for number, end, size in zip(numbers, np.cumsum(sizes), sizes):
+        yield int(number), at[end - size : end]
+
+
 def _pair_rows(counts: DataFrame) -> DataFrame:
     """(u, w, c, bucket) of the pairs that were seen more than once."""
 
@@ -261,10 +274,13 @@ def _pair_rows(counts: DataFrame) -> DataFrame:
 def _rare(counts: DataFrame) -> tuple[int, int]:
     """How many pairs were seen once and twice."""
 
-    def rows(bucket, kind, part, u, w, c, d) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in unpack(d, np.int64)], names=["n1", "n2"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column("c"):
+                c = unpack(c.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([np.count_nonzero(c == k)]) for k in (1, 2)], names=["n1", "n2"])
 
-    n = _each(counts, rows, "n1 bigint, n2 bigint").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    n = counts.select("c").mapInArrow(rows, "n1 bigint, n2 bigint").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
     return n["n1"] or 0, n["n2"] or 0
 
 
@@ -282,8 +298,9 @@ def _by_side(counts: DataFrame, side: int, name: str) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                words = unpack(batch.column("ab"[side])[k].as_py(), np.int64)
-                held.append((words if side else np.cumsum(words), unpack(batch.column("c")[k].as_py(), np.int64)))
+                words, c = (unpack(batch.column(x)[k].as_py(), np.int64) for x in ("ab"[side], "c"))
+                seen = c > 0
+                held.append(((words if side else np.cumsum(words))[seen], c[seen]))
                 if sum(len(h[1]) for h in held) >= 5 * TOGETHER:
                     yield flush(held)
                     held = []
@@ -497,24 +514,21 @@ def _word_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
     return _gathered(told.unionByName(_each(known, ask)), answer)
 
 
-def _pair_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
+def _pair_answers(counts: DataFrame, model: Model) -> DataFrame:
     """Answers by slice (kind 2): what is left of the counts of its pairs after the discount, averaged over samples."""
     discount = model.discount
 
     def answer(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-        told, asks = [h for h in held if h[0] == 0], [h for h in held if h[0] == 1]
-        if not asks:
-            return
-        _, hashes, totals, at, sizes = _asked(asks)
-        left = totals - discount * np.minimum(totals, 1)
-        if told:
-            mine = np.searchsorted(hashes, np.concatenate([np.frombuffer(h[2], np.int64) for h in told]).view(np.uint64))
-            left[mine] = totals[mine] - discount * np.concatenate([np.frombuffer(h[3], np.float64) for h in told])
-        rows, start = [], 0
-        for h, n in zip(asks, sizes):
-            rows.append((h[1], 2, bucket, pack(left[at[start : start + n]]), b"", b"", b""))
-            start += n
-        yield _messages(rows)
+        told = [h for h in held if h[0] == 0]
+        for _, _, u, w, totals, where in (h for h in held if h[0] == 1):
+            hashes, totals = pair_hash(np.cumsum(unpack(u, np.int64)), unpack(w, np.int64)), unpack(totals, np.int64)
+            left = totals - discount * np.minimum(totals, 1)
+            if told:
+                order = np.argsort(hashes)
+                pairs = np.concatenate([np.frombuffer(h[2], np.int64) for h in told]).view(np.uint64)
+                mine = order[np.searchsorted(hashes, pairs, sorter=order)]
+                left[mine] = totals[mine] - discount * np.concatenate([np.frombuffer(h[3], np.float64) for h in told])
+            yield _messages([(number, 2, bucket, pack(left[at]), b"", b"", b"") for number, at in _asked(where)])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _larger(batches):
@@ -524,7 +538,7 @@ def _pair_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
 
     rows = model.pairs.select("bucket", "u", "w", "kept").mapInArrow(hashed, "bucket bigint, pair bigint, mean double")
     told = _packed(rows, F.col("bucket"), "pair", ["pair", "mean"])
-    return _gathered(told.unionByName(_pair_asks(known, buckets)), answer)
+    return _gathered(told.unionByName(counts), answer)
 
 
 def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_id") -> DataFrame:
@@ -548,8 +562,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     forget(answers)
     counts = step(_pair_counts(_pair_asks(known, pair_buckets)))
     model = Model(counts, n_words)
-    forget(counts)
-    told = step(_word_answers(known, model, buckets)).unionByName(step(_pair_answers(known, model, pair_buckets)))
+    told = step(_word_answers(known, model, buckets)).unionByName(step(_pair_answers(counts, model)))
     first = model.by_word().where(F.col("id") == _START).first()
     at_start = [first["total"], *[first[f"tables{k}"] for k in range(SAMPLES)]] if first else [0.0] * (1 + SAMPLES)
     bottom = n_tokens + ADDED * (n_words + 1)
