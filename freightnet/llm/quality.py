@@ -9,8 +9,9 @@ its length, and whether it repeats the word before it); both groups as damped co
 texts; every text is scored whole, where it is, without a shuffle.
 
 Defined cases: NULL and empty texts have no features and get the scores of the thresholds alone; NULL grades and ids are
-not learnt from; of several grades of an id the least counts; without rated texts, or with one grade only, that grade (or
-the top one) is certain for all; repeated rows get equal scores; extra columns are ignored.
+not learnt from; of several grades of an id the least counts; with one grade only, that grade is certain for all; without
+any rated document that exists each tail probability is one half, which says nothing and, at a limit of one half, keeps
+all; repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +30,17 @@ from freightnet.llm.texts import (
     Slice,
     as_arrow,
     byte_set,
-    chosen_texts,
-    one_text,
+    fitted_in_a_task,
+    labelled_sample,
     slices,
     small_batches,
 )
 
 WORD_BITS, SHAPES = 14, 2 * 8 * 8 * 16
 WIDTH = (1 << WORD_BITS) + SHAPES
-#: The training sample: most rated texts of one grade, and most characters of a text that is trained on.
-MOST_RATED, MOST_CHARS = 1500, 20_000
+#: The training sample: most rated texts of one grade. Texts of more than MOST_CHARS characters fill up what is missing,
+#: whole ones while those of a grade have LONG_CHARS at most; the first of them is cut there.
+MOST_RATED, MOST_CHARS, LONG_CHARS = 1500, 20_000, 6_000_000
 ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
 _CLASS = np.full(256, 7, np.int64)
 for _k, _members in enumerate(
@@ -86,8 +88,10 @@ class CumulativeLink:
 def train(texts: Sequence[str], grades: Sequence[int], n_grades: int) -> CumulativeLink:
     """Fit by Adam on the full sample; rare grades count more. Thresholds are kept in order by positive steps."""
     y = np.array(grades, np.int64)
+    if not len(y):
+        return CumulativeLink(np.zeros(WIDTH), np.zeros(n_grades - 1))
     if len(np.unique(y)) < 2:
-        only = int(y[0]) if len(y) else n_grades - 1
+        only = int(y[0])
         return CumulativeLink(np.zeros(WIDTH), np.where(np.arange(1, n_grades) <= only, -50.0, 50.0))
     found = [(part.rows, *features(part)) for part in slices(pa.array(texts, pa.large_string()), TRAINING_SLICE)]
     at, feature, value = (np.concatenate(x) for x in zip(*[(rows[a], f, x) for rows, a, f, x in found]))
@@ -117,20 +121,13 @@ def train(texts: Sequence[str], grades: Sequence[int], n_grades: int) -> Cumulat
     return CumulativeLink(w, np.cumsum(np.append(steps[:1], np.exp(steps[1:]))))
 
 
-def training_sample(documents: DataFrame, ratings: DataFrame, n_grades: int, id_col: str) -> list[tuple[str, int]]:
-    """At most MOST_RATED texts of each grade of at most MOST_CHARS characters, by the hash of their id; an id has one text
-    in it, that of the least hash, however many rows repeat the id."""
+def training_sample(documents: DataFrame, ratings: DataFrame, n_grades: int, id_col: str) -> DataFrame:
+    """(h, text, label): at most MOST_RATED texts of each grade by the hash of their id, those of at most MOST_CHARS characters first; long
+    ones only where there are too few others."""
     usable = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col)
-    usable = usable.agg(F.min("grade").alias("grade"))
-    picks = None
-    for grade in range(n_grades):
-        one = usable.where(F.col("grade") == grade).orderBy(F.xxhash64(id_col), id_col).limit(MOST_RATED)
-        picks = one if picks is None else picks.unionByName(one)
-    # The sample's ids, bounded by the limits.
-    own = documents.join(F.broadcast(picks.select(id_col)), id_col, "left_semi").where(F.length("text") <= MOST_CHARS)
-    rows = chosen_texts(own, picks.join(one_text(own, id_col), id_col), id_col)
-    found = rows.select(F.xxhash64("__id").alias("h"), "text", "grade").collect()
-    return [(t, g) for _, t, g in sorted((r["h"], r["text"], int(r["grade"])) for r in found)]
+    usable = usable.agg(F.min("grade").alias("label"))
+    most = {grade: MOST_RATED for grade in range(n_grades)}
+    return labelled_sample(documents, usable, most, MOST_CHARS, LONG_CHARS, id_col)
 
 
 def grade_documents(
@@ -143,7 +140,7 @@ def grade_documents(
     spark = documents.sparkSession
     small_batches(spark)
     sample = training_sample(documents, ratings, n_grades, id_col)
-    model = spark.sparkContext.broadcast(train([t for t, _ in sample], [g for _, g in sample], n_grades))
+    model = spark.sparkContext.broadcast(fitted_in_a_task(sample, lambda texts, grades: train(texts, grades, n_grades)))
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(id_col, F.col("text").cast("string").alias("text"))
 

@@ -6,16 +6,19 @@ A batch is worked off in slices of whole documents with a bounded number of byte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freightnet.llm.steps import step
+
 SLICE_BYTES = 4 << 20
 #: Rows in an Arrow batch: with it, a batch of long texts stays at some tens of MB.
 BATCH_ROWS = 1000
@@ -160,3 +163,46 @@ def chosen_texts(documents: DataFrame, chosen: DataFrame, id_col: str) -> DataFr
     own = (F.col(id_col) == F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
     rows = documents.select(id_col, "text").join(few, own).drop(id_col, "__version")
     return rows.groupBy(*[c for c in rows.columns if c != "text"]).agg(F.min("text").alias("text"))
+
+
+def labelled_sample(
+    documents: DataFrame, labelled: DataFrame, most: dict[int, int], most_chars: int, long_chars: int, id_col: str
+) -> DataFrame:
+    """(h: hash of the id, text, label) of a bounded sample: by label at most ``most`` texts by the hash of their id, those of
+    at most ``most_chars`` characters first. Longer ones fill up what is missing, whole ones in order while they have
+    ``long_chars`` together at most; the first of a label is cut there. ``labelled`` has one row (id, label) per id.
+
+    Choice is among ids of documents that exist. An id has one text in it, that of the least hash, however many rows
+    repeat the id."""
+    # The ids of labelled documents that exist, with hash and length of their text; texts stay where they are.
+    known = step(labelled.join(one_text(documents, id_col), id_col))
+    chosen = None
+    for label, limit in most.items():
+        order = (F.col("size") > most_chars, F.xxhash64(id_col), F.col(id_col))
+        picks = known.where(F.col("label") == label).orderBy(*order).limit(limit)
+        chosen = picks if chosen is None else chosen.unionByName(picks)
+    # At most as many rows as the limits allow: the running total of the long ones.
+    own = F.when(F.col("size") > most_chars, F.col("size")).otherwise(0)
+    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = chosen.withColumn("total", F.sum(own).over(order))
+    fits = (F.col("size") <= most_chars) | (F.col("total") <= long_chars) | (F.col("total") == F.col("size"))
+    rows = chosen_texts(documents, chosen.where(fits), id_col)
+    return rows.select(F.xxhash64("__id").alias("h"), F.substring("text", 1, long_chars).alias("text"), F.col("label").cast("int"))
+
+
+def collected(sample: DataFrame) -> list[tuple[int, str, int]]:
+    """The rows of a bounded sample in an order that does not depend on tasks."""
+    return sorted((r["h"], r["text"], r["label"]) for r in sample.collect())
+
+
+def fitted_in_a_task(sample: DataFrame, fit: Callable[[list[str], list[int]], object]) -> object:
+    """What ``fit`` makes of the texts and labels of a bounded sample: in one task, so that only the model reaches the
+    driver. A lost task is run again and comes to the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*[b.column(c).to_pylist() for c in ("h", "text", "label")]))
+        model = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], [])

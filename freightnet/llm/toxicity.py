@@ -22,22 +22,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.steps import step
 from freightnet.llm.texts import (
     TRAINING_SLICE,
     WORD_BY_LETTER,
     Slice,
     as_arrow,
-    chosen_texts,
-    one_text,
+    fitted_in_a_task,
+    labelled_sample,
     slices,
     small_batches,
 )
 
 WORDS, STRIDE = 128, 64
+#: Windows, and rows of a product, that scoring always works on together: products round alike only at one shape.
+TOGETHER = 1024
 BUCKETS, INPUTS, STATES = 1 << 15, 12, 8
 GRAMS = (3, 5)
 #: The training sample: most toxic and clean texts. Texts of more than MOST_CHARS characters fill up what is missing, whole
@@ -156,13 +157,13 @@ class Network:
         """Logit of each window; ids and live are (words, windows)."""
         sides = []
         for s in ("f", "b"):
-            sides.append(self._direction(x @ self.w["in_" + s] + self.w["bias_" + s], ids, live, s, keep))
+            sides.append(self._direction(_product(x, self.w["in_" + s]) + self.w["bias_" + s], ids, live, s, keep))
         states = np.concatenate([s[0] for s in sides], axis=2)
-        e = np.where(live, states @ self.w["attend"], -1e9)
+        e = np.where(live, (states * self.w["attend"]).sum(axis=2), -1e9)
         e = np.exp(e - e.max(axis=0))
         alpha = (e / e.sum(axis=0)).astype(x.dtype)
         pooled = np.einsum("tb,tbh->bh", alpha, states)
-        logit = pooled @ self.w["out"] + self.w["bias"][0]
+        logit = (pooled * self.w["out"]).sum(axis=1) + self.w["bias"][0]
         return logit, (sides, states, alpha, pooled) if keep else None
 
     def gradient(self, x: np.ndarray, ids: np.ndarray, live: np.ndarray, target: np.ndarray, weight: np.ndarray):
@@ -197,12 +198,18 @@ class Network:
             dx += dp @ w_in.T
         return loss, g, dx
 
-    def logits(self, v: Vocabulary, at: np.ndarray, size: np.ndarray, most: int = 2048) -> np.ndarray:
-        """Logit of the windows that begin at ``at``."""
-        x, out = self.inputs(v), np.zeros(len(at), np.float32)
-        for k in range(0, len(at), most):
-            out[k : k + most] = self.forward(x, *_matrix(v, at[k : k + most], size[k : k + most]))[0]
-        return out
+    def logits(self, v: Vocabulary, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Logit of the windows that begin at ``at``: the same bits for the same words, whatever else is scored with them.
+
+        Every block has TOGETHER windows of WORDS words; the last one is filled up with windows of one word.
+        """
+        n = len(at)
+        x, out = self.inputs(v), np.zeros(-(-n // TOGETHER) * TOGETHER, np.float32)
+        at, size = (np.append(a, np.full(len(out) - len(a), fill)) for a, fill in ((at, 0), (size, 1)))
+        for k in range(0, len(out), TOGETHER):
+            block = slice(k, k + TOGETHER)
+            out[block] = self.forward(x, *_matrix(v, at[block], size[block], WORDS))[0]
+        return out[:n]
 
     def score_texts(self, part: Slice) -> np.ndarray:
         if self.constant is not None:
@@ -216,8 +223,15 @@ class Network:
         return _sigmoid(self.scale * worst.astype(np.float64) + self.shift)
 
 
-def _matrix(v: Vocabulary, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.arange(int(size.max()))[:, None]
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in blocks of one shape, the last one filled up with zeros."""
+    filled = np.zeros((-(-len(x) // TOGETHER) * TOGETHER, x.shape[1]), x.dtype)
+    filled[: len(x)] = x
+    return (filled.reshape(-1, TOGETHER, x.shape[1]) @ w).reshape(-1, w.shape[1])[: len(x)]
+
+
+def _matrix(v: Vocabulary, at: np.ndarray, size: np.ndarray, words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.arange(words or int(size.max()))[:, None]
     live = steps < size
     return v.ids[np.where(live, at + steps, at)], live
 
@@ -336,33 +350,19 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """At most MOST_TOXIC + MOST_CLEAN labelled texts by the hash of their id, those of at most MOST_CHARS characters first.
+def training_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(h, text, label): at most MOST_TOXIC + MOST_CLEAN labelled texts by the hash of their id, those of at most MOST_CHARS characters first.
 
     An id has one text in it, that of the least hash, however many rows repeat the id."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    # The ids of labelled documents that exist, with hash and length of their text; texts stay where they are.
-    known = step(usable.join(one_text(documents, id_col), id_col))
-    picks = []
-    for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        order = (F.col("size") > MOST_CHARS, F.xxhash64(id_col), F.col(id_col))
-        picks.append(known.where(F.col("toxic") == label).orderBy(*order).limit(most))
-    chosen = picks[0].unionByName(picks[1])
-    # At most MOST_TOXIC + MOST_CLEAN rows: the running total of the long ones.
-    own = F.when(F.col("size") > MOST_CHARS, F.col("size")).otherwise(0)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, 0)
-    chosen = chosen.withColumn("total", F.sum(own).over(order))
-    fits = (F.col("size") <= MOST_CHARS) | (F.col("total") <= LONG_CHARS) | (F.col("total") == F.col("size"))
-    rows = chosen_texts(documents, chosen.where(fits), id_col)
-    rows = rows.select(F.xxhash64("__id").alias("h"), F.substring("text", 1, LONG_CHARS).alias("text"), "toxic").collect()
-    return sorted([(r["h"], r["text"], int(r["toxic"])) for r in rows])
+    usable = usable.withColumnRenamed("toxic", "label")
+    return labelled_sample(documents, usable, {1: MOST_TOXIC, 0: MOST_CLEAN}, MOST_CHARS, LONG_CHARS, id_col)
 
 
 def fit_network(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Network:
     """The network trained on a sample; labels of held-out ids are not read. ``constant`` is set without both labels."""
-    sample = training_sample(documents, labels, id_col)
-    return train([t for _, t, _ in sample], [y for _, _, y in sample])
+    return fitted_in_a_task(training_sample(documents, labels, id_col), train)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -253,12 +253,13 @@ def test_nothing_is_dropped_without_both_labels(spark, tmp_path, labels):
 
 def test_an_id_is_one_text_of_the_sample(spark):
     from freightnet.llm import quality, toxicity
+    from freightnet.llm.texts import collected
 
     docs = [(1, f"copy {k % 3}") for k in range(300)] + [(2, "other"), (2, None), (3, "third"), (3, "third")]
     docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 1), (3, 1, 1)], "doc_id bigint, toxic int, grade int")
     held = {r["doc_id"] for r in docs.where(toxicity.held_out("doc_id")).collect()}
-    got = toxicity.training_sample(docs, labels, "doc_id")
+    got = collected(toxicity.training_sample(docs, labels, "doc_id"))
     assert len(got) == len({1, 2, 3} - held) and sum(t.startswith("copy") for _, t, _ in got) == (1 not in held)
-    graded = quality.training_sample(docs, labels, 2, "doc_id")
-    assert len(graded) == 3 and sorted(t.split(" ")[0] for t, _ in graded) == ["copy", "other", "third"]
+    graded = collected(quality.training_sample(docs, labels, 2, "doc_id"))
+    assert len(graded) == 3 and sorted(t.split(" ")[0] for _, t, _ in graded) == ["copy", "other", "third"]
