@@ -5,10 +5,11 @@ the overlap of two sets is at most the sum of the smaller coordinates, so pairs
 compared. A one-byte digest of the content of each of as many finer groups as the set has shingles, or half as many,
 tightens the bound at the leaves: each group that differs holds a shingle that only one of the sets has. Surviving pairs are verified on the sets themselves.
 
-Bringing pairs together. Two sets that link differ in at most D = (a + b)(1 - s)/(1 + s) shingles. Cut into D + 3 groups
-they agree in the whole content of three groups at least, so a digest of each group's content is a key under which every
-linked pair meets; a set with three empty groups or more also has a key for those. D follows the size of a set, in bands
-whose neighbours overlap by as much as sizes of linked sets may differ. Nothing is lost and no key is dropped.
+Bringing pairs together. Two sets that link differ in at most D = (a + b)(1 - s)/(1 + s) shingles. Cut into D + 1 + E groups
+they agree in the whole content of E + 1 groups at least, so unless both leave more than E groups empty a digest of some
+group's content is a key that both have. E grows with the number of groups that sets of that size leave empty, so few
+leave more; those also meet under their least shingles, of which two linked sets share one. D follows the size of a set,
+in bands whose neighbours overlap by as much as sizes of linked sets may differ. Nothing is lost and no key is dropped.
 
 Under each key, first every set is compared with one of them, which joins large groups of copies with one comparison a
 set. Only keys whose sets are then still in different components are searched: an R-tree over their points (nodes with
@@ -24,8 +25,10 @@ else is in the component; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,36 +69,51 @@ def shingles(part: Slice, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield row, whole
 
 
-def bands(share: int) -> Iterator[tuple[int, int, int, int]]:
-    """(number, least size, size beyond, most differing shingles) of each band."""
-    low, k = max(1, (100 + share) // (2 * (100 - share))), 0
-    while True:
-        high = low + max(1, low // 2)
-        yield k, low, high, 2 * (high - 1) * (100 - share) // (100 + share)
-        low, k = high, k + 1
+@lru_cache
+def _groups(differ: int, least: int) -> int:
+    """Groups of a band: as many as sets may differ in and one more, and as many again as a set of ``least`` shingles is
+    likely to leave empty. ``differ`` + 3 where a set is too small for that."""
+    for groups in range(differ + 3, 4 * differ + 16):
+        empty = groups * math.exp(-least / groups)
+        if groups - differ - 1 >= empty + 3 * empty**0.5:
+            return groups
+    return differ + 3
+
 
+@lru_cache
+def _band(share: int, k: int) -> tuple[int, int, int, int]:
+    """Least size, size beyond, most differing shingles and groups of the band of a number."""
+    low = max(1, (100 + share) // (2 * (100 - share))) if k == 0 else _band(share, k - 1)[1]
+    high = low + max(1, low // 2)
+    differ = 2 * (high - 1) * (100 - share) // (100 + share)
+    return low, high, differ, _groups(differ, -(-share * low // 100))
 
-def _band_keys(found: np.ndarray, band: int, differ: int) -> np.ndarray:
-    """A digest of the content of each group, and one for empty groups if there are three or more."""
-    groups = differ + 3
+
+def _band_keys(found: np.ndarray, band: int, differ: int, groups: int, share: int) -> np.ndarray:
+    """A digest of the content of each group. A set with so many empty groups that those might be all it shares with
+    another such set also has the first of its shingles, in the order of their hashes, as keys."""
     group = ((found >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     used, at = np.unique(group[order], return_index=True)
     content = np.add.reduceat(mix(found[order] ^ _STEP), at)
-    if groups - len(used) >= groups - differ:
-        used, content = np.append(used, groups), np.append(content, np.uint64(0))
-    return mix(content + (used + 1).astype(np.uint64) * _STEP + np.uint64(band + 1 << 40))
+    out = mix(content + (used + 1).astype(np.uint64) * _STEP + np.uint64(band + 1 << 40))
+    if groups - len(used) < groups - differ:
+        return out
+    first = len(found) - -(-share * len(found) // 100) + 1
+    return np.append(out, mix(mix(np.sort(mix(found))[:first]) + np.uint64(7)))
 
 
 def keys(found: np.ndarray, share: int) -> np.ndarray:
     """Keys of a set: those of its band, and of the next one if a larger linked set may be there."""
-    out, n = [], len(found)
-    for band, low, high, differ in bands(share):
+    out, n, k = [], len(found), 0
+    while True:
+        low, high, differ, groups = _band(share, k)
         if n * 100 < share * low:
             break
         if n < high and differ:
-            out.append(_band_keys(found, band, differ))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append(_band_keys(found, k, differ, groups, share))
+        k += 1
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def point(found: np.ndarray) -> np.ndarray:
@@ -291,7 +309,7 @@ def _searched(rows: DataFrame, share: int) -> DataFrame:
     """(key, set, component, n, point, digest) to the pairs of different components under a key whose bound allows a link."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        rest: list[list[np.ndarray]] = []
 
         def run(key, sets, comps, sizes, points, digests) -> pa.RecordBatch | None:
             left, right = [], []
@@ -312,14 +330,15 @@ def _searched(rows: DataFrame, share: int) -> DataFrame:
             places = Places.of(batch)
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set", "component")]
             now += [places.sizes, places.points, places.digests]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            # The last key may go on in the next batch.
+            # The last key may go on in the next batch; what is held is put together once, when its key has ended.
             at = int(np.searchsorted(now[0], now[0][-1], "left"))
-            rest = [x[at:] for x in now]
-            if at and (out := run(*[x[:at] for x in now])) is not None:
-                yield out
-        if rest is not None and (out := run(*rest)) is not None:
+            if at or (rest and rest[-1][0][-1] != now[0][0]):
+                done = [np.concatenate(x) for x in zip(*rest, [x[:at] for x in now])]
+                rest = []
+                if len(done[0]) and (out := run(*done)) is not None:
+                    yield out
+            rest.append([x[at:] for x in now])
+        if rest and (out := run(*[np.concatenate(x) for x in zip(*rest)])) is not None:
             yield out
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
