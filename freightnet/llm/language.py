@@ -43,9 +43,9 @@ PATHS, ONE_BY_ONE = 3, 64
 #: Added to each count of the base score.
 ADDED = 0.1
 #: Slices for each bucket of words and of pairs.
-SLICES_A_BUCKET, SLICES_A_PAIR_BUCKET = 8, 1
+SLICES_A_BUCKET, SLICES_A_PAIR_BUCKET = 8, 2
 #: Bytes of text that are cut into words at once, and tokens of a slice: a task holds some hundred bytes for each.
-SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 20
+SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 19
 #: Rows of a table that are worked on together.
 TOGETHER = 200_000
 _START = -1
@@ -301,7 +301,7 @@ def _by_side(counts: DataFrame, side: int, name: str) -> DataFrame:
                 words, c = (unpack(batch.column(x)[k].as_py(), np.int64) for x in ("ab"[side], "c"))
                 seen = c > 0
                 held.append(((words if side else np.cumsum(words))[seen], c[seen]))
-                if sum(len(h[1]) for h in held) >= 5 * TOGETHER:
+                if sum(len(h[1]) for h in held) >= TOGETHER:
                     yield flush(held)
                     held = []
         if held:
