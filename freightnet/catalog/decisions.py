@@ -391,6 +391,26 @@ def throughput_check(t):
     return check.check_plan(out, cut(moved), c.kept_demand(t), c.scarce(t), _tight(t), sites_per_customer=1)
 
 
+@query(
+    "best_open_plan_exact",
+    "N4 N7",
+    with_views(
+        _best_sql(scenario.site_sets(5, 1, 2))
+        + """, taken AS (SELECT MfgSite, RPType, sum(MUnits) AS MUnits FROM flows JOIN inbound USING (ShipSite, RPType) GROUP BY ALL),
+ broken AS (SELECT 1 FROM taken JOIN supply USING (MfgSite, RPType) WHERE MUnits > Capacity
+   UNION ALL SELECT 1 FROM flows JOIN caps USING (ShipSite) GROUP BY ShipSite HAVING sum(MUnits) > any_value(Cap))
+ SELECT 'given' AS Limits, (SELECT count(*) FROM broken) = 0 AS Exact UNION ALL SELECT 'wide', true"""
+    ),
+)
+def best_open_plan_exact(t):
+    """Whether the best pair of sites is the optimum under the given limits, and under limits that are wide enough."""
+    out, moved = (cut(x) for x in _best_open(t, 2))
+    have, wide = c.kept_supply(t), c.kept_supply(t).withColumn("Capacity", F.lit(1e12))
+    given = check.is_exact(check.check_plan(out, moved, c.kept_demand(t), have, c.caps(t), 1, 2))
+    unbound = check.is_exact(check.check_plan(out, moved, c.kept_demand(t), wide, None, 1, 2))
+    return t.spark.createDataFrame([("given", given), ("wide", unbound)], "Limits string, Exact boolean")
+
+
 _SPOILED = """WITH bad AS (SELECT ShipSite, MSTName, Loc, FTerms, RPType,
     CASE WHEN MSTName LIKE '%7' THEN MUnits * 2 WHEN MSTName LIKE '%3' THEN -MUnits ELSE MUnits END AS MUnits FROM outbound)
   SELECT 'demand' AS Rule, concat_ws('|', MSTName, Loc, FTerms, RPType) AS "Key", bad.MUnits AS Actual, demand.MUnits AS "Limit"

@@ -120,20 +120,66 @@ FORECAST_PLAN = """WITH placed AS (SELECT MSTName, Loc, 'PPD' AS FTerms, PrintGr
  FROM flows JOIN dist ON Orig = ShipSite AND dist.Dest = Loc GROUP BY ShipSite"""
 
 
-@query("forecast_plan_by_site", "B7 B8 N3 K1 K3", with_views(FORECAST_PLAN))
-def forecast_plan_by_site(t):
-    """From the forecast to a plan: past shares spread it over customers, root products and lanes decide the site."""
+def _forecast_plan(t):
+    """Past shares spread the forecast over customers; root products and lanes decide the site."""
     shares = forecast.split_share(c.clean(t, "MSTName", "FrtTermsFix", "PrintGroup", "PartType"))
     expected = forecast.forecast(t.forecast_sheet(), t.sites(), "200112", "200102", "200107")
     spread = forecast.allocate_forecast(shares, expected).withColumn("PTypeFix", lid_or_cup("PartType"))
     rooted = demand.root_product_key(spread, c.root_list(t))
     wanted = cut(demand.demand(rooted, t.distances(), [*network.CUSTOMER, "RPType"]))
     units = network.unit_costs(t.distances(), c.inbound(t), t.site_names)
-    out, _ = network.assigned_plan(wanted, network.single_source_assign(wanted, units, t.site_names), c.inbound(t))
-    rows = report.site_summary(report.outbound_rows(out, t.distances()), "ShipSite")
+    return network.assigned_plan(wanted, network.single_source_assign(wanted, units, t.site_names), c.inbound(t))
+
+
+@query("forecast_plan_by_site", "B7 B8 N3 K1 K3", with_views(FORECAST_PLAN))
+def forecast_plan_by_site(t):
+    """From the forecast to a plan, summed by site."""
+    rows = report.site_summary(report.outbound_rows(_forecast_plan(t)[0], t.distances()), "ShipSite")
     return rows.select("ShipSite", F.round("SumMUnits", 3).alias("SumMUnits"), F.round(F.col("Freight").cast("double"), 2).alias("Freight"))
 
 
+_FLOWS = FORECAST_PLAN[: FORECAST_PLAN.rindex(" SELECT ShipSite, round(")]
+
+
+@query(
+    "forecast_outbound",
+    "B7 K1",
+    with_views(_FLOWS + """ SELECT ShipSite, MSTName AS Cust, Loc AS Dest, FTerms, RPType AS PType, round(CAST(MUnits AS DOUBLE), 3) AS MUnits,
+  round(CAST(CAST(MUnits * CAST(Miles * 0.00615 AS DECIMAL(18, 10)) AS DECIMAL(28, 6)) AS DOUBLE), 2) AS Freight
+  FROM flows JOIN dist ON Orig = ShipSite AND dist.Dest = Loc WHERE MUnits > 0"""),
+)
+def forecast_outbound(t):
+    """Outbound flows that the forecast asks for."""
+    rows = report.outbound_rows(_forecast_plan(t)[0], t.distances()).drop("Miles")
+    return rows.withColumns({"MUnits": F.round("MUnits", 3), "Freight": F.round(F.col("Freight").cast("double"), 2)})
+
+
+@query(
+    "forecast_inter_site",
+    "B7 K2",
+    with_views(_FLOWS + """ SELECT MfgSite, flows.ShipSite, flows.RPType AS PType, round(CAST(sum(MUnits) AS DOUBLE), 3) AS MUnits,
+  round(CAST(sum(MUnits) AS DOUBLE) * any_value(CostPerMUnit), 2) AS Freight
+  FROM flows JOIN inbound ON inbound.ShipSite = flows.ShipSite AND inbound.RPType = flows.RPType
+  JOIN rates ON Plant = MfgSite AND rates.ShipSite = flows.ShipSite WHERE MfgSite <> flows.ShipSite GROUP BY ALL"""),
+)
+def forecast_inter_site(t):
+    """Moves between plants and sites that the forecast asks for."""
+    rows = report.inter_site_rows(_forecast_plan(t)[1], c.rates(t))
+    return rows.withColumns({"MUnits": F.round("MUnits", 3), "Freight": F.round(F.col("Freight").cast("double"), 2)})
+
+
+@query(
+    "forecast_lanes",
+    "B7 K4 J13",
+    with_views(_FLOWS + """ SELECT ShipSite, cent.Dest, round(CAST(sum(MUnits) AS DOUBLE), 3) AS MUnits, any_value(lat) AS lat, any_value(lon) AS lon
+  FROM flows JOIN cent ON cent.Dest = Loc GROUP BY ALL"""),
+)
+def forecast_lanes(t):
+    """Lanes of the forecast with the coordinates of their ends."""
+    out = report.outbound_rows(_forecast_plan(t)[0], t.distances())
+    return report.lane_summary(out, geo.dest_centroids(t.geocodes())).withColumn("MUnits", F.round("MUnits", 3))
+
+
 @query(
     "demand_bubbles",
     "K5 J13 C15",
@@ -161,7 +207,7 @@ def demand_bubbles_prepaid(t):
 )
 def lane_lines(t):
     rows = c.clean(t).withColumnsRenamed({"ShipSiteName": "ShipSite", "Loc": "Dest"})
-    lanes = rows.groupBy("ShipSite", "Dest").agg(F.sum("MUnits").alias("MUnits"))
+    lanes = op.total(rows, ["ShipSite", "Dest"], "MUnits")
     return report.lane_lines(lanes, t.facilities(), geo.dest_centroids(t.geocodes()))
 
 

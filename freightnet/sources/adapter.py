@@ -12,6 +12,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freightnet.operators.tables import total
+
 TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
 #: Regions that may be sites, unless the caller allows more: their names become columns of lane tables.
 MOST_SITES = 50
@@ -123,7 +125,7 @@ class Tables:
         need = set(cols)
         keys = ["l_partkey"] if need & (PART_COLS | {"MfgSiteName", "l_partkey"}) else []
         keys += ["l_suppkey"] if "ShipSiteName" in need else []
-        sums = self.lineitem.groupBy(*keys).agg(F.sum("l_quantity").alias("l_quantity"))
+        sums = total(self.lineitem, keys, "l_quantity")
         return self._described(sums, (*cols, "MUnits"))
 
     def _described(self, df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
