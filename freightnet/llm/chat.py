@@ -3,7 +3,7 @@
 A message is an array of parts: text, image, audio or document. One pass over the parts in order writes the escaped text
 of text parts and a placeholder for each attachment, and records for every attachment its reference, the place of its
 placeholder and the number of tokens it will expand to. Messages are joined in turn order by a template whose control
-strings cannot occur in any text: the first character of each is escaped reversibly.
+strings cannot occur in any text, nor across the parts of a message: the first character of each is escaped reversibly.
 
 A conversation is put together in two steps, blocks of turns first, so that sorting and escaping a very long one is
 spread over many tasks; the last step only joins finished blocks, as one formatted conversation is one value.
@@ -41,6 +41,12 @@ def escape(text: Column) -> Column:
     return text
 
 
+def escape_end(text: Column) -> Column:
+    """Also escapes the beginning of a control string at the end of an escaped text, which the next part may go on with."""
+    text = F.regexp_replace(text, r"<(?=(?:s|/|/s)?\z)", "&lt;")
+    return F.regexp_replace(text, r"\[(?=/?(?:I|IN|INS|INST)?\z)", "&#91;")
+
+
 def unescape(text: Column) -> Column:
     for code, char in (("&lt;", "<"), ("&#91;", "["), ("&#10;", "\n"), ("&amp;", "&")):
         text = F.replace(text, F.lit(code), F.lit(char))
@@ -72,7 +78,9 @@ def flatten(parts: str | Column) -> tuple[Column, Column]:
     mark = lambda p: F.when(p["kind"] == "image", MARKS["image"]).when(
         p["kind"] == "audio", MARKS["audio"]
     ).otherwise(MARKS["document"])
-    written = lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(mark(p))
+    escaped = lambda p: escape(F.coalesce(p["text"], F.lit("")))
+    safe = lambda p: F.when(F.size(parts) > 1, escape_end(escaped(p))).otherwise(escaped(p))
+    written = lambda p: F.when(is_text(p), safe(p)).otherwise(mark(p))
     content = F.array_join(F.transform(parts, written), "")
     empty = F.expr("cast(array() as array<struct<at:bigint,kind:string,ref:string,tokens:bigint>>)")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found"))
