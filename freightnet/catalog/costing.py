@@ -115,3 +115,20 @@ def inter_site_penalty(t):
 )
 def inter_site_penalty_everywhere(t):
     return cost.baseline_inter_site(c.site_volume(t), cost.inter_site_cost(c.rates(t), 100.0))
+
+
+@query(
+    "baseline_outbound_fractions",
+    "B12 C12 A1",
+    with_views("""SELECT ShipSiteName, Loc, FrtTermsFix, CAST(m AS DOUBLE) AS MUnits, Miles + 0.375 AS Miles,
+    CASE WHEN FrtTermsFix = 'PPD' THEN CAST(CAST(CAST(m AS DECIMAL(20, 6)) * CAST(CAST(Miles + 0.375 AS DECIMAL(14, 6)) * 0.00615 AS DECIMAL(18, 10)) AS DECIMAL(28, 6)) AS DOUBLE) ELSE 0 END AS Freight
+  FROM (SELECT ShipSiteName, Loc, FrtTermsFix, sum(CAST(MUnits / 8 + 0.001 AS DECIMAL(20, 6))) AS m FROM clean WHERE l_linenumber <> 3 GROUP BY ALL)
+  JOIN dist ON Orig = ShipSiteName AND Dest = Loc"""),
+)
+def baseline_outbound_fractions(t):
+    """The same over fractional volumes and miles, with lines that have no freight terms."""
+    rows = c.clean(t, "FrtTermsFix", "l_linenumber").withColumns(
+        {"MUnits": F.col("MUnits") / 8 + 0.001, "FrtTermsFix": F.when(F.col("l_linenumber") != 3, F.col("FrtTermsFix"))}
+    )
+    dist = t.distances().withColumn("Miles", F.col("Miles") + 0.375)
+    return cost.baseline_outbound(rows, dist)
