@@ -10,6 +10,7 @@ from freightnet.functions.scalar import lid_or_cup
 from freightnet.operators import tables as op
 from freightnet.plans import cost, demand, forecast, geo, network, report
 from freightnet.scale import cut, fresh_path
+from freightnet.schemas import VOLUME
 from freightnet.sources.readers import read_table
 from freightnet.sources.writers import write_table, write_tsv
 
@@ -141,43 +142,53 @@ def forecast_plan_by_site(t):
 _FLOWS = FORECAST_PLAN[: FORECAST_PLAN.rindex(" SELECT ShipSite, round(")]
 
 
+def _three(column: str):
+    """Rounded as decimals are, so that both engines round halves alike."""
+    return F.round(F.col(column).cast(VOLUME), 3).cast("double")
+
+
+def _rounded(rows):
+    money = F.round(F.col("Freight").cast(VOLUME), 2).cast("double")
+    return rows.withColumns({"MUnits": _three("MUnits"), "Freight": money})
+
+
 @query(
     "forecast_outbound",
     "B7 K1",
-    with_views(_FLOWS + """ SELECT ShipSite, MSTName AS Cust, Loc AS Dest, FTerms, RPType AS PType, round(CAST(MUnits AS DOUBLE), 3) AS MUnits,
-  round(CAST(CAST(MUnits * CAST(Miles * 0.00615 AS DECIMAL(18, 10)) AS DECIMAL(28, 6)) AS DOUBLE), 2) AS Freight
+    with_views(_FLOWS + """ SELECT ShipSite, MSTName AS Cust, Loc AS Dest, FTerms, RPType AS PType, CAST(CAST(MUnits AS DECIMAL(24, 3)) AS DOUBLE) AS MUnits,
+  CAST(CAST(CAST(MUnits * CAST(Miles * 0.00615 AS DECIMAL(18, 10)) AS DECIMAL(28, 6)) AS DECIMAL(28, 2)) AS DOUBLE) AS Freight
   FROM flows JOIN dist ON Orig = ShipSite AND dist.Dest = Loc WHERE MUnits > 0"""),
 )
 def forecast_outbound(t):
     """Outbound flows that the forecast asks for."""
     rows = report.outbound_rows(_forecast_plan(t)[0], t.distances()).drop("Miles")
-    return rows.withColumns({"MUnits": F.round("MUnits", 3), "Freight": F.round(F.col("Freight").cast("double"), 2)})
+    return _rounded(rows)
 
 
 @query(
     "forecast_inter_site",
     "B7 K2",
-    with_views(_FLOWS + """ SELECT MfgSite, flows.ShipSite, flows.RPType AS PType, round(CAST(sum(MUnits) AS DOUBLE), 3) AS MUnits,
-  round(CAST(sum(MUnits) AS DOUBLE) * any_value(CostPerMUnit), 2) AS Freight
+    with_views(_FLOWS + """ SELECT MfgSite, flows.ShipSite, flows.RPType AS PType, CAST(CAST(sum(MUnits) AS DECIMAL(24, 3)) AS DOUBLE) AS MUnits,
+  CAST(CAST(sum(MUnits) * CAST(any_value(CostPerMUnit) AS DECIMAL(10, 2)) AS DECIMAL(28, 2)) AS DOUBLE) AS Freight
   FROM flows JOIN inbound ON inbound.ShipSite = flows.ShipSite AND inbound.RPType = flows.RPType
   JOIN rates ON Plant = MfgSite AND rates.ShipSite = flows.ShipSite WHERE MfgSite <> flows.ShipSite GROUP BY ALL"""),
 )
 def forecast_inter_site(t):
     """Moves between plants and sites that the forecast asks for."""
     rows = report.inter_site_rows(_forecast_plan(t)[1], c.rates(t))
-    return rows.withColumns({"MUnits": F.round("MUnits", 3), "Freight": F.round(F.col("Freight").cast("double"), 2)})
+    return _rounded(rows)
 
 
 @query(
     "forecast_lanes",
     "B7 K4 J13",
-    with_views(_FLOWS + """ SELECT ShipSite, cent.Dest, round(CAST(sum(MUnits) AS DOUBLE), 3) AS MUnits, any_value(lat) AS lat, any_value(lon) AS lon
+    with_views(_FLOWS + """ SELECT ShipSite, cent.Dest, CAST(CAST(sum(MUnits) AS DECIMAL(24, 3)) AS DOUBLE) AS MUnits, any_value(lat) AS lat, any_value(lon) AS lon
   FROM flows JOIN cent ON cent.Dest = Loc GROUP BY ALL"""),
 )
 def forecast_lanes(t):
     """Lanes of the forecast with the coordinates of their ends."""
     out = report.outbound_rows(_forecast_plan(t)[0], t.distances())
-    return report.lane_summary(out, geo.dest_centroids(t.geocodes())).withColumn("MUnits", F.round("MUnits", 3))
+    return report.lane_summary(out, geo.dest_centroids(t.geocodes())).withColumn("MUnits", _three("MUnits"))
 
 
 @query(
