@@ -13,7 +13,9 @@ in bands whose neighbours overlap by as much as sizes of linked sets may differ.
 
 Under each key, first every set is compared with one of them, which joins large groups of copies with one comparison a
 set. Only keys whose sets are then still in different components are searched: an R-tree over their points (nodes with
-the largest coordinates below them) walks pairs of nodes whose bound is large enough.
+the largest coordinates below them) walks pairs of nodes whose bound is large enough. Of a group of copies that are all
+near each other only few pairs need to be verified: first each set's nearest one in another component is, and only what
+is still in different components after that is verified pair by pair.
 
 Sets, not documents, are compared: equal sets are one from the start.
 
@@ -46,6 +48,8 @@ DIMENSIONS, LEAST_DIGEST = 64, 64
 BROADCAST_ROWS = 1_000_000
 #: The keys meet in so many rounds, each a share of them, so that only that share is on the way at a time.
 KEY_ROUNDS = 4
+#: Rounds in which only the nearest set in another component is verified, before all pairs that are left.
+NEAREST_ROUNDS = 2
 LEAF = 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -168,14 +172,17 @@ def features(documents: DataFrame, id_col: str, size: int, share: int) -> DataFr
     return as_arrow(rows, of, schema)
 
 
-def _may_link(a: Places, b: Places, share: int) -> np.ndarray:
-    """Rows at which the bounds allow a link, compared place by place."""
+def _apart(a: Places, b: Places, share: int) -> np.ndarray:
+    """Least share of shingles in which the sets of each row differ, by their digests; infinite where the bounds forbid a
+    link."""
     most = np.minimum(a.points, b.points).sum(axis=1)
     both = a.sizes + b.sizes
-    keep = 100 * most >= share * (both - most)
-    for k in np.flatnonzero(keep):
-        keep[k] = (100 + share) * _differ(a.digests[k], b.digests[k]) <= (100 - share) * both[k]
-    return keep
+    out = np.full(len(both), np.inf)
+    for k in np.flatnonzero(100 * most >= share * (both - most)):
+        differ = _differ(a.digests[k], b.digests[k])
+        if (100 + share) * differ <= (100 - share) * both[k]:
+            out[k] = differ / both[k]
+    return out
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
@@ -185,7 +192,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
         pairs = pairs.join(own, c)
 
     def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = pa.array(_may_link(Places.of(batch, "_a"), Places.of(batch, "_b"), share))
+        keep = pa.array(np.isfinite(_apart(Places.of(batch, "_a"), Places.of(batch, "_b"), share)))
         return pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return as_arrow(pairs, bound, "a bigint, b bigint")
@@ -278,8 +285,8 @@ class Tree:
                 break
             bounds = np.append(np.arange(0, len(top), LEAF), len(top))
 
-    def pairs(self, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (one before the other) of different groups whose bound allows a link."""
+    def pairs(self, share: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Index pairs (one before the other) of different groups whose bound allows a link, and how far they are apart."""
         todo = [(len(self.levels) - 1, 0, 0)]
         while todo:
             level, i, j = todo.pop()
@@ -301,12 +308,28 @@ class Tree:
             if level:
                 todo += [(level - 1, int(a), int(b)) for a, b in zip(p, q)]
             elif len(p):
-                near = _may_link(self.places.take(p), self.places.take(q), share)
-                yield self.order[p[near]], self.order[q[near]]
+                apart = _apart(self.places.take(p), self.places.take(q), share)
+                near = np.isfinite(apart)
+                yield self.order[p[near]], self.order[q[near]], apart[near]
+
+
+def _nearest(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``n`` sets the pair with the nearest one."""
+    best, other = np.full(n, np.inf), np.full(n, -1)
+    for p, q, apart in pairs:
+        for a, b in ((p, q), (q, p)):
+            order = np.lexsort((b, apart, a))
+            first = order[np.append(True, a[order][1:] != a[order][:-1])[: len(order)]]
+            first = first[apart[first] < best[a[first]]]
+            best[a[first]], other[a[first]] = apart[first], b[first]
+    own = np.flatnonzero(other >= 0)
+    if len(own):
+        yield own, other[own]
 
 
-def _searched(rows: DataFrame, share: int) -> DataFrame:
-    """(key, set, component, n, point, digest) to the pairs of different components under a key whose bound allows a link."""
+def _searched(rows: DataFrame, share: int, nearest: bool = False) -> DataFrame:
+    """(key, set, component, n, point, digest) to the pairs of different components under a key whose bound allows a link;
+    with ``nearest`` only one of them for each set, the one that is least apart."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []
@@ -316,7 +339,8 @@ def _searched(rows: DataFrame, share: int) -> DataFrame:
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             for x, y in zip(cuts[:-1], cuts[1:]):
                 s, c = sets[x:y], comps[x:y]
-                for p, q in Tree(Places(points[x:y], digests[x:y], sizes[x:y]), c).pairs(share):
+                found = Tree(Places(points[x:y], digests[x:y], sizes[x:y]), c).pairs(share)
+                for p, q in _nearest(found, y - x) if nearest else (f[:2] for f in found):
                     left.append(np.minimum(s[p], s[q]))
                     right.append(np.maximum(s[p], s[q]))
             if not left:
@@ -369,14 +393,16 @@ def link_documents(
     stars = together.where("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
     links = _verified(_bounded(stars, points, share), documents, where, id_col, size, share)
 
-    grouped = components(links)
-    known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
-    known = step(known.withColumn("component", F.coalesce("component", "set")))
-    open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rows = known.join(open_keys.select("key"), "key").join(points, "set")
-    more = _verified(_searched(rows, share), documents, where, id_col, size, share)
+    for nearest in [*[True] * NEAREST_ROUNDS, False]:
+        grouped = components(links)
+        known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
+        known = step(known.withColumn("component", F.coalesce("component", "set")))
+        open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        rows = known.join(open_keys.select("key"), "key").join(points, "set")
+        more = _verified(_searched(rows, share, nearest), documents, where, id_col, size, share)
+        links = step(links.unionByName(more))
 
-    grouped = components(links.unionByName(more))
+    grouped = components(links)
     nodes = found.select(id_col, "version", "n", "set").join(grouped, F.col("set") == F.col("node"), "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "set"))
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("version").alias("v"))
