@@ -207,7 +207,7 @@ def test_tree_loses_no_pair():
         np.array([jaccard.digest(s).tobytes() for s in sets], object),
         np.array([len(s) for s in sets]),
     )
-    pairs = lambda tree: {tuple(sorted(x)) for p, q in tree.pairs(90) for x in zip(p.tolist(), q.tolist())}
+    pairs = lambda tree: {tuple(sorted(x)) for p, q, _ in tree.pairs(90) for x in zip(p.tolist(), q.tolist())}
     found = pairs(jaccard.Tree(places))
     groups = rng.integers(0, 4, 300)
     assert pairs(jaccard.Tree(places, groups)) == {(a, b) for a, b in found if groups[a] != groups[b]}
