@@ -8,8 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from freightnet.llm import chat, jaccard, mixing, quality, rules, secrets, toxicity, urls
-from freightnet.llm.decontaminate import TestSuffixes, find_contamination
+from freightnet.llm import chat, decontaminate, jaccard, mixing, quality, rules, secrets, toxicity, urls
+from freightnet.llm.decontaminate import TestSuffixes, _match_slice, find_contamination
 from freightnet.llm.graph import components
 from freightnet.llm.suffixes import permuted_common_prefixes, suffix_array
 from freightnet.llm.texts import slices
@@ -162,30 +162,46 @@ def test_matches_have_places(spark):
 
 
 def test_search_against_all_windows():
-    rng = random.Random(4)
-    word = lambda: rng.choice("abcdefgh")
-    items = [(str(k), " ".join(word() for _ in range(rng.randrange(0, 9)))) for k in range(30)]
-    texts = [" ".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(60)]
-    tests = TestSuffixes(items, window=4)
-    from freightnet.llm.decontaminate import _match_slice
-
-    part = next(slices(pa.array(texts)))
-    bounds, at, item, item_at, words = _match_slice(part, tests)
-    got = set()
-    for a, i, _, n in zip(at, item, item_at, words):
-        row = int(np.searchsorted(bounds, a, "right") - 1)
-        got |= {(row, int(p - bounds[row]), items[i][0]) for p in range(a, a + n)}
-    want = set()
-    for row, text in enumerate(texts):
-        w = text.split()
-        for name, q in items:
-            q = q.split()
-            n = min(4, len(q))
-            for k in range(len(q) - n + 1 if q else 0):
-                for p in range(len(w) - n + 1):
-                    if w[p : p + n] == q[k : k + n]:
-                        want |= {(row, x, name) for x in range(p, p + n)}
-    assert got == want
+    for seed in range(40):
+        rng = random.Random(seed)
+        letters, window = "abcdefgh"[: rng.choice([1, 2, 3, 8])], rng.choice([2, 4])
+        items = [(str(k), " ".join(rng.choice(letters) for _ in range(rng.randrange(0, 14)))) for k in range(rng.randrange(0, 12))]
+        texts = [" ".join(rng.choice(letters + "z") for _ in range(rng.randrange(0, 40))) for _ in range(12)]
+        part = next(slices(pa.array(texts)))
+        bounds, found, (at, item, item_at, words) = _match_slice(part, TestSuffixes(items, window=window))
+        rows = np.searchsorted(bounds, at, "right") - 1
+        got = [(int(r), int(a), int(n)) for r, a, n in zip(rows, at - bounds[rows], words)]
+        for (row, a, n), i, p in zip(got, item, item_at):
+            assert texts[row].split()[a : a + n] == items[i][1].split()[p : p + n]
+        want, named = [], {}
+        for row, text in enumerate(texts):
+            reach, text = -1, text.split()
+            for a in range(len(text)):
+                longest = 0
+                for k, (_, q) in enumerate(items):
+                    q = q.split()
+                    for p in range(len(q)):
+                        both = zip(text[a:], q[p:])
+                        n = next((n for n, (x, y) in enumerate(both) if x != y), min(len(text) - a, len(q) - p))
+                        if n >= window or (len(q) < window and n == len(q)):
+                            longest = max(longest, n)
+                            named.setdefault(row, set()).add(k)
+                if longest and a + longest > reach:
+                    want.append((row, a, longest))
+                    reach = a + longest
+        assert got == want
+        assert {row: set(own.tolist()) for row, own in found} == named
+
+
+def test_repeated_words_do_not_multiply():
+    tests = TestSuffixes([("q", " ".join(["a"] * 2000)), ("r", " ".join(["a"] * 30))])
+    part = next(slices(pa.array([" ".join(["a"] * 200_000)])))
+    ids = tests.known(part.hashes(*part.words(decontaminate.WORD_BY_LETTER)[:2]))
+    at, found, _ = tests.search(ids, np.array([0, len(ids)]))
+    assert len(at) == 200_000 - 9 and set(found) == {0}
+    _, items, (at, _, _, words) = _match_slice(part, tests)
+    assert [(row, own.tolist()) for row, own in items] == [(0, [0, 1])]
+    assert len(at) == 198_001 and set(words) == {2000}
 
 
 def test_components_of_paths_and_hubs(spark):
