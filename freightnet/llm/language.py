@@ -11,8 +11,9 @@ of the other ``SAMPLES`` are averaged. Discounts follow from how many pairs were
 At scale. Texts are cut into slices of whole texts, which keep each token as a number. Slices ask for words and pairs in
 packed messages, one per slice and bucket of a hash; a bucket gives counts over all slices, and later answers. So a
 pair moves once per slice that has it, the counts cover the whole corpus, and no key is hot: a slice asks for each only
-once. Pairs seen once always have one table; only the others take part in the sweeps, as rows joined to
-the two words' rows. Random numbers are hashes of the pair, the sweep and the step: reruns agree.
+once. Pairs seen once always have one table; only the others take part in the sweeps, as one packed sheet a bucket that
+asks in the same way for the tables of its first words and the parent's probabilities of its second ones, each once, and
+tells how many tables it adds to them. Random numbers are hashes of the pair, the sweep and the step: reruns agree.
 
 Beyond ``ONE_BY_ONE`` customers of a word in a restaurant, those that follow sit down in blocks of a sixteenth of those
 seated, with a Poisson number of new tables.
@@ -258,17 +259,36 @@ def _asked(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield int(number), at[end - size : end]
 
 
-def _pair_rows(counts: DataFrame) -> DataFrame:
-    """(u, w, c, bucket) of the pairs that were seen more than once."""
+class _Sheet:
+    """The pairs of a bucket that were seen more than once: their first and second words, each once, the places of both in
+    those, counts, tables, and tables summed over the samples."""
 
-    def rows(bucket, kind, part, u, w, c, d) -> Iterator[pa.RecordBatch]:
+    def __init__(self, words: bytes, places: bytes, counts: bytes, tables: bytes) -> None:
+        words = unpack(words, np.int64)
+        self.sides = np.split(words[1:], words[:1])
+        self.places = unpack(places, np.int32).reshape(2, -1)
+        self.counts = unpack(counts, np.int64)
+        self.tables, self.kept = unpack(tables, np.int64).reshape(2, -1)
+
+    def hash(self) -> np.ndarray:
+        return pair_hash(*[words[at] for words, at in zip(self.sides, self.places)])
+
+
+def _sheets(counts: DataFrame) -> DataFrame:
+    """A sheet by bucket (kind 0), at first with one table for each pair."""
+
+    def sheet(bucket, kind, part, u, w, c, where) -> Iterator[pa.RecordBatch]:
         c = unpack(c, np.int64)
-        at = np.flatnonzero(c > 1)
-        u, w = np.cumsum(unpack(u, np.int64))[at], unpack(w, np.int64)[at]
-        arrays = [pa.array(x) for x in (u, w, c[at], np.full(len(at), bucket))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["u", "w", "c", "bucket"])
+        many = c > 1
+        if many.any():
+            found = [np.unique(x[many], return_inverse=True) for x in (np.cumsum(unpack(u, np.int64)), unpack(w, np.int64))]
+            words = np.concatenate([[len(found[0][0])], found[0][0], found[1][0]]).astype(np.int64)
+            places = np.concatenate([at for _, at in found]).astype(np.int32)
+            n = int(many.sum())
+            tables = np.concatenate([np.ones(n, np.int64), np.zeros(n, np.int64)])
+            yield _messages([(bucket, 0, 0, pack(words), pack(places), pack(c[many]), pack(tables))])
 
-    return _each(counts, rows, "u bigint, w bigint, c bigint, bucket bigint")
+    return _each(counts, sheet)
 
 
 def _rare(counts: DataFrame) -> tuple[int, int]:
@@ -396,18 +416,79 @@ def _parent_sweep(parent: DataFrame, discount: float, others: int, base: float,
     return rows.mapInArrow(work, rows.schema)
 
 
-def _sweep(rows: DataFrame, discount: float, sweep: int, counts: bool) -> DataFrame:
-    """(u, w, c, bucket, t, kept, tables of u, p of w) with tables drawn anew, added to ``kept`` if the sweep counts."""
+def _side_answers(sheets: DataFrame, contexts: DataFrame, seats: DataFrame, buckets: int) -> DataFrame:
+    """Answers by sheet: the tables of its first words (kind 1) and the parent's p of its second ones (kind 2)."""
+
+    def ask(sheet, kind, part, words, b, c, d) -> Iterator[pa.RecordBatch]:
+        words = unpack(words, np.int64)
+        sides = np.split(words[1:], words[:1])
+        yield _messages([(b, 2 + k, sheet, pack(ids[at]), b"", b"", b"") for k, ids in enumerate(sides) for b, at in _split(ids % buckets)])
+
+    def answer(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
+        told = []
+        for side in (0, 1):
+            own = [h for h in held if h[0] == side]
+            ids = np.concatenate([np.frombuffer(h[2], np.int64) for h in own] or [np.zeros(0, np.int64)])
+            values = np.concatenate([np.frombuffer(h[3], np.float64) for h in own] or [np.zeros(0)])
+            order = np.argsort(ids)
+            told.append((ids[order], values[order]))
+        rows = []
+        for kind, sheet, words, *_ in held:
+            if kind > 1:
+                ids, values = told[kind - 2]
+                rows.append((sheet, kind - 1, bucket, pack(values[np.searchsorted(ids, unpack(words, np.int64))]), b"", b"", b""))
+        if rows:
+            yield _messages(rows)
+
+    first = _packed(contexts, F.pmod("u", F.lit(buckets)), 0, ["u", "tables"])
+    second = _packed(seats, F.pmod("w", F.lit(buckets)), 1, ["w", "p"])
+    return _gathered(first.unionByName(second).unionByName(_each(sheets, ask)), answer)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            u, w, c, t, kept, tables, p = _columns(batch, "u", "w", "c", "t", "kept", "tables", "p")
-            t = seat(c, tables - t, p, STRENGTH, discount, pair_hash(u, w), 2 * sweep)
-            arrays = [*[batch.column(x) for x in ("u", "w", "c", "bucket")], pa.array(t), pa.array(kept + t * counts)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["u", "w", "c", "bucket", "t", "kept"])
 
-    wanted = rows.select("u", "w", "c", "bucket", "t", "kept", "tables", "p")
-    return wanted.mapInArrow(work, "u bigint, w bigint, c bigint, bucket bigint, t bigint, kept bigint")
+def _sweep(sheets: DataFrame, answers: DataFrame, buckets: int, discount: float, sweep: int, counts: bool) -> DataFrame:
+    """Sheets with tables drawn anew, added to those that are kept if the sweep counts."""
+
+    def draw(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
+        same = held[0][2:5]
+        sheet, values = _Sheet(*held[0][2:]), []
+        for side, ids in enumerate(sheet.sides):
+            answered = {h[1]: h[2] for h in held[1:] if h[0] == side + 1}
+            own = np.zeros(len(ids))
+            for b, at in _split(ids % buckets):
+                own[at] = unpack(answered[b], np.float64)
+            values.append(own[sheet.places[side]])
+        t = seat(sheet.counts, values[0] - sheet.tables, values[1], STRENGTH, discount, sheet.hash(), 2 * sweep)
+        yield _messages([(bucket, 0, 0, *same, pack(np.concatenate([t, sheet.kept + t * counts])))])
+
+    return _gathered(sheets.unionByName(answers), draw)
+
+
+def _tables_by_word(sheets: DataFrame) -> DataFrame:
+    """(side, id, t): the tables of all pairs of each first (side 0) and second word (1). Each task adds up its sheets,
+    ``TOGETHER`` words and more at a time, before rows move."""
+
+    def flush(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for side, own in enumerate(held):
+            ids, at = np.unique(np.concatenate([h[0] for h in own]), return_inverse=True)
+            t = np.bincount(at, weights=np.concatenate([h[1] for h in own]), minlength=len(ids)).astype(np.int64)
+            arrays = [pa.array(np.full(len(ids), side, np.int32)), pa.array(ids), pa.array(t)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["side", "id", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sheet = _Sheet(*[batch.column(c)[k].as_py() for c in "abcd"])
+                for side, (ids, at) in enumerate(zip(sheet.sides, sheet.places)):
+                    held[side].append((ids, np.bincount(at, weights=sheet.tables, minlength=len(ids))))
+                if sum(len(h[0]) for own in held for h in own) >= TOGETHER:
+                    yield from flush(held)
+                    held = [[], []]
+        if held[0]:
+            yield from flush(held)
+
+    rows = sheets.select("a", "b", "c", "d").mapInArrow(run, "side int, id bigint, t bigint")
+    return rows.groupBy("side", "id").agg(F.sum("t").alias("t"))
 
 
 def _discount(once: int, twice: int) -> float:
@@ -417,31 +498,33 @@ def _discount(once: int, twice: int) -> float:
 class Model:
     """Counts and samples of a trained model."""
 
-    def __init__(self, counts: DataFrame, words: int) -> None:
+    def __init__(self, counts: DataFrame, words: int, buckets: int) -> None:
         self.base = 1 / (words + 1)
         self.discount = _discount(*_rare(counts))
-        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        one = F.lit(1).cast("bigint")
         # At first each pair has one table, and so has each word at the parent.
         tables = F.col("single") + F.col("many")
         self.contexts = step(_by_side(counts, 0, "u").select("u", "total", "single", tables.alias("tables")))
         parent = step(_by_side(counts, 1, "w").select("w", "single", tables.alias("r"), one.alias("t")))
-        self.pairs = step(_pair_rows(counts).withColumn("t", one).withColumn("kept", none))
+        self.sheets = step(_sheets(counts))
         n = parent.agg(*[F.count(F.when(F.col("r") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
         self.parent_discount = _discount(n["n1"], n["n2"])
         others, self.unseen = parent.count(), []
         for sweep in range(BURN_IN + SAMPLES):
             counts = sweep >= BURN_IN
-            superseded = [self.pairs, self.contexts, parent]
+            superseded = [self.sheets, self.contexts, parent]
             drawn = step(_parent_sweep(parent, self.parent_discount, others, self.base, sweep))
             sums = drawn.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
             others = sums["t"]
             left = (PARENT_STRENGTH + self.parent_discount * others) * self.base
             weight = 1 / (PARENT_STRENGTH + sums["r"])
             p = ((F.col("r") - self.parent_discount * F.col("t") + left) * weight).alias("p")
-            rows = self.pairs.join(self.contexts.select("u", "tables"), "u").join(drawn.select("w", p), "w")
-            self.pairs = step(_sweep(rows, self.discount, sweep, counts))
+            answers = _side_answers(self.sheets, self.contexts.select("u", "tables"), drawn.select("w", p), buckets)
+            self.sheets = step(_sweep(self.sheets, answers, buckets, self.discount, sweep, counts))
+            del answers
+            sums = step(_tables_by_word(self.sheets))
             # Samples that count stay as columns of their own: tables0, p0 and so on.
-            own = self.pairs.groupBy("u").agg(F.sum("t").alias("t"))
+            own = sums.where("side = 0").select(F.col("id").alias("u"), "t")
             tables = (F.col("single") + F.coalesce("t", F.lit(0))).alias("tables")
             fresh = self.contexts.drop("tables").join(own, "u", "left").select("*", tables).drop("t")
             seats = drawn.withColumn("p", p) if counts else drawn
@@ -450,11 +533,11 @@ class Model:
                 seats = seats.withColumnRenamed("p", f"p{len(self.unseen)}")
                 self.unseen.append(left * weight)
             self.contexts = step(fresh)
-            more = self.pairs.groupBy("w").agg(F.sum("t").alias("more"))
+            more = sums.where("side = 1").select(F.col("id").alias("w"), F.col("t").alias("more"))
             r = (F.col("single") + F.coalesce("more", F.lit(0))).alias("r")
             after = seats.drop("r").join(more, "w", "left").select("*", r).drop("more")
             parent = step(after.withColumn("t", F.least("t", "r")))
-            for old in [*superseded, drawn]:
+            for old in [*superseded, drawn, sums]:
                 forget(old)
         self.parent = parent
 
@@ -470,14 +553,14 @@ def _width() -> int:
     return 1 + 2 * SAMPLES
 
 
-def _packed(rows: DataFrame, bucket: Column, kind: str, columns: list[str]) -> DataFrame:
-    """Rows as messages to their buckets: the first column as it is, the others as one table of floats."""
+def _packed(rows: DataFrame, bucket: Column, kind: int, columns: list[str]) -> DataFrame:
+    """Rows as messages of a kind to their buckets: the first column as it is, the others as one table of floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _larger(batches):
             key, *values = _columns(batch, "bucket", *columns)
             table = np.stack([v.astype(np.float64) for v in values[1:]], axis=1)
-            rows = [(b, 0, 0, values[0][at].tobytes(), table[at].tobytes(), b"", b"") for b, at in _split(key)]
+            rows = [(b, kind, 0, values[0][at].tobytes(), table[at].tobytes(), b"", b"") for b, at in _split(key)]
             if rows:
                 yield _messages(rows)
 
@@ -510,7 +593,7 @@ def _word_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
             yield _messages(rows)
 
     names = ["id", "total", *[f"{c}{k}" for c in ("tables", "p") for k in range(SAMPLES)]]
-    told = _packed(model.by_word().where("id >= 0"), F.pmod("id", F.lit(buckets)), "id", names)
+    told = _packed(model.by_word().where("id >= 0"), F.pmod("id", F.lit(buckets)), 0, names)
     return _gathered(told.unionByName(_each(known, ask)), answer)
 
 
@@ -519,26 +602,15 @@ def _pair_answers(counts: DataFrame, model: Model) -> DataFrame:
     discount = model.discount
 
     def answer(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-        told = [h for h in held if h[0] == 0]
+        sheets = [_Sheet(*h[2:]) for h in held if h[0] == 0]
         for _, _, u, w, totals, where in (h for h in held if h[0] == 1):
-            hashes, totals = pair_hash(np.cumsum(unpack(u, np.int64)), unpack(w, np.int64)), unpack(totals, np.int64)
+            totals = unpack(totals, np.int64)
             left = totals - discount * np.minimum(totals, 1)
-            if told:
-                order = np.argsort(hashes)
-                pairs = np.concatenate([np.frombuffer(h[2], np.int64) for h in told]).view(np.uint64)
-                mine = order[np.searchsorted(hashes, pairs, sorter=order)]
-                left[mine] = totals[mine] - discount * np.concatenate([np.frombuffer(h[3], np.float64) for h in told])
+            for sheet in sheets:  # its pairs are in the same order
+                left[totals > 1] = sheet.counts - discount * (sheet.kept / SAMPLES)
             yield _messages([(number, 2, bucket, pack(left[at]), b"", b"", b"") for number, at in _asked(where)])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            u, w, kept = _columns(batch, "u", "w", "kept")
-            arrays = [batch.column("bucket"), pa.array(pair_hash(u, w).view(np.int64)), pa.array(kept / SAMPLES)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "pair", "mean"])
-
-    rows = model.pairs.select("bucket", "u", "w", "kept").mapInArrow(hashed, "bucket bigint, pair bigint, mean double")
-    told = _packed(rows, F.col("bucket"), "pair", ["pair", "mean"])
-    return _gathered(told.unionByName(counts), answer)
+    return _gathered(model.sheets.unionByName(counts), answer)
 
 
 def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_id") -> DataFrame:
@@ -561,7 +633,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     forget(sliced)
     forget(answers)
     counts = step(_pair_counts(_pair_asks(known, pair_buckets)))
-    model = Model(counts, n_words)
+    model = Model(counts, n_words, buckets)
     told = step(_word_answers(known, model, buckets)).unionByName(step(_pair_answers(counts, model)))
     first = model.by_word().where(F.col("id") == _START).first()
     at_start = [first["total"], *[first[f"tables{k}"] for k in range(SAMPLES)]] if first else [0.0] * (1 + SAMPLES)
