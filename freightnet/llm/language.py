@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightnet.llm.steps import forget, step
+from freightnet.llm.steps import LARGE_ROWS, forget, step
 from freightnet.llm.texts import WORD_BY_SPACE, mix, slices, text_of
 
 
@@ -506,7 +506,7 @@ class Model:
         tables = F.col("single") + F.col("many")
         self.contexts = step(_by_side(counts, 0, "u").select("u", "total", "single", tables.alias("tables")))
         parent = step(_by_side(counts, 1, "w").select("w", "single", tables.alias("r"), one.alias("t")))
-        self.sheets = step(_sheets(counts))
+        self.sheets = step(_sheets(counts), LARGE_ROWS)
         n = parent.agg(*[F.count(F.when(F.col("r") == k, 1)).alias(f"n{k}") for k in (1, 2)]).first()
         self.parent_discount = _discount(n["n1"], n["n2"])
         others, self.unseen = parent.count(), []
@@ -520,7 +520,7 @@ class Model:
             weight = 1 / (PARENT_STRENGTH + sums["r"])
             p = ((F.col("r") - self.parent_discount * F.col("t") + left) * weight).alias("p")
             answers = _side_answers(self.sheets, self.contexts.select("u", "tables"), drawn.select("w", p), buckets)
-            self.sheets = step(_sweep(self.sheets, answers, buckets, self.discount, sweep, counts))
+            self.sheets = step(_sweep(self.sheets, answers, buckets, self.discount, sweep, counts), LARGE_ROWS)
             del answers
             sums = step(_tables_by_word(self.sheets))
             # Samples that count stay as columns of their own: tables0, p0 and so on.
@@ -615,10 +615,10 @@ def _pair_answers(counts: DataFrame, model: Model) -> DataFrame:
 
 def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_id") -> DataFrame:
     """One row per document: its id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams), score."""
-    sliced = step(_sliced(documents, held_out, id_col))
+    sliced = step(_sliced(documents, held_out, id_col), LARGE_ROWS)
     n_slices = sliced.count()
     buckets, pair_buckets = max(1, n_slices // SLICES_A_BUCKET), max(1, n_slices // SLICES_A_PAIR_BUCKET)
-    answers = step(_word_counts(_word_asks(sliced, buckets), buckets))
+    answers = step(_word_counts(_word_asks(sliced, buckets), buckets), LARGE_ROWS)
 
     def sums(key, kind, part, numbers, counts, c, d) -> Iterator[pa.RecordBatch]:
         counts = unpack(counts, np.int64)
@@ -629,12 +629,12 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     found = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens")]).first()
     n_words, n_tokens = found["words"], found["tokens"]
 
-    known = step(_numbered(sliced, answers, buckets))
+    known = step(_numbered(sliced, answers, buckets), LARGE_ROWS)
     forget(sliced)
     forget(answers)
-    counts = step(_pair_counts(_pair_asks(known, pair_buckets)))
+    counts = step(_pair_counts(_pair_asks(known, pair_buckets)), LARGE_ROWS)
     model = Model(counts, n_words, buckets)
-    told = step(_word_answers(known, model, buckets)).unionByName(step(_pair_answers(counts, model)))
+    told = step(_word_answers(known, model, buckets), LARGE_ROWS).unionByName(step(_pair_answers(counts, model), LARGE_ROWS))
     first = model.by_word().where(F.col("id") == _START).first()
     at_start = [first["total"], *[first[f"tables{k}"] for k in range(SAMPLES)]] if first else [0.0] * (1 + SAMPLES)
     bottom = n_tokens + ADDED * (n_words + 1)
