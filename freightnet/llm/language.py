@@ -634,11 +634,14 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     forget(answers)
     counts = step(_pair_counts(_pair_asks(known, pair_buckets)), LARGE_ROWS)
     model = Model(counts, n_words, buckets)
-    told = step(_word_answers(known, model, buckets), LARGE_ROWS).unionByName(step(_pair_answers(counts, model), LARGE_ROWS))
+    told = step(_word_answers(known, model, buckets), LARGE_ROWS)
+    told = told.unionByName(step(_pair_answers(counts, model), LARGE_ROWS))
     first = model.by_word().where(F.col("id") == _START).first()
     at_start = [first["total"], *[first[f"tables{k}"] for k in range(SAMPLES)]] if first else [0.0] * (1 + SAMPLES)
     bottom = n_tokens + ADDED * (n_words + 1)
     discount = model.discount
+    for old in (counts, model.sheets, model.contexts, model.parent):  # all they say is in the answers
+        forget(old)
 
     def score(key: int, held: list) -> Iterator[pa.RecordBatch]:
         _, _, tokens, words, sizes, own = held[0]
