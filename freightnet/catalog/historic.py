@@ -89,7 +89,7 @@ MODE_SQL = """CASE WHEN upper(trim({c})) = 'NLAT' THEN 'IM' WHEN upper(trim({c})
  FROM grouped"""),
 )
 def ship_history(t):
-    return h.ship_history(t.erp(), AS_OF)
+    return h.ship_history(t.erp(), AS_OF, tasks=t.tasks)
 
 
 @query(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import CARRIERS, terms, year_month, year_start
-from freightnet.scale import cut, null_safe_join, rank_and_count
+from freightnet.scale import null_safe_join, rank_and_count
 from freightnet.schemas import VOLUME
 
 # Fixed values of the extract.
@@ -19,6 +19,7 @@ SAMPLE_NAME = "%SAMPL%"
 BILL_LENGTH = 9
 
 MASTER = ["MST", "MSTSetup", "MSTName", "MSTCity", "MSTState", "MSTZip", "MSTCountry"]
+STOPS = ["StopNbrFix", "BOLMasterShipToCount"]
 CHARGES = ["Miles", "Freight", "EstimatedFreight", "InvFrt", "ActualFreight", "PaidFlag"]
 
 
@@ -49,35 +50,72 @@ def order_headers(erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN
 
 
 def order_lines(
-    erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN, excluded: Sequence[str] = EXCLUDED_SITES
+    erp: Mapping[str, DataFrame],
+    as_of: str,
+    domain: str = DOMAIN,
+    excluded: Sequence[str] = EXCLUDED_SITES,
+    headers: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Order lines of those orders with part and pallet data, without the excluded sites.
 
-    Everything that hangs on the order is joined before the lines, at the smaller grain. Tables that are bucketed by order
-    (``writers.land_bucketed``) meet without a shuffle.
+    Part and pallet data meet the lines while these are narrow; everything that hangs on the order is joined before, at the
+    smaller grain (``headers`` are ``order_headers`` unless given). Tables that are bucketed by order
+    (``writers.land_bucketed``) meet without a shuffle, unless ``tasks`` says into how many tasks the lines are dealt.
     """
-    detail = erp["idh_hist_all"].where(~F.col("idh_site").isin(*excluded))
-    ordered = (F.col("ih_domain") == F.col("idh_domain")) & (F.col("ih_nbr") == F.col("idh_nbr"))
     made = (F.col("idh_domain") == F.col("pt_domain")) & (F.col("idh_part") == F.col("pt_part"))
     packed = (F.col("Part") == F.col("idh_part")) & (F.col("Site") == F.col("idh_site"))
-    return (
-        detail.join(order_headers(erp, as_of, domain), ordered)
-        .join(erp["pt_mstr_all"], made, "left")
-        .join(erp["Pallets"], packed, "left")
-    )
+    described = _kept_lines(erp, excluded).join(erp["pt_mstr_all"], made, "left").join(erp["Pallets"], packed, "left")
+    if tasks:
+        described = described.repartition(tasks, "idh_domain", "idh_nbr")
+    return described.join(order_headers(erp, as_of, domain) if headers is None else headers, _ordered())
+
+
+def _kept_lines(erp: Mapping[str, DataFrame], excluded: Sequence[str]) -> DataFrame:
+    return erp["idh_hist_all"].where(~F.col("idh_site").isin(*excluded))
+
+
+def _ordered() -> Column:
+    return (F.col("ih_domain") == F.col("idh_domain")) & (F.col("ih_nbr") == F.col("idh_nbr"))
+
 
+def _bill() -> Column:
+    return F.left("ih_bol", F.lit(BILL_LENGTH)).alias("MasterBOL")
 
-def grouped_history(lines: DataFrame) -> DataFrame:
-    """One row per ship date, site, master ship-to, bill, carrier, part type and charge set."""
+
+def stopped_headers(
+    erp: Mapping[str, DataFrame], as_of: str, domain: str = DOMAIN, excluded: Sequence[str] = EXCLUDED_SITES
+) -> DataFrame:
+    """Order headers with the stops of their master bill, as ``add_stops`` gives them.
+
+    A stop counts if an order with lines goes there, so the ranks are known before the lines are joined: headers are a
+    fraction of the lines, and no row as wide as the history moves for its stop number.
+    """
+    headers = order_headers(erp, as_of, domain).withColumn("MasterBOL", _bill())
+    keys = _kept_lines(erp, excluded).select("idh_domain", "idh_nbr")
+    used = headers.select("ih_domain", "ih_nbr", "MasterBOL", "MST").join(keys, _ordered(), "left_semi")
+    return _with_ranks(headers, used)
+
+
+def grouped_history(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per ship date, site, master ship-to, bill, carrier, part type and charge set.
+
+    With ``tasks`` the lines are dealt by what hangs on the order: those of an order stay next to each other, so that its
+    wide columns are packed once and not once per line, and the groups need no other shuffle. Stop numbers that the lines
+    carry are kept.
+    """
     qty = F.coalesce("idh_qty_ship", F.lit(0.0))
     pallets = F.coalesce(F.try_divide("idh_qty_ship", "CasepPallet"), F.lit(0.0))
-    bill = F.left("ih_bol", F.lit(BILL_LENGTH)).alias("MasterBOL")
-    freight_terms = F.upper("ih_fr_terms").alias("FrtTerms")
-    keys = [
-        "ih_ship_date", "idh_site", *MASTER, "ih_shipvia", freight_terms, "pt_group", "pt_part_type", bill,
-        "xxih__load", "xxih__truck", "xxih__custpu", "xxih__base_chrg", *CHARGES,
+    stops = [c for c in STOPS if c in lines.columns]
+    # The headers that carry stop numbers have the bill already.
+    lines = lines.withColumn("FrtTerms", F.upper("ih_fr_terms")).withColumn("MasterBOL", _bill())
+    ordered = [
+        "ih_ship_date", *MASTER, "ih_shipvia", "FrtTerms", "MasterBOL",
+        "xxih__load", "xxih__truck", "xxih__custpu", "xxih__base_chrg", *CHARGES, *stops,
     ]
-    return lines.groupBy(*keys).agg(
+    if tasks:
+        lines = lines.repartition(tasks, *ordered)
+    return lines.groupBy(*ordered, "idh_site", "pt_group", "pt_part_type").agg(
         F.sum(qty).alias("Cases"),
         (F.sum(qty * F.col("xxpt__case_pk")) / 1000).alias("MUnits"),
         F.sum(qty * F.col("pt_size")).alias("Cube"),
@@ -87,8 +125,12 @@ def grouped_history(lines: DataFrame) -> DataFrame:
 
 def add_stops(df: DataFrame, bill: str = "MasterBOL", stop: str = "MST") -> DataFrame:
     """Stop number of each row in its master bill, and the number of stops of the bill."""
-    ranks = rank_and_count(df, [bill], stop, "StopNbrFix", "BOLMasterShipToCount")
-    return null_safe_join(df, ranks, [bill, stop])
+    return _with_ranks(df, df, bill, stop)
+
+
+def _with_ranks(df: DataFrame, used: DataFrame, bill: str = "MasterBOL", stop: str = "MST") -> DataFrame:
+    """Rows of ``df`` with the stops that ``used`` makes."""
+    return null_safe_join(df, rank_and_count(used, [bill], stop, *STOPS), [bill, stop])
 
 
 def carriers(spark: SparkSession) -> DataFrame:
@@ -115,16 +157,18 @@ def ship_history(
     domain: str = DOMAIN,
     excluded: Sequence[str] = EXCLUDED_SITES,
     known: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The shipment history table.
 
-    The grouped rows feed both the ranking and the result, so they are written once: joining the whole
-    star twice would cost more than one write.
+    The wide rows of the history move once, to their group: the stop numbers come with the headers. ``tasks`` is the number
+    of tasks that the lines are dealt to, by default Spark's choice.
     """
-    grouped = cut(grouped_history(order_lines(erp, as_of, domain, excluded)))
+    headers = stopped_headers(erp, as_of, domain, excluded)
+    grouped = grouped_history(order_lines(erp, as_of, domain, excluded, headers, tasks), tasks)
     known = carriers(grouped.sparkSession) if known is None else known
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("xxih__base_chrg", *CHARGES)]
-    return with_mode(add_stops(grouped), "xxih__truck", known).select(
+    return with_mode(grouped, "xxih__truck", known).select(
         year_month("ih_ship_date").alias("ShipMonth"),
         F.to_date("ih_ship_date").alias("ShipDate"),
         F.col("idh_site").alias("ShipSite"),

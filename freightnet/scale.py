@@ -63,6 +63,18 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that one task takes where rows meet by key. Sorting and adding them up takes under 2 KB of memory for a wide one.
+TASK_ROWS = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Number of tasks for a step over ``rows`` rows: a task holds no more of them as the tables grow.
+
+    Left to itself Spark cuts shuffles by their packed size, which says little about the memory that wide rows take.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

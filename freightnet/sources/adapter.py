@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightnet.operators.tables import total
+from freightnet.scale import tasks_for
 
 TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
 #: Regions that may be sites, unless the caller allows more: their names become columns of lane tables.
@@ -89,6 +90,13 @@ class Tables:
             self.__dict__["_sites"] = [(r["r_regionkey"], r["r_name"]) for r in rows]
         return self.__dict__["_sites"]
 
+    @property
+    def tasks(self) -> int:
+        """Number of tasks for steps over the lines, by their number: counted once per query, from the footers."""
+        if "_tasks" not in self.__dict__:
+            self.__dict__["_tasks"] = tasks_for(self.spark, self.lineitem.count())
+        return self.__dict__["_tasks"]
+
     @property
     def site_names(self) -> list[str]:
         return [name for _, name in self.site_list]
