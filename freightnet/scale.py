@@ -67,7 +67,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 TASK_ROWS = 250_000
 
 
-def tasks_for(spark: SparkSession, rows: int) -> int:
+def most_tasks(spark: SparkSession, rows: int) -> int:
     """Number of tasks for a step over ``rows`` rows: a task holds no more of them as the tables grow.
 
     Left to itself Spark cuts shuffles by their packed size, which says little about the memory that wide rows take.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightnet.operators.tables import total
-from freightnet.scale import tasks_for
+from freightnet.scale import most_tasks
 
 TRUCKS = "'NLAT', 'CNWY', 'CPU', 'PAGE', 'UPS', 'SWFT', 'ZZZZ'"
 #: Regions that may be sites, unless the caller allows more: their names become columns of lane tables.
@@ -91,10 +91,12 @@ class Tables:
         return self.__dict__["_sites"]
 
     @property
-    def tasks(self) -> int:
-        """Number of tasks for steps over the lines, by their number: counted once per query, from the footers."""
+    def tasks(self) -> int | None:
+        """Number of tasks for steps over the lines, by their number: counted once per query, from the footers. None while
+        they are so few that Spark's own choice will do."""
         if "_tasks" not in self.__dict__:
-            self.__dict__["_tasks"] = tasks_for(self.spark, self.lineitem.count())
+            need = most_tasks(self.spark, self.lineitem.count())
+            self.__dict__["_tasks"] = need if need > self.spark.sparkContext.defaultParallelism else None
         return self.__dict__["_tasks"]
 
     @property
@@ -166,7 +168,9 @@ class Tables:
 
     def raw_distances(self) -> DataFrame:
         """Distance sheet with one destination per customer, off-network ones and gaps included."""
-        rows = self._to_sites(self.customer.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
+        # Dealt by the rows that come of them: the file of the customers may be a single row group, so a single task.
+        dealt = self.customer.repartition(most_tasks(self.spark, self.customer.count() * len(self.site_list)), "c_custkey")
+        rows = self._to_sites(dealt.join(self.places(), F.expr("c_nationkey = nation"))).selectExpr(
             "site AS `or.City`",
             "left(site, 2) AS `or.State`",
             "CASE WHEN c_custkey % 62 = 0 THEN 'GNANGARA' ELSE c_name END AS `de.City`",

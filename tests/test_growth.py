@@ -26,3 +26,16 @@ def test_history_is_grouped_last(spark, tasks):
     plain = history.grouped_history(history.order_lines(erp, "1995-06-30"))
     want = history.add_stops(plain).select(rows.columns)
     assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+
+
+def test_distances_are_dealt_by_their_rows(spark, monkeypatch):
+    """The customers' file is one row group: their distances must not stay in the one task that reads it."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 50)
+    t = Tables(spark, FOLDER)
+    rows = t.customer.count() * len(t.site_list)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert t.customer.rdd.getNumPartitions() == 1
+        assert t.raw_distances().rdd.getNumPartitions() == -(-rows // 50) > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
