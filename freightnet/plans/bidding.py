@@ -98,12 +98,14 @@ def bid_plan(
     rounds: list[DataFrame] = []
     while True:
         offers = cut(_offers(paths, stock, room))
-        bids = lookup(rest, offers, {"Loc": "Dest", PRODUCT: PRODUCT}, "inner")
+        # Those of the first round are added up once, not once to find the ranges and once to deal by them.
+        bids = lookup(rest if rounds else cut(rest), offers, {"Loc": "Dest", PRODUCT: PRODUCT}, "inner")
         # Those without another plant come first, then the largest regret.
         bids = bids.withColumn("Urgency", F.coalesce(-F.col("Regret"), F.lit(-1e9).cast(UNIT))).withColumn("Wanted", F.col("MUnits"))
         taken = _accepted(bids.drop("Regret"), ["MfgSite", PRODUCT], stock.drop("Price"), "Stock", order, slices)
         if caps is not None:
-            taken = _accepted(taken, ["ShipSite"], room, "Room", order, slices)
+            # Written first: dealing by range reads its rows twice, and these would be ranked anew for that.
+            taken = _accepted(cut(taken), ["ShipSite"], room, "Room", order, slices)
         taken = cut(taken.select("MfgSite", "ShipSite", *CUSTOMER, PRODUCT, "UnitCost", "Wanted", "MUnits"))
         rounds.append(taken.where(F.col("MUnits") > 0).withColumn("Round", F.lit(len(rounds) + 1)))
         left = F.col("Wanted") - F.col("MUnits")
