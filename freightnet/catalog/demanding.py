@@ -102,12 +102,12 @@ def _forecast(t):
 
 @query("split_share", "W3 B7 C4 P6 P3", with_views(SPLIT.format(by="PrintGroup, PartType") + "SELECT * FROM shares"))
 def split_share(t):
-    return fc.split_share(_history(t), SWAPS)
+    return fc.split_share(_history(t), SWAPS, tasks=t.tasks)
 
 
 @query("split_share_by_part", "W3", with_views(SPLIT.format(by="PartType") + "SELECT * FROM shares"))
 def split_share_by_part(t):
-    return fc.split_share(_history(t), SWAPS, by=("PartType",))
+    return fc.split_share(_history(t), SWAPS, by=("PartType",), tasks=t.tasks)
 
 
 @query(
@@ -116,7 +116,7 @@ def split_share_by_part(t):
     with_views(SPLIT.format(by="PrintGroup, PartType") + "SELECT MSTName, Loc, FTerms, PrintGroup, PartType, Pct * u AS MUnits FROM shares JOIN parts USING (PrintGroup, PartType)"),
 )
 def allocate_forecast(t):
-    return fc.allocate_forecast(fc.split_share(_history(t), SWAPS), _forecast(t), SWAPS)
+    return fc.allocate_forecast(fc.split_share(_history(t), SWAPS, tasks=t.tasks), _forecast(t), SWAPS)
 
 
 @query(
@@ -126,4 +126,4 @@ def allocate_forecast(t):
   WHERE (PrintGroup, PartType) NOT IN (SELECT (PrintGroup, PartType) FROM clean) GROUP BY ALL"""),
 )
 def forecast_without_history(t):
-    return fc.lost_forecast(fc.split_share(_history(t)), _forecast(t))
+    return fc.lost_forecast(fc.split_share(_history(t), tasks=t.tasks), _forecast(t))

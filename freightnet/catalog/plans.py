@@ -123,7 +123,7 @@ FORECAST_PLAN = """WITH placed AS (SELECT MSTName, Loc, 'PPD' AS FTerms, PrintGr
 
 def _forecast_plan(t):
     """Past shares spread the forecast over customers; root products and lanes decide the site."""
-    shares = forecast.split_share(c.clean(t, "MSTName", "FrtTermsFix", "PrintGroup", "PartType"))
+    shares = forecast.split_share(c.clean(t, "MSTName", "FrtTermsFix", "PrintGroup", "PartType"), tasks=t.tasks)
     expected = forecast.forecast(t.forecast_sheet(), t.sites(), "200112", "200102", "200107")
     spread = forecast.allocate_forecast(shares, expected).withColumn("PTypeFix", lid_or_cup("PartType"))
     rooted = demand.root_product_key(spread, c.root_list(t))

@@ -11,6 +11,7 @@ from freightnet.operators import tables as op
 from freightnet.plans import geo
 from freightnet.plans.demand import sheet_cells, sheet_drops, unpivot_demand_sheet
 from freightnet.plans.waterfall import cheapest_routes
+from freightnet.scale import deal
 from freightnet.sources import readers
 
 # The columns that the SQL versions name.
@@ -279,7 +280,7 @@ def column_span(t):
     rows = t.history("MSTName", "MSTCity", "MSTState", "FrtTermsFix", "PrintGroup", "PartType", "MUnits", "Truck")
     placed = rows.select("MSTName", s.place("MSTCity", "MSTState").alias("Loc"), "FrtTermsFix", "PrintGroup", "PartType", "MUnits", "Truck")
     keys = op.cols_between(placed, "MSTName", "PartType")
-    return op.total(op.total(placed, [*keys, "Truck"], "MUnits"), keys, "MUnits").withColumnsRenamed({"MSTName": "Customer"})
+    return op.total(op.total(deal(placed, t.tasks, *keys), [*keys, "Truck"], "MUnits"), keys, "MUnits").withColumnsRenamed({"MSTName": "Customer"})
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import substituted
 from freightnet.operators.tables import force_terms, lookup, share, total
+from freightnet.scale import deal
 
 CUSTOMER = ["MSTName", "Loc", "FTerms", "PrintGroup", "PartType"]
 
@@ -25,15 +26,21 @@ def forecast(sheet: DataFrame, sites: DataFrame, forecast_set: str, first: str,
 
 
 def split_share(
-    ship: DataFrame, swaps: Mapping[str, str] | None = None, by: Sequence[str] = ("PrintGroup", "PartType")
+    ship: DataFrame,
+    swaps: Mapping[str, str] | None = None,
+    by: Sequence[str] = ("PrintGroup", "PartType"),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Share of each customer in the volume of a part, all terms counted as prepaid.
 
     ``by=("PartType",)`` shares over all print groups at once; shares then add up to 1 per part only.
+    ``tasks`` is the number of tasks that the rows are dealt to, by default Spark's choice.
     """
     prepaid = force_terms(ship).withColumnRenamed("FrtTermsFix", "FTerms")
     swapped = prepaid.withColumn("PartType", substituted("PartType", swaps or {}))
-    return share(total(swapped, CUSTOMER, "MUnits"), by, "MUnits").select(*CUSTOMER, "Pct")
+    # The terms are all the same, so they are no key to deal by.
+    dealt = deal(swapped, tasks, *[c for c in CUSTOMER if c != "FTerms"])
+    return share(total(dealt, CUSTOMER, "MUnits"), by, "MUnits").select(*CUSTOMER, "Pct")
 
 
 def allocate_forecast(shares: DataFrame, fcst: DataFrame, swaps: Mapping[str, str] | None = None) -> DataFrame:

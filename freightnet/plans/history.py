@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightnet.functions.scalar import CARRIERS, terms, year_month, year_start
-from freightnet.scale import null_safe_join, rank_and_count
+from freightnet.scale import deal, null_safe_join, rank_and_count
 from freightnet.schemas import VOLUME
 
 # Fixed values of the extract.
@@ -66,9 +66,9 @@ def order_lines(
     made = (F.col("idh_domain") == F.col("pt_domain")) & (F.col("idh_part") == F.col("pt_part"))
     packed = (F.col("Part") == F.col("idh_part")) & (F.col("Site") == F.col("idh_site"))
     described = _kept_lines(erp, excluded).join(erp["pt_mstr_all"], made, "left").join(erp["Pallets"], packed, "left")
-    if tasks:
-        described = described.repartition(tasks, "idh_domain", "idh_nbr")
-    return described.join(order_headers(erp, as_of, domain) if headers is None else headers, _ordered())
+    headers = order_headers(erp, as_of, domain) if headers is None else headers
+    lines, headers = deal(described, tasks, "idh_domain", "idh_nbr"), deal(headers, tasks, "ih_domain", "ih_nbr")
+    return lines.join(headers, _ordered())
 
 
 def _kept_lines(erp: Mapping[str, DataFrame], excluded: Sequence[str]) -> DataFrame:
@@ -113,9 +113,7 @@ def grouped_history(lines: DataFrame, tasks: int | None = None) -> DataFrame:
         "ih_ship_date", *MASTER, "ih_shipvia", "FrtTerms", "MasterBOL",
         "xxih__load", "xxih__truck", "xxih__custpu", "xxih__base_chrg", *CHARGES, *stops,
     ]
-    if tasks:
-        lines = lines.repartition(tasks, *ordered)
-    return lines.groupBy(*ordered, "idh_site", "pt_group", "pt_part_type").agg(
+    return deal(lines, tasks, *ordered).groupBy(*ordered, "idh_site", "pt_group", "pt_part_type").agg(
         F.sum(qty).alias("Cases"),
         (F.sum(qty * F.col("xxpt__case_pk")) / 1000).alias("MUnits"),
         F.sum(qty * F.col("pt_size")).alias("Cube"),

@@ -75,6 +75,15 @@ def most_tasks(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
+def deal(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows dealt to ``tasks`` by their keys, or left as they are without a number.
+
+    Sums by these and more keys follow without another shuffle. For keys so fine that adding up before the shuffle saves
+    little and holds as many wide groups in memory as there are rows.
+    """
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

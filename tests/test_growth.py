@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from freightnet import scale
-from freightnet.plans import history
+from freightnet.catalog import load
+from freightnet.plans import bidding, history
 from freightnet.sources.adapter import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,3 +40,32 @@ def test_distances_are_dealt_by_their_rows(spark, monkeypatch):
         assert t.raw_distances().rdd.getNumPartitions() == -(-rows // 50) > 4
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name", ["split_share", "split_share_by_part", "allocate_forecast", "column_span"])
+def test_wide_rows_are_dealt_by_their_number(spark, monkeypatch, name):
+    """Twice the lines, twice the tasks, also where they are added up, and part data meets the lines before order data."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 500)
+    t = Tables(spark, FOLDER)
+    tasks = -(-t.lineitem.count() // 500)
+    assert t.tasks == tasks > 8
+    plan = plan_text(load()[name].build(t))
+    dealt = [row for row in plan.splitlines() if "REPARTITION_BY_NUM" in row and f", {tasks})" in row]
+    assert any("l_orderkey" in row for row in dealt) and any("MSTName" in row for row in dealt)
+    deepest = lambda key: max(row.index(row.strip(" +-:|")[0]) for row in plan.splitlines() if "Join" in row and key in row)
+    assert deepest("l_partkey") > deepest("l_orderkey")
+
+
+def test_bids_are_written_before_they_are_ranked_again(spark, monkeypatch):
+    """Dealing by range reads its input twice: that must be a written table, not the ranking of the step before."""
+    plans = []
+    plain = scale.slice_rows
+    monkeypatch.setattr(bidding, "slice_rows", lambda df, *rest: (plans.append(plan_text(df)), plain(df, *rest))[1])
+    types = "MSTName string, Loc string, FTerms string, RPType string, MUnits double"
+    demand = spark.createDataFrame([("a", "X", "PPD", "P", 3.0), ("b", "X", "PPD", "P", 4.0)], types)
+    supply = spark.createDataFrame([("M", "P", 5.0)], "MfgSite string, RPType string, Capacity double")
+    paths = spark.createDataFrame([("M", "S", "X", 1.0)], "MfgSite string, ShipSite string, Dest string, UnitCost double")
+    caps = spark.createDataFrame([("S", 4.0)], "ShipSite string, Cap double")
+    flows = bidding.bid_plan(demand, supply, paths.withColumn("UnitCost", F.col("UnitCost").cast(bidding.UNIT)), caps)
+    assert flows.agg(F.sum("MUnits")).first()[0] == 4.0
+    assert len(plans) > 1 and not any("Window" in p or "HashAggregate(keys=[MSTName" in p for p in plans)
