@@ -84,4 +84,4 @@ def rates(t: Tables) -> DataFrame:
 @cached
 def inbound(t: Tables) -> DataFrame:
     """Cheapest plant per site and product; a small table that several steps read."""
-    return cut(cheapest_inbound(supply(t), rates(t)))
+    return cut(cheapest_inbound(kept_supply(t), rates(t)))

@@ -261,11 +261,12 @@ def _best_sql(masks: list[int]) -> str:
  flows AS (SELECT ShipSite, demand.* FROM demand JOIN chosen USING (MSTName, Loc, FTerms))"""
 
 
-def _best_open(t, most: int):
+def _best_open(t, most: int, keep: bool = False):
     """Flows of the cheapest set of at most ``most`` sites; the set is the one row that reaches the driver."""
-    wanted, units = c.kept_demand(t), cut(_units(t))
-    best = scenario.open_site_scenarios(wanted, units, t.site_names, 1, most, top=1).first()
-    return scenario.open_plan(wanted, units, c.inbound(t), t.site_names, best["OpenSites"].split("+"))
+    wanted, units = c.kept_demand(t), _units(t)
+    costs = scenario.site_costs(wanted, units, t.site_names)
+    best = scenario.open_site_scenarios(wanted, units, t.site_names, 1, most, top=1, costs=costs).first()
+    return scenario.open_plan(wanted, units, c.inbound(t), t.site_names, best["OpenSites"].split("+"), costs=costs, keep=keep)
 
 
 @query(
@@ -300,8 +301,8 @@ def best_open_plan(t):
 )
 def best_open_plan_check(t):
     """Rules that the plan of the best pair of sites breaks once capacity counts: none would make it the optimum."""
-    out, moved = _best_open(t, 2)
-    return check.check_plan(cut(out), cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), 1, 2)
+    out, moved = _best_open(t, 2, keep=True)
+    return check.check_plan(out, cut(moved), c.kept_demand(t), c.kept_supply(t), c.caps(t), 1, 2)
 
 
 def _bid_sql(rounds: int) -> str:
@@ -404,10 +405,12 @@ def throughput_check(t):
 )
 def best_open_plan_exact(t):
     """Whether the best pair of sites is the optimum under the given limits, and under limits that are wide enough."""
-    out, moved = (cut(x) for x in _best_open(t, 2))
+    out, moved = _best_open(t, 2, keep=True)
+    moved, wanted = cut(moved), c.kept_demand(t)
     have, wide = c.kept_supply(t), c.kept_supply(t).withColumn("Capacity", F.lit(1e12))
-    given = check.is_exact(check.check_plan(out, moved, c.kept_demand(t), have, c.caps(t), 1, 2))
-    unbound = check.is_exact(check.check_plan(out, moved, c.kept_demand(t), wide, None, 1, 2))
+    found = cut(check.flow_rules(out, moved, wanted, 1))
+    given = check.is_exact(check.check_plan(out, moved, wanted, have, c.caps(t), 1, 2, found=found))
+    unbound = check.is_exact(check.check_plan(out, moved, wanted, wide, None, 1, 2, found=found))
     return t.spark.createDataFrame([("given", given), ("wide", unbound)], "Limits string, Exact boolean")
 
 

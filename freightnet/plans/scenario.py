@@ -27,6 +27,16 @@ def site_sets(n: int, min_open: int, max_open: int, closed: Sequence[int] = (),
     return [m for m in range(1, 1 << n) if not m & shut and min_open <= m.bit_count() <= max_open]
 
 
+def _options(sites: Sequence[int], sites_per_customer: int) -> list[tuple[int, ...]]:
+    return [c for k in range(1, sites_per_customer + 1) for c in combinations(sites, k)]
+
+
+def site_costs(demand: DataFrame, units: DataFrame, sites: Sequence[str], sites_per_customer: int = 1) -> DataFrame:
+    """What each customer costs by site, or set of up to ``sites_per_customer`` sites. Written once, a row per customer:
+    the choice of sites and the plan of the chosen ones both read it."""
+    return cut(option_costs(demand, units, _options(range(len(sites)), sites_per_customer)))
+
+
 def _set_sums(costs: DataFrame, options: Sequence[Sequence[int]], masks: Sequence[int]) -> DataFrame:
     """(Mask, Cost, Unserved): the cost of each set and the number of customers that it cannot serve."""
     bits = [sum(1 << s for s in option) for option in options]
@@ -49,22 +59,25 @@ def open_site_scenarios(
     sites_per_customer: int = 1,
     top: int | None = None,
     most_sites: int = MOST_SITES,
+    costs: DataFrame | None = None,
 ) -> DataFrame:
     """Total cost of each set of open sites, best first.
 
     Exact while capacity does not bind. With capacity it is a lower bound, and the optimum whenever the
     plan it implies passes ``check_plan``. An open site may stay idle, so "exactly k open" costs the same
-    as "at most k". Sets that leave a customer without a site rank last and report how many.
+    as "at most k". Sets that leave a customer without a site rank last and report how many. ``costs`` are the
+    ``site_costs`` of the same demand, for callers that have them.
     """
     n = len(sites)
     masks = site_sets(n, min_open, max_open or n, [list(sites).index(s) for s in closed], most_sites)
-    options = [c for k in range(1, sites_per_customer + 1) for c in combinations(range(n), k)]
-    costs = option_costs(demand, units, options)
+    options = _options(range(n), sites_per_customer)
 
     # Sets are columns of one aggregate, so a customer stays one row; beyond a block of sets the costs, written once,
     # are read again for each block.
     blocks = [masks[k : k + SETS_PER_PASS] for k in range(0, len(masks), SETS_PER_PASS)]
-    costs = cut(costs) if len(blocks) > 1 else costs
+    if costs is None:
+        costs = option_costs(demand, units, options)
+        costs = cut(costs) if len(blocks) > 1 else costs
     sums = reduce(DataFrame.unionByName, [_set_sums(costs, options, block) for block in blocks])
     names = [F.when(F.col("Mask").bitwiseAND(F.lit(1 << i)) != 0, s) for i, s in enumerate(sites)]
     named = sums.select(
@@ -87,16 +100,25 @@ def open_plan(
     sites: Sequence[str],
     chosen: Sequence[str],
     sites_per_customer: int = 1,
+    costs: DataFrame | None = None,
+    keep: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Outbound and inter-site flows when only the ``chosen`` sites are open.
 
     Each customer gets its cheapest site, or set of up to ``sites_per_customer`` sites of which each product
     takes the cheaper one; ties go to the first site and the smaller set. The flows cost what
     ``open_site_scenarios`` says, and are the optimum if they pass ``check_plan`` with the real capacities.
+
+    ``costs`` are the ``site_costs`` of the same demand, for callers that have them. ``keep`` writes the outbound flows
+    once, for callers that read both legs or one of them several times.
     """
-    at = [list(sites).index(s) for s in sorted(chosen)]
-    options = [c for k in range(1, sites_per_customer + 1) for c in combinations(at, k)]
-    costs = option_costs(demand, units, options)
+    options = _options([list(sites).index(s) for s in sorted(chosen)], sites_per_customer)
+    if costs is None:
+        costs = option_costs(demand, units, options)
+    else:
+        every = _options(range(len(sites)), sites_per_customer)
+        own = [F.col(f"o{every.index(tuple(sorted(option)))}").alias(f"o{i}") for i, option in enumerate(options)]
+        costs = costs.select(*CUSTOMER, *own)
     ranked = [
         F.when(F.col(f"o{i}").isNotNull(), F.struct(F.col(f"o{i}").alias("Cost"), F.lit(i).alias("Option")))
         for i in range(len(options))
@@ -112,6 +134,7 @@ def open_plan(
             one = F.least(*[F.when(F.col(f"u{s}").isNotNull(), c) for s, c in zip(option, cheapest)])
         site = F.when(F.col("Option") == i, one["s"]).otherwise(site)
     outbound = priced.select(site.alias("ShipSite"), *CUSTOMER, PRODUCT, "MUnits")
+    outbound = cut(outbound) if keep else outbound
     needs = total(outbound, ["ShipSite", PRODUCT], "MUnits")
     moved = needs.join(inbound, ["ShipSite", PRODUCT]).select("MfgSite", "ShipSite", PRODUCT, "MUnits")
     return outbound, moved

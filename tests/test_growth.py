@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from freightnet import scale
+from freightnet.catalog import common as c
 from freightnet.catalog import load
-from freightnet.plans import bidding, history
+from freightnet.plans import bidding, check, history, network, scenario
 from freightnet.sources.adapter import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -69,3 +70,37 @@ def test_bids_are_written_before_they_are_ranked_again(spark, monkeypatch):
     flows = bidding.bid_plan(demand, supply, paths.withColumn("UnitCost", F.col("UnitCost").cast(bidding.UNIT)), caps)
     assert flows.agg(F.sum("MUnits")).first()[0] == 4.0
     assert len(plans) > 1 and not any("Window" in p or "HashAggregate(keys=[MSTName" in p for p in plans)
+
+
+def test_a_plan_under_two_capacities_is_made_once(spark, monkeypatch):
+    """Flows go to their customers once for both verdicts, customers are costed once for the set and its plan, and the
+    moves are added up from the written flows."""
+    t, seen, costed = Tables(spark, FOLDER), [], []
+    rules, costs, plan = check.customer_rules, network.option_costs, scenario.open_plan
+    monkeypatch.setattr(check, "customer_rules", lambda *a: seen.append("rules") or rules(*a))
+    monkeypatch.setattr(scenario, "option_costs", lambda *a: costed.append("costs") or costs(*a))
+    made = []
+    monkeypatch.setattr(scenario, "open_plan", lambda *a, **k: made.append(plan(*a, **k)) or made[0])
+    assert [tuple(r) for r in load()["best_open_plan_exact"].build(t).collect()] == [("given", False), ("wide", True)]
+    assert (seen, costed, len(made)) == (["rules"], ["costs"], 1)
+    out, moved = made[0]
+    assert "Join" not in plan_text(out) and "FTerms" not in plan_text(moved)
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_kept_costs_and_found_rules_change_nothing(spark, most):
+    t = Tables(spark, FOLDER)
+    need, have, sites = c.kept_demand(t), c.kept_supply(t), t.site_names
+    units = network.unit_costs(t.distances(), c.inbound(t), sites)
+    costs, chosen = scenario.site_costs(need, units, sites, most), [sites[3], sites[1], sites[4]]
+    rows = lambda df: sorted(map(str, df.collect()))
+    sets = [rows(scenario.open_site_scenarios(need, units, sites, 1, 3, sites_per_customer=most, costs=k)) for k in (None, costs)]
+    assert sets[0] == sets[1]
+    plans = [scenario.open_plan(need, units, c.inbound(t), sites, chosen, most, **k) for k in ({}, {"costs": costs, "keep": True})]
+    assert [rows(df) for df in plans[0]] == [rows(df) for df in plans[1]]
+    out, moved = plans[1]
+    less = need.where("MSTName LIKE '%3'")
+    for caps in (None, c.caps(t)):
+        plain = check.check_plan(out, moved, less, have, caps, 1, 2)
+        found = check.flow_rules(out, moved, less, 1)
+        assert rows(check.check_plan(out, moved, less, have, caps, 1, 2, found=found)) == rows(plain) != []
