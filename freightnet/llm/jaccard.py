@@ -30,7 +30,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightnet.llm.graph import components
-from freightnet.llm.steps import step
+from freightnet.llm.steps import forget, step
 from freightnet.llm.texts import WORD_BY_SPACE, Slice, as_arrow, mix, slices, text_of
 
 SHINGLE = 3
@@ -50,6 +50,8 @@ BROADCAST_ROWS = 1_000_000
 KEY_ROUNDS = 4
 #: Rounds in which only the nearest set in another component is verified, before all pairs that are left.
 NEAREST_ROUNDS = 2
+#: Rows with points, on average for each text, that are dealt by key at a time: more of them are searched in rounds.
+ROWS_A_TEXT = 8
 LEAF = 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -226,8 +228,9 @@ def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col:
     """Pairs (a, b) that link. Only texts of sets that occur in a pair are cut into shingles again."""
     pairs = step(pairs)
     sets = _sets(documents, where, pairs, id_col, size)
+    both = pairs
     for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("set").alias(c), F.col("found").alias(f"found_{c}")), c)
+        both = both.join(sets.select(F.col("set").alias(c), F.col("found").alias(f"found_{c}")), c)
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, bool)
@@ -238,7 +241,10 @@ def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col:
         kept = pa.array(keep)
         return pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
 
-    return step(as_arrow(pairs.select("a", "b", "found_a", "found_b"), verify, "a bigint, b bigint"))
+    out = step(as_arrow(both.select("a", "b", "found_a", "found_b"), verify, "a bigint, b bigint"))
+    for old in (pairs, sets):
+        forget(old)
+    return out
 
 
 @dataclass
@@ -370,6 +376,16 @@ def _searched(rows: DataFrame, share: int, nearest: bool = False) -> DataFrame:
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
+def _search_rounds(known: DataFrame, points: DataFrame, texts: int, share: int, nearest: bool) -> DataFrame:
+    """``_searched`` over (key, set, component) in as many rounds as keep what is dealt at a time in proportion to the texts:
+    each key is in one round, so rounds change no pair, and the rows that go with points never lie on disk all at once."""
+    rounds = max(1, -(-known.count() // max(1, ROWS_A_TEXT * texts)))
+    if rounds == 1:
+        return _searched(known.join(points, "set"), share, nearest)
+    parts = [known.where(F.pmod("key", F.lit(rounds)) == k).join(points, "set") for k in range(rounds)]
+    return reduce(DataFrame.unionByName, [step(_searched(part, share, nearest)) for part in parts]).distinct()
+
+
 def link_documents(
     documents: DataFrame, size: int = SHINGLE, share: int = SHARE, id_col: str = "doc_id"
 ) -> DataFrame:
@@ -390,6 +406,10 @@ def link_documents(
     met = together.select("set").distinct()
     points = step(points.join(met, "set"))
     where = step(where.join(met, "set"))
+    # The keys of all sets are the largest table: they go before the search begins.
+    nodes = step(found.select(id_col, "version", "n", "set"))
+    texts = nodes.count()
+    forget(found)
     stars = together.where("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
     links = _verified(_bounded(stars, points, share), documents, where, id_col, size, share)
 
@@ -398,12 +418,16 @@ def link_documents(
         known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
         known = step(known.withColumn("component", F.coalesce("component", "set")))
         open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        rows = known.join(open_keys.select("key"), "key").join(points, "set")
-        more = _verified(_searched(rows, share, nearest), documents, where, id_col, size, share)
+        rows = step(known.join(open_keys.select("key"), "key"))
+        forget(known)
+        more = _verified(_search_rounds(rows, points, texts, share, nearest), documents, where, id_col, size, share)
+        forget(rows)
         links = step(links.unionByName(more))
+    for old in (together, points, where):
+        forget(old)
 
     grouped = components(links)
-    nodes = found.select(id_col, "version", "n", "set").join(grouped, F.col("set") == F.col("node"), "left")
+    nodes = nodes.join(grouped, F.col("set") == F.col("node"), "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "set"))
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("version").alias("v"))
     least = nodes.where("n > 0").groupBy("component").agg(F.min(id_col).alias("__least"), F.min(first).alias("__first"))
