@@ -47,6 +47,8 @@ ADDED = 0.1
 SLICES_A_BUCKET, SLICES_A_PAIR_BUCKET = 8, 2
 #: Bytes of text that are cut into words at once, and tokens of a slice: a task holds some hundred bytes for each.
 SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 19
+#: Rounds in which pairs are answered, each a share of their buckets.
+ANSWER_ROUNDS = 2
 #: Rows of a table that are worked on together.
 TOGETHER = 200_000
 _START = -1
@@ -597,20 +599,19 @@ def _word_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
     return _gathered(told.unionByName(_each(known, ask)), answer)
 
 
-def _pair_answers(counts: DataFrame, model: Model) -> DataFrame:
+def _pair_answers(counts: DataFrame, sheets: DataFrame, discount: float) -> DataFrame:
     """Answers by slice (kind 2): what is left of the counts of its pairs after the discount, averaged over samples."""
-    discount = model.discount
 
     def answer(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-        sheets = [_Sheet(*h[2:]) for h in held if h[0] == 0]
+        own = [_Sheet(*h[2:]) for h in held if h[0] == 0]
         for _, _, u, w, totals, where in (h for h in held if h[0] == 1):
             totals = unpack(totals, np.int64)
             left = totals - discount * np.minimum(totals, 1)
-            for sheet in sheets:  # its pairs are in the same order
+            for sheet in own:  # its pairs are in the same order
                 left[totals > 1] = sheet.counts - discount * (sheet.kept / SAMPLES)
             yield _messages([(number, 2, bucket, pack(left[at]), b"", b"", b"") for number, at in _asked(where)])
 
-    return _gathered(model.sheets.unionByName(counts), answer)
+    return _gathered(sheets.unionByName(counts), answer)
 
 
 def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_id") -> DataFrame:
@@ -634,13 +635,21 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     forget(answers)
     counts = step(_pair_counts(_pair_asks(known, pair_buckets)), LARGE_ROWS)
     model = Model(counts, n_words, buckets)
-    told = step(_word_answers(known, model, buckets), LARGE_ROWS)
-    told = told.unionByName(step(_pair_answers(counts, model), LARGE_ROWS))
+    # Pair answers come first and in rounds of their buckets: counts, answers and the shuffle between them lie on disk
+    # together, and the counts go before the words are answered.
+    told = None
+    for k in range(ANSWER_ROUNDS):
+        own = F.pmod("key", F.lit(ANSWER_ROUNDS)) == k
+        part = step(_pair_answers(counts.where(own), model.sheets.where(own), model.discount), LARGE_ROWS)
+        told = part if told is None else told.unionByName(part)
+    for old in (counts, model.sheets):
+        forget(old)
+    told = told.unionByName(step(_word_answers(known, model, buckets), LARGE_ROWS))
     first = model.by_word().where(F.col("id") == _START).first()
     at_start = [first["total"], *[first[f"tables{k}"] for k in range(SAMPLES)]] if first else [0.0] * (1 + SAMPLES)
     bottom = n_tokens + ADDED * (n_words + 1)
     discount = model.discount
-    for old in (counts, model.sheets, model.contexts, model.parent):  # all they say is in the answers
+    for old in (model.contexts, model.parent):  # all they say is in the answers
         forget(old)
 
     def score(key: int, held: list) -> Iterator[pa.RecordBatch]:
