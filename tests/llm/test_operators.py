@@ -1,18 +1,22 @@
 """Parts of the operators that the queries do not show."""
 
+import os
+import pathlib
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from freightnet.llm import chat, decontaminate, jaccard, mixing, quality, rules, secrets, toxicity, urls
+from freightnet.llm import chat, decontaminate, jaccard, language, mixing, quality, rules, secrets, toxicity, urls
 from freightnet.llm.decontaminate import TestSuffixes, _match_slice, find_contamination
 from freightnet.llm.graph import components
 from freightnet.llm.suffixes import permuted_common_prefixes, suffix_array
 from freightnet.llm.texts import slices
+from freightnet.scale import scratch
 
 
 def test_glob_automaton_over_several_words():
@@ -303,3 +307,53 @@ def test_ordered_grades():
     assert expected[0] < expected[1] < expected[2]
     assert quality.train([], [], 3).at_least(next(slices(pa.array(["x"]))))[0].tolist() == pytest.approx([1, 1])
     assert quality.train(["a"], [0], 3).at_least(next(slices(pa.array(["x"]))))[0].tolist() == pytest.approx([0, 0])
+
+
+def _tables(folder):
+    """Columns of every table that lies in a folder."""
+    written = {f.parent: f for f in pathlib.Path(folder).glob("*/*.parquet")}
+    return [set(pq.read_schema(f).names) for f in written.values()]
+
+
+def test_near_copies_leave_no_keys(spark):
+    """No table of keys, points or shingles stays behind."""
+    words = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join([*words, *["more"] * (k % 2)])) for k in range(4)] + [(90, None), (91, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    with scratch(spark) as folder:
+        assert {r["component_id"] for r in jaccard.link_documents(docs, 5, 80).collect()} == {0, 90, 91}
+        assert not any({"keys", "point", "found", "key"} & names for names in _tables(folder.removeprefix("file:")))
+
+
+def test_search_rounds_change_no_pair(spark, monkeypatch):
+    sets = [np.arange(40, dtype=np.uint64) * np.uint64(2**57 + 12345) + np.uint64(k // 2) for k in range(6)]
+    points = [(k, len(s), jaccard.point(s).tolist(), bytearray(jaccard.digest(s).tobytes())) for k, s in enumerate(sets)]
+    points = spark.createDataFrame(points, "set bigint, n bigint, point array<int>, digest binary")
+    known = spark.createDataFrame([(key, k, k) for key in range(4) for k in range(6)], "key bigint, set bigint, component bigint")
+    want = sorted(map(tuple, jaccard._searched(known.join(points, "set"), 80).collect()))
+    searched, search = [], jaccard._searched
+    monkeypatch.setattr(jaccard, "_searched", lambda *args: searched.append(1) or search(*args))
+    monkeypatch.setattr(jaccard, "ROWS_A_TEXT", 2)
+    got = sorted(map(tuple, jaccard._search_rounds(known, points, 6, 80, False).collect()))
+    assert got == want != [] and len(searched) == 2
+
+
+def test_pairs_are_answered_in_rounds_before_words(spark, monkeypatch):
+    """The counts of pairs are gone when the words are answered."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("a b c d e f g h".split()) for _ in range(30))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    seen, pairs, word = [], language._pair_answers, language._word_answers
+
+    def pairs_answered(counts, *args):
+        seen.append([f.removeprefix("file://") for f in counts.inputFiles()])
+        return pairs(counts, *args)
+
+    def words_answered(*args):
+        assert seen and not any(os.path.exists(f) for files in seen for f in files)
+        return word(*args)
+
+    monkeypatch.setattr(language, "_pair_answers", pairs_answered)
+    monkeypatch.setattr(language, "_word_answers", words_answered)
+    assert language.score_documents(docs, F.col("doc_id") == 0).where("score < 0").count() == 8
+    assert len(seen) == language.ANSWER_ROUNDS > 1
