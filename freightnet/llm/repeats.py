@@ -7,13 +7,16 @@ places, the one whose ``GRAM`` bytes have the least hash; equal strings name the
 seventeen bytes, go through three steps:
 
 1. Their hashes meet by value, in packed blobs; only those that two different texts share go on.
-2. The bytes around each shared anchor (all strings that name it) go to the shard of its hash. A shard joins its distinct
-   pieces to one text and builds the suffix array by induced sorting and the permuted common prefixes; runs of suffixes
-   that share ``length`` bytes give each string its smallest document, and each piece the places to remove.
+2. The bytes of the strings that name a shared anchor go to the shard of its hash: from the first such string to the end
+   of the last one. A shard joins its distinct pieces to one text and builds the suffix array by induced sorting and the
+   permuted common prefixes; runs of suffixes that share ``length`` bytes give each string its smallest document, and each
+   piece the places to remove.
 3. The places of a text come together and are removed.
 
-Equal texts are one text from the start: later copies go as a whole. A group of any size costs one row per member and
-step; shards grow in number with the input, not in size.
+Equal texts are one text from the start: later copies go as a whole. Of equal pieces in a slice of texts only those of the
+smallest document go to the shard, as all others are under earlier strings whatever else there is; these travel without
+their bytes, under keys of their own. So a passage that very many texts share sends its shard some pieces a slice, and
+shards grow in number with the input, not in size.
 
 Defined cases: NULL and empty texts have no bytes; a NULL id counts as larger than all others; rows with equal id and
 text are not repeats of each other; texts shorter than ``length`` lose nothing; extra columns are ignored.
@@ -31,12 +34,12 @@ from pyspark.sql import functions as F
 
 from freightnet.llm.steps import step
 from freightnet.llm.suffixes import permuted_common_prefixes, suffix_array
-from freightnet.llm.texts import Slice, as_arrow, mix, slices, small_batches
+from freightnet.llm.texts import _POWERS, Slice, as_arrow, mix, slices, small_batches
 from freightnet.scale import cut
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text per part of the anchor hashes, and bytes of pieces per shard: both are worked off in memory.
-PART_BYTES, SHARD_BYTES = 64 << 20, 4 << 20
+PART_BYTES, SHARD_BYTES = 64 << 20, 2 << 20
 #: Ids are compared as numbers; NULL is beyond them all.
 NO_ID = 2**63 - 1
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64)
@@ -45,35 +48,53 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _END = 0xFF
 
 
-def anchors(part: Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text (index in the slice), place in it and hash of every anchor."""
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each place, of hashes of half as many."""
+    one = _BYTE[data]
+    h, width = one, 1
+    for bit in bin(gram)[3:]:
+        h, width = h[:-width] * np.uint64(pow(int(_STEP), width, 2**64)) + h[width:], 2 * width
+        if bit == "1":
+            h, width = h[:-1] * _STEP + one[width:], width + 1
+    return mix(h)
+
+
+def anchors(part: Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text (index in the slice), place in it, hash of every anchor, and how far before it the first and the last string
+    begin that name it (one row each).
+
+    A hash carries its place, modulo a power of two beyond the places in a string, in its low bits: the least of a string
+    tells both. Of equal hashes one is named; equal strings may then name another one of them, which has the same hash."""
     n, width = len(part.data) - gram + 1, length - gram + 1
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(gram):
-        h = h * _STEP + _BYTE[part.data[k : n + k]]
-    h = mix(h)
-    # Leftmost least hash of each window, windows of doubling width.
-    least, place, size = h, np.arange(n, dtype=np.int32), 1
+        return none, none, none.astype(np.uint64), np.zeros((2, 0), np.uint8)
+    bits = int(width).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    least, size = _grams(part.data, gram), 1
+    least &= ~low
+    least |= np.arange(n, dtype=np.uint64) & low
+    # Least hash of each window, windows of doubling width.
     while size < width:
         shift = min(size, width - size)
-        right = least[shift:] < least[:-shift]
-        place = np.where(right, place[shift:], place[:-shift])
-        least = np.where(right, least[shift:], least[:-shift])
+        least = np.minimum(least[shift:], least[:-shift])
         size += shift
     # Only windows inside a text count.
-    edge = np.zeros(len(part.data) + 1, np.int32)
+    edge = np.zeros(len(part.data) + 1, np.int8)
     long = part.ends - part.starts >= length
     np.add.at(edge, part.starts[long], 1)
     np.add.at(edge, part.ends[long] - length + 1, -1)
-    inside = np.cumsum(edge)[: len(place)] > 0
-    chosen = np.zeros(n, bool)
-    chosen[place[inside]] = True
-    at = np.flatnonzero(chosen)
+    inside = np.flatnonzero(np.cumsum(edge[: len(least)], dtype=np.int8) > 0)
+    named = least[inside]
+    place = inside + ((named - inside.astype(np.uint64)) & low).astype(np.int64)
+    # Runs of strings, one behind the other, that name the same place.
+    new = np.append(True, place[1:] != place[:-1])[: len(place)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    at = place[first]
     text = np.searchsorted(part.starts, at, "right") - 1
-    return text, at - part.starts[text], h[at]
+    reach = np.stack([at - inside[first], at - inside[last]]).astype(np.uint8)
+    return text, at - part.starts[text], named[first] >> np.uint64(bits), reach
 
 
 def _blob(values: np.ndarray, kind: str) -> bytes:
@@ -108,13 +129,15 @@ def _whole_groups(df: DataFrame, key: str, function, schema: str) -> DataFrame:
 
 
 def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
-    """(tid, places): the anchors of each text that another text has too."""
+    """(tid, places): the anchors of each text that another text has too, each with the reach of its strings in the low
+    two bytes."""
     packed = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("tids", pa.binary()), ("places", pa.binary())])
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         tids, rows = batch.column("tid").to_numpy(), []
         for piece in slices(batch.column("text")):
-            text, place, h = anchors(piece, length)
+            text, place, h, reach = anchors(piece, length)
+            place = (place << 16) | (reach[0].astype(np.int64) << 8) | reach[1]
             # The part from the upper half of the hash; within a part the lower half identifies an anchor, as other
             # anchors that agree in it cost work but change nothing.
             part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
@@ -124,7 +147,7 @@ def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
                 own = by[cuts[k] : cuts[k + 1]]
                 low = h[own] & np.uint64(0xFFFFFFFF)
                 rows.append(
-                    (int(k), _blob(low, "<u4"), _blob(tids[piece.rows[text[own]]], "<i8"), _blob(place[own], "<i4"))
+                    (int(k), _blob(low, "<u4"), _blob(tids[piece.rows[text[own]]], "<i8"), _blob(place[own], "<i8"))
                 )
         return _batch(rows, packed) if rows else None
 
@@ -133,7 +156,7 @@ def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
     def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([_unblob(b.column("hashes"), "<u4") for b in held])
         tids = np.concatenate([_unblob(b.column("tids"), "<i8") for b in held])
-        places = np.concatenate([_unblob(b.column("places"), "<i4") for b in held])
+        places = np.concatenate([_unblob(b.column("places"), "<i8") for b in held])
         by = np.lexsort((tids, hashes))
         hashes, tids, places = hashes[by], tids[by], places[by]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
@@ -146,18 +169,18 @@ def _shared_anchors(texts: DataFrame, parts: int, length: int) -> DataFrame:
         cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=parts)))
         for k in np.flatnonzero(np.diff(cuts)):
             own = by[cuts[k] : cuts[k + 1]]
-            yield _batch([(int(k), _blob(tids[own], "<i8"), _blob(places[own], "<i4"))], found)
+            yield _batch([(int(k), _blob(tids[own], "<i8"), _blob(places[own], "<i8"))], found)
 
     each = pa.schema([("tid", pa.int64()), ("places", pa.binary())])
 
     def gather(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tids = np.concatenate([_unblob(b.column("tids"), "<i8") for b in held])
-        places = np.concatenate([_unblob(b.column("places"), "<i4") for b in held])
+        places = np.concatenate([_unblob(b.column("places"), "<i8") for b in held])
         by = np.argsort(tids, kind="stable")
         tids, places = tids[by], places[by]
         cuts = np.append(np.flatnonzero(np.append(True, tids[1:] != tids[:-1])), len(tids))
         # Copies of a text name the same places.
-        rows = [(int(tids[a]), _blob(np.unique(places[a:b]), "<i4")) for a, b in zip(cuts[:-1], cuts[1:])]
+        rows = [(int(tids[a]), _blob(np.unique(places[a:b]), "<i8")) for a, b in zip(cuts[:-1], cuts[1:])]
         for k in range(0, len(rows), 5000):
             yield _batch(rows[k : k + 5000], each)
 
@@ -173,30 +196,40 @@ _PIECES = pa.schema(
 
 
 def _pieces(texts: DataFrame, shards: int, length: int) -> DataFrame:
-    """(tid, first, text, places) to the bytes around each shared anchor, packed by shard."""
+    """(tid, first, text, places) to the bytes of the strings that name each shared anchor, packed by shard; under negative
+    keys the places of pieces that go as a whole."""
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         tids, firsts, rows = batch.column("tid").to_numpy(), batch.column("first").to_numpy(), []
-        places = batch.column("places").to_pylist()
+        places, none = batch.column("places").to_pylist(), np.zeros(0, np.uint8)
         for piece in slices(batch.column("text")):
-            wanted = [np.frombuffer(places[r], "<i4").astype(np.int64) for r in piece.rows]
+            wanted = [np.frombuffer(places[r], "<i8") for r in piece.rows]
             text = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
-            at = np.concatenate(wanted) + piece.starts[text]
-            start = np.maximum(at - (length - GRAM), piece.starts[text])
-            size = np.minimum(at + length, piece.ends[text]) - start
+            wanted = np.concatenate(wanted)
+            at = (wanted >> 16) + piece.starts[text]
+            start = at - (wanted >> 8 & 255)
+            size = at - (wanted & 255) + length - start
             h = np.zeros(len(at), np.uint64)
             for k in range(GRAM):
                 h = h * _STEP + _BYTE[piece.data[at + k]]
             shard = (mix(mix(h) ^ _STEP) % np.uint64(shards)).astype(np.int64)
+            # A piece that a smaller document of the slice has too is known to go: its key is beyond the shards.
+            _, equal = np.unique(_contents(piece.data, start, size), return_inverse=True)
+            first = firsts[piece.rows[text]]
+            smallest = np.full(len(equal), NO_ID)
+            np.minimum.at(smallest, equal, first)
+            shard = np.where(smallest[equal] < first, shards, shard)
             by = np.argsort(shard, kind="stable")
-            cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
+            cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=shards + 1)))
             row = piece.rows[text]
             for k in np.flatnonzero(np.diff(cuts)):
                 own = by[cuts[k] : cuts[k + 1]]
-                content = piece.data[_ranges(start[own], size[own])]
+                # Bytes only where a shard is to search them.
+                content = piece.data[_ranges(start[own], size[own])] if k < shards else none
                 place = start[own] - piece.starts[text[own]]
+                key = int(k) if k < shards else -1 - int(tids[row[own[0]]]) % shards
                 rows.append(
-                    (int(k), _blob(tids[row[own]], "<i8"), _blob(firsts[row[own]], "<i8"), _blob(place, "<i4"),
+                    (key, _blob(tids[row[own]], "<i8"), _blob(firsts[row[own]], "<i8"), _blob(place, "<i4"),
                      _blob(size[own], "u1"), content.tobytes())
                 )
         return _batch(rows, _PIECES) if rows else None
@@ -204,6 +237,14 @@ def _pieces(texts: DataFrame, shards: int, length: int) -> DataFrame:
     return as_arrow(texts, pack, "shard int, owners binary, firsts binary, starts binary, sizes binary, bytes binary")
 
 
+def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each piece."""
+    up, down = _POWERS.get(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of the given ranges behind each other."""
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -236,8 +277,11 @@ def _spans(pieces: DataFrame, length: int) -> DataFrame:
     def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.concatenate([_unblob(b.column("owners"), "<i8") for b in held])
         first = np.concatenate([_unblob(b.column("firsts"), "<i8") for b in held])
-        start = np.concatenate([_unblob(b.column("starts"), "<i4") for b in held]).astype(np.int64)
+        start = np.concatenate([_unblob(b.column("starts"), "<i4") for b in held])
         size = np.concatenate([_unblob(b.column("sizes"), "u1") for b in held]).astype(np.int64)
+        if held[0].column("shard")[0].as_py() < 0:
+            yield from spans(owner, start, start + size)
+            return
         data = np.concatenate([_unblob(b.column("bytes"), "u1") for b in held])
         # Equal pieces are searched once, for the smallest document that has them.
         at = np.cumsum(size) - size
@@ -260,7 +304,9 @@ def _spans(pieces: DataFrame, length: int) -> DataFrame:
         new = np.append(True, (mine[1:] != mine[:-1]) | (offset[1:] != offset[:-1] + 1)) if len(mine) else np.zeros(0, bool)
         run = np.flatnonzero(new)
         end = np.append(run[1:], len(mine)) - 1 if len(run) else run
-        tid, low, high = owner[mine[run]], start[mine[run]] + offset[run], start[mine[run]] + offset[end] + length
+        yield from spans(owner[mine[run]], start[mine[run]] + offset[run], start[mine[run]] + offset[end] + length)
+
+    def spans(tid: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
         by = np.lexsort((low, tid))
         tid, low, high = tid[by], low[by], high[by]
         cuts = np.append(np.flatnonzero(np.append(True, tid[1:] != tid[:-1])) if len(tid) else [], len(tid)).astype(int)
@@ -320,7 +366,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, id_col: str = "do
 
     shared = step(_shared_anchors(texts, max(1, -(-total // PART_BYTES)), length))
     wanted = shared.join(firsts, "tid")
-    bytes_ = (shared.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4 * (2 * length - GRAM)
+    bytes_ = (shared.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 8 * (length + (length - GRAM) // 2)
     shards = max(1, -(-bytes_ // SHARD_BYTES))
     candidates = step(texts.join(wanted, "tid").dropDuplicates(["tid"]).select("tid", "first", "text", "places"))
     spans = step(_spans(_pieces(candidates, shards, length), length))
