@@ -9,9 +9,8 @@ its length, and whether it repeats the word before it); both groups as damped co
 texts; every text is scored whole, where it is, without a shuffle.
 
 Defined cases: NULL and empty texts have no features and get the scores of the thresholds alone; NULL grades and ids are
-not learnt from; of several grades of an id the least counts; with one grade only, that grade is certain for all; without
-any rated document that exists each tail probability is one half, which says nothing and, at a limit of one half, keeps
-all; repeated rows get equal scores; extra columns are ignored.
+not learnt from; of several grades of an id the least counts; with one grade only, that grade is certain for all, and
+without any rated document that exists the top one is; repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,10 +87,8 @@ class CumulativeLink:
 def train(texts: Sequence[str], grades: Sequence[int], n_grades: int) -> CumulativeLink:
     """Fit by Adam on the full sample; rare grades count more. Thresholds are kept in order by positive steps."""
     y = np.array(grades, np.int64)
-    if not len(y):
-        return CumulativeLink(np.zeros(WIDTH), np.zeros(n_grades - 1))
     if len(np.unique(y)) < 2:
-        only = int(y[0])
+        only = int(y[0]) if len(y) else n_grades - 1
         return CumulativeLink(np.zeros(WIDTH), np.where(np.arange(1, n_grades) <= only, -50.0, 50.0))
     found = [(part.rows, *features(part)) for part in slices(pa.array(texts, pa.large_string()), TRAINING_SLICE)]
     at, feature, value = (np.concatenate(x) for x in zip(*[(rows[a], f, x) for rows, a, f, x in found]))
