@@ -59,12 +59,15 @@ _MIXED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Compressed, the first bytes of all values ahead of their second ones and so on: high bytes are much alike."""
+    raw = np.ascontiguousarray(values)
+    planes = raw.reshape(-1, 1).view(np.uint8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+    planes = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,7 +190,8 @@ def _word_counts(asks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _numbered(sliced: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """Slices with tokens, numbers of their words, counts of their words, and sizes and texts in one."""
+    """Slices with tokens, numbers of their words, counts of their words, and sizes and texts in one. Words are in the order
+    of their numbers, and so are the pairs that slices ask for: steps between them are small."""
 
     def put(key: int, held: list) -> Iterator[pa.RecordBatch]:
         _, _, tokens, words, sizes, own = held[0]
@@ -196,7 +200,11 @@ def _numbered(sliced: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
         answered = {h[1]: h for h in held[1:]}
         for bucket, at in _split((words % np.uint64(buckets)).astype(np.int64)):
             numbers[at], counts[at] = unpack(answered[bucket][2], np.int64), unpack(answered[bucket][3], np.int64)
-        yield _messages([(key, 0, 0, tokens, pack(np.concatenate([numbers, counts])), sizes, own)])
+        order = np.argsort(numbers)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        tokens = pack(place[unpack(tokens, np.int32)])
+        yield _messages([(key, 0, 0, tokens, pack(np.concatenate([numbers[order], counts[order]])), sizes, own)])
 
     return _gathered(sliced.unionByName(answers.where("key >= 0")), put)
 
@@ -228,7 +236,7 @@ def _pair_asks(known: DataFrame, buckets: int) -> DataFrame:
         sizes, numbers = unpack(sizes, np.int64), unpack(words, np.int64).reshape(2, -1)[0]
         pairs = _Pairs(unpack(tokens, np.int32), numbers, sizes)
         trained = np.bincount(pairs.at[_trains(sizes, _documents(own))], minlength=len(pairs.u))
-        yield _messages([(b, 1, key, pack(pairs.u[at]), pack(pairs.w[at]), pack(trained[at]), b"") for b, at in pairs.buckets(buckets)])
+        yield _messages([(b, 1, key, pack(np.diff(pairs.u[at], prepend=0)), pack(pairs.w[at]), pack(trained[at]), b"") for b, at in pairs.buckets(buckets)])
 
     return _each(known, ask)
 
@@ -237,18 +245,19 @@ def _pair_counts(asks: DataFrame) -> DataFrame:
     """Messages by bucket: both words and the count of every pair, and which of them each slice asked for."""
 
     def count(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-        u, w = (np.concatenate([unpack(h[k], np.int64) for h in held]) for k in (2, 3))
+        u = np.concatenate([np.cumsum(unpack(h[2], np.int64)) for h in held])
+        w = np.concatenate([unpack(h[3], np.int64) for h in held])
         counts = [unpack(h[4], np.int64) for h in held]
-        _, first, at = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-        totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(first)).astype(np.int64)
-        u, w = u[first], w[first]
-        order = np.lexsort((w, u))
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
+        # Both words as one number, which puts pairs in the order of their words.
+        span = int(w.max()) + 1
+        pairs, at = np.unique((u + 1) * span + w, return_inverse=True)
+        totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
+        u, w = np.divmod(pairs, span)
+        u -= 1
         asked = pack(np.array([[h[1] for h in held], [len(c) for c in counts]], np.int64))
-        steps = np.diff(u[order], prepend=0)  # small, as the words ascend
-        where = len(asked).to_bytes(8, "little") + asked + pack(place[at])
-        yield _messages([(bucket, 1, 0, pack(steps), pack(w[order]), pack(totals[order]), where)])
+        # Steps are small, as the words and the places of each slice's pairs ascend.
+        where = len(asked).to_bytes(8, "little") + asked + pack(np.diff(at.astype(np.int32), prepend=np.int32(0)))
+        yield _messages([(bucket, 1, 0, pack(np.diff(u, prepend=0)), pack(w), pack(totals), where)])
 
     return _gathered(asks, count)
 
@@ -256,7 +265,7 @@ def _pair_counts(asks: DataFrame) -> DataFrame:
 def _asked(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
     """Each slice and the places of its pairs in the bucket."""
     n = int.from_bytes(blob[:8], "little")
-    (numbers, sizes), at = unpack(blob[8 : 8 + n], np.int64).reshape(2, -1), unpack(blob[8 + n :], np.int32)
+    (numbers, sizes), at = unpack(blob[8 : 8 + n], np.int64).reshape(2, -1), np.cumsum(unpack(blob[8 + n :], np.int32), dtype=np.int32)
     for number, end, size in zip(numbers, np.cumsum(sizes), sizes):
         yield int(number), at[end - size : end]
 
@@ -599,17 +608,17 @@ def _word_answers(known: DataFrame, model: Model, buckets: int) -> DataFrame:
     return _gathered(told.unionByName(_each(known, ask)), answer)
 
 
-def _pair_answers(counts: DataFrame, sheets: DataFrame, discount: float) -> DataFrame:
-    """Answers by slice (kind 2): what is left of the counts of its pairs after the discount, averaged over samples."""
+def _pair_answers(counts: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Answers by slice (kind 2): the counts of its pairs and their tables, summed over the samples."""
 
     def answer(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
         own = [_Sheet(*h[2:]) for h in held if h[0] == 0]
         for _, _, u, w, totals, where in (h for h in held if h[0] == 1):
             totals = unpack(totals, np.int64)
-            left = totals - discount * np.minimum(totals, 1)
+            kept = SAMPLES * np.minimum(totals, 1)
             for sheet in own:  # its pairs are in the same order
-                left[totals > 1] = sheet.counts - discount * (sheet.kept / SAMPLES)
-            yield _messages([(number, 2, bucket, pack(left[at]), b"", b"", b"") for number, at in _asked(where)])
+                kept[totals > 1] = sheet.kept
+            yield _messages([(number, 2, bucket, pack(totals[at]), pack(kept[at]), b"", b"") for number, at in _asked(where)])
 
     return _gathered(sheets.unionByName(counts), answer)
 
@@ -640,7 +649,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     told = None
     for k in range(ANSWER_ROUNDS):
         own = F.pmod("key", F.lit(ANSWER_ROUNDS)) == k
-        part = step(_pair_answers(counts.where(own), model.sheets.where(own), model.discount), LARGE_ROWS)
+        part = step(_pair_answers(counts.where(own), model.sheets.where(own)), LARGE_ROWS)
         told = part if told is None else told.unionByName(part)
     for old in (counts, model.sheets):
         forget(old)
@@ -664,7 +673,8 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
         pairs = _Pairs(tokens, numbers, sizes)
         left = np.zeros(len(pairs.u))
         for bucket, at in pairs.buckets(pair_buckets):
-            left[at] = unpack(by_kind[2][bucket][2], np.float64)
+            totals, kept = (unpack(x, np.int64) for x in by_kind[2][bucket][2:4])
+            left[at] = totals - discount * (kept / SAMPLES)  # of the counts after the discount, averaged over samples
         p = np.zeros(len(pairs.u))
         before = np.zeros(len(pairs.u), np.int64)
         before[pairs.at] = pairs.before
