@@ -2,8 +2,10 @@
 
 Texts become sets of hashed word shingles. Shingles are hashed into groups; how many fall into each group is a point, and
 the overlap of two sets is at most the sum of the smaller coordinates, so pairs whose bound is too small are never
-compared. A one-byte digest of the content of each of as many finer groups as the set has shingles, or half as many,
-tightens the bound at the leaves: each group that differs holds a shingle that only one of the sets has. Surviving pairs are verified on the sets themselves.
+compared. A one-bit digest of the content of each of two to four times as many finer groups as the set has shingles
+tightens the bound at the leaves: each group that differs holds a shingle that only one of the sets has. Surviving pairs are
+verified on the sets themselves. Points travel as bytes where their coordinates fit, so a set takes some hundred bytes under
+each of its keys.
 
 Bringing pairs together. Two sets that link differ in at most D = (a + b)(1 - s)/(1 + s) shingles. Cut into D + 1 + E groups
 they agree in the whole content of E + 1 groups at least, so unless both leave more than E groups empty a digest of some
@@ -126,18 +128,44 @@ def point(found: np.ndarray) -> np.ndarray:
     return np.bincount((found >> np.uint64(48)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
 
 
-def digest(found: np.ndarray) -> np.ndarray:
-    """A byte from the content of each of some groups; their number is a power of two between half the size and all."""
-    groups = max(LEAST_DIGEST, 1 << max(len(found) - 1, 1).bit_length() - 1)
-    out = np.zeros(groups, np.uint8)
-    np.bitwise_xor.at(out, (found >> np.uint64(32)).astype(np.int64) % groups, (found & np.uint64(255)).astype(np.uint8))
+def point_bytes(found: np.ndarray) -> bytes:
+    """The point in as few bytes a coordinate as its largest one takes."""
+    at = point(found)
+    return at.astype(next(k for k in ("<u1", "<u2", "<u4") if at.max() <= np.iinfo(k).max)).tobytes()
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    """One row of coordinates for each point, written as bytes or as a list."""
+    if not pa.types.is_binary(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+    blobs = column.to_pylist()
+    out, sizes = np.zeros((len(blobs), DIMENSIONS), np.int32), np.array([len(x) for x in blobs], np.int64)
+    for width in (1, 2, 4):
+        at = np.flatnonzero(sizes == width * DIMENSIONS)
+        out[at] = np.frombuffer(b"".join(blobs[k] for k in at), f"<u{width}").reshape(-1, DIMENSIONS)
     return out
 
 
-def _differ(a: bytes, b: bytes) -> int:
-    """Groups that differ; the longer digest is folded to the length of the shorter one."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    return int(np.count_nonzero(x != np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)))
+def digest(found: np.ndarray) -> np.ndarray:
+    """A bit from the content of each of some groups; their number is a power of two, from twice the size to four times."""
+    groups = max(LEAST_DIGEST, 2 << max(len(found) - 1, 1).bit_length())
+    odd = found[(found & np.uint64(1)).astype(bool)]
+    counts = np.bincount((odd >> np.uint64(32)).astype(np.int64) % groups, minlength=groups)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups that differ between the digests of each row; the longer one is folded to the length of the shorter."""
+    sizes = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64).reshape(2, -1)
+    out = np.zeros(sizes.shape[1], np.int64)
+    for pair in np.unique(sizes, axis=1).T:
+        at, least = np.flatnonzero((sizes == pair[:, None]).all(axis=0)), int(pair.min())
+        x, y = (
+            np.bitwise_xor.reduce(np.frombuffer(b"".join(d[at]), np.uint64).reshape(len(at), -1, least // 8), axis=1)
+            for d in (a, b)
+        )
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def set_id(found: np.ndarray) -> int:
@@ -162,15 +190,17 @@ def features(documents: DataFrame, id_col: str, size: int, share: int) -> DataFr
         for part in slices(batch.column("text")):
             for row, found in shingles(part, size):
                 n[row], sets[row] = len(found), set_id(found)
-                found_keys[row], points[row] = keys(found, share).view(np.int64), point(found)
+                found_keys[row] = keys(found, share).view(np.int64)
+                if len(found):
+                    points[row] = point_bytes(found)
                 digests[row] = digest(found).tobytes()
         columns = [batch.column(id_col), batch.column("version"), pa.array(n), pa.array(sets, mask=n == 0)]
-        columns += [_lists(found_keys, pa.int64()), _lists(points, pa.int32())]
+        columns += [_lists(found_keys, pa.int64()), pa.array(points, pa.binary())]
         names = [id_col, "version", "n", "set", "keys", "point", "digest"]
         return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], names=names)
 
     rows = text_of(documents, id_col).withColumn("version", F.xxhash64("text")).select(id_col, "version", "text")
-    schema = f"{id_col} {kind}, version bigint, n bigint, set bigint, keys array<bigint>, point array<int>, digest binary"
+    schema = f"{id_col} {kind}, version bigint, n bigint, set bigint, keys array<bigint>, point binary, digest binary"
     return as_arrow(rows, of, schema)
 
 
@@ -180,10 +210,10 @@ def _apart(a: Places, b: Places, share: int) -> np.ndarray:
     most = np.minimum(a.points, b.points).sum(axis=1)
     both = a.sizes + b.sizes
     out = np.full(len(both), np.inf)
-    for k in np.flatnonzero(100 * most >= share * (both - most)):
-        differ = _differ(a.digests[k], b.digests[k])
-        if (100 + share) * differ <= (100 - share) * both[k]:
-            out[k] = differ / both[k]
+    at = np.flatnonzero(100 * most >= share * (both - most))
+    differ = _differ(a.digests[at], b.digests[at])
+    near = (100 + share) * differ <= (100 - share) * both[at]
+    out[at[near]] = differ[near] / both[at[near]]
     return out
 
 
@@ -257,7 +287,7 @@ class Places:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, end: str = "") -> Places:
-        points = batch.column("point" + end).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+        points = _points(batch.column("point" + end))
         digests = np.array([*batch.column("digest" + end).to_pylist(), None], object)[:-1]
         return cls(points, digests, batch.column("n" + end).to_numpy(zero_copy_only=False))
 
@@ -413,20 +443,27 @@ def link_documents(
     stars = together.where("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
     links = _verified(_bounded(stars, points, share), documents, where, id_col, size, share)
 
+    grouped, found_none = components(links), False
     for nearest in [*[True] * NEAREST_ROUNDS, False]:
-        grouped = components(links)
+        if nearest and found_none:  # the same components: the same search would find nothing again
+            continue
         known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
         known = step(known.withColumn("component", F.coalesce("component", "set")))
         open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         rows = step(known.join(open_keys.select("key"), "key"))
         forget(known)
+        if rows.isEmpty():  # no key has sets of two components
+            forget(rows)
+            break
         more = _verified(_search_rounds(rows, points, texts, share, nearest), documents, where, id_col, size, share)
         forget(rows)
-        links = step(links.unionByName(more))
+        found_none = more.isEmpty()
+        if not found_none:
+            # Each set is next to the least one of its component already: only the new links have a way to go.
+            grouped = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     for old in (together, points, where):
         forget(old)
 
-    grouped = components(links)
     nodes = nodes.join(grouped, F.col("set") == F.col("node"), "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "set"))
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("version").alias("v"))

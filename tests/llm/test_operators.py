@@ -11,12 +11,13 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from freightnet.llm import chat, decontaminate, jaccard, language, mixing, quality, rules, secrets, toxicity, urls
+from freightnet.llm import chat, decontaminate, jaccard, language, mixing, quality, repeats, rules, secrets, toxicity, urls
 from freightnet.llm.decontaminate import TestSuffixes, _match_slice, find_contamination
 from freightnet.llm.graph import components
 from freightnet.llm.suffixes import permuted_common_prefixes, suffix_array
 from freightnet.llm.texts import slices
 from freightnet.scale import scratch
+from tests.llm import brute
 
 
 def test_glob_automaton_over_several_words():
@@ -357,3 +358,85 @@ def test_pairs_are_answered_in_rounds_before_words(spark, monkeypatch):
     monkeypatch.setattr(language, "_word_answers", words_answered)
     assert language.score_documents(docs, F.col("doc_id") == 0).where("score < 0").count() == 8
     assert len(seen) == language.ANSWER_ROUNDS > 1
+
+
+def test_a_shared_passage_sends_few_pieces(spark):
+    """Strings inside a passage that all texts share go to its shards once a slice, not once a text."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(2000)
+    docs = [(k, letters(40) + passage + letters(40)) for k in range(200)]
+    texts = spark.createDataFrame(docs, "tid bigint, text string").coalesce(1)
+    texts = texts.withColumn("first", F.col("tid")).join(repeats._shared_anchors(texts, 1, 50), "tid").coalesce(1)
+    pieces = repeats._pieces(texts, 1, 50).collect()
+    assert 0 < sum(len(r["bytes"]) for r in pieces) < 50 * len(passage)  # at the edges of the passage each text has a piece of its own
+    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()}
+    assert got == set(brute.without_repeats(docs))
+
+
+def test_anchors_tell_which_strings_name_them():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab "), n)) for n in (0, 49, 50, 51, 130, 400)] + ["a" * 90]
+    (part,) = slices(pa.array(texts))
+    text, at, h, reach = repeats.anchors(part)
+    named = sorted((int(t), int(w)) for t, a, f, e in zip(text, at, *reach.astype(int)) for w in range(a - f, a - e + 1))
+    assert named == [(t, w) for t, x in enumerate(texts) for w in range(len(x) - 49)]
+    by = {(int(t), int(w)): int(x) for t, a, x, f, e in zip(text, at, h, *reach.astype(int)) for w in range(a - f, a - e + 1)}
+    strings = {}
+    for (t, w), x in by.items():
+        assert strings.setdefault(texts[t][w : w + 50], x) == x
+
+
+def test_points_and_digests_travel_in_few_bytes():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 63, 64, 65, 300, 1000, 20_000)]
+    sets += [np.unique(np.append(s[: -len(s) // 9], rng.integers(0, 2**63, len(s) // 9, dtype=np.uint64))) for s in sets[2:]]
+    for s in sets:
+        assert len(jaccard.point_bytes(s)) + jaccard.digest(s).nbytes <= 72 + len(s) // 2 + 64 * (len(s) > 10_000)
+    blobs = pa.array([jaccard.point_bytes(s) for s in sets], pa.binary())
+    assert (jaccard._points(blobs) == np.array([jaccard.point(s) for s in sets])).all()
+    digests = np.array([jaccard.digest(s).tobytes() for s in sets], object)
+    for k, s in enumerate(sets):
+        differ = jaccard._differ(np.array([digests[k]] * len(sets), object), digests)
+        for other, d in zip(sets, differ):
+            assert d <= len(np.setxor1d(s, other))
+            assert (d == 0) == (other is s) or len(other) < 3
+
+
+def test_only_new_links_are_followed(spark, monkeypatch):
+    """Components are found again only when a search has found links, and not from all links that were there before."""
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(words[: 60 - k % 2])) for k in range(20)] + [(99, "alone it is")]
+    calls, found = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: calls.append(links.count()) or found(links))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    assert {r["component_id"] for r in jaccard.link_documents(docs, 5, 80).collect()} == {0, 99}
+    assert len(calls) == 1
+
+
+def test_numbers_pack_small_and_come_back():
+    rng = np.random.default_rng(6)
+    for kind in (np.int32, np.int64, np.uint64, np.float32, np.float64):
+        for n in (0, 1, 1000):
+            values = rng.integers(0, 2**20, n).astype(kind)
+            assert (language.unpack(language.pack(values), kind) == values).all()
+    assert len(language.pack(rng.integers(0, 2**16, 20_000))) < 2.1 * 20_000
+
+
+def test_slices_have_their_words_in_order(spark):
+    """So that the pairs of a slice ascend in their buckets, by small steps."""
+    rng = random.Random(9)
+    docs = [(k, " ".join(f"w{rng.randrange(300)}" for _ in range(100))) for k in range(20)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    sliced = language._sliced(docs, F.lit(False), "doc_id")
+    known = language._numbered(sliced, language._word_counts(language._word_asks(sliced, 4), 4), 4)
+    (row,) = known.collect()
+    numbers, counts = language.unpack(row["b"], np.int64).reshape(2, -1)
+    assert (np.diff(numbers) > 0).all() and counts.sum() == 20 * 101
+    tokens = language.unpack(row["a"], np.int32)
+    assert (np.bincount(tokens, minlength=len(numbers)) == counts).all()
+    (pairs,) = language._pair_counts(language._pair_asks(known, 1)).collect()
+    ((number, at),) = language._asked(pairs["d"])
+    first = language._Pairs(tokens, numbers, language.unpack(row["c"], np.int64)).u
+    assert number == row["key"] and (np.diff(at)[first[1:] >= 0] > 0).all()
