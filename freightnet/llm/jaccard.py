@@ -2,10 +2,9 @@
 
 Texts become sets of hashed word shingles. Shingles are hashed into groups; how many fall into each group is a point, and
 the overlap of two sets is at most the sum of the smaller coordinates, so pairs whose bound is too small are never
-compared. A one-bit digest of the content of each of two to four times as many finer groups as the set has shingles
-tightens the bound at the leaves: each group that differs holds a shingle that only one of the sets has. Surviving pairs are
-verified on the sets themselves. Points travel as bytes where their coordinates fit, so a set takes some hundred bytes under
-each of its keys.
+compared. A digest, of two to four times as many finer groups as the set has shingles one bit each (whether it holds an odd
+number of them), tightens the bound at the leaves: each group that differs holds a shingle that only one of the sets has.
+Surviving pairs are verified on the sets themselves. Points travel as bytes where their coordinates fit.
 
 Bringing pairs together. Two sets that link differ in at most D = (a + b)(1 - s)/(1 + s) shingles. Cut into D + 1 + E groups
 they agree in the whole content of E + 1 groups at least, so unless both leave more than E groups empty a digest of some
@@ -15,7 +14,9 @@ in bands whose neighbours overlap by as much as sizes of linked sets may differ.
 
 Under each key, first every set is compared with one of them, which joins large groups of copies with one comparison a
 set. Only keys whose sets are then still in different components are searched: an R-tree over their points (nodes with
-the largest coordinates below them) walks pairs of nodes whose bound is large enough. Of a group of copies that are all
+the largest coordinates below them) walks pairs of nodes whose bound is large enough. Most sets meet others by chance only,
+the more of them the larger the table: a first search, over points and digests folded to a part of their length, finds the
+sets that are near another at all, and only these are searched with all they have. Of a group of copies that are all
 near each other only few pairs need to be verified: first each set's nearest one in another component is, and only what
 is still in different components after that is verified pair by pair.
 
@@ -46,6 +47,8 @@ from freightnet.llm.texts import WORD_BY_SPACE, Slice, as_arrow, mix, slices, te
 SHINGLE = 3
 SHARE = 90
 DIMENSIONS, LEAST_DIGEST = 64, 64
+#: Coordinates of a folded point.
+FEW_DIMENSIONS = 16
 #: Rows of two numbers that are broadcast to meet the texts; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: The keys meet in so many rounds, each a share of them, so that only that share is on the way at a time.
@@ -128,32 +131,45 @@ def point(found: np.ndarray) -> np.ndarray:
     return np.bincount((found >> np.uint64(48)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
 
 
-def point_bytes(found: np.ndarray) -> bytes:
-    """The point in as few bytes a coordinate as its largest one takes."""
-    at = point(found)
+def _in_bytes(at: np.ndarray) -> bytes:
+    """Coordinates in as few bytes each as the largest one takes."""
     return at.astype(next(k for k in ("<u1", "<u2", "<u4") if at.max() <= np.iinfo(k).max)).tobytes()
 
 
-def _points(column: pa.Array) -> np.ndarray:
+def point_bytes(found: np.ndarray) -> bytes:
+    return _in_bytes(point(found))
+
+
+def _points(column: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
     """One row of coordinates for each point, written as bytes or as a list."""
     if not pa.types.is_binary(column.type):
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
     blobs = column.to_pylist()
-    out, sizes = np.zeros((len(blobs), DIMENSIONS), np.int32), np.array([len(x) for x in blobs], np.int64)
+    out, sizes = np.zeros((len(blobs), dimensions), np.int32), np.array([len(x) for x in blobs], np.int64)
     for width in (1, 2, 4):
-        at = np.flatnonzero(sizes == width * DIMENSIONS)
-        out[at] = np.frombuffer(b"".join(blobs[k] for k in at), f"<u{width}").reshape(-1, DIMENSIONS)
+        at = np.flatnonzero(sizes == width * dimensions)
+        out[at] = np.frombuffer(b"".join(blobs[k] for k in at), f"<u{width}").reshape(-1, dimensions)
     return out
 
 
 def digest(found: np.ndarray) -> np.ndarray:
-    """A bit from the content of each of some groups; their number is a power of two, from twice the size to four times."""
+    """Whether each of some groups holds an odd number of shingles; the number of groups is a power of two, from twice the
+    size to four times. Each shingle that only one of two sets has turns a bit, unless another one in its group turns it back."""
     groups = max(LEAST_DIGEST, 2 << max(len(found) - 1, 1).bit_length())
-    odd = found[(found & np.uint64(1)).astype(bool)]
-    counts = np.bincount((odd >> np.uint64(32)).astype(np.int64) % groups, minlength=groups)
+    counts = np.bincount((found >> np.uint64(32)).astype(np.int64) % groups, minlength=groups)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
 
 
+def _fold(bits: bytes, n: int, share: int) -> bytes:
+    """A digest of as few groups, a power of two, as still tell sets of size ``n`` apart that have nothing in common: these
+    differ in half of the groups give or take some of their square root, linked ones in at most 2 n (1 - s)/(1 + s)."""
+    words, differ = np.frombuffer(bits, np.uint64), 2 * n * (100 - share) // (100 + share)
+    groups = LEAST_DIGEST
+    while groups < 64 * len(words) and groups - 2 * differ < max(0.25 * groups, (12 * groups) ** 0.5):
+        groups *= 2
+    return np.bitwise_xor.reduce(words.reshape(-1, groups // 64), axis=0).tobytes()
+
+
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Groups that differ between the digests of each row; the longer one is folded to the length of the shorter."""
     sizes = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64).reshape(2, -1)
@@ -204,6 +220,20 @@ def features(documents: DataFrame, id_col: str, size: int, share: int) -> DataFr
     return as_arrow(rows, of, schema)
 
 
+def _folded(points: DataFrame, share: int) -> DataFrame:
+    """The points in fewer coordinates and their digests in fewer bits. Folded, they bound a link as well, less tightly."""
+
+    def fold(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = _points(batch.column("point")).reshape(batch.num_rows, -1, FEW_DIMENSIONS).sum(axis=1)
+        digests = zip(batch.column("digest").to_pylist(), batch.column("n").to_pylist())
+        columns = [pa.array([_in_bytes(x) for x in at], pa.binary()), pa.array([_fold(*x, share) for x in digests], pa.binary())]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("set"), batch.column("n"), *columns], names=["set", "n", "point", "digest"]
+        )
+
+    return as_arrow(points.select("set", "n", "point", "digest"), fold, "set bigint, n bigint, point binary, digest binary")
+
+
 def _apart(a: Places, b: Places, share: int) -> np.ndarray:
     """Least share of shingles in which the sets of each row differ, by their digests; infinite where the bounds forbid a
     link."""
@@ -255,8 +285,7 @@ def _sets(documents: DataFrame, where: DataFrame, pairs: DataFrame, id_col: str,
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col: str, size: int, share: int) -> DataFrame:
-    """Pairs (a, b) that link. Only texts of sets that occur in a pair are cut into shingles again."""
-    pairs = step(pairs)
+    """Pairs (a, b) of a written table that link. Only texts of sets that occur in a pair are cut into shingles again."""
     sets = _sets(documents, where, pairs, id_col, size)
     both = pairs
     for c in ("a", "b"):
@@ -272,8 +301,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, where: DataFrame, id_col:
         return pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
 
     out = step(as_arrow(both.select("a", "b", "found_a", "found_b"), verify, "a bigint, b bigint"))
-    for old in (pairs, sets):
-        forget(old)
+    forget(sets)
     return out
 
 
@@ -286,8 +314,8 @@ class Places:
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, batch: pa.RecordBatch, end: str = "") -> Places:
-        points = _points(batch.column("point" + end))
+    def of(cls, batch: pa.RecordBatch, end: str = "", dimensions: int = DIMENSIONS) -> Places:
+        points = _points(batch.column("point" + end), dimensions)
         digests = np.array([*batch.column("digest" + end).to_pylist(), None], object)[:-1]
         return cls(points, digests, batch.column("n" + end).to_numpy(zero_copy_only=False))
 
@@ -363,7 +391,7 @@ def _nearest(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int)
         yield own, other[own]
 
 
-def _searched(rows: DataFrame, share: int, nearest: bool = False) -> DataFrame:
+def _searched(rows: DataFrame, share: int, nearest: bool = False, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, set, component, n, point, digest) to the pairs of different components under a key whose bound allows a link;
     with ``nearest`` only one of them for each set, the one that is least apart."""
 
@@ -387,7 +415,7 @@ def _searched(rows: DataFrame, share: int, nearest: bool = False) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            places = Places.of(batch)
+            places = Places.of(batch, dimensions=dimensions)
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set", "component")]
             now += [places.sizes, places.points, places.digests]
             # The last key may go on in the next batch; what is held is put together once, when its key has ended.
@@ -406,14 +434,47 @@ def _searched(rows: DataFrame, share: int, nearest: bool = False) -> DataFrame:
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
-def _search_rounds(known: DataFrame, points: DataFrame, texts: int, share: int, nearest: bool) -> DataFrame:
+def _search_rounds(
+    known: DataFrame, points: DataFrame, texts: int, share: int, nearest: bool, dimensions: int = DIMENSIONS
+) -> DataFrame:
     """``_searched`` over (key, set, component) in as many rounds as keep what is dealt at a time in proportion to the texts:
     each key is in one round, so rounds change no pair, and the rows that go with points never lie on disk all at once."""
     rounds = max(1, -(-known.count() // max(1, ROWS_A_TEXT * texts)))
     if rounds == 1:
-        return _searched(known.join(points, "set"), share, nearest)
+        return _searched(known.join(points, "set"), share, nearest, dimensions)
     parts = [known.where(F.pmod("key", F.lit(rounds)) == k).join(points, "set") for k in range(rounds)]
-    return reduce(DataFrame.unionByName, [step(_searched(part, share, nearest)) for part in parts]).distinct()
+    return reduce(DataFrame.unionByName, [step(_searched(part, share, nearest, dimensions)) for part in parts]).distinct()
+
+
+def _open_rows(together: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(key, set, component) of the keys that still have sets of different components."""
+    known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
+    known = step(known.withColumn("component", F.coalesce("component", "set")))
+    open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rows = step(known.join(open_keys.select("key"), "key"))
+    forget(known)
+    return rows
+
+
+def _rows_of(together: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``together`` of the sets that occur in ``pairs``, in its place."""
+    sets = step(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    out = step(together.join(sets, "set", "left_semi"))
+    for old in (together, sets):
+        forget(old)
+    return out
+
+
+def _near_others(together: DataFrame, grouped: DataFrame, points: DataFrame, texts: int, share: int) -> DataFrame:
+    """The rows of ``together`` of sets that are near one of another component by folded points, in its place. Each set of a
+    link that is still to be found is one of these, whichever other links are found first."""
+    rows = _open_rows(together, grouped)
+    folded = step(_folded(points, share))
+    pairs = step(_search_rounds(rows, folded, texts, share, True, FEW_DIMENSIONS))
+    together = _rows_of(together, pairs)
+    for old in (rows, folded, pairs):
+        forget(old)
+    return together
 
 
 def link_documents(
@@ -441,22 +502,25 @@ def link_documents(
     texts = nodes.count()
     forget(found)
     stars = together.where("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    links = _verified(_bounded(stars, points, share), documents, where, id_col, size, share)
+    pairs = step(_bounded(stars, points, share))
+    links = _verified(pairs, documents, where, id_col, size, share)
+    forget(pairs)
 
     grouped, found_none = components(links), False
+    together = _near_others(together, grouped, points, texts, share)
     for nearest in [*[True] * NEAREST_ROUNDS, False]:
         if nearest and found_none:  # the same components: the same search would find nothing again
             continue
-        known = together.select("key", "set").join(grouped.withColumnRenamed("node", "set"), "set", "left")
-        known = step(known.withColumn("component", F.coalesce("component", "set")))
-        open_keys = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        rows = step(known.join(open_keys.select("key"), "key"))
-        forget(known)
+        rows = _open_rows(together, grouped)
         if rows.isEmpty():  # no key has sets of two components
             forget(rows)
             break
-        more = _verified(_search_rounds(rows, points, texts, share, nearest), documents, where, id_col, size, share)
+        pairs = step(_search_rounds(rows, points, texts, share, nearest))
         forget(rows)
+        # Links found only make fewer sets of other components: one that is near none of them now never will be.
+        together = _rows_of(together, pairs)
+        more = _verified(pairs, documents, where, id_col, size, share)
+        forget(pairs)
         found_none = more.isEmpty()
         if not found_none:
             # Each set is next to the least one of its component already: only the new links have a way to go.

@@ -4,6 +4,7 @@ import os
 import pathlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -404,6 +405,66 @@ def test_points_and_digests_travel_in_few_bytes():
             assert (d == 0) == (other is s) or len(other) < 3
 
 
+def _places(sets, fold=None):
+    """Points, digests and sizes of sets; folded by a function from columns to columns."""
+    columns = [pa.array([jaccard.point_bytes(x) for x in sets], pa.binary()), pa.array([jaccard.digest(x).tobytes() for x in sets])]
+    names = ["set", "n", "point", "digest"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([len(x) for x in sets]), *columns], names=names)
+    return jaccard.Places.of(fold(batch), dimensions=jaccard.FEW_DIMENSIONS) if fold else jaccard.Places.of(batch)
+
+
+@pytest.mark.parametrize("share", [80, 90])
+def test_sets_that_fall_short_of_a_link_are_no_candidates(share):
+    """Of a group of sets that all have much in common, but not enough, next to no pair is left to verify."""
+    rng = np.random.default_rng(share)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    common = new(300)
+    # 300 shingles in common and as many own ones as make each pair similar by six hundredths less than a link.
+    own = round(300 * (100 / (share - 6) - 1) / 2)
+    sets = [np.unique(np.append(common, new(own))) for _ in range(60)]
+    assert sum(len(p) for p, _, _ in jaccard.Tree(_places(sets)).pairs(share)) <= 0.01 * 60 * 59 / 2
+
+
+@pytest.mark.parametrize("share", [80, 90])
+@pytest.mark.parametrize("n", [1, 6, 40, 300, 3000, 20_000])
+def test_folded_points_lose_no_link(share, n, monkeypatch):
+    rng = np.random.default_rng(n)
+    new = lambda n: np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    sets = [new(n) for _ in range(20)]
+    sets += [x[rng.permutation(len(x))[: -(-share * len(x) // 100)]] for x in sets]
+    sets = [np.sort(x) for x in sets]
+    monkeypatch.setattr(jaccard, "as_arrow", lambda df, fold, schema: fold)
+    full, folded = _places(sets), _places(sets, jaccard._folded(SimpleNamespace(select=lambda *names: None), share))
+    assert sum(map(len, folded.digests)) <= sum(map(len, full.digests)) and folded.points.shape[1] < full.points.shape[1]
+    found = {tuple(sorted(x)) for p, q, _ in jaccard.Tree(folded).pairs(share) for x in zip(p.tolist(), q.tolist())}
+    assert found >= {(k, k + 20) for k in range(20)}
+    assert n < 40 or len(found) <= 30  # sets with nothing in common are told apart
+
+
+def test_sets_that_meet_by_chance_are_not_searched(spark, monkeypatch):
+    """Texts that have a phrase in common share keys; next to only those that are near another go on with whole
+    points."""
+    rng = random.Random(9)
+    phrase = " ".join(f"p{k}" for k in range(30))
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(k, f"{text(40)} {phrase} {text(40)}") for k in range(60)]
+    start = text(100)  # 100 and 102 link through 101 only
+    rows += [(100 + k, " ".join([*(f"x{j}" for j in range(18 * k)), phrase, start])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    sent, searched = [], jaccard._searched
+
+    def search(rows, share, nearest, *dimensions):
+        if dimensions in ((), (jaccard.DIMENSIONS,)):
+            sent.append(rows.select("set").distinct().count())
+        return searched(rows, share, nearest, *dimensions)
+
+    monkeypatch.setattr(jaccard, "_searched", search)
+    monkeypatch.setattr(jaccard, "_bounded", lambda pairs, *args: pairs.where("false"))  # all is left to the searches
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(docs, 5, 80).collect()}
+    assert got == {**{k: k for k in range(60)}, 100: 100, 101: 100, 102: 100}
+    assert sent and max(sent) <= 6
+
+
 def test_only_new_links_are_followed(spark, monkeypatch):
     """Components are found again only when a search has found links, and not from all links that were there before."""
     words = [f"w{k}" for k in range(60)]
