@@ -458,10 +458,8 @@ def _open_rows(together: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _rows_of(together: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``together`` of the sets that occur in ``pairs``, in its place."""
-    sets = step(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
-    out = step(together.join(sets, "set", "left_semi"))
-    for old in (together, sets):
-        forget(old)
+    out = step(together.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi"))
+    forget(together)
     return out
 
 
@@ -517,8 +515,9 @@ def link_documents(
             break
         pairs = step(_search_rounds(rows, points, texts, share, nearest))
         forget(rows)
-        # Links found only make fewer sets of other components: one that is near none of them now never will be.
-        together = _rows_of(together, pairs)
+        if nearest:
+            # Links found only make fewer sets of other components: one that is near none of them now never will be.
+            together = _rows_of(together, pairs)
         more = _verified(pairs, documents, where, id_col, size, share)
         forget(pairs)
         found_none = more.isEmpty()
